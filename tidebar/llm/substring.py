@@ -38,12 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, release_shuffles, remove, table
+from .shared import new_path, release_shuffles, table
 from .words import U64, cut_bytes, mix64, shingles, slices, utf8
 
 WINDOW = 13
 #: Bytes of text in a block, and distinct fingerprints in a bucket, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_SIZE = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
@@ -283,7 +283,7 @@ class FingerprintIndex:
         self.runs = [path]
 
 
-def _results(window: int):
+def _results(window: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             w = _Windows(row, window)
@@ -301,12 +301,12 @@ def _results(window: int):
             np.add.at(edge, w.at[gone], 1)
             np.add.at(edge, w.at[gone] + window, -1)
             keep = np.cumsum(edge[:-1]) == 0
-            yield _digests(w, keep)
+            yield _kept(w, keep, digests)
 
     return run
 
 
-def _digests(w: _Windows, keep: np.ndarray) -> pa.RecordBatch:
+def _kept(w: _Windows, keep: np.ndarray, digests: bool) -> pa.RecordBatch:
     start, end = w.words.start[keep], w.words.end[keep]
     size = end - start + 1  # each word and one space
     upto = np.concatenate([[0], np.cumsum(size)])
@@ -316,31 +316,23 @@ def _digests(w: _Windows, keep: np.ndarray) -> pa.RecordBatch:
         joined[upto[1:] - 1] = 32
     kept_before = np.concatenate([[0], np.cumsum(keep)])[w.words.offsets]
     at = upto[kept_before]
-    kept = [joined[a : max(a, b - 1)].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    parts = (joined[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:], strict=True))
+    kept = pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()) if digests else pa.array([x.tobytes() for x in parts], pa.binary()).cast(pa.string())
     counts = w.words.counts
-    return pa.RecordBatch.from_pydict(
-        {
-            "doc_id": pa.array(w.ids, mask=w.ids == _LAST),
-            "n_words": pa.array(counts, pa.int64()),
-            "n_removed": pa.array(counts - np.diff(kept_before), pa.int64()),
-            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
-        },
-        schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]),
+    return pa.RecordBatch.from_arrays(
+        [pa.array(w.ids, mask=w.ids == _LAST), pa.array(counts, pa.int64()), pa.array(counts - np.diff(kept_before), pa.int64()), kept],
+        names=["doc_id", "n_words", "n_removed", "kept_sha256" if digests else "kept_text"],
     )
 
 
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column("kept_text"))
-        raw = data.tobytes()
-        digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+def _result_schema(digests_only: bool) -> str:
+    return "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digests_only else "kept_text string")
 
 
-def dedup_batch(docs: DataFrame, index: FingerprintIndex, keep_run: bool = True) -> DataFrame:
+def dedup_batch(docs: DataFrame, index: FingerprintIndex, keep_run: bool = True, digests_only: bool = False) -> DataFrame:
     """Removes from a batch what the index or an earlier document of the batch holds, and adds the batch to the index.
 
-    Returns doc_id, n_words, n_removed, kept_text.
+    Returns doc_id, n_words, n_removed and kept_text, or kept_sha256 in its place with ``digests_only``.
     """
     spark = docs.sparkSession
     path = new_path(spark, "blocks")
@@ -348,7 +340,7 @@ def dedup_batch(docs: DataFrame, index: FingerprintIndex, keep_run: bool = True)
     blocks = spark.read.schema(_BLOCK).parquet(path)
     answers = index.add(blocks, keep_run)
     joined = blocks.join(answers, "block", "left").withColumn("bits", F.lit(index.bits))
-    return joined.mapInArrow(_results(index.window), "doc_id long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(_results(index.window, digests_only), _result_schema(digests_only))
 
 
 def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, fan_in: int = 4, digests_only: bool = False) -> DataFrame:
@@ -360,7 +352,6 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, fa
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size, low, high = docs.agg(F.sum(F.length("text")), F.min("doc_id"), F.max("doc_id")).first()
     index = FingerprintIndex(spark, (size or 0) // 5, window, fan_in)
-    schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digests_only else "kept_text string")
     cuts = []
     if batches > 1 and low is not None and low < high:
         cuts = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)} - {low})
@@ -371,13 +362,11 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, fa
             part = part.where((F.col("doc_id") >= cuts[i - 1]) | (F.col("doc_id").isNull() if i == len(cuts) else F.lit(False)))
         if i < len(cuts):
             part = part.where(F.col("doc_id") < cuts[i])
-        result = dedup_batch(part, index, keep_run=i < len(cuts))
-        if digests_only:
-            result = result.mapInArrow(_with_digest, schema)
+        result = dedup_batch(part, index, i < len(cuts), digests_only)
         path = new_path(spark, "deduplicated")
         result.write.parquet(path)
         release_shuffles(spark)
-        rows = spark.read.schema(schema).parquet(path)
+        rows = spark.read.schema(_result_schema(digests_only)).parquet(path)
         out = rows if out is None else out.unionByName(rows)
     return out
 
