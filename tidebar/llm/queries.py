@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import bpe, minhash, simple8b, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+    "op4_bpe": bpe.op4_bpe,
+    "op6_simple8b": simple8b.op6_simple8b,
 }
 
 SQL = {
     "op1_substring_dedup": substring.OP1_SQL,
+    "op3_minhash_near_dedup": minhash.OP3_SQL,
 }
