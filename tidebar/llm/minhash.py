@@ -14,9 +14,9 @@ band a node is compared with the smallest node of its bucket; nodes that this
 links are one component. Only where a bucket still holds several components
 are the nodes outside its largest one compared with the others, so all
 candidate pairs between different components are confirmed or refused, and a
-group of near copies costs about one comparison for each member. Before sets
-are fetched, a pair must agree in half of its coordinates: at 0.8 that fails
-with a chance below 1e-15.
+group of near copies costs about one comparison for each member. Pairs are made
+only if 4-bit digests of all coordinates differ in no more places than a pair
+at the threshold does but for a chance of about 1 in 100 million.
 
 Defined cases: a null or empty text has the empty set, is linked with nothing
 and kept. A null doc_id is linked with nothing: its component_id is null and
@@ -63,6 +63,13 @@ def signature(members: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _digest(s: np.ndarray) -> np.ndarray:
+    """4 bits of each coordinate, 16 coordinates in a 64-bit integer."""
+    four = np.zeros(-(-len(s) // 16) * 16, np.uint64)
+    four[: len(s)] = s & np.uint32(15)
+    return (four.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * U64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def sets_of(column, size: int) -> list[np.ndarray]:
     """For each text its distinct shingles of ``size`` lower-cased words, ascending; fewer words make one shingle."""
     words = cut(column, lower=True)
@@ -84,7 +91,7 @@ def sets_of(column, size: int) -> list[np.ndarray]:
     return out
 
 
-_FEATURES = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
+_FEATURES = "doc_id long, n_shingles long, set_key binary, signature array<long>, bands array<long>"
 
 
 def _features(size: int, bands: int, rows: int):
@@ -97,18 +104,18 @@ def _features(size: int, bands: int, rows: int):
                     n.append(len(members))
                     if not len(members) or doc_id is None:
                         keys.append(hashlib.blake2b(f"alone {doc_id}".encode(), digest_size=16).digest())
-                        signs.append(b"")
+                        signs.append([])
                         buckets.append([])
                         continue
                     keys.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                     s = signature(members, bands * rows)
-                    signs.append(s.astype(np.uint8).tobytes())
+                    signs.append(_digest(s))
                     h = base.copy()
                     for row in s.reshape(bands, rows).T:
                         h = mix64(h ^ row.astype(np.uint64))
                     buckets.append(h.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.array(buckets, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "set_key", "signature", "bands"],
                 )
 
@@ -124,19 +131,21 @@ def _members(size: int):
     return run
 
 
-def _agree(least: float):
-    """Keeps pairs whose signatures agree in that share of coordinates; adds the share."""
+def _differ(x: str, y: str, coordinates: int):
+    """In how many coordinates two digests differ."""
+    out = F.lit(0)
+    for i in range(-(-coordinates // 16)):
+        bits = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        out = out + F.bit_count(bits)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            share = (x == y).mean(axis=1)
-            keep = pa.array(share >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(share[share >= least])], names=["a", "b", "share"])
 
-    return run
+def _most(coordinates: int, percent: int) -> int:
+    """Coordinates in which a pair at the threshold may differ: 6.4 standard deviations over their mean."""
+    p = (1 - percent / 100) * 15 / 16
+    return int(coordinates * p + 6.4 * (coordinates * p * (1 - p)) ** 0.5) + 1
 
 
 def _confirm(percent: int):
@@ -155,22 +164,57 @@ def _confirm(percent: int):
     return run
 
 
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = np.zeros(1 << _BITMAP, bool)
+    for batch in batches:
+        own[mix64(batch.column(0).to_numpy().view(np.uint64)) >> U64(64 - _BITMAP)] = True
+    pages = np.packbits(own).reshape(-1, _PAGE)
+    some = np.flatnonzero(pages.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pages[i].tobytes() for i in some], pa.binary())], names=["page", "bits"])
+
+
+def _either(group: pa.Table) -> pa.Table:
+    both = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")])
+    return pa.table({"page": group.column("page")[:1], "bits": pa.array([both.tobytes()], pa.binary())})
+
+
+#: A bitmap of this many bits (as a power of two) says which documents' sets are asked for; its size is fixed, and when it fills up more sets are made than needed.
+_BITMAP, _PAGE = 22, 1 << 13
+
+
 class _Linker:
-    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int):
-        self.docs, self.nodes, self.size, self.percent = docs, nodes, size, percent
+    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, coordinates: int):
+        self.docs, self.nodes, self.size, self.percent, self.coordinates = docs, nodes, size, percent, coordinates
         self.links: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose digests allow the threshold, with the number of coordinates that differ."""
         signs = self.nodes.select("node", "signature")
         both = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b")
-        return both.mapInArrow(_agree(0.5), "a long, b long, share double")
+        return both.where(_differ("sa", "sb", self.coordinates) <= _most(self.coordinates, self.percent)).select("a", "b", _differ("sa", "sb", self.coordinates).alias("apart"))
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(node, members) of the ends of the pairs; texts don't move, a bitmap of fixed size goes to them."""
+        spark = self.docs.sparkSession
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        pages = ends.mapInArrow(_bitmap, "page int, bits binary").groupBy("page").applyInArrow(_either, "page int, bits binary").collect()
+        bits = np.zeros((1 << _BITMAP) // 8, np.uint8)
+        for r in pages:
+            bits[r["page"] * _PAGE : (r["page"] + 1) * _PAGE] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        asked, size = spark.sparkContext.broadcast(bits), self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = np.unpackbits(asked.value).astype(bool)
+            for batch in batches:
+                ids = batch.column("doc_id").fill_null(-1).to_numpy()
+                yield from _members(size)([batch.filter(pa.array(wanted[mix64(ids.view(np.uint64)) >> U64(64 - _BITMAP)]))])
+
+        return written(self.docs.where("doc_id is not null").mapInArrow(run, "node long, members binary"), "sets").dropDuplicates(["node"])
 
     def confirm(self, pairs: DataFrame) -> None:
         """Adds the pairs (a, b) that are as similar as asked for to the links."""
         pairs = pairs.select("a", "b")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = written(self.docs.join(ends, "doc_id").mapInArrow(_members(self.size), "node long, members binary"), "sets").dropDuplicates(["node"])
-        release_shuffles(self.docs.sparkSession)
+        sets = self.sets(pairs)
         both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
         found = written(both.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
         self.links = found if self.links is None else self.links.unionAll(found)
@@ -192,8 +236,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     features = written(docs.mapInArrow(_features(size, bands, rows), _FEATURES), "features")
     groups = features.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     keyed = written(features.join(groups, "set_key").select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("signature")).alias("signature"), F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "nodes")
-    nodes = keyed.where("signature is not null and length(signature) > 0").select("node", "n_shingles", "signature", "bands")
-    linker = _Linker(docs, nodes, size, percent)
+    nodes = keyed.where("size(signature) > 0").select("node", "n_shingles", "signature", "bands")
+    linker = _Linker(docs, nodes, size, percent, bands * rows)
 
     in_bucket = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1")
@@ -204,10 +248,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     # each node with the first of its buckets: the likeliest of these first, then what is still apart
     stars = crowded.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     stars = written(linker.likely(stars), "pairs")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
-    linker.confirm(best)
+    linker.confirm(written(stars.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "pairs"))
     components = linker.components()
-    linker.confirm(linker.apart(stars, components))
+    linker.confirm(written(linker.apart(stars, components), "pairs"))
     components = linker.components()
 
     # buckets that still hold several components: what isn't in the largest of them against all
@@ -215,12 +258,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     placed = written(placed, "placed")
     counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     largest = counts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
-    mixed = placed.join(largest, "bucket")
-    x = mixed.where("root != main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = mixed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    rest = x.join(y, "bucket").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & near_size(F.col("na"), F.col("nb")))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    linker.confirm(written(linker.likely(rest), "pairs"))
+    mixed = placed.join(largest, "bucket").join(nodes.select("node", "signature"), "node")
+    mixed = written(mixed.select("bucket", "node", "n", "root", "signature", (F.col("root") == F.col("main")).alias("in_main")), "mixed")
+    x = mixed.where("not in_main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("signature").alias("sa"))
+    y = mixed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("signature").alias("sb"), "in_main")
+    alike = near_size(F.col("na"), F.col("nb")) & (_differ("sa", "sb", bands * rows) <= _most(bands * rows, percent))
+    rest = x.join(y, "bucket").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & alike)
+    linker.confirm(written(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs"))
     components = linker.components()
 
     out = keyed.join(components, "node", "left")
