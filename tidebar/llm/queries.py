@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, containment, licenses, minhash, quality, simple8b, substring, toxicity, vafile
+from . import bpe, containment, licenses, minhash, pii, quality, simple8b, substring, toxicity, vafile
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simple8b": simple8b.op6_simple8b,
     "op7_quality": quality.op7_quality,
     "op8_va_top_k": vafile.op8_va_top_k,
+    "op9_pii_surrogates": pii.op9_pii_surrogates,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
