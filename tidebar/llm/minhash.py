@@ -272,6 +272,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component."""
+    gone = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on 2-word shingles at 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)

@@ -29,7 +29,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import remove, table, written
+from .shared import table, written
 
 KEY = "tidebar"
 
@@ -216,17 +216,18 @@ def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str = KEY, count_as: str | None = None) -> DataFrame:
     """``docs`` with surrogates in its texts; ``count_as`` names a column for the number of entities replaced."""
     found = replacements(docs, key)
-    own = docs.select(F.col("doc_id").alias("_doc"), F.explode(found_in(F.col("text"))).alias("spelling")).distinct().join(found, "spelling")
+    own = docs.select(docs["doc_id"].alias("_doc"), F.explode(found_in(docs["text"])).alias("spelling")).distinct().join(found, "spelling")
     own = own.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("spelling", "replacement"))).alias("_map"))
     both = docs.join(own, docs["doc_id"].eqNullSafe(own["_doc"]), "left")
+    known, text = own["_map"], docs["text"]
     # what the expression finds and what lies between, in turn
-    entities = found_in(F.col("text"))
-    between = F.split(F.col("text"), _FOUND, -1)
-    put = F.transform(entities, lambda e: F.coalesce(F.get(F.map_values(F.map_filter(F.col("_map"), lambda k, v: k == e)), F.lit(0)), e))
-    text = F.when(F.col("_map").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
+    entities = found_in(text)
+    between = F.split(text, _FOUND, -1)
+    put = F.transform(entities, lambda e: F.coalesce(F.get(F.map_values(F.map_filter(known, lambda k, v: k == e)), F.lit(0)), e))
+    new = F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    columns = [F.when(known.isNull() | text.isNull(), text).otherwise(new).alias("text") if c == "text" else docs[c] for c in docs.columns]
     if count_as:
-        columns.append(F.when(F.col("_map").isNull(), F.lit(0)).otherwise(F.size(entities)).cast("long").alias(count_as))
+        columns.append(F.when(known.isNull() | text.isNull(), F.lit(0)).otherwise(F.size(entities)).cast("long").alias(count_as))
     return both.select(*columns)
 
 
