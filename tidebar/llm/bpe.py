@@ -37,7 +37,7 @@ from .words import slices, utf8
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 12, 1 << 10, 1 << 15
 _REACH = 32
 #: Words, and bytes of chunks, that a task remembers at most.
-MEMO_WORDS, MEMO_BYTES = 400_000, 16 << 20
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 16 << 20
 _ENDS = frozenset(".,;:!?")
 
 
@@ -51,6 +51,18 @@ def _blank(c: str) -> bool:
     return c.isspace() or c == "᠎"
 
 
+class _Memo(dict):
+    """Learns a word the first time it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers, and back."""
 
@@ -59,9 +71,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes | None] = {}
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.letters = dict(enumerate(_byte_letters()))
+        self.memo = _Memo(self.learn)
+        self.memo_end = {c: self._piece(c) for c in _ENDS}
         size = self.library.get_vocab_size()
         plain = {c: b for b, c in self.letters.items()}
         pieces = []
@@ -77,42 +90,29 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of what is one piece of the byte-level pattern: the model merges it without cutting it first."""
-        letters = self.letters
-        return array("I", [t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))]).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Remembers words with a space before each."""
-        memo, other = self.memo, []
-        for w in words:
-            if w.isalpha():
-                memo[w] = self._piece(" " + w)
-            elif w[-1] in _ENDS and (base := w[:-1]).isalpha():
-                if (ids := memo.get(base)) is None:
-                    ids = memo[base] = self._piece(" " + base)
-                memo[w] = ids + self._piece(w[-1])
-            else:
-                other.append(w)
-        memo.update(zip(other, self._ids([" " + w for w in other]), strict=True))
+        return array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def learn(self, word: str) -> bytes | None:
+        """Ids of a word with a space before it; None if its ends depend on what stands beside it."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        if not word or _blank(word[0]) or _blank(word[-1]):
+            return None
+        if word[-1] in _ENDS and (base := word[:-1]).isalpha():
+            return self.memo[base] + self.memo_end[word[-1]]
+        return self._ids([" " + word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        cuts = [t.split(" ") for t in texts]
-        new = [w for w in set().union(*(c[1:] for c in cuts)) if w not in memo]
-        fit = [w for w in new if w and not _blank(w[0]) and not _blank(w[-1])]
-        memo.update(dict.fromkeys(new))
-        self._learn(fit)
-        # a first word has no space before it; it is remembered with one behind it
-        heads = [w for w in {c[0] for c in cuts} if w + " " not in memo]
-        memo.update((w + " ", ids) for w, ids in zip(heads, self._ids(heads), strict=True))
-        out: list[bytes] = []
-        for t, c in zip(texts, cuts, strict=True):
-            head, rest = c[0], c[1:]
+        known, out = memo.__getitem__, []
+        for t in texts:
+            head, *rest = t.split(" ")
             try:
                 if rest and head and _blank(head[-1]):
                     raise TypeError
-                out.append(b"".join([memo[head + " "], *map(memo.__getitem__, rest)]))
+                out.append((self._ids([head])[0] if head else b"") + b"".join(map(known, rest)))
             except TypeError:  # a space beside other white space
                 out.append(self._ids([t])[0])
         return out
