@@ -41,19 +41,23 @@ _FEMALE = r"(?:Mrs|Ms|Frau|Señora|Madame|Mme)\.?"
 _MALE_C, _FEMALE_C = r"(?:г-н|господин)", r"(?:г-жа|госпожа)"
 #: Kind: what its spellings look like, in the order in which they are tried.
 KINDS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "secret": rf"(?<![A-Za-z])(?i:token|password|passwd|secret|api_?key)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_VALUE}",
-    "access": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "card": r"(?<![\d.+])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d.])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)",
-    "name_m": rf"\b{_MALE} {_LATIN}(?: {_LATIN})?",
-    "name_f": rf"\b{_FEMALE} {_LATIN}(?: {_LATIN})?",
+    "email": r"(?<![.%+_-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
+    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "card": r"(?<![.+])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<![.+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4})(?!\d)",
+    "secret": rf"(?i:token|password|passwd|secret|api_?key)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_VALUE}",
+    "access": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "name_m": rf"{_MALE} {_LATIN}(?: {_LATIN})?",
+    "name_f": rf"{_FEMALE} {_LATIN}(?: {_LATIN})?",
     "name_mc": rf"(?<!\S){_MALE_C} {_CYRILLIC}(?: {_CYRILLIC})?",
     "name_fc": rf"(?<!\S){_FEMALE_C} {_CYRILLIC}(?: {_CYRILLIC})?",
 }
+#: The kinds by the characters with which they may start, so that most places are left after one look.
+_STARTS = {"[0-9+(]": ("ip", "card", "ssn", "phone"), "[A-Z]": ("access", "iban", "name_m", "name_f"), "[AaPpSsTt]": ("secret",), "[г]": ("name_mc", "name_fc"), r"[\w.%+-]": ("email",)}
+#: A text with an entity has one of these.
+_TITLES = ("Mr", "Herr", "Señor", "Monsieur", "Ms", "Frau", "Madame", "Mme", "г-н", "г-жа", "госп")
 #: Names for surrogates, by the kind of word.
 NAMES = {
     "given_m": "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul Rafael Simon Thomas Victor",
@@ -63,7 +67,7 @@ NAMES = {
     "given_fc": "Анна Вера Галина Дарья Елена Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Раиса Софья Татьяна",
     "family_c": "Белый Волк Громов Дубов Ежов Жуков Зимин Ильин Котов Лесной Мороз Носов Орлов Попов Рыбак Седов",
 }
-_FOUND = "|".join(f"(?:{p})" for p in KINDS.values())
+_FOUND = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?={start})(?:{'|'.join(KINDS[k] for k in kinds)})" for start, kinds in _STARTS.items()) + ")"
 
 
 def found_in(text: Column) -> Column:
@@ -71,6 +75,13 @@ def found_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_FOUND), F.lit(0))
 
 
+def _worth_searching(text: Column) -> Column:
+    out = text.rlike("[0-9@]")
+    for title in _TITLES:
+        out = out | F.contains(text, F.lit(title))
+    return out
+
+
 def _kind(spelling: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
@@ -202,9 +213,9 @@ def _settled(entities: DataFrame, key: str) -> DataFrame:
             return settled
 
 
-def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """spelling, replacement for every distinct spelling of an entity in the texts."""
-    spellings = docs.select(F.explode(found_in(F.col("text"))).alias("spelling")).distinct()
+def replacements(found: DataFrame, key: str = KEY) -> DataFrame:
+    """spelling, replacement for every distinct spelling in a table of them."""
+    spellings = found.select("spelling").distinct()
     spellings = spellings.withColumn("kind", _kind(F.col("spelling"))).where("kind is not null")
     spellings = written(spellings.withColumn("parts", _parts(F.col("kind"), F.col("spelling"))), "spellings")
     parts = spellings.select("spelling", F.col("kind").alias("of"), F.posexplode("parts").alias("place", "part")).select("spelling", "of", "place", "part.kind", "part.value")
@@ -215,8 +226,9 @@ def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace_pii(docs: DataFrame, key: str = KEY, count_as: str | None = None) -> DataFrame:
     """``docs`` with surrogates in its texts; ``count_as`` names a column for the number of entities replaced."""
-    found = replacements(docs, key)
-    own = docs.select(docs["doc_id"].alias("_doc"), F.explode(found_in(docs["text"])).alias("spelling")).distinct().join(found, "spelling")
+    spelling = F.explode(F.when(_worth_searching(docs["text"]), found_in(docs["text"]))).alias("spelling")
+    found = written(docs.select(docs["doc_id"].alias("_doc"), spelling).distinct(), "entities")
+    own = found.join(replacements(found, key), "spelling")
     own = own.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("spelling", "replacement"))).alias("_map"))
     both = docs.join(own, docs["doc_id"].eqNullSafe(own["_doc"]), "left")
     known, text = own["_map"], docs["text"]
