@@ -8,7 +8,7 @@ link is the label ``toxic`` itself. The earlier categories are the toxic
 documents that use a word of a list (``CATEGORIES``, a parameter).
 
 Features are words and their first 4, 5 and 6 bytes, present or absent, chosen
-by how far their share of toxic documents departs from the mean.
+by how far their share of toxic documents departs from the mean (``LEAST_APART``).
 
 Training takes at most ``TRAIN_ROWS`` labelled rows (chosen by a hash of
 doc_id), so the driver fits matrices of bounded size; scoring covers every
@@ -42,8 +42,9 @@ CATEGORIES = {
 TARGET = "toxic"
 TRAIN_ROWS = 12_000
 N_FEATURES = 8192
+#: Standard deviations by which a feature's share of toxic documents must differ from the mean.
+LEAST_APART = 5.0
 FOLDS = 3
-THRESHOLD = 0.5
 _PREFIXES = (4, 5, 6)
 _GATE_BITS = 22
 
@@ -133,6 +134,14 @@ class Chain:
     weights: np.ndarray  # category x feature
     earlier: np.ndarray  # category x earlier category
     bias: np.ndarray
+    threshold: float = 0.5
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where the F1 of out-of-fold probabilities is best: the middle of the best thresholds from 0.15 to 0.6."""
+    grid = np.linspace(0.15, 0.6, 46)
+    f1 = np.array([2 * (y[p >= t]).sum() / max(1.0, (p >= t).sum() + y.sum()) for t in grid])
+    return float(np.median(grid[f1 >= f1.max() - 1e-9]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -179,6 +188,7 @@ def fit_chain(row: np.ndarray, at: np.ndarray, targets: np.ndarray, fold: np.nda
         w = _fit(row, at, n, out_of_fold, y, width)
         chain.weights[k], chain.earlier[k, :k], chain.bias[k] = w[:width], w[width:-1], w[-1]
         out_of_fold = np.column_stack([out_of_fold, own])
+    chain.threshold = best_threshold(out_of_fold[:, -1], targets[:, -1])
     return chain, out_of_fold
 
 
@@ -201,7 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, categories
     least = 4 if n > 2000 else 2
     counts = sample.mapInArrow(_count_features, "feature long, n long, hits long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= least)
     apart = F.abs(F.col("hits") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base) + 1e-9))
-    best = counts.orderBy(apart.desc(), "feature").limit(N_FEATURES).select("feature").toPandas()["feature"].to_numpy()
+    best = counts.withColumn("apart", apart).orderBy(F.col("apart").desc(), "feature").limit(N_FEATURES).select("feature", "apart").toPandas()
+    # what chance alone may set apart is left out, but for a few where labels are scarce
+    best = best["feature"].to_numpy()[: max(32, int((best["apart"] >= LEAST_APART).sum()))]
     chosen = np.sort(best.astype(np.int64).view(np.uint64))
     if not len(chosen):
         return None
@@ -227,11 +239,12 @@ def probabilities(column, chain: Chain, gate: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, chain: Chain | None, categories: dict[str, list[str]] = CATEGORIES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, p_<category> for each category of the chain, and toxic (true where the last is at least the threshold)."""
+def score(docs: DataFrame, chain: Chain | None, categories: dict[str, list[str]] = CATEGORIES, threshold: float | None = None) -> DataFrame:
+    """doc_id, p_<category> for each category of the chain, and toxic (true where the last is at least the threshold, by default the chain's)."""
     names = [*categories, TARGET]
     if chain is None:
         return docs.select("doc_id", *[F.lit(0.0).alias(f"p_{x}") for x in names], F.lit(False).alias("toxic"))
+    limit = chain.threshold if threshold is None else threshold
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -241,15 +254,16 @@ def score(docs: DataFrame, chain: Chain | None, categories: dict[str, list[str]]
         for batch in batches:
             for part in slices(batch):
                 p = probabilities(part.column("text"), chain, gate)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, p.T), pa.array(p[:, -1] >= threshold)], names=["doc_id", *[f"p_{x}" for x in names], "toxic"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, p.T), pa.array(p[:, -1] >= limit)], names=["doc_id", *[f"p_{x}" for x in names], "toxic"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"p_{x} double" for x in names) + ", toxic boolean")
 
 
-def reject_toxic(docs: DataFrame, chain: Chain | None, threshold: float = THRESHOLD) -> DataFrame:
+def reject_toxic(docs: DataFrame, chain: Chain | None, threshold: float | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the chain doesn't call toxic."""
     if chain is None:
         return docs
+    limit = chain.threshold if threshold is None else threshold
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +271,7 @@ def reject_toxic(docs: DataFrame, chain: Chain | None, threshold: float = THRESH
         gate = _gate(chain.chosen)
         for batch in batches:
             for part in slices(batch):
-                yield part.filter(pa.array(probabilities(part.column("text"), chain, gate)[:, -1] < threshold))
+                yield part.filter(pa.array(probabilities(part.column("text"), chain, gate)[:, -1] < limit))
 
     return docs.mapInArrow(run, docs.schema)
 
