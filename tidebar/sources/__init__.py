@@ -1 +1 @@
-"""Bar-series analytics on Spark."""
+"""Where bars and ticks come from, and where they go."""

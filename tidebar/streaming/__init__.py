@@ -1 +1 @@
-"""Bar-series analytics on Spark."""
+"""The same operators over growing data."""
