@@ -13,30 +13,34 @@ from pyspark.sql import functions as F
 from .align import asof
 from .folds import Reversal, fold
 
-TICKS = Window.partitionBy("symbol").orderBy("t", "seq")
 #: Bands of a print's amount, largest first: name and least amount.
 BANDS = [("xl", 400.0), ("large", 200.0), ("mid", 100.0), ("small", 40.0), ("retail", 0.0)]
 
 
+def in_order():
+    """Ticks of a symbol in the order in which they came."""
+    return Window.partitionBy("symbol").orderBy("t", "seq")
+
+
 def with_direction(ticks: DataFrame, side: str | None = None) -> DataFrame:
     """Adds dir: 1 up, -1 down, as before if the price stays; a side column (1 buy, 2 sell) overrules."""
-    move = F.signum(F.col("price") - F.lag("price").over(TICKS))
+    move = F.signum(F.col("price") - F.lag("price").over(in_order()))
     sign = F.when(move != 0, move)
     if side:
         sign = F.when(F.col(side) == 1, 1.0).when(F.col(side) == 2, -1.0).otherwise(sign)
-    return ticks.withColumn("_s", sign).withColumn("dir", F.coalesce(F.last("_s", ignorenulls=True).over(TICKS.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).cast("int")).drop("_s")
+    return ticks.withColumn("_s", sign).withColumn("dir", F.coalesce(F.last("_s", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).cast("int")).drop("_s")
 
 
 def true_volume(ticks: DataFrame, total: str = "total_volume", auction: str = "volume") -> Column:
     """Volume of a tick from the running total; while the total stands still, the running auction volume's own step."""
-    step = F.col(total) - F.lag(total).over(TICKS)
-    own = F.col(auction) - F.lag(auction).over(TICKS)
+    step = F.col(total) - F.lag(total).over(in_order())
+    own = F.col(auction) - F.lag(auction).over(in_order())
     return F.when(step.isNull(), F.col(auction)).when(step > 0, step).otherwise(F.greatest(F.coalesce(own, F.lit(0)), F.lit(0)))
 
 
 def sane(ticks: DataFrame, most: float = 0.05) -> DataFrame:
     """Ticks whose price is positive and no more than a share away from the last tick's."""
-    before = F.lag("price").over(TICKS)
+    before = F.lag("price").over(in_order())
     return ticks.withColumn("_before", before).where((F.col("price") > 0) & (F.col("_before").isNull() | (F.abs(F.col("price") / F.col("_before") - 1) <= most))).drop("_before")
 
 
@@ -83,7 +87,7 @@ def large_prints(ticks: DataFrame, first: float, second: float, cluster: int = 3
     ticks = ticks.withColumn("large", F.col("amount") >= second)
     recent = Window.partitionBy("symbol").orderBy("t").rangeBetween(-span, 0)
     n, low, high = F.count(F.when(F.col("large"), 1)).over(recent), F.min(F.when(F.col("large"), F.col("dir"))).over(recent), F.max(F.when(F.col("large"), F.col("dir"))).over(recent)
-    broken = F.sum(F.when(F.col("large"), 0).otherwise(1)).over(TICKS.rowsBetween(Window.unboundedPreceding, 0))
+    broken = F.sum(F.when(F.col("large"), 0).otherwise(1)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     ticks = ticks.withColumns({"clustered": F.col("large") & (n >= cluster) & (low == high) & (low != 0), "_run": broken})
     streak = F.sum(F.when(F.col("large"), 1).otherwise(0)).over(Window.partitionBy("symbol", "_run").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0))
     kind = F.when(F.col("amount") >= first, "L1").when(F.col("clustered"), "L2")

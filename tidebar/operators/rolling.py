@@ -1,6 +1,6 @@
 """Rolling, cumulative and segmented operators as window expressions.
 
-Every function returns a column over ``BY``: bars of a symbol in time order.
+Every function returns a column over ``by()``: bars of a symbol in time order.
 Windows are strict unless a function says otherwise: a window that is short or
 holds NULL gives NULL. All operators of a query share one sort of its bars.
 """
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.na import div, finite
 
-BY = Window.partitionBy("symbol").orderBy("t")
+def by():
+    """Bars of a symbol in time order."""
+    return Window.partitionBy("symbol").orderBy("t")
 
 
 def _c(x: Column | str) -> Column:
@@ -24,11 +26,11 @@ def _c(x: Column | str) -> Column:
 
 
 def back(n: int, upto: int = 0):
-    return BY.rowsBetween(-(n - 1), -upto)
+    return by().rowsBetween(-(n - 1), -upto)
 
 
 def so_far():
-    return BY.rowsBetween(Window.unboundedPreceding, 0)
+    return by().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def full(x, n: int, value: Column) -> Column:
@@ -37,7 +39,7 @@ def full(x, n: int, value: Column) -> Column:
 
 
 def ago(x, n: int = 1) -> Column:
-    return F.lag(_c(x), n).over(BY)
+    return F.lag(_c(x), n).over(by())
 
 
 def _weighted(x, weights: list[float]) -> Column:
@@ -158,7 +160,7 @@ def percentile_nearest_rank(x, n: int, percentage: float) -> Column:
 
 def percentrank(x, n: int, i: str = "i") -> Column:
     """Share of the n values before that are no greater; NULL counts as none, a NULL now gives 0."""
-    before = F.collect_list(_c(x)).over(BY.rowsBetween(-n, -1))
+    before = F.collect_list(_c(x)).over(by().rowsBetween(-n, -1))
     share = F.size(F.filter(F.zip_with(before, F.array_repeat(_c(x), F.size(before)), lambda v, c: v <= c), lambda ok: ok)) * 100.0 / n
     return F.when(_c(i) >= n, F.when(_c(x).isNull(), F.lit(0.0)).otherwise(share))
 
@@ -361,7 +363,7 @@ def falling(moved, n: int) -> Column:
 def pivot(x, left: int, right: int, high: bool = True) -> Column:
     """The value ``right`` bars ago if all neighbours are strictly lower (higher); NULL otherwise."""
     centre, f = ago(x, right), F.max if high else F.min
-    older, newer = BY.rowsBetween(-(left + right), -(right + 1)), BY.rowsBetween(-(right - 1), 0)
+    older, newer = by().rowsBetween(-(left + right), -(right + 1)), by().rowsBetween(-(right - 1), 0)
     whole = F.count(_c(x)).over(back(left + right + 1)) == left + right + 1
     beats = (lambda e: centre > e) if high else (lambda e: centre < e)
     return F.when(whole & beats(f(_c(x)).over(older)) & beats(f(_c(x)).over(newer)), centre)
@@ -391,7 +393,7 @@ def pivot_point_levels(bars: DataFrame, kind: str, tf: str) -> DataFrame:
     from .bars import resample
 
     periods = resample(bars, tf)
-    before = lambda c: F.lag(c).over(BY)
+    before = lambda c: F.lag(c).over(by())
     o, h, lo, c = (before(x) for x in ("open", "high", "low", "close"))
     return periods.select("symbol", F.col("t").alias("period"), levels(kind, o, h, lo, c, F.col("open")).alias("levels"))
 

@@ -197,7 +197,7 @@ def ta_pivots_and_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pivothigh pivotlow vwap with bands, anchored to the day."""
     b = B.with_prices(hourly(spark, sf_dir))
     day = F.floor(F.col("t") / 86400)
-    b = R.with_segment(b, F.coalesce(day != F.lag(day).over(R.BY), F.lit(True)))
+    b = R.with_segment(b, F.coalesce(day != F.lag(day).over(R.by()), F.lit(True)))
     mean, upper, lower = R.vwap("hlc3", mult=2.0)
     return shown(b, KEYS, {"pivothigh": R.pivot("high", 3, 2), "pivotlow": R.pivot("low", 3, 2, False), "vwap": mean, "vwap_upper": upper, "vwap_lower": lower})
 

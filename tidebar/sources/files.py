@@ -76,5 +76,7 @@ def watchlist(quotes: DataFrame, n: int) -> DataFrame:
 
 def verify_dedup(before: DataFrame, after: DataFrame, keys: list[str]) -> dict[str, Column | int]:
     """Rows that appeared, keys that vanished, and keys that are still double: all 0 if a dedup only removed copies."""
+    counted = lambda df, n: df.groupBy(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in before.columns]).agg(F.count("*").alias(n))
+    more = counted(after, "_a").join(counted(before, "_b"), before.columns, "left").where("_a > coalesce(_b, 0)")
     double = after.groupBy(*keys).count().where("count > 1")
-    return {"appeared": after.exceptAll(before).count(), "vanished": before.select(*keys).distinct().join(after, keys, "left_anti").count(), "double": double.count()}
+    return {"appeared": more.count(), "vanished": before.select(*keys).distinct().join(after, keys, "left_anti").count(), "double": double.count()}
