@@ -16,7 +16,9 @@ are the nodes outside its largest one compared with the others, so all
 candidate pairs between different components are confirmed or refused, and a
 group of near copies costs about one comparison for each member. Pairs are made
 only if 4-bit digests of all coordinates differ in no more places than a pair
-at the threshold does but for a chance of about 1 in 100 million.
+at the threshold does but for a chance of about 1 in 100 million; the nodes
+that are compared across components get digests of ``FINE`` coordinates for it,
+so copies that only come near the threshold make few pairs.
 
 Defined cases: a null or empty text has the empty set, is linked with nothing
 and kept. A null doc_id is linked with nothing: its component_id is null and
@@ -178,6 +180,8 @@ def _either(group: pa.Table) -> pa.Table:
     return pa.table({"page": group.column("page")[:1], "bits": pa.array([both.tobytes()], pa.binary())})
 
 
+#: Coordinates that tell apart what is still in one bucket after the links of its first member.
+FINE = 2048
 #: A bitmap of this many bits (as a power of two) says which documents' sets are asked for; its size is fixed, and when it fills up more sets are made than needed.
 _BITMAP, _PAGE = 22, 1 << 13
 
@@ -193,24 +197,42 @@ class _Linker:
         both = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b")
         return both.where(_differ("sa", "sb", self.coordinates) <= _most(self.coordinates, self.percent)).select("a", "b", _differ("sa", "sb", self.coordinates).alias("apart"))
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(node, members) of the ends of the pairs; texts don't move, a bitmap of fixed size goes to them."""
-        spark = self.docs.sparkSession
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-        pages = ends.mapInArrow(_bitmap, "page int, bits binary").groupBy("page").applyInArrow(_either, "page int, bits binary").collect()
+    def _asked(self, ids: DataFrame):
+        """A test for documents that are among ids of a table, or, rarely, seem to be."""
+        pages = ids.mapInArrow(_bitmap, "page int, bits binary").groupBy("page").applyInArrow(_either, "page int, bits binary").collect()
         bits = np.zeros((1 << _BITMAP) // 8, np.uint8)
         for r in pages:
             bits[r["page"] * _PAGE : (r["page"] + 1) * _PAGE] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        asked, size = spark.sparkContext.broadcast(bits), self.size
+        asked = self.docs.sparkSession.sparkContext.broadcast(bits)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = np.unpackbits(asked.value).astype(bool)
             for batch in batches:
                 ids = batch.column("doc_id").fill_null(-1).to_numpy()
-                yield from _members(size)([batch.filter(pa.array(wanted[mix64(ids.view(np.uint64)) >> U64(64 - _BITMAP)]))])
+                yield from slices(batch.filter(pa.array(wanted[mix64(ids.view(np.uint64)) >> U64(64 - _BITMAP)])))
+
+        return only
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(node, members) of the ends of the pairs; texts don't move, a bitmap of fixed size goes to them."""
+        only, size = self._asked(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _members(size)(only(batches))
 
         return written(self.docs.where("doc_id is not null").mapInArrow(run, "node long, members binary"), "sets").dropDuplicates(["node"])
 
+    def fine(self, nodes: DataFrame) -> DataFrame:
+        """(node, fine): digests of ``FINE`` coordinates of the nodes."""
+        only, size = self._asked(nodes.select("node")), self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in only(batches):
+                digests = [_digest(signature(s, FINE)) for s in sets_of(part.column("text"), size)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.list_(pa.int64()))], names=["node", "fine"])
+
+        return written(self.docs.where("doc_id is not null").mapInArrow(run, "node long, fine array<long>"), "fine").dropDuplicates(["node"])
+
     def confirm(self, pairs: DataFrame) -> None:
         """Adds the pairs (a, b) that are as similar as asked for to the links."""
         pairs = pairs.select("a", "b")
@@ -258,11 +280,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     placed = written(placed, "placed")
     counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     largest = counts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
-    mixed = placed.join(largest, "bucket").join(nodes.select("node", "signature"), "node")
-    mixed = written(mixed.select("bucket", "node", "n", "root", "signature", (F.col("root") == F.col("main")).alias("in_main")), "mixed")
-    x = mixed.where("not in_main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("signature").alias("sa"))
-    y = mixed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("signature").alias("sb"), "in_main")
-    alike = near_size(F.col("na"), F.col("nb")) & (_differ("sa", "sb", bands * rows) <= _most(bands * rows, percent))
+    mixed = written(placed.join(largest, "bucket").select("bucket", "node", "n", "root", (F.col("root") == F.col("main")).alias("in_main")), "mixed")
+    met = mixed.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("met"))  # as many as there are bands
+    mixed = mixed.join(met, "node").join(linker.fine(mixed.select("node").distinct()), "node").join(nodes.select("node", "signature"), "node")
+    x = mixed.where("not in_main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("signature").alias("sa"), F.col("fine").alias("fa"), F.col("met").alias("ma"))
+    y = mixed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("signature").alias("sb"), F.col("fine").alias("fb"), F.col("met").alias("mb"), "in_main")
+    alike = near_size(F.col("na"), F.col("nb")) & (_differ("sa", "sb", bands * rows) <= _most(bands * rows, percent)) & (_differ("fa", "fb", FINE) <= _most(FINE, percent))
+    alike = alike & (F.col("bucket") == F.array_min(F.array_intersect("ma", "mb")))  # a pair is made in the first bucket it shares
     rest = x.join(y, "bucket").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & alike)
     linker.confirm(written(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs"))
     components = linker.components()
