@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, release_shuffles, table
+from .shared import new_path, release_shuffles, remove, table
 from .words import U64, cut_bytes, mix64, shingles, slices, utf8
 
 WINDOW = 13
@@ -332,15 +332,19 @@ def _result_schema(digests_only: bool) -> str:
 def dedup_batch(docs: DataFrame, index: FingerprintIndex, keep_run: bool = True, digests_only: bool = False) -> DataFrame:
     """Removes from a batch what the index or an earlier document of the batch holds, and adds the batch to the index.
 
-    Returns doc_id, n_words, n_removed and kept_text, or kept_sha256 in its place with ``digests_only``.
+    The batch's blocks are deleted when its result is written. Returns doc_id, n_words, n_removed and kept_text, or kept_sha256 in its place with ``digests_only``.
     """
     spark = docs.sparkSession
-    path = new_path(spark, "blocks")
+    path, results = new_path(spark, "blocks"), new_path(spark, "deduplicated")
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_to_blocks, _BLOCK).write.parquet(path)
     blocks = spark.read.schema(_BLOCK).parquet(path)
     answers = index.add(blocks, keep_run)
+    release_shuffles(spark)
     joined = blocks.join(answers, "block", "left").withColumn("bits", F.lit(index.bits))
-    return joined.mapInArrow(_results(index.window, digests_only), _result_schema(digests_only))
+    joined.mapInArrow(_results(index.window, digests_only), _result_schema(digests_only)).write.parquet(results)
+    remove(spark, path)
+    release_shuffles(spark)
+    return spark.read.schema(_result_schema(digests_only)).parquet(results)
 
 
 def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, fan_in: int = 4, digests_only: bool = False) -> DataFrame:
@@ -362,11 +366,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, fa
             part = part.where((F.col("doc_id") >= cuts[i - 1]) | (F.col("doc_id").isNull() if i == len(cuts) else F.lit(False)))
         if i < len(cuts):
             part = part.where(F.col("doc_id") < cuts[i])
-        result = dedup_batch(part, index, i < len(cuts), digests_only)
-        path = new_path(spark, "deduplicated")
-        result.write.parquet(path)
-        release_shuffles(spark)
-        rows = spark.read.schema(_result_schema(digests_only)).parquet(path)
+        rows = dedup_batch(part, index, i < len(cuts), digests_only)
         out = rows if out is None else out.unionByName(rows)
     return out
 
