@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, indicators, recurrences, scalars, trading
+from . import alignment, features, indicators, recurrences, scalars, streams, trading
 
-_MODULES = (indicators, recurrences, alignment, trading, scalars)
+_MODULES = (indicators, recurrences, alignment, trading, scalars, features, streams)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
