@@ -109,6 +109,30 @@ def test_limit_price_is_never_worse(spark):
     assert [x.price for r in account for x in r.executions] == [101.0, 103.0]
 
 
+def test_trailing_stop_and_distances(spark):
+    o = orders(spark, [("x", 0, 0, "entry", "a", 1, 1.0, None, None, None, ""), ("x", 0, 1, "exit", "t", 0, None, None, None, None, "")]).withColumns({"trail": F.when(F.col("kind") == "exit", 4.0), "offset": F.lit(3.5), "profit": F.lit(None).cast("double"), "loss": F.lit(None).cast("double")})
+    account = broker.replay(ramp(spark, 12), o).orderBy("i").collect()
+    # entry at 101; the high first is 105 on bar 3, where the low of 102 doesn't reach 101.5; nor later on the ramp
+    assert [(x.price, x.dir) for r in account for x in r.executions] == [(101.0, 1)]
+    tight = broker.replay(ramp(spark, 12), o.withColumn("offset", F.lit(2.5))).orderBy("i").collect()
+    assert [(r.i, x.price, x.dir) for r in tight for x in r.executions] == [(1, 101.0, 1), (3, 102.5, -1)]
+    loss = broker.replay(ramp(spark, 12), o.withColumns({"trail": F.lit(None).cast("double"), "profit": F.when(F.col("kind") == "exit", 6.0)})).orderBy("i").collect()
+    assert [(r.i, x.price) for r in loss for x in r.executions] == [(1, 101.0), (5, 107.0)]
+
+
+def test_risk_rules(spark):
+    o = orders(spark, [("x", 2 * k, 0, "entry", f"e{k}", -1, 1.0, None, None, None, "") for k in range(8)])
+    free = broker.replay(ramp(spark, 20), o, broker.Config(pyramiding=9)).orderBy("i").collect()
+    assert free[-1].position == -8
+    capped = broker.replay(ramp(spark, 20), o, broker.Config(pyramiding=9, max_position=3)).orderBy("i").collect()
+    assert capped[-1].position == -3
+    halted = broker.replay(ramp(spark, 20), o, broker.Config(pyramiding=9, max_drawdown=5)).orderBy("i").collect()
+    assert halted[-1].position == 0 and [x.id for r in halted for x in r.executions][-1] == "risk"
+    today = broker.replay(ramp(spark, 20), o, broker.Config(pyramiding=9, max_day_fills=2)).orderBy("i").collect()
+    assert today[-1].position == 0 and sum(len(r.executions) for r in today) == 3
+    assert not any(r.executions for r in broker.replay(ramp(spark, 20), o, broker.Config(allow=1)).collect())
+
+
 def test_stop_rules(spark):
     rows = [("LONG", 90.0, 95.0), ("LONG", 90.0, 85.0), ("SHORT", 90.0, 95.0), ("LONG", 90.0, None), ("LONG", None, 80.0), ("LONG", None, -1.0)]
     got = spark.createDataFrame(rows, "side string, old double, new double").select(guard.stop_change(F.col("side"), F.col("old"), F.col("new"))).collect()

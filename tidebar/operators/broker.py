@@ -12,6 +12,11 @@ after its own on: without a level at the open; a limit or stop when the bar
 touches it, or at the open if that is past it; of both the worse. An entry
 against the position closes it and opens its own side. Legs close first in,
 first out.
+
+An exit may also name distances in price: ``profit`` and ``loss`` from the
+average entry, and a trailing stop that stands ``offset`` behind the best price
+once that is ``trail`` ahead of the entry. Risk rules of the configuration
+close the position and stop new orders, for the day or for good.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = "seq int, kind string, id string, dir int, qty double, limit double, stop double, oca string, comment string"
+#: Columns that orders may have besides.
+DISTANCES = ["profit", "loss", "trail", "offset"]
 _TRADE = "entry_bar bigint, exit_bar bigint, dir int, qty double, entry_price double, exit_price double, profit double, commission double, id string, exit_id string"
 _BAR = f"equity double, position double, avg_price double, open_profit double, realized double, open_legs int, executions array<struct<price:double,qty:double,dir:int,id:string>>, trades array<struct<{_TRADE.replace(' ', ':').replace(',:', ',')}>>"
 
@@ -39,6 +46,14 @@ class Config:
     commission_type: str = "per_contract"  # per_contract, per_order, percent
     margin: float = 100.0
     on_close: bool = False
+    # risk rules; 0 is none
+    allow: int = 0  # 1: only long entries, -1: only short ones
+    max_position: float = 0.0
+    max_drawdown: float = 0.0
+    max_drawdown_percent: float = 0.0
+    max_day_loss: float = 0.0
+    max_day_fills: int = 0
+    max_losing_days: int = 0
 
 
 @dataclass
@@ -50,6 +65,14 @@ class Book:
     realized: float = 0.0
     legs: list = field(default_factory=list)  # [bar, price, qty, id, commission, opened qty, profit]
     working: list = field(default_factory=list)
+    day: int | None = None
+    halted: bool = False
+    halted_day: int | None = None
+    losing_days: int = 0
+    fills: int = 0
+
+    def __post_init__(self):
+        self.peak = self.day_start = self.day_peak = self.config.capital
 
     @property
     def side(self) -> int:
@@ -64,6 +87,8 @@ class Book:
 
     def record(self, o: dict) -> None:
         """Takes an order: cancels, changes a working one of its id, or lets it work."""
+        if self.halted or self.halted_day == self.day is not None:
+            return
         if o["kind"] == "cancel":
             self.working = [w for w in self.working if o["id"] and w["id"] != o["id"]]
             return
@@ -95,6 +120,26 @@ class Book:
         c = self.config
         return c.qty if c.qty_type == "fixed" else c.qty / price if c.qty_type == "cash" else self.equity(price) * c.qty / 100 / price
 
+    def capped(self, o: dict, qty: float, dir_: int) -> float:
+        """What the largest position leaves of an entry."""
+        most = self.config.max_position
+        return qty if o["kind"] != "entry" or not most else max(0.0, min(qty, most - abs(self.position))) if self.side == dir_ else min(qty, most)
+
+    def levels(self, o: dict, high: float, low: float) -> dict:
+        """An exit with the levels that its distances give now."""
+        side, limit, stop = self.side, o["limit"], o["stop"]
+        if o["profit"] is not None and limit is None:
+            limit = self.average + side * o["profit"]
+        if o["loss"] is not None and stop is None:
+            stop = self.average - side * o["loss"]
+        if o["trail"] is not None:
+            best = max if side > 0 else min
+            o["best"] = best(o.get("best", self.average), high if side > 0 else low)
+            if (o["best"] - self.average) * side >= o["trail"]:
+                trailing = o["best"] - side * (o["offset"] or 0.0)
+                stop = trailing if stop is None else best(stop, trailing)
+        return o | {"limit": limit, "stop": stop}
+
     def fill(self, bar: int, o: dict, price: float, qty: float, dir_: int, executed: list, closed: list) -> None:
         c = self.config
         traded = qty + abs(self.position) if o["kind"] == "entry" and self.side == -dir_ else qty
@@ -128,18 +173,51 @@ class Book:
             if o not in self.working:
                 continue  # another of its group has filled
             dir_ = o["dir"] if o["kind"] == "entry" else -self.side
+            waits = any(o.get(d) is not None for d in ("limit", "stop", *(DISTANCES if o["kind"] == "exit" else ())))
             if not dir_:
-                if o["limit"] is None and o["stop"] is None:
+                if not waits:
                     self.working.remove(o)
                 continue
-            price = self.price(o, dir_, open_, high, low, market)
+            level = self.levels(o, high, low) if o["kind"] == "exit" else o
+            if waits and level["limit"] is None and level["stop"] is None:
+                continue  # a trailing stop that has not been set yet
+            price = self.price(level, dir_, open_, high, low, market)
             if price is None:
                 continue
             self.working.remove(o)
-            qty = self.size(o, price)
+            allow = self.config.allow
+            if o["kind"] == "entry" and allow and dir_ != allow:
+                o = o | {"kind": "close", "qty": None}  # a forbidden side only closes the other
+                if self.side != -dir_:
+                    continue
+            qty = self.capped(o, self.size(o, price), dir_)
             after = abs(self.position + dir_ * (qty + (abs(self.position) if self.side == -dir_ else 0)))
             if qty > 0 and (o["kind"] != "entry" or self.equity(price) >= after * price * self.config.margin / 100):
                 self.fill(bar, o, price, qty, dir_, executed, closed)
+                self.fills += 1
+
+    def rules(self, bar: int, day: int, ends_day: bool, close: float, executed: list, closed: list) -> None:
+        """Closes everything and stops when a risk rule is broken."""
+        c, equity = self.config, self.equity(close)
+        self.peak, self.day_peak = max(self.peak, equity), max(self.day_peak, equity)
+        if self.halted or self.halted_day == day:
+            return
+        if ends_day:
+            self.losing_days = self.losing_days + 1 if equity < self.day_start else 0
+        fall = self.peak - equity
+        for_good = (c.max_drawdown and fall >= c.max_drawdown) or (c.max_drawdown_percent and 100 * fall >= c.max_drawdown_percent * self.peak) or (ends_day and c.max_losing_days and self.losing_days >= c.max_losing_days)
+        for_today = (c.max_day_fills and self.fills >= c.max_day_fills) or (c.max_day_loss and self.day_peak - equity >= c.max_day_loss)
+        if for_good or for_today:
+            self.working.clear()
+            if self.position:
+                self.fill(bar, {"kind": "close", "id": "", "oca": None, "comment": "risk"}, close, abs(self.position), -self.side, executed, closed)
+            self.halted, self.halted_day = self.halted or bool(for_good), day
+
+    def begin(self, day: int, before: float) -> None:
+        """A new day: its extremes start from the equity before it."""
+        if day != self.day:
+            self.day, self.fills = day, 0
+            self.day_start = self.day_peak = before
 
     def margin_call(self, bar: int, close: float, executed: list, closed: list) -> None:
         """Sells four times what the shortfall needs once equity no longer covers the margin."""
@@ -154,27 +232,33 @@ class Book:
 
 def replay(bars: DataFrame, orders: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     """(symbol, i, t, close, equity, position, avg_price, open_profit, realized, open_legs, executions, trades) for each bar."""
-    fields = [x.split()[0] for x in ORDER.split(", ")]
+    fields = [x.split()[0] for x in ORDER.split(", ")] + DISTANCES
+    orders = orders.withColumns({d: F.lit(None).cast("double") for d in DISTANCES if d not in orders.columns})
+    day = F.floor(F.col("t") / 86_400)
+    bars = bars.withColumn("_ends", F.coalesce(F.lead(day).over(Window.partitionBy("symbol").orderBy("i")) != day, F.lit(True)))
     placed = orders.groupBy("symbol", "i").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("orders"))
-    joined = bars.join(placed, ["symbol", "i"], "left").select("symbol", "i", "t", "open", "high", "low", "close", "orders")
+    joined = bars.join(placed, ["symbol", "i"], "left").select("symbol", "i", "t", "open", "high", "low", "close", "_ends", "orders")
     dealt = joined.repartition("symbol").sortWithinPartitions("symbol", "i")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, book = object(), Book(config)
+        symbol, book, before = object(), Book(config), config.capital
         for pdf in batches:
             out = []
-            for own, i, t, o, h, lo, c, placed_now in pdf.itertuples(index=False, name=None):
+            for own, i, t, o, h, lo, c, ends, placed_now in pdf.itertuples(index=False, name=None):
                 if own != symbol:
-                    symbol, book = own, Book(config)
+                    symbol, book, before = own, Book(config), config.capital
+                book.begin(t // 86_400, before)
                 executed: list = []
                 closed: list = []
                 book.settle(i, o, h, lo, c, o, executed, closed)
+                book.rules(i, t // 86_400, ends, c, executed, closed)
                 book.margin_call(i, c, executed, closed)
                 for order in () if placed_now is None else placed_now:
                     order = {k: None if isinstance(v, float) and v != v else v for k, v in (order if isinstance(order, dict) else order.asDict()).items()}
                     book.record(order)
                 if config.on_close:
                     book.settle(i, c, c, c, c, c, executed, closed)
+                before = book.equity(c)
                 open_profit = book.position * (c - book.average)
                 out.append((own, i, t, c, book.equity(c), book.position, book.average if book.legs else None, open_profit, book.realized, len(book.legs), executed, closed))
             yield pd.DataFrame(out, columns=["symbol", "i", "t", "close", *[x.strip().split()[0] for x in ("equity", "position", "avg_price", "open_profit", "realized", "open_legs", "executions", "trades")]])
