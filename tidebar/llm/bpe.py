@@ -36,8 +36,8 @@ from .words import slices, utf8
 #: Chunks end where the rolling hash has this many zero bits at its end, within these lengths in bytes.
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 12, 1 << 10, 1 << 15
 _REACH = 32
-#: Words, and bytes of chunks, that a task remembers at most.
-MEMO_WORDS, MEMO_BYTES = 1_000_000, 16 << 20
+#: Words (twice as many with those of the memo before), and bytes of chunks, that a task remembers at most.
+MEMO_WORDS, MEMO_BYTES = 600_000, 16 << 20
 _ENDS = frozenset(".,;:!?")
 
 
@@ -52,14 +52,14 @@ def _blank(c: str) -> bool:
 
 
 class _Memo(dict):
-    """Learns a word the first time it is asked for."""
+    """Learns a word the first time it is asked for. Words of the memo before this one come over when they are met again."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, before: dict | None = None):
         super().__init__()
-        self.learn = learn
+        self.learn, self.before = learn, before or {}
 
     def __missing__(self, word: str) -> bytes | None:
-        ids = self[word] = self.learn(word)
+        ids = self[word] = self.before[word] if word in self.before else self.learn(word)
         return ids
 
 
@@ -105,7 +105,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
-            memo.clear()
+            memo.before = {}
+            memo = self.memo = _Memo(self.learn, memo)
         known, out = memo.__getitem__, []
         for t in texts:
             head, *rest = t.split(" ")

@@ -58,16 +58,13 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         count, bits = SELECTORS[s]
         if not most >> bits:
             choice[:] = s  # a word may end early at the end of its document
-        elif bits >= 12:
-            large = np.where(ids >= _U(1 << bits), place, n)
-            fits = np.minimum.accumulate(large[::-1])[::-1] - place
-            choice[(fits >= count) | (fits >= room)] = s
-        else:  # runs of small ids are rare: look at their ends only
-            small = np.zeros(n + 2, bool)
-            small[1:-1] = ids < _U(1 << bits)
-            ends = np.flatnonzero(small[1:] != small[:-1]).reshape(-1, 2)
-            for begin, end in ends[ends[:, 1] - ends[:, 0] >= count].tolist():
-                choice[begin : end - count + 1] = s
+            continue
+        large = np.where(ids >= _U(1 << bits), place, n)
+        fits = np.minimum.accumulate(large[::-1])[::-1] - place
+        whole = fits >= count
+        if not whole.any():
+            break  # nor is there room for more ids of fewer bits
+        choice[whole | (fits >= room) if bits >= 12 else whole] = s
     step = np.minimum(_COUNTS[choice], room)
     follow = (place + step).tolist()
     begins, i = [], 0
