@@ -44,6 +44,8 @@ TRAIN_ROWS = 12_000
 N_FEATURES = 8192
 #: Standard deviations by which a feature's share of toxic documents must differ from the mean.
 LEAST_APART = 5.0
+#: As many features stay in any case: few labels set nothing far apart, and 32 were too few for documents they hadn't seen.
+LEAST_FEATURES = 512
 FOLDS = 3
 _PREFIXES = (4, 5, 6)
 _GATE_BITS = 22
@@ -212,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, categories
     counts = sample.mapInArrow(_count_features, "feature long, n long, hits long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= least)
     apart = F.abs(F.col("hits") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base) + 1e-9))
     best = counts.withColumn("apart", apart).orderBy(F.col("apart").desc(), "feature").limit(N_FEATURES).select("feature", "apart").toPandas()
-    # what chance alone may set apart is left out, but for a few where labels are scarce
-    best = best["feature"].to_numpy()[: max(32, int((best["apart"] >= LEAST_APART).sum()))]
+    # what chance alone may set apart is left out, but for some where labels are scarce
+    best = best["feature"].to_numpy()[: max(LEAST_FEATURES, int((best["apart"] >= LEAST_APART).sum()))]
     chosen = np.sort(best.astype(np.int64).view(np.uint64))
     if not len(chosen):
         return None
