@@ -10,6 +10,7 @@ from ..operators import bars as B
 from ..operators import broker as K
 from ..operators import guard as G
 from ..operators import ranking as N
+from ..operators import rating as V
 from ..operators import rolling as R
 from .common import BARS_SQL, frame, hourly, shown, sql6, sql_full, sql_lag, sql_shown, table
 
@@ -101,7 +102,7 @@ def rank_missing_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def technical_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes of five means and two oscillators, their rating and its band."""
+    """Votes of five means and two oscillators, their rating and its band: a short form that SQL checks. The whole rating is technical_rating_full."""
     b = hourly(spark, sf_dir)
     c = F.col("close")
     vote = lambda x, y: F.when(x > y, 1).when(x < y, -1).when(x == y, 0)
@@ -112,6 +113,12 @@ def technical_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(b.withColumn("band", N.rating_band((F.col("ma") + F.col("osc")) / 2)), ["symbol", "t", "band"], {"ma": "ma", "osc": "osc"})
 
 
+def technical_rating_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole technical rating: 15 votes of averages and 11 of oscillators, their means, the mean of both and its band."""
+    b = V.with_votes(hourly(spark, sf_dir))
+    return shown(b, ["symbol", "t", "band"], {c: c for c in (*V.MA_VOTES, *V.OSC_VOTES, "ma", "osc", "all")})
+
+
 def time_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar fields, sessions and period changes at the venue."""
     b = hourly(spark, sf_dir)
@@ -133,7 +140,7 @@ _MOVERS = " UNION ALL ".join(f"SELECT '{by}' AS list, t, rank, symbol, {sql6('ch
 _VOTES = [f"sign(close - {sql_full(n, f'avg(close) OVER {frame(n)}')})" for n in (3, 5, 8, 13, 21)]
 _OSC = {"st": sql_full(14, f"100 * (close - min(low) OVER {frame(14)}) / nullif(max(high) OVER {frame(14)} - min(low) OVER {frame(14)}, 0)")}
 
-QUERIES = {f.__name__: f for f in (strategy_reversal_trades, strategy_reversal_equity, strategy_statistics, strategy_brackets, guard_entries, rank_movers, rank_top_per_group, rank_missing_members, technical_rating, time_fields)}
+QUERIES = {f.__name__: f for f in (strategy_reversal_trades, strategy_reversal_equity, strategy_statistics, strategy_brackets, guard_entries, rank_movers, rank_top_per_group, rank_missing_members, technical_rating, technical_rating_full, time_fields)}
 SQL = {
     "strategy_reversal_trades": f"{_WITH}, {_SIG} SELECT symbol, entry_bar, exit_bar, CAST(dir AS INT) AS dir, {sql_shown({'qty': '1', 'entry_price': 'entry_price', 'exit_price': 'exit_price', 'profit': '(exit_price - entry_price) * dir - CASE WHEN n = 1 THEN 0.1 ELSE 0 END - 0.2', 'commission': 'CASE WHEN n = 1 THEN 0.3 ELSE 0.2 END'})} FROM s WHERE exit_bar IS NOT NULL",
     "strategy_reversal_equity": f"{_WITH}, {_ACC} SELECT symbol, i, {sql_shown({'equity': 'equity', 'position': 'position', 'avg_price': 'avg_price', 'open_profit': 'open_profit', 'max_drawdown': 'max(peak - equity) OVER (PARTITION BY symbol ORDER BY i)', 'max_runup': 'max(equity - trough) OVER (PARTITION BY symbol ORDER BY i)', 'max_held': 'max(abs(position)) OVER (PARTITION BY symbol ORDER BY i)'})} FROM q",
