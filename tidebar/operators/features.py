@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.na import div
+from . import folds as K
 from . import rolling as R
 
 
@@ -22,7 +23,7 @@ def chart(bars: DataFrame) -> DataFrame:
 
 
 def last_values(bars: DataFrame) -> DataFrame:
-    """(symbol, features) from windows, of each symbol's last bar: Ichimoku base, momentum, Williams %R, awesome and ultimate oscillators, bull and bear power against a mean."""
+    """(symbol, features) from windows, of each symbol's last bar: Ichimoku base, momentum, Williams %R, awesome and ultimate oscillators, bull and bear power against a plain mean. A short form that SQL checks; the pandas-like set is :func:`pandas_values`."""
     h, lo, c, c1 = F.col("high"), F.col("low"), F.col("close"), R.ago("close")
     mid = (h + lo) / 2
     pressed, span = c - F.least(lo, c1), F.greatest(h, c1) - F.least(lo, c1)
@@ -36,6 +37,45 @@ def last_values(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max_by(F.struct(*names), "t").alias("x")).select("symbol", "x.*")
 
 
+#: Features of :func:`pandas_values`, by name.
+PANDAS = [f"{kind}_{n}" for n in (10, 20, 30, 50, 100, 200) for kind in ("ema", "sma")] + [
+    "ichimoku_base", "vwma_20", "hull_9", "rsi_14", "stoch_k", "cci_20", "atr_14", "adx_14", "macd", "signal", "stoch_rsi", "williams_r", "awesome", "momentum_10", "bull_bear_power", "ultimate",
+]
+
+
+def with_pandas_values(bars: DataFrame) -> DataFrame:
+    """Adds the features of ``PANDAS`` at each bar, with ewm(adjust=False) and rolling(n) as pandas has them: exponential means begin with the first value, stay hidden for ``least`` values and are held by NULL."""
+    h, lo, c, v = (F.col(x) for x in ("high", "low", "close", "volume"))
+    d, h1, l1, first = R.change("close"), R.ago("high"), R.ago("low"), R.ago("close").isNull()
+    up, down = h - h1, l1 - lo
+    low1 = F.when(first, lo).otherwise(F.least(lo, R.ago("close")))
+    b = bars.withColumns({
+        "_gain": F.greatest(d, F.lit(0.0)) + 0 * d, "_loss": F.greatest(-d, F.lit(0.0)) + 0 * d, "_true": R.tr(), "_plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "_minus": F.when((down > up) & (down > 0), down).otherwise(0.0),
+        "_bp": c - low1, "_mid": (h + lo) / 2, "_typical": (h + lo + c) / 3, "_v": F.coalesce(v, F.lit(0.0)),
+    })
+    b = b.withColumns({"_half": R.wma("close", 4), "_whole": R.wma("close", 9)}).withColumn("_hull", 2 * F.col("_half") - F.col("_whole"))
+    hidden = {f"ema_{n}": (2 / (n + 1), n, "close") for n in (10, 20, 30, 50, 100, 200)} | {"_fast": (2 / 13, 26, "close"), "_slow": (2 / 27, 26, "close"), "_ema_13": (2 / 14, 13, "close")}
+    hidden |= {f"_w{x}": (1 / 14, 14, x) for x in ("_gain", "_loss", "_true", "_plus", "_minus")}
+    b = K.fold(b, [([name], lambda a=a, n=n: K.Ewm(a, n), [x]) for name, (a, n, x) in hidden.items()])
+    b = b.withColumns({"macd": F.col("_fast") - F.col("_slow"), "_pdi": div(100 * F.col("_w_plus"), F.col("_w_true")), "_mdi": div(100 * F.col("_w_minus"), F.col("_w_true")), "atr_14": F.col("_w_true")})
+    gain, loss = F.col("_w_gain"), F.col("_w_loss")
+    b = b.withColumns({"_dx": 100 * div(F.abs(F.col("_pdi") - F.col("_mdi")), F.col("_pdi") + F.col("_mdi")), "rsi_14": F.when(loss == 0, F.when(gain > 0, 100.0)).otherwise(100 - 100 / (1 + div(gain, loss)))})
+    b = K.fold(b, [(["signal"], lambda: K.Ewm(2 / 10, 9), ["macd"]), (["adx_14"], lambda: K.Ewm(1 / 14, 14), ["_dx"])])
+    share = lambda n: div(R.sum_strict("_bp", n), R.sum_strict("_true", n))
+    b = b.withColumns({
+        **{f"sma_{n}": R.sma("close", n) for n in (10, 20, 30, 50, 100, 200)}, "ichimoku_base": (R.highest("high", 26) + R.lowest("low", 26)) / 2, "vwma_20": R.vwma("close", 20, "_v"), "hull_9": R.wma("_hull", 3),
+        "_k": R.stoch("close", "high", "low", 14), "_rk": R.stoch("rsi_14", "rsi_14", "rsi_14", 14), "cci_20": R.cci("_typical", 20), "williams_r": R.wpr(14), "awesome": R.sma("_mid", 5) - R.sma("_mid", 34),
+        "momentum_10": R.mom("close", 10), "bull_bear_power": h + lo - 2 * F.col("_ema_13"), "ultimate": 100 * (4 * share(7) + 2 * share(14) + share(28)) / 7,
+    })
+    b = b.withColumns({"stoch_k": R.sma("_k", 3), "stoch_rsi": R.sma("_rk", 3)})
+    return b.select(*bars.columns, *PANDAS)
+
+
+def pandas_values(bars: DataFrame) -> DataFrame:
+    """(symbol, features of ``PANDAS``) of each symbol's last bar."""
+    return with_pandas_values(bars).groupBy("symbol").agg(F.max_by(F.struct(*PANDAS), "t").alias("x")).select("symbol", "x.*")
+
+
 def large_bars(bars: DataFrame, factor: float = 2.0, n: int = 30) -> DataFrame:
     """Adds large (volume over ``factor`` times the upper median of the 20 bars before), counts of the last n large bars by direction, the running streak and the last large direction."""
     before = F.array_sort(F.collect_list("volume").over(Window.partitionBy("symbol").orderBy("t").rowsBetween(-20, -1)))

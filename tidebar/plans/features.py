@@ -26,6 +26,11 @@ def feature_last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(X.last_values(hourly(spark, sf_dir)), ["symbol"], {c: c for c in _LAST})
 
 
+def feature_pandas_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pandas-like feature set of each symbol's last bar."""
+    return shown(X.pandas_values(hourly(spark, sf_dir)), ["symbol"], {c: c for c in X.PANDAS})
+
+
 def feature_large_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of unusual volume, and how they have come."""
     b = X.large_bars(hourly(spark, sf_dir))
@@ -82,7 +87,7 @@ _LV = {
 _BEFORE = "list_sort(array_agg(volume) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
 _LARGE = f"a AS (SELECT *, {_BEFORE} AS w FROM b), l AS (SELECT *, coalesce(volume > 2 * w[len(w) // 2 + 1], false) AS large FROM a), m AS (SELECT *, CASE WHEN large THEN CAST(sign(close - open) AS INT) END AS way, sum((NOT large)::INT) OVER {_UP} AS br FROM l)"
 
-QUERIES = {f.__name__: f for f in (feature_chart, feature_last_values, feature_large_bars, report_events, account_equity, account_closed, report_guard)}
+QUERIES = {f.__name__: f for f in (feature_chart, feature_last_values, feature_pandas_values, feature_large_bars, report_events, account_equity, account_closed, report_guard)}
 SQL = {
     "feature_chart": f"{_WITH}, m AS (SELECT *, CASE WHEN {sql_lag('close')} IS NULL THEN high - low ELSE {_TR} END AS tr FROM b) SELECT symbol, t, {sql_shown(_CHART)} FROM m",
     "feature_last_values": f"{_WITH}, m AS (SELECT *, close - least(low, {sql_lag('close')}) AS bp0, greatest(high, {sql_lag('close')}) - least(low, {sql_lag('close')}) AS sp0 FROM b), n AS (SELECT *, CASE WHEN i > 0 THEN bp0 END AS bp, CASE WHEN i > 0 THEN sp0 END AS sp FROM m), z AS (SELECT symbol, t, {', '.join(f'{e} AS {k}' for k, e in _LV.items())} FROM n) SELECT symbol, {sql_shown({k: k for k in _LV})} FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC) = 1",
