@@ -3,9 +3,13 @@
 Entities are found by one regular expression: mail and IP addresses, payment
 cards, bank accounts, social-security and telephone numbers, keys and passwords
 after their names, and titled person names in Latin or Cyrillic letters. An
-entity is reduced to what identifies it (a telephone number to its digits, a
-mail address to lower case, a person name to its words), so all its spellings
-get one surrogate, poured back into the spelling at hand.
+entity is reduced to what identifies it (a telephone number to its last ten
+digits without a leading 0, a mail address to lower case, an IPv6 address to its
+eight groups, a person name to its words), so all its spellings get one
+surrogate, poured back into the spelling at hand. A word without a title that is
+part of a titled name in the same document gets that name's surrogate. Not
+found: names never titled in their document, telephone numbers of bare digits
+without a plus, and words of all titles other than those below.
 
 A surrogate is drawn from a keyed hash of the entity: digits for digits,
 letters for letters of the same case, a valid check digit for a card that had
@@ -33,38 +37,57 @@ from .shared import table, written
 
 KEY = "tidebar"
 
-_LATIN, _CYRILLIC = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+", "[А-ЯЁ][а-яё]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _VALUE = r"(?=[A-Za-z_/+.-]*\d)[A-Za-z0-9_/+.-]{8,}"
-_MALE = r"(?:Mr|Herr|Señor|Monsieur)\.?"
-_FEMALE = r"(?:Mrs|Ms|Frau|Señora|Madame|Mme)\.?"
-_MALE_C, _FEMALE_C = r"(?:г-н|господин)", r"(?:г-жа|госпожа)"
+_MALE = r"(?:Mr|Mister|Sir|Herrn?|Señor|Sr|Monsieur|Signore?)\.?"
+_FEMALE = r"(?:Mrs|Ms|Miss|Frau|Fräulein|Señorita|Señora|Srta|Sra|Madame|Mademoiselle|Mme|Mlle|Signora)\.?"
+_EITHER = r"(?:Dr|Doctor|Professor|Prof|Mx)\.?"
+_MALE_C, _FEMALE_C, _EITHER_C = r"(?:г-н|господин)", r"(?:г-жа|госпожа)", r"(?:д-р|доктор|проф\.|профессор)"
+_ANY = rf"(?:{_MALE}|{_FEMALE}|{_EITHER}|{_MALE_C}|{_FEMALE_C}|{_EITHER_C})"
+#: Words within a name that stay as they are.
+_SMALL = "(?:van|von|der|den|de|del|della|di|da|do|dos|du|la|le|zu|zum|zur|bin|ibn|al|el|ter|ten)"
+
+
+def _name(title: str, script: str) -> str:
+    """A title, more titles, and any number of words: capitalized, with hyphens and apostrophes, or an initial."""
+    word = rf"[\p{{{script}}}&&\p{{Lu}}](?:[\p{{{script}}}\p{{M}}]|['’](?=\p{{Lu}}))+"
+    word = rf"(?:{word}(?:-{word})*|[\p{{{script}}}&&\p{{Lu}}]\.(?= ?\p{{Lu}}))"
+    return rf"{title}(?: {_ANY})*(?: {_SMALL}){{0,3}} {word}(?:(?: {_SMALL}){{0,3}} {word})*"
+
+
 #: Kind: what its spellings look like, in the order in which they are tried.
 KINDS = {
-    "email": r"(?<![.%+_-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{M}\p{N}.%+_-])[\p{L}\p{M}\p{N}_.%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}",
+    "ip6": rf"(?<![:.])(?=[0-9A-Fa-f:]*\d)(?=[0:]*[1-9A-Fa-f])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:])",
     "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "card": r"(?<![.+])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)",
+    "card": r"(?<![.+])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19})(?!\d)",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![.+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4})(?!\d)",
+    "phone": r"(?<![.+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+(?=(?:[ .()-]{0,2}\d){8,15}(?!\d))[1-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,12}){1,5}"
+    r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|0\d{2,4}[ /-]\d{6,8}|\(0\d{1,4}\) ?\d{3,4}[ .-]?\d{3,4})(?!\d)",
     "secret": rf"(?i:token|password|passwd|secret|api_?key)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_VALUE}",
     "access": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name_m": rf"{_MALE} {_LATIN}(?: {_LATIN})?",
-    "name_f": rf"{_FEMALE} {_LATIN}(?: {_LATIN})?",
-    "name_mc": rf"(?<!\S){_MALE_C} {_CYRILLIC}(?: {_CYRILLIC})?",
-    "name_fc": rf"(?<!\S){_FEMALE_C} {_CYRILLIC}(?: {_CYRILLIC})?",
+    "name_m": _name(_MALE, "IsLatin"),
+    "name_f": _name(_FEMALE, "IsLatin"),
+    "name_n": _name(_EITHER, "IsLatin"),
+    "name_mc": rf"(?<!\S){_name(_MALE_C, 'IsCyrillic')}",
+    "name_fc": rf"(?<!\S){_name(_FEMALE_C, 'IsCyrillic')}",
+    "name_nc": rf"(?<!\S){_name(_EITHER_C, 'IsCyrillic')}",
 }
 #: The kinds by the characters with which they may start, so that most places are left after one look.
-_STARTS = {"[0-9+(]": ("ip", "card", "ssn", "phone"), "[A-Z]": ("access", "iban", "name_m", "name_f"), "[AaPpSsTt]": ("secret",), "[г]": ("name_mc", "name_fc"), r"[\w.%+-]": ("email",)}
+_STARTS = {"[0-9A-Fa-f]": ("ip6",), "[0-9+(]": ("ip", "card", "ssn", "phone"), "[A-Z]": ("access", "iban", "name_m", "name_f", "name_n"), "[AaPpSsTt]": ("secret",), "[гдп]": ("name_mc", "name_fc", "name_nc"), r"[\p{L}\p{N}_.%+-]": ("email",)}
 #: A text with an entity has one of these.
-_TITLES = ("Mr", "Herr", "Señor", "Monsieur", "Ms", "Frau", "Madame", "Mme", "г-н", "г-жа", "госп")
+_TITLES = ("Mr", "Mis", "Herr", "Señor", "Sr", "Sir", "Signor", "Monsieur", "Ms", "Mx", "Frau", "Fräulein", "Mad", "Mme", "Mlle", "Dr", "Doctor", "Prof", "г-н", "г-жа", "госп", "д-р", "доктор", "проф")
 #: Names for surrogates, by the kind of word.
 NAMES = {
     "given_m": "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul Rafael Simon Thomas Victor",
     "given_f": "Alice Bertha Clara Diana Emma Flora Greta Helena Irene Julia Katharina Laura Maria Nora Olivia Paula Rosa Sofia Teresa Vera",
+    "given_n": "Alex Andrea Ariel Blake Charlie Dominique Eden Finley Gale Harper Jamie Kim Lee Marion Noel Robin Sasha Toni Val Yael",
     "family": "Adler Bauer Carter Dalton Ellis Fischer Garcia Hoffman Iverson Jensen Keller Lambert Moreau Navarro Olsen Parker Quinn Romero Santos Turner Ullman Vargas Weber Young Zeller",
     "given_mc": "Алексей Борис Виктор Григорий Дмитрий Евгений Иван Кирилл Леонид Михаил Николай Олег Павел Роман Сергей Тимур",
     "given_fc": "Анна Вера Галина Дарья Елена Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Раиса Софья Татьяна",
+    "given_nc": "Валя Женя Лёша Паша Саша Слава Шура Тоня Стася Мика",
     "family_c": "Белый Волк Громов Дубов Ежов Жуков Зимин Ильин Котов Лесной Мороз Носов Орлов Попов Рыбак Седов",
 }
 _FOUND = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?={start})(?:{'|'.join(KINDS[k] for k in kinds)})" for start, kinds in _STARTS.items()) + ")"
@@ -93,25 +116,40 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
 
+def _name_words(spelling: Column) -> Column:
+    """The words of a name after its titles."""
+    return F.split(F.regexp_replace(spelling, f"^(?:{_ANY} )+", ""), " ")
+
+
+def _is_small(word: Column) -> Column:
+    return word.rlike(f"^{_SMALL}$")
+
+
+def _groups(spelling: Column) -> Column:
+    """The eight groups of an IPv6 address, those left out as 0."""
+    half = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(F.lower(spelling), "::"), F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    left, right = half(0), half(1)
+    return F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+
+
 def _parts(kind: Column, spelling: Column) -> Column:
     """What identifies the entity: an array of (kind, value)."""
 
     def one(name: Column | str, value: Column) -> Column:
         return F.struct((F.lit(name) if isinstance(name, str) else name).alias("kind"), value.alias("value"))
 
-    words = F.split(spelling, " ")
-    script = F.when(kind.isin("name_mc", "name_fc"), "c").otherwise("")
-    gender = F.when(kind.isin("name_m", "name_mc"), "m").otherwise("f")
-    family = one(F.when(script == "c", "family_c").otherwise("family"), F.element_at(words, -1))
-    given = one(F.concat(F.lit("given_"), gender, script), F.try_element_at(words, F.lit(2)))
+    words = F.filter(_name_words(spelling), lambda w: ~_is_small(w))
+    script = F.when(kind.isin("name_mc", "name_fc", "name_nc"), "c").otherwise("")
+    gender = F.substring(kind, 6, 1)
+    names = F.transform(words, lambda w, i: one(F.when(i == F.size(words) - 1, F.when(script == "c", "family_c").otherwise("family")).otherwise(F.concat(F.lit("given_"), gender, script)), w))
     return (
         F.when(kind == "email", F.array(one("email", F.lower(spelling))))
-        .when(kind == "phone", F.array(one("phone", F.right(_digits(spelling), F.lit(10)))))
+        .when(kind == "phone", F.array(one("phone", F.regexp_replace(F.right(_digits(spelling), F.lit(10)), r"^0+(?=\d{6})", ""))))
+        .when(kind == "ip6", F.array(one("ip6", F.array_join(F.transform(_groups(spelling), lambda g: F.lpad(g, 4, "0")), ":"))))
         .when(kind.isin("card", "ssn"), F.array(one(kind, _digits(spelling))))
         .when(kind == "iban", F.array(one(kind, F.replace(spelling, F.lit(" "), F.lit("")))))
         .when(kind == "secret", F.array(one(kind, F.regexp_extract(spelling, r"[=:]\s{0,2}[\"']?(.*)$", 1))))
-        .when(kind.startswith("name_") & (F.size(words) > 2), F.array(given, family))
-        .when(kind.startswith("name_"), F.array(family))
+        .when(kind.startswith("name_"), names)
         .otherwise(F.array(one(kind, spelling)))
     )
 
@@ -133,7 +171,7 @@ def _like(value: Column, h: Column) -> Column:
     """Letters for letters of the same case and digits for digits; the rest stays."""
     def letter(c: Column, i: Column) -> Column:
         n = _number(h, i)
-        return F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike("[a-z]"), _from(97, n)).when(c.rlike("[A-Z]"), _from(65, n)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike(r"\p{Lu}"), _from(65, n)).when(c.rlike(r"\p{L}"), _from(97, n)).otherwise(c)
 
     return F.array_join(F.transform(_letters(value), letter), "")
 
@@ -152,10 +190,13 @@ def _surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     octet = lambda c, i: F.when(F.length(c) == 1, 1 + _number(h, i) % 9).when(F.length(c) == 2, 10 + _number(h, i) % 90).otherwise(100 + _number(h, i) % 155).cast("string")
     host = F.substring_index(value, "@", -1)
     mail = F.concat(F.substring_index(like, "@", 1), F.lit("@"), F.substring(like, F.locate("@", value) + 1, F.length(host) - F.length(F.substring_index(host, ".", -1))), F.substring_index(host, ".", -1))
+    nibble = lambda n: F.substring(F.lit("0123456789abcdef"), n + 1, F.lit(1))
+    six = F.array_join(F.transform(F.split(value, ":"), lambda g, i: F.when(g == "0000", g).otherwise(F.concat(nibble(1 + _number(h, 3 * i) % 15), *[nibble(_number(h, 3 * i + k) % 16) for k in (1, 2)], nibble(_number(h, 3 * i + 1).bitwiseAND(240) / 16)))), ":")
     hexadecimal = F.left(F.concat(h, F.sha2(h, 256), F.sha2(F.concat(h, h), 256)), F.length(value))
     out = (
         F.when(kind == "email", mail)
         .when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), octet), "."))
+        .when(kind == "ip6", six)
         .when(kind == "phone", F.concat((2 + _number(h, F.lit(30)) % 8).cast("string"), F.substring(like, F.lit(2), F.length(like))))
         .when(kind == "card", card)
         .when((kind == "secret") & value.rlike("^[0-9a-f]{8,192}$"), hexadecimal)
@@ -169,7 +210,7 @@ def _surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     return out
 
 
-def _poured(spelling: Column, kind: Column, first: Column, last: Column) -> Column:
+def _poured(spelling: Column, kind: Column, first: Column, names: Column) -> Column:
     """The surrogate in the spelling of the entity: its separators, its prefix, its case."""
     digits, slots = _letters(first), F.length(_digits(spelling))
     # the digits of a telephone number's end take the place of its last digits; what comes before is the country's
@@ -185,12 +226,22 @@ def _poured(spelling: Column, kind: Column, first: Column, last: Column) -> Colu
     cased = F.array_join(F.transform(_letters(spelling), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.get(digits, i))).otherwise(F.get(digits, i))), "")
     value = F.regexp_extract(spelling, r"[=:]\s{0,2}[\"']?(.*)$", 1)
     grouped = F.aggregate(_letters(spelling), state, lambda a, c: F.struct(F.concat(a["text"], F.when(c == " ", c).otherwise(F.get(digits, a["seen"]))).alias("text"), (a["seen"] + F.when(c == " ", 0).otherwise(1)).alias("seen")))["text"]
+    tokens = F.split(spelling, ":", -1)
+    gap = F.array_position(tokens, "")
+    six = F.array_join(F.transform(tokens, lambda g, i: F.when(g.rlike("^0*$"), g).otherwise(F.get(F.split(first, ":"), F.when((gap == 0) | (i < gap - 1), i).otherwise(8 - F.size(tokens) + i)))), ":")
+    words = _name_words(spelling)
+    ahead_of = F.left(spelling, F.length(spelling) - F.length(F.array_join(words, " ")))
+    put_names = F.aggregate(
+        words, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("seen")),
+        lambda a, w: F.struct(F.concat(a["out"], F.array(F.when(_is_small(w), w).otherwise(F.get(names, a["seen"])))).alias("out"), (a["seen"] + F.when(_is_small(w), 0).otherwise(1)).alias("seen")),
+    )["out"]
     return (
         F.when(kind.isin("phone", "card", "ssn"), numbers)
+        .when(kind == "ip6", six)
         .when(kind == "email", cased)
         .when(kind == "iban", grouped)
         .when(kind == "secret", F.concat(F.left(spelling, F.length(spelling) - F.length(value)), first))
-        .when(kind.startswith("name_"), F.concat_ws(" ", F.substring_index(spelling, " ", 1), first, last))
+        .when(kind.startswith("name_"), F.concat(ahead_of, F.array_join(put_names, " ")))
         .otherwise(first)
     )
 
@@ -214,14 +265,22 @@ def _settled(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replacements(found: DataFrame, key: str = KEY) -> DataFrame:
-    """spelling, replacement for every distinct spelling in a table of them."""
+    """spelling, replacement for every distinct spelling in a table of them; and for names their words, each with its surrogate, family names first."""
     spellings = found.select("spelling").distinct()
     spellings = spellings.withColumn("kind", _kind(F.col("spelling"))).where("kind is not null")
     spellings = written(spellings.withColumn("parts", _parts(F.col("kind"), F.col("spelling"))), "spellings")
     parts = spellings.select("spelling", F.col("kind").alias("of"), F.posexplode("parts").alias("place", "part")).select("spelling", "of", "place", "part.kind", "part.value")
     surrogates = _settled(parts.select("kind", "value").distinct(), key)
-    both = parts.join(surrogates, ["kind", "value"]).groupBy("spelling", "of").agg(F.min_by("surrogate", "place").alias("first"), F.max_by("surrogate", "place").alias("last"), F.count("*").alias("n"))
-    return written(both.select("spelling", _poured(F.col("spelling"), F.col("of"), F.col("first"), F.when(F.col("n") > 1, F.col("last"))).alias("replacement")), "replacements")
+    one = F.struct("place", "surrogate", "value", F.col("kind").startswith("given").alias("given"))
+    both = parts.join(surrogates, ["kind", "value"]).groupBy("spelling", "of").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    names = F.filter("all", lambda x: F.col("of").startswith("name_") & ~x["value"].endswith("."))
+    words = F.array_sort(F.transform(names, lambda x: F.struct(x["given"].alias("given"), x["value"].alias("word"), x["surrogate"].alias("surrogate"))))
+    replacement = _poured(F.col("spelling"), F.col("of"), F.col("all")[0]["surrogate"], F.col("all")["surrogate"])
+    return written(both.select("spelling", replacement.alias("replacement"), words.alias("words")), "replacements")
+
+
+def _woven(between: Column, put: Column) -> Column:
+    return F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
 def replace_pii(docs: DataFrame, key: str = KEY, count_as: str | None = None) -> DataFrame:
@@ -229,17 +288,25 @@ def replace_pii(docs: DataFrame, key: str = KEY, count_as: str | None = None) ->
     spelling = F.explode(F.when(_worth_searching(docs["text"]), found_in(docs["text"]))).alias("spelling")
     found = written(docs.select(docs["doc_id"].alias("_doc"), spelling).distinct(), "entities")
     own = found.join(replacements(found, key), "spelling")
-    own = own.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("spelling", "replacement"))).alias("_map"))
+    own = own.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("spelling", "replacement"))).alias("_map"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("_words"))
+    # the longest first, so that no word hides one that it begins
+    longest = F.transform(F.array_sort(F.transform(F.array_distinct(F.col("_words")["word"]), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word")))), lambda x: x["word"])
+    own = own.withColumn("_again", F.when(F.size("_words") > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}_])"))))
     both = docs.join(own, docs["doc_id"].eqNullSafe(own["_doc"]), "left")
     known, text = own["_map"], docs["text"]
     # what the expression finds and what lies between, in turn
     entities = found_in(text)
     between = F.split(text, _FOUND, -1)
     put = F.transform(entities, lambda e: F.coalesce(F.get(F.map_values(F.map_filter(known, lambda k, v: k == e)), F.lit(0)), e))
-    new = F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    # words without a title that are part of a name in the same document
+    again, words = own["_again"], own["_words"]
+    named = lambda w: F.get(F.filter(words, lambda x: x["word"] == w), F.lit(0))["surrogate"]
+    others = F.transform(between, lambda x: _woven(F.split(x, again, -1), F.transform(F.regexp_extract_all(x, again, F.lit(0)), named)))
+    new = F.when(again.isNull(), _woven(between, put)).otherwise(_woven(others, put))
+    n = F.size(entities) + F.when(again.isNull(), 0).otherwise(F.aggregate(between, F.lit(0), lambda a, x: a + F.size(F.regexp_extract_all(x, again, F.lit(0)))))
     columns = [F.when(known.isNull() | text.isNull(), text).otherwise(new).alias("text") if c == "text" else docs[c] for c in docs.columns]
     if count_as:
-        columns.append(F.when(known.isNull() | text.isNull(), F.lit(0)).otherwise(F.size(entities)).cast("long").alias(count_as))
+        columns.append(F.when(known.isNull() | text.isNull(), F.lit(0)).otherwise(n).cast("long").alias(count_as))
     return both.select(*columns)
 
 
