@@ -11,8 +11,10 @@ of one of higher priority, or of the same priority and more words, is
 suppressed; of equal ones the earlier rule's stays. The base rules' places and
 labels are reported before suppression and always stay.
 
-Rules come from families (names of licenses, written by hand) and contexts
-(phrasings around a name, written by hand): each pair makes a rule.
+Rules come from families (names of licenses, written by hand), SPDX identifiers
+and short names (by hand) and contexts (phrasings around a name, by hand): each
+pair makes a rule. Short names count in a context only, unless their version
+tells them from a word.
 
 Defined cases: a null or empty text has no words, no place, empty labels and
 score 0. Rows are independent, so repeated rows and null ids are kept as they
@@ -91,6 +93,24 @@ CONTEXTS = [
     (r"terms of (?:the )?{}", ("terms", "of"), 6, 0.8),
     (r"{}", (), 4, 0.6),
 ]
+_LATER = r"(?: only| or later)?"
+#: SPDX identifiers and short names, by hand: (label, expression, words one of which any match has, whether it also counts outside of a context)
+SHORT = [
+    ("agpl", rf"(?:gnu )?agpl(?: ?v? ?[13](?: 0)?)?{_LATER}", ("agpl", "agplv3", "agpl3"), False),
+    ("lgpl", rf"(?:gnu )?lgpl(?: ?v? ?[23](?: [01])?)?{_LATER}", ("lgpl", "lgplv2", "lgplv3", "lgpl2", "lgpl3"), False),
+    ("gpl-2.0", rf"(?:gnu )?(?:general public licen[cs]e|gpl) ?v? ?2(?: 0)?{_LATER}", ("general", "gpl", "gplv2", "gpl2"), True),
+    ("gpl-3.0", rf"(?:gnu )?(?:general public licen[cs]e|gpl) ?v? ?3(?: 0)?{_LATER}", ("general", "gpl", "gplv3", "gpl3"), True),
+    ("gfdl", rf"(?:gnu )?gfdl(?: 1 [123])?{_LATER}", ("gfdl",), False),
+    ("apache-2.0", r"apache(?: software)?(?: licen[cs]e)?(?: version)?(?: v)? ?(?:2|v2)(?: 0)?", ("apache", "apache2"), True),
+    ("apache-1.1", r"apache 1 1", ("apache",), True),
+    ("mit", r"mit(?: 0)?", ("mit",), False), ("x11", r"x11", ("x11",), False), ("isc", r"isc", ("isc",), False),
+    ("bsd-2-clause", r"bsd 2 clause(?: patent| views)?", ("bsd",), False), ("bsd-3-clause", r"bsd 3 clause(?: clear)?", ("bsd",), False), ("bsd", r"bsd(?: 4 clause| 1 clause)?", ("bsd",), False),
+    ("mpl-2.0", r"mpl(?: v)? ?2(?: 0)?", ("mpl", "mpl2"), True), ("mpl", r"mpl(?: 1 [01])?", ("mpl",), False), ("epl", r"epl(?: v)?(?: [12](?: 0)?)?", ("epl",), False),
+    ("eupl", r"eupl(?: v)?(?: 1(?: [012])?)?", ("eupl",), False), ("cddl", r"cddl(?: 1 [01])?", ("cddl",), False), ("cpl", r"cpl 1 0", ("cpl",), False), ("artistic", r"artistic [12](?: 0)?(?: perl| cl8)?", ("artistic",), False),
+    ("boost", r"(?:bsl 1 0|boost(?: 1 0)?)", ("bsl", "boost"), False), ("zlib", r"zlib(?: acknowledgement)?", ("zlib",), False), ("unlicense", r"unlicense", ("unlicense",), False), ("wtfpl", r"wtfpl", ("wtfpl",), True), ("cc0", r"cc0(?: 1 0)?", ("cc0",), False),
+    *[(f"cc-{x}", rf"cc {x.replace('-', ' ')}(?: [1234] [05])?", ("cc",), False) for x in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")],
+    ("odbl", r"odbl(?: 1 0)?", ("odbl",), False), ("odc-by", r"odc by(?: 1 0)?", ("odc",), False), ("ofl", r"(?:sil )?ofl(?: 1 [01](?: (?:no )?rfn)?)?", ("ofl",), False), ("ms-pl", r"ms pl", ("pl",), False), ("python", r"(?:psf|python)(?: 2 0(?: 1)?)?", ("psf", "python"), False),
+]
 #: Rules of their own: (label, expression, keywords, priority, confidence)
 NOTICES = [
     ("reserved", r"all rights reserved", ("all", "rights", "reserved"), 3, 0.7),
@@ -133,6 +153,10 @@ def rules() -> tuple[Rule, ...]:
         gate = _FAMILY_GATES.get(label) or (max(re.findall(r"[a-z]{3,}", re.sub(r"licen\[cs\]e|\\.|\([^)]*\)\?", " ", name)), key=len),)
         for phrase, keywords, priority, confidence in CONTEXTS:
             out.append(Rule(label, _compiled(phrase.replace("{}", f"(?:{name})")), (*((k,) for k in keywords), gate), priority, confidence))
+    for label, name, gate, bare in SHORT:
+        for phrase, keywords, priority, confidence in [*CONTEXTS, (r"(?:or|and) {}", ("spdx", "identifier"), 8, 0.9)]:
+            if phrase != "{}" or bare:
+                out.append(Rule(label, _compiled(phrase.replace("{}", f"(?:{name})")), (*((k,) for k in keywords), gate), priority, confidence))
     out += [Rule(label, _compiled(expression), tuple((k,) for k in keywords), priority, confidence) for label, expression, keywords, priority, confidence in NOTICES]
     out += [Rule(label, _compiled(phrase), tuple((k,) for k in phrase.split()), 0, 0.5, True) for phrase, label in BASE.items()]
     return tuple(sorted(out, key=lambda r: -r.priority))
