@@ -2,7 +2,7 @@
 
 A rolling hash over a text's bytes cuts it where its content says so, so
 documents that share a passage share whole chunks whatever stands before it.
-Within a task each distinct chunk is encoded once and its ids are reused. Where
+Within a task the ids of chunks met in about the last slice are reused. Where
 two chunks meet, the ids may differ from those of the unbroken text; the join
 is repaired by encoding a window around it again, wider on both sides until its
 outer pieces agree exactly with the ids of the chunks, and splicing it in.
