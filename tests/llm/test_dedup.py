@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from tidebar.llm import minhash, substring
 
@@ -97,6 +99,44 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sorted([tuple(r) for r in got.collect()], key=repr) == components(rows, 2)
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """A bucket of several blocks finds what one block finds; counts by matrices equal those pair by pair."""
+    monkeypatch.setattr(minhash, "_BLOCK", 4000)
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(150):
+        ws = base.copy()
+        for k in rnd.sample(range(80), rnd.randrange(3, 9)):
+            ws[k] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(ws)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size=2)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == components(rows, 2)
+
+
+def test_common_members():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 300, rnd.integers(0, 200))).astype(np.uint64) for _ in range(40)]
+    counts = minhash._counts(sets)
+    assert all(counts[i, j] == len(np.intersect1d(sets[i], sets[j])) == minhash._common(sets[i], sets[j]) for i in range(40) for j in range(40) if i != j)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """They are one node with the links of all of them, in whatever order they come."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, "alone here"), (4, "alone there and here")]
+    for n in (1, 4):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), size=2)
+        assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_near_duplicates_by_join(spark, docs, rows, monkeypatch):
+    """Where more documents are asked for than the bitmap is for, their ids are joined."""
+    monkeypatch.setattr(minhash, "_ASKED", 0)
+    got = minhash.near_duplicates(docs, size=2)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == components(rows, 2)
+
+
 def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).collect() == []
     assert minhash.keep_first(empty).collect() == []

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and what tells whether they have changed: their number and the sum of their hashes."""
+    seen = Observation()
+    edges = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    return edges, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,17 +24,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Edges with a null end and loops are ignored; no edges give no rows.
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    now = written(now, "edges")
-    state = _state(now)
+    now, state = _kept(now)
     while state[0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = written(large, "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct()
-        now = written(small, "edges")
-        before, state = state, _state(now)
+        before = state
+        now, state = _kept(small)
         if state == before:
             break
     roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

@@ -9,21 +9,25 @@ Bands of ``rows`` coordinates make candidates; every link is confirmed on full
 sets. With 32 bands of 5 rows a pair at similarity 0.8 shares no band with a
 chance of 3 in a million, and a pair at 0.85 with 7 in a billion.
 
-Large groups never become pairs. Documents with one set are a node. In each
-band a node is compared with the smallest node of its bucket; nodes that this
-links are one component. Only where a bucket still holds several components
-are the nodes outside its largest one compared with the others, so all
-candidate pairs between different components are confirmed or refused, and a
-group of near copies costs about one comparison for each member. Pairs are made
-only if 4-bit digests of all coordinates differ in no more places than a pair
-at the threshold does but for a chance of about 1 in 100 million; the nodes
-that are compared across components get digests of ``FINE`` coordinates for it,
-so copies that only come near the threshold make few pairs.
+Large groups never become pairs. Documents with one set are a node. Each node
+is compared with the smallest node of each of its buckets by 4-bit digests of
+all coordinates, and the likeliest of them is confirmed; nodes that this links
+are one component. Only where a bucket still holds several components are the
+nodes outside the first one's component compared with all others of the bucket:
+in *units*, blocks of nodes of bounded size against each other. A unit tests
+digests, which refuse pairs that differ in more places than a pair at the
+threshold does but for a chance of about 1 in 100 million; then the full sets
+of the nodes that are left come to the unit, which counts common shingles of
+all its pairs in one product of 0/1 matrices and answers with a forest of the
+links it found. So all candidate pairs between different components are
+confirmed or refused, no pair is a row, and a group of near copies costs about
+one comparison for each member.
 
 Defined cases: a null or empty text has the empty set, is linked with nothing
 and kept. A null doc_id is linked with nothing: its component_id is null and
-kept is true. Rows that share a doc_id are one node. An empty table gives an
-empty result. Other columns are not read.
+kept is true. Rows that share a doc_id are one node with the links of all of
+them, whatever their texts. An empty table gives an empty result. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -156,9 +160,7 @@ def _confirm(percent: int):
             ok = []
             for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
                 x, y = unpack_sorted(x.as_py()), unpack_sorted(y.as_py())
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum()) if len(y) else 0
+                both = _common(x, y)
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
@@ -166,6 +168,154 @@ def _confirm(percent: int):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows, cut where the unit (columns bucket, i, j) changes; a unit may come in several batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in _UNIT], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for at, end in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(keys[at])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
+def _candidates(percent: int, coordinates: int):
+    """Per unit the nodes that have a candidate, and the candidate pairs as places among them."""
+    most = _most(coordinates, percent)
+
+    def pairs(unit: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        block, root, n = (unit.column(c).to_numpy() for c in ("block", "root", "n"))
+        i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(x) or not len(y):
+            return x[:0], y[:0]
+        digest, bands = _matrix(unit.column("signature")).view(np.uint64), _matrix(unit.column("bands"))
+        nx, ny = n[x][:, None], n[y][None, :]
+        ok = (root[x][:, None] != root[y][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        if i == j:
+            ok &= x[:, None] > y[None, :]
+        p, q = np.nonzero(ok)
+        p, q = x[p], y[q]
+        # a pair is made in the first bucket it shares
+        band = int(np.flatnonzero(bands[x[0]] == unit.column("bucket")[0].as_py())[0])
+        for start in range(0, band, 4):
+            new = ~(bands[p, start : min(start + 4, band)] == bands[q, start : min(start + 4, band)]).any(axis=1)
+            p, q = p[new], q[new]
+        apart = np.zeros(len(p), np.int64)
+        for k in range(digest.shape[1]):
+            bits = digest[p, k] ^ digest[q, k]
+            bits |= bits >> U64(1)
+            bits |= bits >> U64(2)
+            apart += np.bitwise_count(bits & U64(0x1111111111111111))
+        return p[apart <= most], q[apart <= most]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _runs(batches):
+            p, q = pairs(unit)
+            if len(p):
+                used, places = np.unique(np.concatenate([p, q]), return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [*(unit.column(k).combine_chunks()[:1] for k in _UNIT), pa.array([unit.column("node").to_numpy()[used]], pa.list_(pa.int64())), pa.array([places.astype("<i4").tobytes()], pa.binary())],
+                    names=[*_UNIT, "nodes", "pairs"],
+                )
+
+    return run
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many members two ascending sets have in common."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+
+
+def _counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets have in common; the diagonal means nothing."""
+    n = len(sets)
+    _, kind, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(kind, kind="stable")
+    owner, kind = owner[order], kind[order]
+    out = np.zeros(n * n, np.float32)
+    few = times[kind] <= _FEW
+    x, at = owner[few], kind[few]
+    for step in range(1, _FEW):
+        same = at[step:] == at[:-step]
+        out += np.bincount(x[:-step][same] * n + x[step:][same], minlength=n * n)
+    out = out.reshape(n, n)
+    out += out.T
+    owner, kind = owner[~few], kind[~few]
+    kind = np.cumsum(times > _FEW)[kind] - 1
+    width = 2048
+    edges = np.searchsorted(kind, np.arange(0, int((times > _FEW).sum()) + width, width))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = np.zeros((n, width), np.float32)
+        part[owner[a:b], kind[a:b] - k * width] = 1
+        out += part @ part.T
+    return out
+
+
+def _forest(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same places as the links (x, y): each place with the smallest it reaches."""
+    least = np.arange(size)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, x, least[y])
+        np.minimum.at(least, y, least[x])
+        least = least[least]
+        if (least == before).all():
+            at = np.flatnonzero(least != np.arange(size))
+            return at, least[at]
+
+
+def _verified(percent: int):
+    """Per unit the links among its nodes, found on full sets; a row of a unit has the candidate pairs or a node's set."""
+
+    def links(unit: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        place = unit.column("place").to_numpy()
+        pairs = np.frombuffer(unit.column("pairs").combine_chunks().drop_null()[0].as_py(), "<i4").reshape(2, -1)
+        rows = np.flatnonzero(place >= 0)
+        place, node = place[rows], unit.column("node").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+        sets = [unpack_sorted(m.as_py()) for m in unit.column("members").take(pa.array(rows))]
+        own = [np.flatnonzero(place == k) for k in range(int(place.max()) + 1)] if len(np.unique(place)) < len(place) else None
+        if own is None:
+            of = np.empty(int(place.max()) + 1, np.int64)
+            of[place] = np.arange(len(place))
+            p, q = of[pairs]
+        else:  # documents that share a doc_id have several sets
+            both = [np.stack(np.meshgrid(own[a], own[b]), axis=0).reshape(2, -1) for a, b in pairs.T]
+            p, q = np.concatenate(both, axis=1)
+        size = np.array([len(s) for s in sets])
+        if len(p) < 8 * len(sets):
+            common = np.array([_common(sets[a], sets[b]) for a, b in zip(p.tolist(), q.tolist(), strict=True)], np.int64)
+        else:
+            common = _counts(sets)[p, q].astype(np.int64)
+        linked = 100 * common >= percent * (size[p] + size[q] - common)
+        x, y = _forest(p[linked], q[linked], len(sets))
+        return node[x], node[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _runs(batches):
+            x, y = links(unit)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return run
+
+
 def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = np.zeros(1 << _BITMAP, bool)
     for batch in batches:
@@ -180,119 +330,110 @@ def _either(group: pa.Table) -> pa.Table:
     return pa.table({"page": group.column("page")[:1], "bits": pa.array([both.tobytes()], pa.binary())})
 
 
-#: Coordinates that tell apart what is still in one bucket after the links of its first member.
-FINE = 2048
-#: A bitmap of this many bits (as a power of two) says which documents' sets are asked for; its size is fixed, and when it fills up more sets are made than needed.
-_BITMAP, _PAGE = 22, 1 << 13
-
-
-class _Linker:
-    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, coordinates: int):
-        self.docs, self.nodes, self.size, self.percent, self.coordinates = docs, nodes, size, percent, coordinates
-        self.links: DataFrame | None = None
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose digests allow the threshold, with the number of coordinates that differ."""
-        signs = self.nodes.select("node", "signature")
-        both = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b")
-        return both.where(_differ("sa", "sb", self.coordinates) <= _most(self.coordinates, self.percent)).select("a", "b", _differ("sa", "sb", self.coordinates).alias("apart"))
+_UNIT = ("bucket", "i", "j")
+#: Members of at most so many sets are counted pair by pair, others by matrices.
+_FEW = 8
+#: A block of nodes weighs about as much as 512 nodes of 512 shingles; a unit has two blocks at most.
+_BLOCK, _NODE = 512 << 10, 512
+#: A bitmap of this many bits (as a power of two) says which documents' sets are asked for; more ids than ``_ASKED`` are joined instead.
+_BITMAP, _PAGE, _ASKED = 22, 1 << 13, 1 << 20
 
-    def _asked(self, ids: DataFrame):
-        """A test for documents that are among ids of a table, or, rarely, seem to be."""
-        pages = ids.mapInArrow(_bitmap, "page int, bits binary").groupBy("page").applyInArrow(_either, "page int, bits binary").collect()
-        bits = np.zeros((1 << _BITMAP) // 8, np.uint8)
-        for r in pages:
-            bits[r["page"] * _PAGE : (r["page"] + 1) * _PAGE] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        asked = self.docs.sparkSession.sparkContext.broadcast(bits)
 
-        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = np.unpackbits(asked.value).astype(bool)
-            for batch in batches:
-                ids = batch.column("doc_id").fill_null(-1).to_numpy()
-                yield from slices(batch.filter(pa.array(wanted[mix64(ids.view(np.uint64)) >> U64(64 - _BITMAP)])))
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(node, members) of the documents with these ids. While the ids are few, texts don't move: a bitmap of fixed size goes to them."""
+    docs = docs.where("doc_id is not null")
+    if ids.count() > _ASKED:
+        return written(docs.join(ids.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_members(size), "node long, members binary"), "sets")
+    pages = ids.mapInArrow(_bitmap, "page int, bits binary").groupBy("page").applyInArrow(_either, "page int, bits binary").collect()
+    bits = np.zeros((1 << _BITMAP) // 8, np.uint8)
+    for r in pages:
+        bits[r["page"] * _PAGE : (r["page"] + 1) * _PAGE] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    asked = docs.sparkSession.sparkContext.broadcast(bits)
 
-        return only
-
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(node, members) of the ends of the pairs; texts don't move, a bitmap of fixed size goes to them."""
-        only, size = self._asked(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), self.size
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _members(size)(only(batches))
-
-        return written(self.docs.where("doc_id is not null").mapInArrow(run, "node long, members binary"), "sets").dropDuplicates(["node"])
-
-    def fine(self, nodes: DataFrame) -> DataFrame:
-        """(node, fine): digests of ``FINE`` coordinates of the nodes."""
-        only, size = self._asked(nodes.select("node")), self.size
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(asked.value).astype(bool)
+        for batch in batches:
+            own = batch.column("doc_id").to_numpy()
+            yield from _members(size)(slices(batch.filter(pa.array(wanted[mix64(own.view(np.uint64)) >> U64(64 - _BITMAP)]))))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in only(batches):
-                digests = [_digest(signature(s, FINE)) for s in sets_of(part.column("text"), size)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.list_(pa.int64()))], names=["node", "fine"])
+    out = written(docs.mapInArrow(run, "node long, members binary"), "sets")
+    asked.destroy()
+    return out
 
-        return written(self.docs.where("doc_id is not null").mapInArrow(run, "node long, fine array<long>"), "fine").dropDuplicates(["node"])
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Adds the pairs (a, b) that are as similar as asked for to the links."""
-        pairs = pairs.select("a", "b")
-        sets = self.sets(pairs)
-        both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
-        found = written(both.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
-        self.links = found if self.links is None else self.links.unionAll(found)
-        release_shuffles(self.docs.sparkSession)
+def _units(mixed: DataFrame) -> DataFrame:
+    """Rows (bucket, i, j, block, node, n, root) of the units: nodes outside the bucket's main component with all others."""
+    weight = F.sum(F.col("n") + _NODE)
+    blocks = lambda w: F.ceil(F.coalesce(w, F.lit(0)) / _BLOCK).cast("int")
+    sizes = mixed.groupBy("bucket").agg(weight.alias("w"), F.sum(F.when(~F.col("in_main"), F.col("n") + _NODE)).alias("wr"))
+    # one unit if it all fits in a block, else blocks of the rest and then blocks of the main component
+    alone = F.col("w") <= _BLOCK
+    sizes = sizes.select("bucket", F.when(alone, 1).otherwise(F.greatest(blocks(F.col("wr")), F.lit(1))).alias("nr"), F.when(alone, 0).otherwise(blocks(F.col("w") - F.col("wr"))).alias("nm"))
+    placed = mixed.join(sizes, "bucket")
+    own = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+    placed = placed.withColumn("block", F.when(~F.col("in_main") | (F.col("nm") == 0), own(F.col("nr"))).otherwise(F.col("nr") + own(F.col("nm"))))
+    # a block of the rest meets each block; a block of the main component each of the rest
+    other = F.explode(F.when(F.col("block") < F.col("nr"), F.sequence(F.lit(0), F.col("nr") + F.col("nm") - 1)).otherwise(F.sequence(F.lit(0), F.col("nr") - 1)))
+    placed = placed.select("bucket", "block", "node", "n", "root", other.alias("other"))
+    return placed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root")
 
-    def components(self) -> DataFrame:
-        return written(connected_components(self.links, "a", "b"), "components")
 
-    def apart(self, pairs: DataFrame, components: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components."""
-        of = lambda c: components.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
+def _by_unit(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = written(docs.mapInArrow(_features(size, bands, rows), _FEATURES), "features")
-    groups = features.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    keyed = written(features.join(groups, "set_key").select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("signature")).alias("signature"), F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "nodes")
+    groups = written(features.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("set_key", "first"), "groups")
+    own = F.coalesce("first", "doc_id")
+    chief = lambda c: F.when(F.col("doc_id") == own, F.col(c)).alias(c)
+    keyed = written(features.join(groups, "set_key", "left").select("doc_id", "n_shingles", own.alias("node"), chief("signature"), chief("bands")), "nodes")
     nodes = keyed.where("size(signature) > 0").select("node", "n_shingles", "signature", "bands")
-    linker = _Linker(docs, nodes, size, percent, bands * rows)
 
     in_bucket = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1")
-    crowded = written(in_bucket.join(shared.select("bucket", "first"), "bucket"), "buckets")
-    release_shuffles(docs.sparkSession)
-    near_size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    shared = written(in_bucket.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1").select("bucket", "first"), "shared")
+    crowded = written(in_bucket.join(shared, "bucket"), "buckets")
+    release_shuffles(spark)
 
-    # each node with the first of its buckets: the likeliest of these first, then what is still apart
+    # each node with the likeliest of the first nodes of its buckets
+    signs = nodes.select("node", "signature")
     stars = crowded.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    stars = written(linker.likely(stars), "pairs")
-    linker.confirm(written(stars.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "pairs"))
-    components = linker.components()
-    linker.confirm(written(linker.apart(stars, components), "pairs"))
-    components = linker.components()
-
-    # buckets that still hold several components: what isn't in the largest of them against all
-    placed = crowded.join(components, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "placed")
-    counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
-    mixed = written(placed.join(largest, "bucket").select("bucket", "node", "n", "root", (F.col("root") == F.col("main")).alias("in_main")), "mixed")
-    met = mixed.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("met"))  # as many as there are bands
-    mixed = mixed.join(met, "node").join(linker.fine(mixed.select("node").distinct()), "node").join(nodes.select("node", "signature"), "node")
-    x = mixed.where("not in_main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("signature").alias("sa"), F.col("fine").alias("fa"), F.col("met").alias("ma"))
-    y = mixed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("signature").alias("sb"), F.col("fine").alias("fb"), F.col("met").alias("mb"), "in_main")
-    alike = near_size(F.col("na"), F.col("nb")) & (_differ("sa", "sb", bands * rows) <= _most(bands * rows, percent)) & (_differ("fa", "fb", FINE) <= _most(FINE, percent))
-    alike = alike & (F.col("bucket") == F.array_min(F.array_intersect("ma", "mb")))  # a pair is made in the first bucket it shares
-    rest = x.join(y, "bucket").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") > F.col("b"))) & alike)
-    linker.confirm(written(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs"))
-    components = linker.components()
-
-    out = keyed.join(components, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node"))
+    stars = stars.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b").select("a", "b", _differ("sa", "sb", bands * rows).alias("apart"))
+    stars = stars.where(F.col("apart") <= _most(bands * rows, percent))
+    stars = written(stars.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "pairs")
+    sets = _sets(docs, stars.select(F.explode(F.array("a", "b")).alias("node")), size)
+    both = stars.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
+    links = written(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    # rows that share a doc_id and not the text
+    several = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+    several = keyed.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    components = written(connected_components(links.unionAll(several), "a", "b"), "components")
+    release_shuffles(spark)
+
+    # buckets that still hold several components: what isn't in the first one's against all
+    placed = written(crowded.join(components, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
+    main = placed.groupBy("bucket").agg(F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket", "main")
+    mixed = written(placed.join(written(main, "main"), "bucket").select("bucket", "node", "n", "root", (F.col("root") == F.col("main")).alias("in_main")), "mixed")
+    units = _units(mixed).join(nodes.select("node", "signature", "bands"), "node")
+    kinds = "bucket long, i int, j int"
+    found = written(_by_unit(units.select(*_UNIT, "block", "node", "n", "root", "signature", "bands")).mapInArrow(_candidates(percent, bands * rows), f"{kinds}, nodes array<long>, pairs binary"), "candidates")
+    met = found.select(*_UNIT, F.posexplode("nodes").alias("place", "node"))
+    sets = _sets(docs, met.select("node"), size)
+    met = met.join(sets, "node").select(*_UNIT, "place", "node", "members", F.lit(None).cast("binary").alias("pairs"))
+    asked = found.select(*_UNIT, F.lit(-1).alias("place"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("members"), "pairs")
+    links = written(_by_unit(met.unionAll(asked)).mapInArrow(_verified(percent), "a long, b long"), "links")
+    release_shuffles(spark)
+
+    # the links between components, which are the nodes now
+    of = lambda c: components.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = connected_components(between, "a", "b").toDF("root", "top")
+
+    out = keyed.select("doc_id", "n_shingles", "node").join(components, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "root"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
