@@ -4,8 +4,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tidebar.llm import minhash, substring
+from tidebar.llm.words import cut
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,6 +41,30 @@ def test_substring_digests(docs, rows):
     assert sorted([tuple(r) for r in got.collect()], key=repr) == want
 
 
+def test_substring_compacts_by_default(docs, rows, monkeypatch):
+    compacted = []
+    compact = substring.FingerprintIndex.compact
+    monkeypatch.setattr(substring.FingerprintIndex, "compact", lambda self: compacted.append(len(self.runs)) or compact(self))
+    got = substring.dedup_substrings(docs)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == without_repeats(rows)
+    assert compacted == [2]
+
+
+def test_substring_largest_doc_id(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(2**63 - 1, text), (None, text), (5, text)]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.n_removed) for r in got.collect()} == {(5, 0), (2**63 - 1, 20), (None, 20)}
+
+
+def test_second_hash_is_another():
+    words = cut(pa.array([" ".join(f"word{k}" for k in range(2000)) + " " + "long" * 100]))
+    first, second = words.hashes(), words.hashes(second=True)
+    assert len(np.unique(first)) == len(np.unique(second)) == 2001
+    assert not (first == second).any()
+    assert abs(np.corrcoef(first.astype(float), second.astype(float))[0, 1]) < 0.1
+
+
 def test_substring_empty(empty):
     assert substring.dedup_substrings(empty).collect() == []
 
@@ -52,8 +78,11 @@ def test_index_is_incremental(spark, docs):
     assert all(r.n_removed == r.n_words for r in again if r.n_words >= 13)
     before = sorted(map(repr, again))
     index.add(spark.createDataFrame([], substring._BLOCK))
+    index = substring.FingerprintIndex.open(spark, index.path)  # as a later session does
+    assert len(index.runs) == 2
     index.compact()
     assert len(index.runs) == 1
+    assert substring.FingerprintIndex.open(spark, index.path).runs == index.runs
     assert sorted(map(repr, substring.dedup_batch(docs, index, keep_run=False).collect())) == before
 
 

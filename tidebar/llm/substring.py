@@ -11,19 +11,21 @@ cuts its own windows into sorted, distinct fingerprints and sends each bucket
 its slice; the task of a bucket merge-joins the slices with each other and with
 the runs, verifies a match on check bits of a second hash, and answers each
 slice with one bit per fingerprint. The bits return to their blocks, where the
-covered words go. When there are ``fan_in`` runs they are compacted into one.
+covered words go. Before a batch, ``fan_in`` runs or more are compacted into
+one. A manifest in the index's folder lists its runs, so a later session can
+open it and go on.
 
 What moves is a fingerprint for each distinct window of a block and one bit
 back, so a window that very many documents share weighs no more than the number
 of blocks. No task holds more than a bucket or a block.
 
-Fingerprints have 64 bits in the merge and 16 bits of an independent hash in
-the verification: 80 bits in all.
+Fingerprints have 64 bits in the merge and 16 bits of a hash of other word
+hashes in the verification: 80 bits in all.
 
 Defined cases: a null or empty text has no words. Fewer words than a window:
 nothing goes. Rows that share a doc_id are not before each other. A null doc_id
-comes after all others. An empty table gives an empty result. Other columns are
-not read.
+counts as the largest one, 2**63 - 1. An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,9 +47,10 @@ WINDOW = 13
 #: Bytes of text in a block, and distinct fingerprints in a bucket, about.
 BLOCK_BYTES = 6 << 20
 BUCKET_SIZE = 1 << 20
+_JOINED_WORDS = 1 << 16
 _LAST = np.iinfo(np.int64).max
 
-_BLOCK = "block string, n_words long, ids binary, lengths binary, texts binary"
+_BLOCK = "block string, n_words long, ids binary, nulls binary, lengths binary, texts binary"
 _SLICE = "bucket int, block string, keys binary, checks binary"
 _MERGED = "kind int, bucket int, block string, keys binary, checks binary"
 
@@ -93,41 +96,47 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     """One row: the documents' ids, their texts' lengths, and the texts, compressed."""
-    ids = np.concatenate([p.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False) for p in parts])
+    column = pa.concat_arrays([p.column("doc_id") for p in parts])
+    ids, nulls = column.fill_null(_LAST).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
     cuts = [utf8(p.column("text")) for p in parts]
     n_words = sum(len(cut_bytes(*c).start) for c in cuts)
     lengths = np.concatenate([np.diff(offsets) for _, offsets in cuts])
     texts = zstandard.ZstdCompressor(level=3).compress(b"".join(data.tobytes() for data, _ in cuts))
-    return pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "n_words": [n_words], "ids": [ids.astype("<i8").tobytes()], "lengths": [lengths.astype("<i8").tobytes()], "texts": [texts]}, schema=pa.schema([("block", pa.string()), ("n_words", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())]))
+    row = {"block": [uuid.uuid4().hex], "n_words": [n_words], "ids": [ids.astype("<i8").tobytes()], "nulls": [np.packbits(nulls).tobytes()], "lengths": [lengths.astype("<i8").tobytes()], "texts": [texts]}
+    return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.string()), ("n_words", pa.int64()), *((k, pa.binary()) for k in ("ids", "nulls", "lengths", "texts"))]))
 
 
 class _Windows:
-    """The words of a block, its windows, and its distinct fingerprints."""
+    """The words of a block, its windows, and its distinct fingerprints. Indexes have 32 bits: a block has fewer words."""
 
     def __init__(self, row: dict, window: int):
+        self.window = window
         self.ids = np.frombuffer(row["ids"], "<i8")
+        self.nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(self.ids)).astype(bool)
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"]), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], "<i8"))])
-        self.words = cut_bytes(data, offsets)
-        hashes = self.words.hashes()
-        keys, self.at = shingles(hashes, self.words.offsets, window)
-        # a document's place among the block's ids; equal ids have equal places
-        place = np.unique(self.ids, return_inverse=True)[1].astype(np.int32)
-        self.doc = np.searchsorted(self.words.offsets, self.at, side="right") - 1
-        order = np.argsort(keys)
+        self.words = cut_bytes(data, np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], "<i8"))]))
+        keys, at = shingles(self.words.hashes(), self.words.offsets, window)
+        self.at = at.astype(np.int32)
+        del at
+        order = np.argsort(keys).astype(np.int32)
         keys = keys[order]
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
         first = np.flatnonzero(new)
         self.keys = keys[first]
-        self.of = np.empty(len(keys), np.int64)  # window -> its fingerprint
-        self.of[order] = np.cumsum(new) - 1
-        self.place = place[self.doc]
+        del keys
+        self.of = np.empty(len(order), np.int32)  # window -> its fingerprint
+        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
+        # a document's place among the block's ids; equal ids have equal places
+        self.sorted_ids, place = np.unique(self.ids, return_inverse=True)
+        self.place = np.repeat(place.astype(np.int32), np.maximum(self.words.counts - window + 1, 0))
         self.least = np.minimum.reduceat(self.place[order], first) if len(first) else np.zeros(0, np.int32)
-        self.sorted_ids = np.unique(self.ids)
-        sample = order[first]
-        checks, _ = shingles(mix64(hashes ^ U64(0x5851F42D4C957F2D)), self.words.offsets, window, seed=1)
-        self.checks = (checks[sample] >> U64(48)).astype(np.uint16)
+        self.sample = order[first]  # a window of each fingerprint
+
+    def checks(self) -> np.ndarray:
+        """16 bits of a second hash of each fingerprint's words."""
+        checks, _ = shingles(self.words.hashes(second=True), self.words.offsets, self.window, seed=1)
+        return (checks[self.sample] >> U64(48)).astype(np.uint16)
 
     def first_ids(self) -> np.ndarray:
         return self.sorted_ids[self.least] if len(self.least) else np.zeros(0, np.int64)
@@ -147,7 +156,8 @@ def _slices_of_blocks(bits: int, window: int):
             w = _Windows(row, window)
             edges = np.searchsorted(w.keys, np.arange(1, 1 << bits, dtype=np.uint64) << U64(64 - bits)) if bits else np.zeros(0, np.int64)
             edges = np.concatenate([[0], edges, [len(w.keys)]])
-            ids = w.first_ids()
+            ids, checks, keys, block = w.first_ids(), w.checks(), w.keys, row["block"]
+            del w, row
             out: dict[str, list] = {"bucket": [], "block": [], "keys": [], "checks": [], "docs": []}
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
@@ -155,9 +165,9 @@ def _slices_of_blocks(bits: int, window: int):
                 planes = (ids[part] - base).astype("<u8").view(np.uint8).reshape(-1, 8).T
                 top = max(1, int(np.flatnonzero(planes.any(axis=1)).max(initial=0)) + 1)
                 out["bucket"].append(int(b))
-                out["block"].append(row["block"])
-                out["keys"].append(pack_sorted(w.keys[part]))
-                out["checks"].append(w.checks[part].tobytes())
+                out["block"].append(block)
+                out["keys"].append(pack_sorted(keys[part]))
+                out["checks"].append(checks[part].tobytes())
                 out["docs"].append(bytes([top]) + int(base).to_bytes(8, "little", signed=True) + planes[:top].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())]))
 
@@ -243,44 +253,67 @@ def _compact_bucket(group: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """The runs of window fingerprints of all documents seen so far, in the shared folder.
+    """The runs of window fingerprints of all documents seen so far, in a folder that all executors share.
 
     ``bits``: the fingerprint space has 2**bits buckets; set from the number of
     words that the index is planned for, so that a bucket stays about
     ``BUCKET_SIZE``.
     """
 
-    def __init__(self, spark: SparkSession, expected_words: int, window: int = WINDOW, fan_in: int = 4):
-        self.spark, self.window, self.fan_in = spark, window, fan_in
+    def __init__(self, spark: SparkSession, expected_words: int, window: int = WINDOW, fan_in: int = 4, path: str | None = None):
+        self.spark, self.window, self.fan_in, self.path = spark, window, fan_in, path or new_path(spark, "index")
         self.bits = max(8, int(np.ceil(np.log2(max(1, expected_words / BUCKET_SIZE)))))
         self.runs: list[str] = []
+        self.version = self.compactions = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that an earlier session left in a folder, as its newest manifest says."""
+        last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        index = cls(spark, 0, last["window"], last["fan_in"], path)
+        index.bits, index.runs, index.version, index.compactions = last["bits"], list(last["runs"]), last["version"], last["compactions"]
+        return index
+
+    def _publish(self) -> None:
+        """Adds a manifest; runs are whole before one names them, so a manifest never names half a run."""
+        self.version += 1
+        row = (self.version, self.window, self.fan_in, self.bits, self.compactions, self.runs)
+        self.spark.createDataFrame([row], "version long, window int, fan_in int, bits int, compactions long, runs array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def _run_rows(self, path: str) -> DataFrame:
         return self.spark.read.schema(_MERGED).parquet(path).where("kind = 1")
 
     def add(self, blocks: DataFrame, keep_run: bool = True) -> DataFrame:
-        """Merges a batch of blocks into the index; returns (block, answers): for each bucket of a block its bits."""
+        """Merges a batch of blocks into the index; returns (block, answers): for each bucket of a block its bits.
+
+        Answers must have been read when the next batch comes: then ``fan_in`` runs are compacted, and their files go.
+        """
+        if len(self.runs) >= self.fan_in:
+            self.compact()
         slices_ = blocks.mapInArrow(_slices_of_blocks(self.bits, self.window), _SLICE + ", docs binary")
         for path in self.runs:
             slices_ = slices_.unionByName(self._run_rows(path).select("bucket", "block", "keys", "checks"), allowMissingColumns=True)
-        path = new_path(self.spark, "fingerprints")
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
         merged = slices_.groupBy("bucket").applyInArrow(_merge_bucket, _MERGED)
         (merged if keep_run else merged.where("kind = 0")).write.parquet(path)
         answers = self.spark.read.schema(_MERGED).parquet(path).where("kind = 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "keys")).alias("answers"))
         if keep_run:
             self.runs.append(path)
-            if len(self.runs) >= self.fan_in:
-                self.compact()
+            self._publish()
         return answers
 
     def compact(self) -> None:
-        """Merges all runs into one. The old files stay: their answers may not have been read yet."""
+        """Merges all runs into one and deletes their files once the manifest names the new one."""
         rows = self._run_rows(self.runs[0])
         for path in self.runs[1:]:
             rows = rows.unionByName(self._run_rows(path))
-        path = new_path(self.spark, "fingerprints")
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
         rows.groupBy("bucket").applyInArrow(_compact_bucket, _MERGED).write.parquet(path)
-        self.runs = [path]
+        old, self.runs = self.runs, [path]
+        self.compactions += 1
+        self._publish()
+        remove(self.spark, *old)
+        release_shuffles(self.spark)
 
 
 def _results(window: int, digests: bool):
@@ -307,20 +340,25 @@ def _results(window: int, digests: bool):
 
 
 def _kept(w: _Windows, keep: np.ndarray, digests: bool) -> pa.RecordBatch:
-    start, end = w.words.start[keep], w.words.end[keep]
-    size = end - start + 1  # each word and one space
-    upto = np.concatenate([[0], np.cumsum(size)])
-    source = np.repeat(start - upto[:-1], size) + np.arange(upto[-1])
-    joined = np.append(w.words.data, np.uint8(32))[source] if len(source) else np.zeros(0, np.uint8)
-    if len(upto) > 1:
+    """The documents without the words that aren't kept; some documents are joined at a time, so that a block's places are never all held."""
+    words, kept_before = w.words, np.concatenate([[0], np.cumsum(keep)])[w.words.offsets]
+    start, end = words.start[keep], words.end[keep]
+    data, kept, doc = np.append(words.data, np.uint8(32)), [], 0
+    while doc < len(words.counts):
+        a = kept_before[doc]
+        last = max(doc + 1, int(np.searchsorted(kept_before, a + _JOINED_WORDS, side="right")) - 1)
+        b = kept_before[last]
+        size = end[a:b] - start[a:b] + 1  # each word and one space
+        upto = np.concatenate([[0], np.cumsum(size)])
+        joined = data[np.repeat(start[a:b] - upto[:-1], size) + np.arange(upto[-1])]
         joined[upto[1:] - 1] = 32
-    kept_before = np.concatenate([[0], np.cumsum(keep)])[w.words.offsets]
-    at = upto[kept_before]
-    parts = (joined[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:], strict=True))
-    kept = pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()) if digests else pa.array([x.tobytes() for x in parts], pa.binary()).cast(pa.string())
-    counts = w.words.counts
+        at = upto[kept_before[doc : last + 1] - a]
+        parts = [joined[x : max(x, y - 1)] for x, y in zip(at[:-1], at[1:], strict=True)]
+        kept += [hashlib.sha256(x).hexdigest() if digests else x.tobytes().decode() for x in parts]
+        doc = last
+    counts = words.counts
     return pa.RecordBatch.from_arrays(
-        [pa.array(w.ids, mask=w.ids == _LAST), pa.array(counts, pa.int64()), pa.array(counts - np.diff(kept_before), pa.int64()), kept],
+        [pa.array(w.ids, mask=w.nulls), pa.array(counts, pa.int64()), pa.array(counts - np.diff(kept_before), pa.int64()), pa.array(kept, pa.string())],
         names=["doc_id", "n_words", "n_removed", "kept_sha256" if digests else "kept_text"],
     )
 
@@ -347,8 +385,8 @@ def dedup_batch(docs: DataFrame, index: FingerprintIndex, keep_run: bool = True,
     return spark.read.schema(_result_schema(digests_only)).parquet(results)
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, fan_in: int = 4, digests_only: bool = False) -> DataFrame:
-    """Runs all documents through a new index in ``batches`` of ascending doc_id.
+def dedup_substrings(docs: DataFrame, batches: int = 3, window: int = WINDOW, fan_in: int = 2, digests_only: bool = False) -> DataFrame:
+    """Runs all documents through a new index in ``batches`` of ascending doc_id; with three of them two runs are compacted before the last.
 
     Returns doc_id, n_words, n_removed and kept_text, or kept_sha256 in its place with ``digests_only``.
     """
@@ -358,7 +396,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, fa
     index = FingerprintIndex(spark, (size or 0) // 5, window, fan_in)
     cuts = []
     if batches > 1 and low is not None and low < high:
-        cuts = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)} - {low})
+        cuts = sorted({min(int(x), high) for x in docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)} - {low})
     out = None
     for i in range(len(cuts) + 1):
         part = docs

@@ -21,6 +21,9 @@ U64 = np.uint64
 #: Bytes of text that are cut into words at a time; bounds a task's arrays.
 SLICE_BYTES = 4 << 20
 _LONG_WORD = 256
+_WORDS_AT_ONCE = 1 << 17
+#: (seed, two odd factors) of the first and of the second hash of words.
+_HASH = [(0x9E3779B97F4A7C15, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93), (0x2545F4914F6CDD1D, 0xC2B2AE3D27D4EB4F, 0x9DDFEA08EB382D69)]
 
 
 def _table(is_word) -> np.ndarray:
@@ -88,32 +91,36 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same wherever the word stands."""
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word, the same wherever the word stands; ``second``: by a hash that has nothing of the first."""
         n = len(self.start)
-        h = np.full(n, 0x9E3779B97F4A7C15, dtype=np.uint64)
-        if not n:
-            return h
-        size = self.end - self.start
+        out = np.empty(n, np.uint64)
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eight = np.ndarray(shape=(len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-        left, at, live = size.copy(), self.start.copy(), None
+        for a in range(0, n, _WORDS_AT_ONCE):
+            out[a : a + _WORDS_AT_ONCE] = self._hashes(eight, slice(a, a + _WORDS_AT_ONCE), *_HASH[second])
+        return out
+
+    def _hashes(self, eight: np.ndarray, part: slice, seed: int, first: int, then: int) -> np.ndarray:
+        start, end = self.start[part], self.end[part]
+        size = end - start
+        h = np.full(len(size), seed, dtype=np.uint64)
+        left, at, live = size.copy(), start.copy(), None
         long = np.flatnonzero(size > _LONG_WORD)
-        if len(long):
-            left[long] = 0
+        left[long] = 0
         while True:
             live = np.flatnonzero(left > 0) if live is None else live[left[live] > 0]
             if not len(live):
                 break
             rest = np.minimum(left[live], 8).astype(np.uint64)
             piece = eight[at[live]] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - (rest << U64(3))))
-            x = (h[live] ^ piece) * U64(0x9FB21C651E98DF25)
+            x = (h[live] ^ piece) * U64(first)
             x ^= x >> U64(29)
-            h[live] = x * U64(0xD6E8FEB86659FD93)
+            h[live] = x * U64(then)
             left[live] -= 8
             at[live] += 8
         for i in long:
-            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest()
+            digest = hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
             h[i] = int.from_bytes(digest, "little")
         return mix64(h ^ size.astype(np.uint64))
 
