@@ -43,8 +43,8 @@ def test_containment(spark, docs, rows, items, monkeypatch):
     benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
     want = contained(rows, items)
     assert len(want) >= 5
-    for most in (32 << 20, 300):  # one part of the index, and several
-        monkeypatch.setattr(containment, "PART_CHARS", most)
+    for most in (32 << 20, 0):  # the index is sent, and joined
+        monkeypatch.setattr(containment, "INDEX_BYTES", most)
         got = containment.contaminated(docs, benchmark).collect()
         assert sorted([(r.doc_id, r.item_id, r.n_item, r.n_common) for r in got], key=repr) == want
         clean = containment.decontaminate(docs, benchmark)
@@ -62,11 +62,35 @@ def test_containment_empty(spark, docs, empty):
 
 def test_sketches_miss_nothing():
     for n in range(1, 500):
-        assert containment.sketch_size(n) > n - -(-n * 80 // 100)
+        assert containment.sketch_hits(n) >= 1
+        assert containment.sketch_size(n) - containment.sketch_hits(n) == n - -(-n * 80 // 100)  # what may be lacking
 
 
 # -- licenses ------------------------------------------------------------------------
 
+def test_sketches_prune():
+    """Only what meets a sketch is verified: items that share a common phrase are not all compared with a text that has it."""
+    phrase = "answer the following question in one word"
+    items = [(i, f"{phrase} " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"item_id": [i for i, _ in items], "text": [t for _, t in items]})
+    index = containment.Index([r for b in containment._items(5, 80)(iter([batch])) for r in b.to_pylist()])
+    texts = pa.array([f"here {phrase} and more words", items[7][1] + " after it", "nothing of it at all in here"])
+    doc, item, both, verified = containment.matches(texts, index)
+    assert doc.tolist() == [1] and item.tolist() == [7] and both.tolist() == [len(index.members[7])]
+    hashed = containment._hashed(texts, [5])
+    sharing = sum(containment.common(m, containment._set(hashed, t)) > 0 for t in range(3) for m in index.members)
+    assert sharing == 400 and verified == 1
+
+
+def test_large_benchmark_is_joined(spark, docs, monkeypatch):
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(docs.select("doc_id", "text"), allowMissingColumns=True)
+    by_map, clean = sorted(map(tuple, containment.contaminated(docs, benchmark).collect())), containment.decontaminate(docs, benchmark).count()
+    monkeypatch.setattr(containment, "INDEX_BYTES", 0)
+    assert by_map and sorted(map(tuple, containment.contaminated(docs, benchmark).collect())) == by_map
+    assert containment.decontaminate(docs, benchmark).count() == clean
+
+
 def test_license_places(spark):
     rows = [(0, None), (1, ""), (2, "CC-BY cc\nby, CC BY-NC"), (3, "x all rights,\nreserved. all rights reserved all rights"), (4, "Ccby cc bye é cc by"), (5, "GNU General Public License version 3"), (5, "GNU General Public License version 3"), (None, "Licensed under the Apache License, Version 2.0.")]
     got = licenses.scan_licenses(spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")).collect()
