@@ -186,14 +186,33 @@ def test_top_k(spark):
     assert vafile.top_k(df.limit(0)).collect() == []
 
 
-def test_bounds_hold_and_save_reads():
+def test_bounds_hold_and_save_reads(spark, monkeypatch):
     rng = np.random.default_rng(6)
     vectors, queries = rng.integers(-300, 300, (3000, 16)), rng.integers(-300, 300, (20, 16))
-    low, high = vafile.Approximation(vectors).bounds(queries)
+    block = {"block": "b", "dims": 16, "ids": np.arange(3000).tobytes(), "vectors": vectors.tobytes()}
+    cells = next(vafile._to_cells(iter([pa.RecordBatch.from_pylist([block])]))).to_pylist()[0]
+    assert len(cells["cells"]) == 3000 * 16 // 2  # 4 bits a component
+    low, high = vafile._cells_of(cells).bounds(queries)
     exact = queries @ vectors.T
     assert (low <= exact).all() and (exact <= high).all()
-    found = vafile.search_block(np.arange(20) - 100, queries, np.arange(3000), vectors, 5)
-    assert sum(f[2] for f in found) < 0.2 * 20 * 3000
+    df = spark.createDataFrame([(i, v) for i, v in enumerate((vectors / 256).tolist())], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vafile, "VECTOR_BLOCK", 256)
+    monkeypatch.setattr(vafile, "ROUND", 16)  # several rounds
+    got = vafile.top_k(df, counts=True).collect()
+    for q in range(0, 3000, 50):
+        own = [r for r in got if r.query_id == q]
+        scored = sorted((-int(vectors[i] @ vectors[q]), i) for i in range(3000) if i != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted(own, key=lambda r: r["rank"])] == scored
+    assert sum(r.n_read for r in got) < 0.1 * 60 * 3000
+
+
+def test_scores_beyond_doubles():
+    vectors = np.array([[2**40, 1], [2**62, 2**62], [-(2**62), 5]], np.int64)
+    ends = np.iinfo(np.int64)
+    assert vafile.scores(vectors, np.array([2**20, 3])).tolist() == [2**60 + 3, ends.max, ends.min]
+    low, high = vafile.Approximation.of(vectors).bounds(vectors)
+    true = [[sum(int(x) * int(y) for x, y in zip(q, v, strict=True)) for v in vectors] for q in vectors]
+    assert all(lo <= t <= hi for ls, ts, hs in zip(low, true, high, strict=True) for lo, t, hi in zip(ls, ts, hs, strict=True))
 
 
 # -- classifiers ---------------------------------------------------------------------

@@ -1,28 +1,33 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Components are integers: floor(scale * x). Vectors travel in blocks. A block
-holds the exact vectors and their approximation: each dimension of the block is
-cut into ``CELLS`` cells of equal width and a component is kept as its cell, so
-a query's inner product with a vector lies between bounds that follow from the
-cells alone. Each block is scanned for every query of a query block: cells give
-the bounds, and exact vectors are read in the order of their best bound until
-the k-th best exact score beats all bounds that are left. The k best of each
-block are all that moves; the k best of these are the answer.
-
-Queries are dealt in blocks of ``QUERY_BLOCK``, each of which meets every block
-of vectors. Both sides are partitioned by the pair of blocks, and no task holds
-more than one of each.
+Components are integers: floor(scale * x). Vectors are written twice, in blocks:
+a file of exact vectors, and beside it the approximation file. There each
+dimension of a block is cut into ``CELLS`` cells of equal width and a component
+is kept as its cell, 4 bits of it, so a query's inner product with a vector lies
+between bounds that follow from the cells alone.
+
+Queries go in rounds of at most ``ROUND``, which are sent to all tasks; a larger
+query set takes more rounds over the approximation file, and vectors never
+travel to queries. A round first scans cells only: each block gives for every
+query its k greatest lower bounds and the vectors whose upper bound reaches
+them. The k-th greatest lower bound over all blocks is then known for each
+query, and what doesn't reach it falls out. Exact vectors are read for the rest
+alone, block by block, in the order of their upper bounds until the k-th best
+score beats all that are left. The k best of each block are merged.
 
 Defined cases: a vector that is null, empty, or holds a null or non-finite
 component takes no part, nor does a row without vec_id. Vectors of another
 length than the query's are not its candidates. Rows that share a vec_id are a
 candidate each, never of one another; as queries they answer together with
-their k best scores. Ties go to the smaller vec_id. Fewer candidates than k: all of them. Empty tables give
-an empty result. Other columns are ignored.
+their k best scores. Ties go to the smaller vec_id. Fewer candidates than k: all
+of them. Components beyond 2**62 count as that, and scores beyond the range of a
+long as its ends; all others are exact. Empty tables give an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from .shared import table, written
 
 SCALE, K, EVERY = 256, 5, 50
 CELLS = 16
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 4096
-_BLOCK = "ids binary, vectors binary, dims int"
+VECTOR_BLOCK = 4096
+#: Queries of a round.
+ROUND = 16_384
+_FAR = 1 << 62
+_BLOCK = "block string, dims int, ids binary, vectors binary"
+_CELLS = "block string, dims int, ids binary, low binary, width binary, cells binary"
 
 
 def _usable(batch: pa.RecordBatch, scale: int):
@@ -51,27 +61,26 @@ def _usable(batch: pa.RecordBatch, scale: int):
         if np.isfinite(x).all():
             ids, vectors = by.setdefault(len(x), ([], []))
             ids.append(i)
-            vectors.append(np.floor(scale * x))
+            vectors.append(np.clip(np.floor(scale * x), -_FAR, _FAR).astype(np.int64))
     return by
 
 
-def _to_blocks(scale: int, most: int, every: int | None = None):
+def _to_blocks(scale: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
 
         def block(dims: int, ids: list, vectors: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"ids": [np.array(ids, "<i8").tobytes()], "vectors": [np.array(vectors, "<i8").tobytes()], "dims": [dims]}, schema=pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("dims", pa.int32())]))
+            return pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "dims": [dims], "ids": [np.array(ids, "<i8").tobytes()], "vectors": [np.array(vectors, "<i8").tobytes()]}, schema=pa.schema([("block", pa.string()), ("dims", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
         for batch in batches:
             for dims, (ids, vectors) in _usable(batch, scale).items():
                 own = held.setdefault(dims, ([], []))
                 for i, v in zip(ids, vectors, strict=True):
-                    if every is None or i % every == 0:
-                        own[0].append(i)
-                        own[1].append(v)
-                        if len(own[0]) == most:
-                            yield block(dims, *own)
-                            own = held[dims] = ([], [])
+                    own[0].append(i)
+                    own[1].append(v)
+                    if len(own[0]) == most:
+                        yield block(dims, *own)
+                        own = held[dims] = ([], [])
         for dims, (ids, vectors) in held.items():
             if ids:
                 yield block(dims, ids, vectors)
@@ -79,91 +88,165 @@ def _to_blocks(scale: int, most: int, every: int | None = None):
     return run
 
 
-def _arrays(ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dims)
+def _longs(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i8")
 
 
 class Approximation:
-    """The cells of a block's vectors."""
+    """The cells of a block's vectors: all that is read of them in a scan."""
 
-    def __init__(self, vectors: np.ndarray, cells: int = CELLS):
-        self.low = vectors.min(axis=0)
-        self.width = np.maximum(1, -(-(vectors.max(axis=0) - self.low + 1) // cells))
-        self.cell = ((vectors - self.low) // self.width).astype(np.uint8)
+    def __init__(self, low: np.ndarray, width: np.ndarray, cell: np.ndarray):
+        self.low, self.width, self.cell = low, width, cell
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, cells: int = CELLS) -> Approximation:
+        low = vectors.min(axis=0)
+        width = (np.maximum(1, vectors.max(axis=0).astype(object) - low.astype(object)) // cells + 1).astype(np.int64)
+        return cls(low, width, ((vectors - low).view(np.uint64) // width.view(np.uint64)).astype(np.uint8))
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest inner product, queries x vectors. In a cell a component is one of ``width`` integers, so products are linear in its ends."""
-        base = (queries * self.low).sum(axis=1)[:, None] + (queries * self.width).astype(np.float64) @ self.cell.T.astype(np.float64)
-        span = queries * (self.width - 1)
-        return base + np.minimum(span, 0).sum(axis=1)[:, None], base + np.maximum(span, 0).sum(axis=1)[:, None]
+        """Least and greatest inner product, queries x vectors. In a cell a component is one of ``width`` integers, so products are linear in its ends.
 
+        They are widened by more than the rounding of doubles can take from them.
+        """
+        q, low, width = queries.astype(np.float64), self.low.astype(np.float64), self.width.astype(np.float64)
+        base = (q @ low)[:, None] + (q * width) @ self.cell.T.astype(np.float64)
+        span = q * (width - 1)
+        spare = 2.0**-50 * q.shape[1] * (np.abs(q) @ (np.abs(low) + CELLS * width))
+        return base + (np.minimum(span, 0).sum(axis=1) - spare)[:, None], base + (np.maximum(span, 0).sum(axis=1) + spare)[:, None]
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, step: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query the exact k best of the block: (ids, scores, exact vectors read)."""
-    cells = Approximation(vectors)
-    out = []
-    for first in range(0, len(queries), 256):
-        part = queries[first : first + 256]
-        low, high = cells.bounds(part)
-        for j, q in enumerate(part):
-            own = ids == query_ids[first + j]
-            lo, hi = low[j], high[j]
-            if own.any():
-                lo, hi = lo.copy(), hi.copy()
-                lo[own] = hi[own] = -np.inf
-            n = len(ids) - int(own.sum())
-            if n <= 0:
-                out.append((ids[:0], ids[:0], 0))
-                continue
-            kth = np.partition(lo, len(lo) - min(k, n))[len(lo) - min(k, n)]
-            candidates = np.flatnonzero((hi >= kth) & ~own)
-            candidates = candidates[np.argsort(-hi[candidates], kind="stable")]
-            scores, read = np.zeros(0, np.int64), 0
-            while read < len(candidates):
-                if len(scores) >= k and hi[candidates[read]] < np.partition(scores, len(scores) - k)[len(scores) - k]:
-                    break  # the k-th score beats every bound that is left
-                scores = np.append(scores, vectors[candidates[read : read + step]] @ q)
-                read = min(read + step, len(candidates))
-            seen = candidates[:read]
-            best = np.lexsort((ids[seen], -scores))[:k]
-            out.append((ids[seen[best]], scores[best], read))
-    return out
 
+def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            own = Approximation.of(_longs(row["vectors"]).reshape(-1, row["dims"]))
+            flat = np.append(own.cell.ravel(), np.zeros(own.cell.size % 2, np.uint8))
+            packed = (flat[::2] | flat[1::2] << 4).tobytes()
+            yield pa.RecordBatch.from_pydict({"block": [row["block"]], "dims": [row["dims"]], "ids": [row["ids"]], "low": [own.low.tobytes()], "width": [own.width.tobytes()], "cells": [packed]}, schema=pa.schema([("block", pa.string()), ("dims", pa.int32()), *((k, pa.binary()) for k in ("ids", "low", "width", "cells"))]))
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
+def _cells_of(row: dict) -> Approximation:
+    n, packed = len(row["ids"]) // 8 * row["dims"], np.frombuffer(row["cells"], np.uint8)
+    flat = np.stack([packed & 15, packed >> 4], axis=1).ravel()[:n]
+    return Approximation(_longs(row["low"]), _longs(row["width"]), flat.reshape(-1, row["dims"]))
 
-def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def scan(own: Approximation, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """From a block's cells: (query, least bound) for each query's k best ones, and (query, vector, upper bound) of all that reach the k-th of them."""
+    found: list[list] = [[], [], [], [], []]
+    for first in range(0, len(queries), 256):
+        low, high = own.bounds(queries[first : first + 256])
+        for j, (lo, hi) in enumerate(zip(low, high, strict=True)):
+            other = np.flatnonzero(ids != query_ids[first + j])
+            if not len(other):
+                continue
+            lo, hi = lo[other], hi[other]
+            n = min(k, len(other))
+            best = np.partition(lo, len(lo) - n)[len(lo) - n :]
+            reach = np.flatnonzero(hi >= best.min()) if len(other) >= k else np.arange(len(other))
+            for out, x in zip(found, (np.full(n, first + j), best, np.full(len(reach), first + j), other[reach], hi[reach]), strict=True):
+                out.append(x)
+    kinds = (np.int32, np.float64, np.int32, np.int32, np.float64)
+    return tuple(np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip(found, kinds, strict=True))
+
+
+def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products as longs."""
+    if float(np.abs(vectors.astype(np.float64)).max(initial=0)) * float(np.abs(query.astype(np.float64)).sum()) < 2.0**62:
+        return vectors @ query
+    ends = np.iinfo(np.int64)
+    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(v, query, strict=True)), ends.min), ends.max) for v in vectors], np.int64)
+
+
+def refine(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, places: np.ndarray, high: np.ndarray, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best of a block's places by exact score (ids, scores), and how many exact vectors were read for them."""
+    order = np.argsort(-high, kind="stable")
+    places, high = places[order], high[order]
+    found, read = np.zeros(0, np.int64), 0
+    while read < len(places):
+        if len(found) >= k and high[read] < np.partition(found, len(found) - k)[len(found) - k]:
+            break  # the k-th score beats every bound that is left
+        found = np.append(found, scores(vectors[places[read : read + step]], query))
+        read = min(read + step, len(places))
+    best = np.lexsort((ids[places[:read]], -found))[:k]
+    return ids[places[best]], found[best], read
+
+
+def _round(blocks: DataFrame, cells: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """query_id, vec_id, score, n_read: each block's k best for the queries of a round, which are given by their length."""
+    spark = blocks.sparkSession
+    sent = spark.sparkContext.broadcast(asked)
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                query_ids, queries = _arrays(row["q_ids"], row["q_vectors"], row["dims"])
-                found = search_block(query_ids, queries, *_arrays(row["ids"], row["vectors"], row["dims"]), k)
-                n = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], schema=_FOUND)
-
-    return run
-
-
-def _numbered(blocks: DataFrame, name: str) -> DataFrame:
-    """The blocks, written, with a number each."""
-    return written(written(blocks, "blocks").withColumn(name, F.monotonically_increasing_id()), "numbered")
-
+                if row["dims"] in sent.value:
+                    parts = scan(_cells_of(row), _longs(row["ids"]), *sent.value[row["dims"]], k)
+                    names = ("best", "least", "query", "place", "high")
+                    yield pa.RecordBatch.from_pydict({"block": [row["block"]], "dims": [row["dims"]], "best": [parts[0]], "least": [parts[1]]} | {n: [x.tobytes()] for n, x in zip(names[2:], parts[2:], strict=True)}, schema=pa.schema([("block", pa.string()), ("dims", pa.int32()), ("best", pa.list_(pa.int32())), ("least", pa.list_(pa.float64())), *((n, pa.binary()) for n in names[2:])]))
+
+    found = written(cells.mapInArrow(scanned, "block string, dims int, best array<int>, least array<double>, query binary, place binary, high binary"), "scanned")
+    # the k-th greatest lower bound of each query of the round
+    lows = found.select("dims", F.explode(F.arrays_zip("best", "least")).alias("x")).select("dims", F.col("x.best").alias("query"), F.col("x.least").alias("least"))
+    kth = lows.withColumn("rank", F.row_number().over(Window.partitionBy("dims", "query").orderBy(F.desc("least")))).where(F.col("rank") == k).collect()
+    reach = {dims: np.full(len(ids), -np.inf) for dims, (ids, _) in asked.items()}
+    for r in kth:
+        reach[r["dims"]][r["query"]] = r["least"]
+    needed = spark.sparkContext.broadcast(reach)
+
+    def left(row: dict) -> tuple[np.ndarray, ...]:
+        query, place, high = np.frombuffer(row["query"], "<i4"), np.frombuffer(row["place"], "<i4"), np.frombuffer(row["high"], "<f8")
+        keep = high >= needed.value[row["dims"]][query]
+        return query[keep], place[keep], high[keep]
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts = left(row)
+                if len(parts[0]):
+                    yield pa.RecordBatch.from_pydict({"block": [row["block"]]} | {n: [x.tobytes()] for n, x in zip(("query", "place", "high"), parts, strict=True)}, schema=pa.schema([("block", pa.string()), *((n, pa.binary()) for n in ("query", "place", "high"))]))
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score for all rows whose vec_id is divisible by ``every``."""
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                query_ids, queries = sent.value[row["dims"]]
+                ids, vectors = _longs(row["ids"]), _longs(row["vectors"]).reshape(-1, row["dims"])
+                query, place, high = (np.frombuffer(row[c], t) for c, t in (("query", "<i4"), ("place", "<i4"), ("high", "<f8")))
+                edges = np.append(np.flatnonzero(np.diff(query, prepend=-1)), len(query))
+                each = [(query_ids[query[a]], *refine(ids, vectors, queries[query[a]], place[a:b], high[a:b], k)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                n = [len(e[1]) for e in each]
+                columns = [np.repeat([e[0] for e in each], n), np.concatenate([e[1] for e in each]), np.concatenate([e[2] for e in each]), np.repeat([e[3] for e in each], n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "vec_id", "score", "n_read"])
+
+    rest = found.select("block", "dims", "query", "place", "high").mapInArrow(pruned, "block string, query binary, place binary, high binary")
+    return written(rest.join(blocks, "block").mapInArrow(exact, "query_id long, vec_id long, score long, n_read long"), "found")
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, counts: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score for all rows whose vec_id is divisible by ``every``; with ``counts`` also n_read, the exact vectors read for the query's blocks that answer."""
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    blocks = _numbered(rows.mapInArrow(_to_blocks(scale, VECTOR_BLOCK), _BLOCK), "b")
-    asked = rows.where(F.col("vec_id") % every == 0)
-    asked = asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK)))
-    queries = _numbered(asked.mapInArrow(_to_blocks(scale, QUERY_BLOCK, every), _BLOCK), "q")
-    # every query block meets every vector block of its length: first their numbers, then what they hold, by block of vectors
-    pairs = blocks.select("b", "dims").join(queries.select("q", "dims"), "dims")
-    pairs = pairs.join(queries.select("q", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "q").join(blocks.drop("dims"), "b")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    blocks = written(rows.mapInArrow(_to_blocks(scale, VECTOR_BLOCK), _BLOCK), "exact")
+    cells = written(blocks.mapInArrow(_to_cells, _CELLS), "cells")
+    asked = written(rows.where(F.col("vec_id") % every == 0).mapInArrow(_to_blocks(scale, 256), _BLOCK), "queries")
+    asked = written(asked.select("dims", "ids", "vectors", (F.length("ids") / 8).alias("n"), F.monotonically_increasing_id().alias("number")), "queries")
+    n = -(-int(asked.agg(F.sum("n")).first()[0] or 0) // ROUND)
+    out = None
+    for i in range(n):  # rounds of bounded size, dealt by the blocks of queries
+        by: dict[int, list] = {}
+        for r in asked.where(F.pmod(F.xxhash64("number"), F.lit(n)) == i).select("dims", "ids", "vectors").collect():
+            by.setdefault(r["dims"], []).append((_longs(r["ids"]), _longs(r["vectors"]).reshape(-1, r["dims"])))
+        if by:
+            found = _round(blocks, cells, {d: (np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])) for d, own in by.items()}, k)
+            out = found if out is None else out.unionAll(found)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, n_read long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    ranked = out.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score", "n_read").where(F.col("rank") <= k)
+    return ranked if counts else ranked.drop("n_read")
 
 
 def op8_va_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
