@@ -369,7 +369,7 @@ def _units(mixed: DataFrame) -> DataFrame:
     # one unit if it all fits in a block, else blocks of the rest and then blocks of the main component
     alone = F.col("w") <= _BLOCK
     sizes = sizes.select("bucket", F.when(alone, 1).otherwise(F.greatest(blocks(F.col("wr")), F.lit(1))).alias("nr"), F.when(alone, 0).otherwise(blocks(F.col("w") - F.col("wr"))).alias("nm"))
-    placed = mixed.join(sizes, "bucket")
+    placed = mixed.join(written(sizes, "sizes"), "bucket")
     own = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
     placed = placed.withColumn("block", F.when(~F.col("in_main") | (F.col("nm") == 0), own(F.col("nr"))).otherwise(F.col("nr") + own(F.col("nm"))))
     # a block of the rest meets each block; a block of the main component each of the rest
