@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +169,38 @@ def test_surrogates_native(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_suppression_equals_all_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        found = []
+        for k in range(int(rng.integers(1, 60))):
+            start = int(rng.integers(0, 40))
+            found.append(licenses.Detection(f"l{k}", start, start + int(rng.integers(1, 12)), int(rng.integers(0, 4)), 0.5, k, False))
+        kept = []
+        for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.order, d.start)):
+            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+                kept.append(d)
+        assert licenses.suppress(found) == kept
+
+
+def test_long_notices_take_seconds():
+    text = "Licensed under the Apache License, Version 2.0. All rights reserved. Copyright 2020. " * 12_000  # 1 MB
+    began = time.process_time()
+    out = next(licenses._scan(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})])))
+    assert time.process_time() - began < 20
+    assert out.to_pylist()[0]["n_base"] == 12_000 and "apache-2.0" in out.to_pylist()[0]["labels"]
+
+
+def test_sentences_are_found():
+    """Every sentence rule finds the plain form of its own sentence, and its gate lets it through."""
+    for label, expression, keywords in licenses.SENTENCES:
+        text = re.sub(r"\(\?:([^|()]*)(?:\|[^()]*)*\)\??", r"\1", expression)
+        text = text.replace("licen[cs]e", "license").replace("[1234]", "4").replace("[05]", "0").replace(r"\d", "2").replace(r"f\w*", "fun").replace(".{0,80}? ", "someone ").replace(r"\S+", "file").replace("names?", "names").replace("authors?", "author").replace("disclaims?", "disclaims").replace("dedicated?", "dedicate")
+        out = next(licenses._scan(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [f"x {text} y"]})]))).to_pylist()[0]
+        assert set(keywords) <= set(text.split()), text
+        assert out["labels"], text
+
+
 # -- vectors -------------------------------------------------------------------------
 
 def test_top_k(spark):

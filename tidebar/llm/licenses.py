@@ -11,10 +11,11 @@ of one of higher priority, or of the same priority and more words, is
 suppressed; of equal ones the earlier rule's stays. The base rules' places and
 labels are reported before suppression and always stay.
 
-Rules come from families (names of licenses, written by hand), SPDX identifiers
-and short names (by hand) and contexts (phrasings around a name, by hand): each
-pair makes a rule. Short names count in a context only, unless their version
-tells them from a word.
+Rules of one kind are whole sentences of license texts and notices, each
+written by hand. The others come from families (names of licenses), SPDX
+identifiers and short names, and contexts (phrasings around a name), which are
+written by hand too: each pair makes a rule. Short names count in a context
+only, unless their version tells them from a word.
 
 Defined cases: a null or empty text has no words, no place, empty labels and
 score 0. Rows are independent, so repeated rows and null ids are kept as they
@@ -123,6 +124,126 @@ NOTICES = [
     ("proprietary", r"proprietary and confidential", ("proprietary", "confidential"), 5, 0.8),
     ("copyright", r"copyright (?:c )?\d{4}", ("copyright",), 1, 0.3),
 ]
+#: Sentences that stand in one license or its notice: (label, expression, keywords). They have priority 7 and confidence 0.95.
+SENTENCES = [
+    ("gpl", r"this program is free software you can redistribute it and or modify", ("program", "redistribute", "modify")),
+    ("gpl", r"either version \d of the license or at your option any later version", ("version", "option", "later")),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e", ("received", "gnu", "general")),
+    ("gpl", r"the licenses for most software are designed to take away your freedom", ("designed", "freedom")),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document", ("permitted", "verbatim")),
+    ("gpl", r"work based on the program means either the program or any derivative work", ("program", "derivative")),
+    ("gpl-2.0", r"you must cause the modified files to carry prominent notices", ("cause", "modified", "prominent")),
+    ("gpl-2.0", r"59 temple place suite 330 boston", ("temple", "suite", "boston")),
+    ("gpl-2.0", r"51 franklin st(?:reet)? fifth floor boston", ("franklin", "fifth", "boston")),
+    ("gpl-3.0", r"to propagate a work means to do anything with it that without permission", ("propagate", "permission")),
+    ("gpl-3.0", r"the corresponding source for a work in object code form", ("corresponding", "object")),
+    ("gpl-3.0", r"no covered work shall be deemed part of an effective technological measure", ("covered", "technological", "measure")),
+    ("gpl-3.0", r"a user product is either a consumer product", ("user", "consumer", "product")),
+    ("lgpl", r"this library is free software you can redistribute it and or modify", ("library", "redistribute", "modify")),
+    ("lgpl", r"you should have received a copy of the gnu lesser general public licen[cs]e", ("received", "gnu", "lesser")),
+    ("lgpl", r"a program that contains no derivative of any portion of the library", ("derivative", "portion", "library")),
+    ("lgpl", r"work that uses the library", ("uses", "library")),
+    ("agpl", r"you should have received a copy of the gnu affero general public licen[cs]e", ("received", "gnu", "affero")),
+    ("agpl", r"all users interacting with it remotely through a computer network", ("users", "interacting", "remotely", "network")),
+    ("agpl", r"prominently offer all users an opportunity to receive the corresponding source", ("prominently", "opportunity", "corresponding")),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document", ("permission", "granted", "document")),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts", ("invariant", "sections", "cover")),
+    ("gfdl", r"a secondary section is a named appendix or a front matter section", ("secondary", "appendix", "matter")),
+    ("apache-2.0", r"you may not use this file except in compliance with the license", ("file", "except", "compliance")),
+    ("apache-2.0", r"you may obtain a copy of the license at http www apache org licenses license 2 0", ("obtain", "apache", "org")),
+    ("apache-2.0", r"www apache org licenses license 2 0", ("www", "apache", "org")),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing software distributed under the license", ("unless", "applicable", "writing")),
+    ("apache-2.0", r"grant of copyright licen[cs]e subject to the terms and conditions of this license each contributor", ("grant", "subject", "contributor")),
+    ("apache-2.0", r"if the work includes a notice text file as part of its distribution", ("work", "notice", "file", "distribution")),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", ("product", "developed", "apache", "foundation")),
+    ("apache-1.1", r"products derived from this software may not be called apache", ("products", "derived", "called", "apache")),
+    ("mit", r"to deal in the software without restriction including without limitation the rights", ("deal", "restriction", "limitation")),
+    ("mit", r"use copy modify merge publish distribute sublicense and or sell", ("merge", "publish", "sublicense", "sell")),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies", ("above", "notice", "permission", "included")),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim", ("event", "authors", "holders", "liable")),
+    ("x11", r"the name of the x consortium shall not be used in advertising", ("consortium", "advertising")),
+    ("isc", r"the software is provided as is and the author disclaims all warranties", ("provided", "author", "disclaims", "warranties")),
+    ("isc", r"the author disclaims all warranties with regard to this software", ("author", "disclaims", "regard")),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", ("redistributions", "retain", "notice")),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", ("redistributions", "binary", "reproduce")),
+    ("bsd", r"this software is provided by the (?:copyright holders|authors?|regents) and contributors as is", ("provided", "contributors")),
+    ("bsd-3-clause", r"neither the names? of .{0,80}? may be used to endorse or promote products", ("neither", "endorse", "promote")),
+    ("bsd-3-clause", r"the name of the author may not be used to endorse or promote products", ("name", "author", "endorse", "promote")),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software", ("advertising", "materials", "mentioning")),
+    ("bsd-4-clause", r"this product includes software developed by the university of california berkeley", ("product", "university", "california", "berkeley")),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software", ("permission", "fee", "granted")),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", ("form", "subject", "mozilla")),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file you can obtain one at", ("mpl", "distributed", "obtain")),
+    ("mpl-2.0", r"mozilla org mpl 2 0", ("mozilla", "org", "mpl")),
+    ("mpl-2.0", r"this source code form is incompatible with secondary licenses", ("form", "incompatible", "secondary")),
+    ("mpl", r"the contents of this file are subject to the mozilla public licen[cs]e", ("contents", "subject", "mozilla")),
+    ("mpl", r"the initial developer of the original code is", ("initial", "developer", "original")),
+    ("mpl", r"alternatively the contents of this file may be used under the terms of", ("alternatively", "contents", "terms")),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", ("program", "accompanying", "eclipse")),
+    ("epl", r"the accompanying program is provided under the terms of this eclipse public licen[cs]e", ("accompanying", "provided", "eclipse")),
+    ("epl", r"www eclipse org legal epl", ("www", "eclipse", "legal")),
+    ("eupl", r"licensed under the eupl version 1 \d(?: or as soon they will be approved)?", ("licensed", "eupl", "version")),
+    ("eupl", r"as soon they will be approved by the european commission subsequent versions of the eupl", ("approved", "european", "commission", "eupl")),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", ("contents", "subject", "development", "distribution")),
+    ("cddl", r"opensource org licenses cddl", ("opensource", "cddl")),
+    ("cpl", r"the accompanying program is provided under the terms of this common public licen[cs]e", ("accompanying", "provided", "common")),
+    ("artistic", r"the package refers to the collection of files distributed by the copyright holder", ("package", "collection", "holder")),
+    ("artistic", r"you may make and give away verbatim copies of the source form of the standard version", ("verbatim", "source", "standard")),
+    ("artistic", r"same terms as perl itself", ("same", "terms", "perl")),
+    ("boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", ("organization", "obtaining", "accompanying")),
+    ("boost", r"www boost org license 1 0 txt", ("www", "boost", "txt")),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", ("provided", "express", "implied", "held")),
+    ("zlib", r"altered source versions must be plainly marked as such", ("altered", "versions", "plainly", "marked")),
+    ("zlib", r"the origin of this software must not be misrepresented", ("origin", "misrepresented")),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", ("unencumbered", "released", "domain")),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", ("anyone", "compile", "sell")),
+    ("unlicense", r"unlicense org", ("unlicense", "org")),
+    ("wtfpl", r"you just do what the f\w* you want to", ("just", "want")),
+    ("cc0", r"has waived all copyright and related or neighboring rights", ("waived", "related", "neighboring")),
+    ("cc0", r"creativecommons org publicdomain zero 1 0", ("creativecommons", "publicdomain", "zero")),
+    ("cc0", r"to the extent possible under law .{0,80}? has waived all copyright", ("extent", "possible", "waived")),
+    ("cc-by", r"creativecommons org licenses by [1234] [05]", ("creativecommons", "licenses", "by")),
+    ("cc-by-sa", r"creativecommons org licenses by sa [1234] [05]", ("creativecommons", "licenses", "sa")),
+    ("cc-by-nc", r"creativecommons org licenses by nc [1234] [05]", ("creativecommons", "licenses", "nc")),
+    ("cc-by-nd", r"creativecommons org licenses by nd [1234] [05]", ("creativecommons", "licenses", "nd")),
+    ("cc-by-nc-sa", r"creativecommons org licenses by nc sa [1234] [05]", ("creativecommons", "nc", "sa")),
+    ("cc-by-nc-nd", r"creativecommons org licenses by nc nd [1234] [05]", ("creativecommons", "nc", "nd")),
+    ("cc-by-sa", r"text is available under the creative commons attribution sharealike", ("text", "creative", "sharealike")),
+    ("cc-by", r"some rights reserved", ("some", "rights", "reserved")),
+    ("odbl", r"opendatacommons org licenses odbl", ("opendatacommons", "odbl")),
+    ("odbl", r"any rights in individual contents of the database are licensed under the database contents licen[cs]e", ("individual", "contents", "database")),
+    ("odc-by", r"opendatacommons org licenses by", ("opendatacommons", "by")),
+    ("ofl", r"the font software may be sold as part of a larger software package", ("font", "sold", "package")),
+    ("ofl", r"with reserved font name", ("reserved", "font", "name")),
+    ("ofl", r"scripts sil org ofl", ("scripts", "sil", "ofl")),
+    ("openrail", r"use based restrictions as referenced in paragraph", ("restrictions", "referenced", "paragraph")),
+    ("ms-pl", r"if you bring a patent claim against any contributor over patents that you claim are infringed", ("patent", "contributor", "infringed")),
+    ("python", r"psf is making python available to licensee on an as is basis", ("psf", "python", "licensee")),
+    ("python", r"psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e", ("psf", "grants", "licensee")),
+    ("openssl", r"this product includes software developed by the openssl project", ("product", "developed", "openssl")),
+    ("openssl", r"this product includes cryptographic software written by eric young", ("product", "cryptographic", "young")),
+    ("ncsa", r"to deal with the software without restriction including without limitation the rights", ("deal", "with", "restriction")),
+    ("ncsa", r"university of illinois ncsa open source licen[cs]e", ("university", "illinois", "ncsa")),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", ("documentation", "fee", "written", "agreement")),
+    ("hpnd", r"the name of the copyright holder not be used in advertising or publicity", ("holder", "advertising", "publicity")),
+    ("json", r"the software shall be used for good not evil", ("good", "evil")),
+    ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer", ("meet", "stuff", "beer")),
+    ("vim", r"vim is charityware", ("vim", "charityware")),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", ("based", "independent", "jpeg")),
+    ("libpng", r"the contributing authors and glenn randers pehrson", ("contributing", "glenn", "pehrson")),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", ("permission", "fee", "provided", "notice")),
+    ("unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", ("permission", "unicode", "data")),
+    ("ofl", r"neither the font software nor any of its individual components", ("neither", "font", "components")),
+    ("proprietary", r"unauthorized copying of this file via any medium is strictly prohibited", ("unauthorized", "copying", "prohibited")),
+    ("proprietary", r"this software is the confidential and proprietary information of", ("confidential", "proprietary", "information")),
+    ("proprietary", r"may not be reproduced distributed or transmitted in any form or by any means", ("reproduced", "transmitted", "means")),
+    ("proprietary", r"without the prior written permission of the publisher", ("prior", "written", "publisher")),
+    ("proprietary", r"for internal use only", ("internal", "use", "only")),
+    ("proprietary", r"end user licen[cs]e agreement", ("end", "user", "agreement")),
+    ("public-domain", r"the authors? (?:of this \S+ )?disclaims? copyright to this source code", ("disclaims", "source")),
+    ("public-domain", r"is hereby placed in the public domain", ("hereby", "placed", "domain")),
+    ("public-domain", r"dedicated? (?:this work )?to the public domain", ("to", "domain")),
+]
 #: The words one of which any match of a family has; by default the longest fixed word of its expression.
 _FAMILY_GATES = {
     "agpl": ("affero", "agpl"), "lgpl": ("lesser", "library", "lgpl"), "gpl-2.0": ("general", "gpl"), "gpl-3.0": ("general", "gpl"), "gpl": ("general", "gpl"), "gfdl": ("documentation", "gfdl"),
@@ -158,6 +279,7 @@ def rules() -> tuple[Rule, ...]:
             if phrase != "{}" or bare:
                 out.append(Rule(label, _compiled(phrase.replace("{}", f"(?:{name})")), (*((k,) for k in keywords), gate), priority, confidence))
     out += [Rule(label, _compiled(expression), tuple((k,) for k in keywords), priority, confidence) for label, expression, keywords, priority, confidence in NOTICES]
+    out += [Rule(label, _compiled(expression), tuple((k,) for k in keywords), 7, 0.95) for label, expression, keywords in SENTENCES]
     out += [Rule(label, _compiled(phrase), tuple((k,) for k in phrase.split()), 0, 0.5, True) for phrase, label in BASE.items()]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
@@ -206,20 +328,37 @@ class Detection:
 def detect(normal: bytes, allowed: list[int]) -> list[Detection]:
     """Everything that the rules (by their number) find in words joined by one space; places count words."""
     out = []
+    spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 0x20)
     for i in allowed:
         r = rules()[i]
-        for m in r.pattern.finditer(normal):
-            start = normal.count(b" ", 0, m.start())
-            out.append(Detection(r.label, start, start + m.group().count(b" ") + 1, r.priority, r.confidence, i, r.base))
+        at = [m.span() for m in r.pattern.finditer(normal)]
+        words = np.searchsorted(spaces, np.array(at, np.int64).reshape(-1, 2))  # spaces before: the word's number
+        out += [Detection(r.label, start, end + 1, r.priority, r.confidence, i, r.base) for start, end in words.tolist()]
     return out
 
 
 def suppress(found: list[Detection]) -> list[Detection]:
-    """What stays after containment in intervals of higher rank."""
+    """What stays after containment in intervals of higher rank.
+
+    One pass in the order of rank. What is suppressed lies inside something
+    kept, so it's enough to know for each start the greatest end of all
+    intervals of higher rank that start there or before: a tree of maxima.
+    """
     kept: list[Detection] = []
+    starts = sorted({d.start for d in found})
+    place = {x: i + 1 for i, x in enumerate(starts)}
+    most = [-1] * (len(starts) + 1)
     for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.order, d.start)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+        i, end = place[d.start], -1
+        while i:
+            end = max(end, most[i])
+            i &= i - 1
+        if end < d.end:
             kept.append(d)
+            i = place[d.start]
+            while i < len(most):
+                most[i] = max(most[i], d.end)
+                i += i & -i
     return kept
 
 
