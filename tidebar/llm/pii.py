@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table, written
@@ -248,18 +248,17 @@ def _poured(spelling: Column, kind: Column, first: Column, names: Column) -> Col
 
 def _settled(entities: DataFrame, key: str) -> DataFrame:
     """kind, value, surrogate for all entities: distinct within a kind, and none a real value."""
-    real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
+    real = written(entities.select("kind", F.col("value").alias("surrogate")), "real")
     settled, pending = None, entities
     for attempt in count():
         drawn = pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), key, attempt))
+        # the smallest value that draws a surrogate keeps it: a minimum combines before it moves, however many draw the same
+        kept = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).join(real, ["kind", "surrogate"], "left_anti")
         if settled is not None:
-            real = real.unionAll(last.select("kind", "surrogate", F.lit(True)))  # noqa: F821
-        first = Window.partitionBy("kind", "surrogate").orderBy("value")
-        drawn = drawn.withColumn("order", F.row_number().over(first)).join(real, ["kind", "surrogate"], "left")
-        drawn = written(drawn.select("kind", "value", "surrogate", ((F.col("order") == 1) & F.col("real").isNull()).alias("fits")), "surrogates")
-        last = drawn.where("fits").select("kind", "value", "surrogate")
-        settled = last if settled is None else settled.unionAll(last)
-        pending = drawn.where("not fits").select("kind", "value")
+            kept = kept.join(settled, ["kind", "surrogate"], "left_anti")
+        kept = written(kept.select("kind", "value", "surrogate"), "surrogates")
+        settled = kept if settled is None else settled.unionAll(kept)
+        pending = written(pending.join(kept, ["kind", "value"], "left_anti"), "pending")
         if pending.isEmpty():
             return settled
 
@@ -297,7 +296,7 @@ def replace_pii(docs: DataFrame, key: str = KEY, count_as: str | None = None) ->
     # what the expression finds and what lies between, in turn
     entities = found_in(text)
     between = F.split(text, _FOUND, -1)
-    put = F.transform(entities, lambda e: F.coalesce(F.get(F.map_values(F.map_filter(known, lambda k, v: k == e)), F.lit(0)), e))
+    put = F.transform(entities, lambda e: F.coalesce(F.try_element_at(known, e), e))
     # words without a title that are part of a name in the same document
     again, words = own["_again"], own["_words"]
     named = lambda w: F.get(F.filter(words, lambda x: x["word"] == w), F.lit(0))["surrogate"]
