@@ -15,8 +15,8 @@ doc_id), so the driver fits matrices of bounded size; scoring covers every
 document in one map.
 
 Defined cases: a null or empty text has no features and gets the models' base
-rates. Labels that are null are not used; a doc_id with several labels counts
-once for each. Without usable labels nothing is toxic: all probabilities are 0.
+rates. Labels that are null are not used; a doc_id counts once for each of its
+different labels. Without usable labels nothing is toxic: all probabilities are 0.
 Repeated rows and null ids are scored like any other. An empty table gives an
 empty result. Other columns are kept or ignored.
 """
@@ -197,14 +197,14 @@ def fit_chain(row: np.ndarray, at: np.ndarray, targets: np.ndarray, fold: np.nda
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, categories: dict[str, list[str]] = CATEGORIES) -> Chain | None:
     """Learns the chain from at most about ``rows`` labelled documents; None if there are no labels."""
     spark = docs.sparkSession
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").distinct()
     count = usable.count()
     if not count:
         return None
     share = min(1.0, rows / count)
-    ids = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    ids = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < int(share * (1 << 62)))
     # bounded by ``rows``, whatever the size of the tables
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "toxic"])
     sample = written(sample, "toxicity-sample")
     n, hits = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not hits:
