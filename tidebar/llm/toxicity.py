@@ -140,10 +140,10 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where the F1 of out-of-fold probabilities is best: the middle of the best thresholds from 0.15 to 0.6."""
+    """The least threshold from 0.15 to 0.6 at which the F1 of out-of-fold probabilities is within 0.01 of its best: a toxic document missed weighs more than one more found."""
     grid = np.linspace(0.15, 0.6, 46)
     f1 = np.array([2 * (y[p >= t]).sum() / max(1.0, (p >= t).sum() + y.sum()) for t in grid])
-    return float(np.median(grid[f1 >= f1.max() - 1e-9]))
+    return float(grid[f1 >= f1.max() - 0.01].min())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

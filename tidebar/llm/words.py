@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are cut into words at a time; bounds a task's arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _LONG_WORD = 256
 _WORDS_AT_ONCE = 1 << 17
 #: (seed, two odd factors) of the first and of the second hash of words.
