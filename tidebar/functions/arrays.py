@@ -156,22 +156,54 @@ def range_(a: Column) -> Column:
 
 
 def median(a: Column) -> Column:
-    s = F.array_sort(numbers(a))
-    n = F.size(s)
-    half = F.floor(n / 2).cast("int")
-    return F.when(n == 0, None).when(n % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / 2)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        half = F.floor(n / 2).cast("int")
+        return F.when(n == 0, None).when(n % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / 2)
+
+    return _let(F.array_sort(numbers(a)), middle)
 
 
 def mode(a: Column) -> Column:
-    """The most frequent; of several, the first met."""
-    x = numbers(a)
-    counted = F.transform(F.array_distinct(x), lambda v, i: F.struct(F.size(F.filter(x, lambda y: y == v)).alias("n"), (-i).alias("i"), v.alias("v")))
-    return F.array_max(counted)["v"]
+    """The most frequent; of several, the first met. Counts come from one pass over the sorted places."""
+    placed = F.array_sort(F.transform(numbers(a), lambda v, i: F.struct(v.cast("double").alias("v"), i.alias("i"))))
+    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(None).cast("double").alias("v")).alias("best"))
+
+    def step(s: Column, p: Column) -> Column:
+        same = F.coalesce(s["v"] == p["v"], F.lit(False))
+        n, i = F.when(same, s["n"] + 1).otherwise(1), F.when(same, s["i"]).otherwise(-p["i"])
+        return F.struct(p["v"].alias("v"), n.alias("n"), i.alias("i"), F.greatest(s["best"], F.struct(n.alias("n"), i.alias("i"), p["v"].alias("v"))).alias("best"))
+
+    return F.aggregate(placed, start, step)["best"]["v"]
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once for the row: a lambda evaluates what stands in it again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _moments(pairs: Column) -> Column:
+    """n, and sums of x, y, x * x, y * y and x * y of an array of (x, y), each less the first pair so that large values keep their digits: one pass."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def add(first: Column):
+        def one(s: Column, p: Column) -> Column:
+            x, y = p["x"] - first["x"], p["y"] - first["y"]
+            return F.struct((s["n"] + 1.0).alias("n"), (s["x"] + x).alias("x"), (s["y"] + y).alias("y"), (s["xx"] + x * x).alias("xx"), (s["yy"] + y * y).alias("yy"), (s["xy"] + x * y).alias("xy"))
+
+        return one
+
+    return _let(F.struct(pairs.alias("p"), F.get(pairs, F.lit(0)).alias("first")), lambda r: F.aggregate(r["p"], zero, add(r["first"])))
+
+
+def _spread(s: Column, over: Column, x: str = "x", y: str = "x") -> Column:
+    """Of moments, the sum of products about the means, divided."""
+    return F.try_divide(s[x + y] - F.try_divide(s[x] * s[y], s["n"]), over)
 
 
 def variance(a: Column, biased: bool = True) -> Column:
-    x, mean = numbers(a), avg(a)
-    return F.try_divide(_fold(x, lambda s, v: s + (v - mean) * (v - mean)), F.size(x) - (0 if biased else 1))
+    pairs = F.transform(numbers(a), lambda v: F.struct(v.cast("double").alias("x"), F.lit(0.0).alias("y")))
+    return _let(_moments(pairs), lambda s: F.greatest(_spread(s, s["n"] - (0 if biased else 1)), F.lit(0.0) * s["n"] + F.when(s["n"] > (0 if biased else 1), 0.0)))
 
 
 def stdev(a: Column, biased: bool = True) -> Column:
@@ -200,8 +232,8 @@ def percentrank(a: Column, value: Column) -> Column:
 
 
 def standardize(a: Column, biased: bool = True) -> Column:
-    mean, spread = avg(a), stdev(a, biased)
-    return F.transform(numbers(a), lambda x: F.when(spread == 0, 0.0).otherwise((x - mean) / spread))
+    row = F.struct(numbers(a).alias("x"), avg(a).alias("mean"), stdev(a, biased).alias("spread"))
+    return _let(row, lambda r: F.transform(r["x"], lambda x: F.when(r["spread"] == 0, 0.0).otherwise((x - r["mean"]) / r["spread"])))
 
 
 def _pairs(a: Column, b: Column) -> Column:
@@ -210,27 +242,25 @@ def _pairs(a: Column, b: Column) -> Column:
 
 
 def covariance(a: Column, b: Column, biased: bool = True) -> Column:
-    p = _pairs(a, b)
-    mx, my = (F.try_divide(_fold(F.transform(p, lambda s: s[c]), lambda t, v: t + v), F.size(p)) for c in "xy")
-    return F.try_divide(F.aggregate(p, F.lit(0.0), lambda t, s: t + (s["x"] - mx) * (s["y"] - my)), F.size(p) - (0 if biased else 1))
+    return _let(_moments(_pairs(a, b)), lambda s: _spread(s, s["n"] - (0 if biased else 1), "x", "y"))
 
 
 def correlation(a: Column, b: Column) -> Column:
-    p = _pairs(a, b)
-    x, y = (F.transform(p, lambda s: s[c]) for c in "xy")
-    return finite(F.try_divide(covariance(a, b), F.sqrt(variance(x) * variance(y))))
+    one = F.lit(1.0)
+    return _let(_moments(_pairs(a, b)), lambda s: finite(F.try_divide(_spread(s, one, "x", "y"), F.sqrt(F.greatest(_spread(s, one) * _spread(s, one, "y", "y"), F.lit(0.0))))))
 
 
 def percentile_linear_interpolation(a: Column, percentage: float) -> Column:
-    s = F.array_sort(numbers(a))
-    place = (percentage / 100) * (F.size(s) - 1)
-    low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
-    return low + (high - low) * (place - F.floor(place))
+    def between(s: Column) -> Column:
+        place = (percentage / 100) * (F.size(s) - 1)
+        low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return _let(F.array_sort(numbers(a)), between)
 
 
 def percentile_nearest_rank(a: Column, percentage: float) -> Column:
-    s = F.array_sort(numbers(a))
-    return F.get(s, F.greatest(F.lit(1), F.ceil(percentage / 100 * F.size(s))).cast("int") - 1)
+    return _let(F.array_sort(numbers(a)), lambda s: F.get(s, F.greatest(F.lit(1), F.ceil(percentage / 100 * F.size(s))).cast("int") - 1))
 
 
 # -- maps ----------------------------------------------------------------------------
