@@ -37,7 +37,7 @@ from .words import U64, Words, cut_bytes, slices, utf8
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 12, 1 << 10, 1 << 15
 _REACH = 32
 #: Words, and bytes of chunks, that a worker remembers at most, about.
-MEMO_WORDS, MEMO_BYTES = 1_000_000, 32 << 20
+MEMO_WORDS, MEMO_BYTES = 500_000, 16 << 20
 
 
 def tokenizer_path() -> str:
@@ -46,6 +46,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_IDS_AT_ONCE = 1 << 16
 #: Everything but the space; and the first bytes of characters that may be white space.
 _UNSPACED = np.array([b != 0x20 for b in range(256)])
 _MARK = np.array([b in b".,;:!?" for b in range(256)])
@@ -206,8 +207,8 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, and where each id's begin (one more entry than ids)."""
-        size = self.lengths[ids]
-        return _gathered(self.bytes, self.starts[ids], size), np.concatenate([[0], np.cumsum(size)])
+        parts = [_gathered(self.bytes, self.starts[x], self.lengths[x]) for x in np.split(ids, range(_IDS_AT_ONCE, len(ids), _IDS_AT_ONCE))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(self.lengths[ids])])
 
 
 def _byte_letters() -> list[str]:
@@ -381,7 +382,7 @@ def _coded(path: str, digests: bool):
         plain = encoder(path)
         chunked = ChunkedEncoder(plain)
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=2 << 20):
                 ids = chunked.encode(*utf8(part.column("text")))
                 n = np.array([len(x) for x in ids], np.int64)
                 data, upto = plain.decode(np.concatenate(ids)) if n.sum() else (np.zeros(0, np.uint8), np.zeros(1, np.int64))

@@ -40,7 +40,7 @@ SELECTORS = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 _COUNTS = np.array([n for n, _ in SELECTORS] + [1])
 _U = np.uint64
 
