@@ -25,7 +25,8 @@ def fields(t: Column, zone: str = VENUE) -> dict[str, Column]:
 def timestamp(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, zone: str = VENUE) -> Column:
     """Epoch milliseconds of wall-clock fields."""
     wall = F.make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
-    return F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {})".format(F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)._jc.toString())) * 1000
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), utc).cast("long") * 1000
 
 
 def period_key(t: Column, tf: str, zone: str = VENUE) -> Column:
@@ -80,10 +81,15 @@ def open_days(days: DataFrame, holidays: DataFrame, column: str = "day") -> Data
 
 
 def session_flags(t: Column, session: str | None, step: int, zone: str = VENUE) -> dict[str, Column]:
-    """ismarket, isfirstbar, islastbar; a venue without a session is always open."""
+    """ismarket, isfirstbar, islastbar, the latter also as regular ones, ispremarket and ispostmarket; a venue without a session is always open."""
+    never = {"ispremarket": F.lit(False), "ispostmarket": F.lit(False)}
     if session is None:
-        return {"ismarket": F.lit(True), "isfirstbar": F.lit(False), "islastbar": F.lit(False)}
+        return {"ismarket": F.lit(True), "isfirstbar": F.lit(False), "islastbar": F.lit(False), "isfirstbar_regular": F.lit(False), "islastbar_regular": F.lit(False)} | never
     now = in_session(t, session, zone)
-    return {"ismarket": now, "isfirstbar": now & ~in_session(t - step, session, zone), "islastbar": now & ~in_session(t + step, session, zone)}
+    first, last = now & ~in_session(t - step, session, zone), now & ~in_session(t + step, session, zone)
+    return {"ismarket": now, "isfirstbar": first, "islastbar": last, "isfirstbar_regular": first, "islastbar_regular": last} | never
 
 
+def now_ms() -> Column:
+    """The clock, in milliseconds."""
+    return F.unix_millis(F.current_timestamp())

@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import asof
 from .folds import Reversal, fold
 
 #: Bands of a print's amount, largest first: name and least amount.
@@ -95,11 +94,21 @@ def large_prints(ticks: DataFrame, first: float, second: float, cluster: int = 3
 
 
 def forward_returns(events: DataFrame, ticks: DataFrame, minutes: tuple[int, ...] = (5, 15, 30, 60)) -> DataFrame:
-    """Adds ret_m: the change of price up to the first tick at least m minutes later, in percent; NULL if there is none."""
-    for m in minutes:
-        events = asof(events, ticks, F.col("t") + 60 * m, F.col("t"), F.struct("t", "price"), "_later", ["symbol"], forward=True)
-        events = events.withColumn(f"ret_{m}", 100 * F.try_divide(F.col("_later.price") - F.col("price"), F.col("price"))).drop("_later")
-    return events
+    """Adds ret_m: the change of price up to the first tick at least m minutes later, in percent; NULL if there is none.
+
+    All deadlines of all events stand in one order with the ticks, so everything
+    is shuffled and sorted once; an event's deadlines come together in place.
+    """
+    deadline = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), (F.col("t") + 60 * m).alias("at")) for m in minutes])).alias("_d")
+    ours = events.select(*events.columns, deadline).select("symbol", F.col("_d.at").alias("_k"), F.lit(1).alias("_side"), F.col("_d.m").alias("_m"), F.struct(*events.columns).alias("_row"))
+    ours = ours.withColumn("_v", F.lit(None).cast("struct<price:double>"))
+    theirs = ticks.select("symbol", F.col("t").alias("_k"), F.lit(0).alias("_side"), F.lit(None).cast("int").alias("_m"), F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"), F.struct(F.col("price").cast("double").alias("price")).alias("_v"))
+    order = Window.partitionBy("symbol").orderBy(F.col("_k").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    later = ours.unionByName(theirs).withColumn("_later", F.last("_v", ignorenulls=True).over(order)["price"]).where("_side = 1")
+    by_event = later.groupBy("symbol", "_row").agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("_m") == m, F.col("_later"))).alias(f"_{m}") for m in minutes])
+    # equal events come out as many times as they went in
+    times = F.explode(F.sequence(F.lit(1), (F.col("_n") / len(minutes)).cast("int")))
+    return by_event.withColumn("_time", times).select("_row.*", *[(100 * F.try_divide(F.col(f"_{m}") - F.col("_row.price"), F.col("_row.price"))).alias(f"ret_{m}") for m in minutes])
 
 
 def net_flow(ticks: DataFrame, least: float, seconds: int = 3600) -> DataFrame:
@@ -108,6 +117,41 @@ def net_flow(ticks: DataFrame, least: float, seconds: int = 3600) -> DataFrame:
     return ticks.withColumn("net", F.coalesce(F.sum(F.when(F.col("amount") >= least, F.col("amount") * F.col("dir"))).over(recent), F.lit(0.0)))
 
 
-def reversals(ticks: DataFrame, least: float) -> DataFrame:
-    """Alerts over ticks with net: 1 where buying is exhausted, -1 where selling relents."""
-    return fold(ticks, [(["alert"], lambda: Reversal(least), ["t", "net"])], order=("t", "seq")).where("alert != 0")
+def reversals(ticks: DataFrame, least: float, print_level: float, opposite: int = 60) -> DataFrame:
+    """Alerts over ticks with net, dir and amount: 1 where buying is exhausted, -1 where selling relents.
+
+    An alert needs a print of ``print_level`` against the flow within the last ``opposite`` seconds.
+    """
+    recent = Window.partitionBy("symbol").orderBy("t").rangeBetween(-opposite, 0)
+    large = lambda way: F.coalesce(F.max(F.when((F.col("amount") >= print_level) & (F.col("dir") == way), 1)).over(recent), F.lit(0))
+    ticks = ticks.withColumns({"_bought": large(1), "_sold": large(-1)})
+    return fold(ticks, [(["alert"], lambda: Reversal(least), ["t", "net", "_bought", "_sold"])], order=("t", "seq")).where("alert != 0").drop("_bought", "_sold")
+
+
+#: Price tiers, fixed values: (least price, L1, L1-lite, L2, least reversal); an L1-lite of 0 is none.
+TIERS = [(1000.0, 100e6, 0.0, 30e6, 90e6), (100.0, 50e6, 0.0, 15e6, 45e6), (0.0, 30e6, 8e6, 10e6, 30e6)]
+
+
+def tier(price: Column, tiers: list[tuple] = TIERS) -> dict[str, Column]:
+    """The levels l1, l1_lite, l2 and l3 that hold for a price."""
+    def level(k: int) -> Column:
+        out = F.lit(tiers[-1][k])
+        for row in reversed(tiers[:-1]):
+            out = F.when(price >= row[0], F.lit(row[k])).otherwise(out)
+        return out
+
+    return {"l1": level(1), "l1_lite": level(2), "l2": level(3), "l3": level(4)}
+
+
+def tiered_prints(ticks: DataFrame, tiers: list[tuple] = TIERS, cluster: int = 3, span: int = 300) -> DataFrame:
+    """Adds for each tick, by the tier of its symbol's first price: is_l1, is_l1_lite, is_l2, and l2_cluster where at least ``cluster`` L2 ticks stand within ``span`` seconds up to it and none of them is against another."""
+    first = F.first("price").over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    levels, amount = tier(first, tiers), F.col("amount")
+    ticks = ticks.withColumns({"is_l1": amount >= levels["l1"], "is_l1_lite": (levels["l1_lite"] > 0) & (amount >= levels["l1_lite"]) & (amount < levels["l1"]), "is_l2": amount >= levels["l2"]})
+    # ticks of one second count in the order in which they came
+    at = (F.col("t") * 1_000_000 + F.row_number().over(Window.partitionBy("symbol", "t").orderBy("seq"))).cast("long")
+    recent = Window.partitionBy("symbol").orderBy("_at").rangeBetween(-span * 1_000_000 - 999_999, 0)
+    ticks = ticks.withColumn("_at", at)
+    way = F.when(F.col("is_l2"), F.col("dir"))
+    alike = (F.min(way).over(recent) >= 0) | (F.max(way).over(recent) <= 0)
+    return ticks.withColumn("l2_cluster", F.col("is_l2") & (F.count(way).over(recent) >= cluster) & alike).drop("_at")

@@ -331,7 +331,7 @@ class ZigZag:
 
 
 class Reversal:
-    """Alerts when net flow falls back from its 30-minute peak (1) or trough (-1); an alert sets the extremes anew and holds for a while."""
+    """Alerts when net flow falls back from its 30-minute peak (1) or trough (-1) while a large print goes against it; an alert sets the extremes anew and holds for a while."""
 
     outputs = 1
 
@@ -340,7 +340,7 @@ class Reversal:
         self.recent: deque = deque()
         self.last = None
 
-    def step(self, t, net):
+    def step(self, t, net, bought, sold):
         self.recent.append((t, net))
         while self.recent[0][0] < t - self.span:
             self.recent.popleft()
@@ -348,9 +348,9 @@ class Reversal:
             return (0.0,)
         peak, trough = max(v for _, v in self.recent), min(v for _, v in self.recent)
         out = 0.0
-        if peak >= 2 * self.least and peak - net >= max(self.least, self.share * peak):
+        if sold and peak >= 2 * self.least and peak - net >= max(self.least, self.share * peak):
             out = 1.0
-        elif trough <= -2 * self.least and net - trough >= max(self.least, -self.share * trough):
+        elif bought and trough <= -2 * self.least and net - trough >= max(self.least, -self.share * trough):
             out = -1.0
         if out:
             self.last = t

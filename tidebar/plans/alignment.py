@@ -38,10 +38,10 @@ def mtf_security_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_excursions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runup and drawdown of trades that open every tenth bar and close seven bars later."""
+    """Runup and drawdown of trades that open on every bar and close seven bars later."""
     b = hourly(spark, sf_dir)
     last = b.groupBy("symbol").agg(F.max("i").alias("last"))
-    trades = b.where("i % 10 = 0").join(last, "symbol").select("symbol", F.col("i").alias("entry"), F.least(F.col("i") + 7, F.col("last")).alias("exit"), F.when(F.col("i") % 20 == 0, 1).otherwise(-1).alias("dir"), F.col("open").alias("price"))
+    trades = b.join(last, "symbol").select("symbol", F.col("i").alias("entry"), F.least(F.col("i") + 7, F.col("last")).alias("exit"), F.when(F.col("i") % 2 == 0, 1).otherwise(-1).alias("dir"), F.col("open").alias("price"))
     return shown(A.excursions(trades, b), ["symbol", "entry", "exit", "dir"], {"runup": "runup", "drawdown": "drawdown"})
 
 
@@ -85,7 +85,7 @@ def flow_forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reversal alerts of hourly net flow."""
-    return shown(W.reversals(W.net_flow(_ticks(spark, sf_dir), 60.0, 36_000), 100.0), ["symbol", "t", "seq"], {"net": "net", "alert": "alert"})
+    return shown(W.reversals(W.net_flow(_ticks(spark, sf_dir), 60.0, 36_000), 100.0, 60.0, 7_200), ["symbol", "t", "seq"], {"net": "net", "alert": "alert"})
 
 
 def tick_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ SQL = {
     "mtf_security": f"{_WITH}, {_DAYS}, x AS (SELECT b.*, d.close AS off, d.mean3 AS off_mean, d.t AS dt FROM b ASOF LEFT JOIN d ON b.symbol = d.symbol AND b.t >= d.avail), y AS (SELECT x.*, d.close AS onn FROM x ASOF LEFT JOIN d ON x.symbol = d.symbol AND x.t + 3599 >= d.t) SELECT symbol, t, "
     + sql_shown({"close": "close", "off": "off", "off_mean": "off_mean", "\"on\"": "onn", "gap": "CASE WHEN dt IS DISTINCT FROM lag(dt) OVER (PARTITION BY symbol ORDER BY t) THEN off END", "off_before": "lag(off) OVER (PARTITION BY symbol ORDER BY t)"}) + " FROM y",
     "mtf_security_lower": f"{_WITH} SELECT symbol, t - t % 86400 AS t, {sql_shown({'n': 'count(*)', 'first': 'first(close ORDER BY t)', 'last': 'last(close ORDER BY t)', 'total': 'sum(close)'})} FROM bars GROUP BY 1, 2",
-    "trade_excursions": f"{_WITH}, tr AS (SELECT b.symbol, b.i AS entry, least(b.i + 7, l.m) AS exit, CASE WHEN b.i % 20 = 0 THEN 1 ELSE -1 END AS dir, b.open AS price FROM b JOIN (SELECT symbol, max(i) AS m FROM b GROUP BY 1) l USING (symbol) WHERE b.i % 10 = 0) SELECT tr.symbol, entry, exit, dir, {sql_shown({'runup': 'greatest(0, max(CASE WHEN dir > 0 THEN high - price ELSE price - low END))', 'drawdown': 'greatest(0, max(CASE WHEN dir > 0 THEN price - low ELSE high - price END))'})} FROM tr JOIN b ON b.symbol = tr.symbol AND b.i BETWEEN entry AND exit GROUP BY 1, 2, 3, 4",
+    "trade_excursions": f"{_WITH}, tr AS (SELECT b.symbol, b.i AS entry, least(b.i + 7, l.m) AS exit, CASE WHEN b.i % 2 = 0 THEN 1 ELSE -1 END AS dir, b.open AS price FROM b JOIN (SELECT symbol, max(i) AS m FROM b GROUP BY 1) l USING (symbol)) SELECT tr.symbol, entry, exit, dir, {sql_shown({'runup': 'greatest(0, max(CASE WHEN dir > 0 THEN high - price ELSE price - low END))', 'drawdown': 'greatest(0, max(CASE WHEN dir > 0 THEN price - low ELSE high - price END))'})} FROM tr JOIN b ON b.symbol = tr.symbol AND b.i BETWEEN entry AND exit GROUP BY 1, 2, 3, 4",
     "flow_direction": f"WITH {_TICKS} SELECT symbol, t, seq, dir FROM k",
     "flow_bands": f"WITH {_TICKS}, m AS (SELECT symbol, t - t % 60 AS minute, " + ", ".join(f"coalesce(sum(CASE WHEN {_BAND} = '{b}' THEN dir * volume END), 0) AS {b}" for b, _ in W.BANDS) + " FROM k GROUP BY 1, 2) SELECT symbol, minute, " + sql_shown({n: e for b, _ in W.BANDS for n, e in ((b, b), (f"cum_{b}", f"sum({b}) OVER (PARTITION BY symbol ORDER BY minute)"))}) + " FROM m",
     "flow_histogram": f"WITH {_TICKS} SELECT symbol, CAST((amount >= 20)::INT + (amount >= 50)::INT + (amount >= 100)::INT + (amount >= 200)::INT + (amount >= 400)::INT AS INT) AS bin, count(*) AS n FROM k GROUP BY 1, 2",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, features, indicators, paper, recurrences, scalars, streams, trading
+from . import alignment, extras, features, indicators, paper, recurrences, scalars, sources, streams, trading
 
-_MODULES = (indicators, recurrences, alignment, trading, scalars, features, paper, streams)
+_MODULES = (indicators, recurrences, alignment, trading, scalars, features, paper, streams, sources, extras)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

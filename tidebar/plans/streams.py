@@ -18,14 +18,23 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
 
 
-def _result(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what there is and returns what it wrote."""
+def result(df: DataFrame, name: str, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over what there is and returns what it wrote.
+
+    Each batch is a table of its own, named by its number and overwritten if it
+    is run again, so a restart doubles nothing. In update mode the newest batch
+    that has a key holds its row.
+    """
     spark = df.sparkSession
     path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-state")
-    write = "overwrite" if mode == "complete" else "append"
-    q = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(path)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = df.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    if mode == "update":
+        rest = [c for c in df.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
+    return rows.select(*df.columns)
 
 
 def _seconds(df: DataFrame) -> DataFrame:
@@ -34,20 +43,20 @@ def _seconds(df: DataFrame) -> DataFrame:
 
 def stream_hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of a stream of ticks."""
-    out = _result(S.minute_bars(_events(spark, sf_dir), "1 hour"), "stream-bars", "complete")
+    out = result(S.minute_bars(_events(spark, sf_dir), "1 hour"), "stream-bars", "update", ("symbol", "ts"))
     return shown(_seconds(out), ["symbol", "t"], {c: c for c in ("open", "high", "low", "close", "volume")})
 
 
 def stream_sliding_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume of 3-hour windows that begin every hour."""
-    out = _result(S.sliding_volume(_events(spark, sf_dir), "3 hours", "1 hour"), "stream-volume", "complete")
+    out = result(S.sliding_volume(_events(spark, sf_dir), "3 hours", "1 hour"), "stream-volume", "update", ("symbol", "ts"))
     return shown(_seconds(out), ["symbol", "t"], {"volume": "volume"})
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks that a stream keeps when each comes twice, by symbol."""
+    """Ticks that a stream keeps when each comes twice."""
     twice = _events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return _result(S.dedup(twice, ["symbol", "seq"]), "stream-dedup", "append").groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("keys"))
+    return shown(result(S.dedup(twice, ["symbol", "seq"]), "stream-dedup", "append"), ["symbol", "seq"], {"price": "price"})
 
 
 def stream_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +67,7 @@ def stream_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "stream-input")
     bars.write.parquet(path)
     stream = spark.readStream.schema(bars.schema).parquet(path)
-    out = _result(S.averages(stream, 10), "stream-averages", "append")
+    out = result(S.averages(stream, 10), "stream-averages", "append")
     return shown(_seconds(out), ["symbol", "t"], {"ema": "ema", "rma": "rma"})
 
 
@@ -70,6 +79,6 @@ QUERIES = {f.__name__: f for f in (stream_hourly_bars, stream_sliding_volume, st
 SQL = {
     "stream_hourly_bars": f"WITH {BARS_SQL} SELECT symbol, t, {sql_shown({c: c for c in ('open', 'high', 'low', 'close', 'volume')})} FROM bars",
     "stream_sliding_volume": f"WITH k AS (SELECT event_type AS symbol, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 3600 * unnest([0, 1, 2]) AS t FROM events) SELECT symbol, t, {sql_shown({'volume': 'count(*)'})} FROM k GROUP BY 1, 2",
-    "stream_dedup": "SELECT event_type AS symbol, count(*) AS n, count(DISTINCT event_id) AS keys FROM events GROUP BY 1",
+    "stream_dedup": f"SELECT DISTINCT event_type AS symbol, event_id AS seq, {sql_shown({'price': 'value'})} FROM events",
     "stream_averages": f"SELECT e.symbol, e.t, e.ema, w.rma FROM ({_inner('ta_exponential')}) e JOIN ({_inner('ta_wilder')}) w USING (symbol, t)",
 }
