@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,30 @@ def test_files(spark, tmp_path):
     k = spark.createDataFrame([("s", [1, 2], [1.0, None], [1.0, 1.0], [1.0, 1.0], [1.0, 1.0], [None, 1.0])], files.KLINES)
     assert [(r.t, r.volume) for r in files.klines(k).collect()] == [(1, 0.0)]
     assert files.verify_dedup(log, log.dropDuplicates(["ts"]), ["ts"]) == {"appeared": 0, "vanished": 0, "double": 0}
+
+
+def test_reversals_equal_a_plain_walk(spark):
+    """Net flow, the opposite print and the alerts, against one pass over each symbol's ticks in Python."""
+    rnd = random.Random(4)
+    rows = [(s, 40 * k + rnd.randrange(30), k, float(rnd.choice([5, 20, 70, 130])), (rnd.random() < 0.5 + 0.4 * math.sin(k / 15)) * 2 - 1) for s in "ab" for k in range(400)]
+    ticks = spark.createDataFrame(rows, "symbol string, t long, seq long, amount double, dir int")
+    got = {(r.symbol, r.seq): int(r.alert) for r in flow.reversals(flow.net_flow(ticks, 20.0, 3600), 100.0, 70.0, 60).collect()}
+    want = {}
+    for s in "ab":
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], r[2]))
+        net = {r[2]: sum(x[3] * x[4] for x in own if r[1] - 3600 <= x[1] <= r[1] and x[3] >= 20) for r in own}
+        since, alerted = 0, None
+        for n, (_, t, seq, _, _) in enumerate(own):
+            if alerted is not None and t - alerted < 300:
+                continue
+            seen = [net[r[2]] for r in own[since : n + 1] if r[1] >= t - 1800]
+            near = [r for r in own if t - 60 <= r[1] <= t and r[3] >= 70]
+            peak, trough, now = max(seen), min(seen), net[seq]
+            alert = 0
+            if peak >= 200 and peak - now >= max(100, 0.3 * peak) and any(r[4] < 0 for r in near):
+                alert = 1
+            elif trough <= -200 and now - trough >= max(100, -0.3 * trough) and any(r[4] > 0 for r in near):
+                alert = -1
+            if alert:
+                want[s, seq], alerted, since = alert, t, n
+    assert got == want and {1, -1} <= set(want.values())

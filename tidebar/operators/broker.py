@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ship
+
 ORDER = "seq int, kind string, id string, dir int, qty double, limit double, stop double, oca string, comment string"
 #: Columns that orders may have besides.
 DISTANCES = ["profit", "loss", "trail", "offset"]
@@ -263,6 +265,7 @@ def replay(bars: DataFrame, orders: DataFrame, config: Config = Config()) -> Dat
                 out.append((own, i, t, c, book.equity(c), book.position, book.average if book.legs else None, open_profit, book.realized, len(book.legs), executed, closed))
             yield pd.DataFrame(out, columns=["symbol", "i", "t", "close", *[x.strip().split()[0] for x in ("equity", "position", "avg_price", "open_profit", "realized", "open_legs", "executions", "trades")]])
 
+    ship(dealt.sparkSession)
     return dealt.mapInPandas(run, f"symbol string, i bigint, t bigint, close double, {_BAR}")
 
 

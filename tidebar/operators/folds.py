@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .. import ship
+
 
 class Ema:
     """Starts with the first value; NULL gives NULL and starts anew."""
@@ -385,4 +387,5 @@ def fold(bars: DataFrame, kernels: list[tuple], key: str = "symbol", order: tupl
                         at += 1
             yield pd.concat([pdf[keep], pd.DataFrame(dict(zip(names, out, strict=True)), index=pdf.index, dtype="float64")], axis=1)
 
+    ship(bars.sparkSession)
     return dealt.mapInPandas(run, schema)

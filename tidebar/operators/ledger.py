@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
+
 _OUT = ["order_id", "symbol", "side", "qty", "fill_t", "fill_price", "exit_t", "exit_price", "pnl"]
 
 
@@ -74,4 +76,5 @@ def replay(ticks: DataFrame, orders: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=_OUT)
         yield pd.DataFrame([(p["order_id"], p["symbol"], p["side"], p["qty"], p["fill_t"], p["fill_price"], None, None, None) for p in held], columns=_OUT)
 
+    ship(events.sparkSession)
     return events.mapInPandas(run, "order_id long, symbol string, side string, qty double, fill_t long, fill_price double, exit_t long, exit_price double, pnl double")

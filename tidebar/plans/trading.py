@@ -12,6 +12,7 @@ from ..operators import guard as G
 from ..operators import ranking as N
 from ..operators import rating as V
 from ..operators import rolling as R
+from ..operators import trades as H
 from .common import BARS_SQL, frame, hourly, shown, sql6, sql_full, sql_lag, sql_shown, table
 
 _NO = lambda kind: F.lit(None).cast(kind)
@@ -30,22 +31,20 @@ def _entries(b: DataFrame, qty: float | None = None) -> DataFrame:
 
 def strategy_reversal_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of a strategy that is always long or short, by crossings of two means."""
-    b = hourly(spark, sf_dir)
-    closed = K.trades(K.replay(b, _entries(b), K.Config(commission=0.1)))
+    closed = H.reversal_trades(_signals(hourly(spark, sf_dir)), commission=0.1).where("exit_bar is not null")
     return shown(closed, ["symbol", "entry_bar", "exit_bar", "dir"], {c: c for c in ("qty", "entry_price", "exit_price", "profit", "commission")})
 
 
 def strategy_reversal_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its account at each bar: equity, position, open profit, greatest drawdown and runup."""
     b = hourly(spark, sf_dir)
-    account = K.drawdowns(K.replay(b, _entries(b)))
+    account = H.reversal_equity(b, H.reversal_trades(_signals(b)))
     return shown(account, ["symbol", "i"], {c: c for c in ("equity", "position", "avg_price", "open_profit", "max_drawdown", "max_runup", "max_held")})
 
 
 def strategy_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and means of its closed trades."""
-    b = hourly(spark, sf_dir)
-    s = K.statistics(K.trades(K.replay(b, _entries(b))))
+    s = H.statistics(H.reversal_trades(_signals(hourly(spark, sf_dir))))
     return shown(s, ["symbol"], {c: c for c in s.columns if c != "symbol"})
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import ship
 from ..operators.folds import Ema, Rma
 
 
@@ -59,6 +60,7 @@ def averages(bars: DataFrame, n: int = 10) -> DataFrame:
         state.update((ema.p, rma.p, rma.bar, [float(v) for v in rma.last], last))
         yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema", "rma"])
 
+    ship(bars.sparkSession)
     return bars.groupBy("symbol").applyInPandasWithState(
         step, "symbol string, ts timestamp, close double, ema double, rma double", "ema double, rma double, bar bigint, last array<double>, ts bigint", "append", GroupStateTimeout.NoTimeout
     )
