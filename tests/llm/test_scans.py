@@ -287,6 +287,21 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_equals_dense_kernel_ridge(spark):
+    """The features stand for a Gaussian kernel: a ridge on the kernel's whole matrix decides held-out documents alike."""
+    d = "/root/testdata/sf0.01"
+    real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = quality.score_quality(real, labels).join(real.select("doc_id", "text"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id").toPandas()
+    x = quality.statistics(pa.array(got.text))
+    held, y = got.held_out.to_numpy(), got.quality.to_numpy().astype(float)
+    x = (x - x[~held].mean(axis=0)) / np.where(x[~held].std(axis=0) > 1e-9, x[~held].std(axis=0), 1)
+    kernel = np.exp(-((x[:, None, :] - x[None, ~held, :]) ** 2).sum(axis=2) / (2 * quality.KERNEL_WIDTH**2))
+    mean = y[~held].mean()
+    weights = np.linalg.solve(kernel[~held] + 0.1 * np.eye(int((~held).sum())), y[~held] - mean)
+    dense = (kernel[held] @ weights + mean >= 0.5).astype(int)
+    assert (dense == got.predicted[held]).mean() > 0.95
+
+
 def test_isotonic():
     y = np.array([1.0, 3, 2, 4, 3.5, 5])
     z = quality.isotonic(np.arange(6), y, np.ones(6))

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import ship
 from .shared import table
 from .words import U64, Words, cut_bytes, slices, utf8
 
@@ -403,6 +404,7 @@ _NAMES = {True: ["ids_sha256", "decoded_sha256"], False: ["ids", "decoded"]}
 
 def encode_and_decode(docs: DataFrame, path: str | None = None, digests_only: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, decoded; or the digests of the last two."""
+    ship(docs.sparkSession)
     kinds = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string"
     return docs.select("doc_id", "text").mapInArrow(_coded(path or tokenizer_path(), digests_only), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, {kinds}")
 

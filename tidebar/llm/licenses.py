@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import ship
 from .shared import table
 from .words import ALNUM, U64, cut, slices
 
@@ -399,6 +400,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
 
 

@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
 from .graph import connected_components
 from .shared import release_shuffles, table, written
 from .substring import pack_sorted, unpack_sorted
@@ -385,6 +386,7 @@ def _by_unit(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = written(docs.mapInArrow(_features(size, bands, rows), _FEATURES), "features")
     groups = written(features.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("set_key", "first"), "groups")

@@ -14,7 +14,7 @@ all labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
 Defined cases: a null or empty text has statistics of zero and is scored like
 any other. Null labels are not used; without any usable label all scores are
-0.5. Null ids are not learnt from; for them held_out is false. Repeated rows
+0.5; a doc_id counts once for each of its labels. Null ids are not learnt from; for them held_out is false. Repeated rows
 are scored each. An empty table gives an empty result. Other columns are
 ignored.
 """
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
 from .shared import table, written
 from .words import SPACED, cut, slices, utf8
 
@@ -263,6 +264,7 @@ def _held_out(column: str):
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = written(docs.select("doc_id", "text").mapInArrow(_statistics, f"doc_id {kind}, x array<double>"), "statistics")
     model = train(features, labels)

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from .bpe import encoder, tokenizer_path
 from .shared import new_path, table
 from .words import slices
@@ -183,6 +184,7 @@ def _block(shard: int, block: int, first: int, held: list[tuple]) -> pa.RecordBa
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0) -> None:
     """Encodes all texts, appends the end id to each, and writes them to ``path`` in ascending doc_id order."""
+    ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_blocks(tokenizer or tokenizer_path(), end_id), _FILE_DDL).write.option("compression", "zstd").parquet(path)
@@ -210,6 +212,7 @@ def _decoded(digests: bool):
 
 def read_ids(spark: SparkSession, path: str, digests_only: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids, or the ids' crc32, of every document in the files."""
+    ship(spark)
     blocks = spark.read.schema(_FILE_DDL).parquet(path)
     # one row a shard, so as few as there were write tasks
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))

@@ -40,6 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
 from .shared import new_path, release_shuffles, remove, table
 from .words import U64, cut_bytes, mix64, shingles, slices, utf8
 
@@ -373,6 +374,7 @@ def dedup_batch(docs: DataFrame, index: FingerprintIndex, keep_run: bool = True,
     The batch's blocks are deleted when its result is written. Returns doc_id, n_words, n_removed and kept_text, or kept_sha256 in its place with ``digests_only``.
     """
     spark = docs.sparkSession
+    ship(spark)
     path, results = new_path(spark, "blocks"), new_path(spark, "deduplicated")
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_to_blocks, _BLOCK).write.parquet(path)
     blocks = spark.read.schema(_BLOCK).parquet(path)

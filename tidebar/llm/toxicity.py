@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
 from .shared import table, written
 from .words import ALNUM, U64, Words, cut, mix64, slices
 
@@ -197,6 +198,7 @@ def fit_chain(row: np.ndarray, at: np.ndarray, targets: np.ndarray, fold: np.nda
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, categories: dict[str, list[str]] = CATEGORIES) -> Chain | None:
     """Learns the chain from at most about ``rows`` labelled documents; None if there are no labels."""
     spark = docs.sparkSession
+    ship(spark)
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").distinct()
     count = usable.count()
     if not count:
@@ -246,6 +248,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: dict[str, list[str]]
     names = [*categories, TARGET]
     if chain is None:
         return docs.select("doc_id", *[F.lit(0.0).alias(f"p_{x}") for x in names], F.lit(False).alias("toxic"))
+    ship(docs.sparkSession)
     limit = chain.threshold if threshold is None else threshold
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -265,6 +268,7 @@ def reject_toxic(docs: DataFrame, chain: Chain | None, threshold: float | None =
     """The rows of ``docs``, with all their columns, that the chain doesn't call toxic."""
     if chain is None:
         return docs
+    ship(docs.sparkSession)
     limit = chain.threshold if threshold is None else threshold
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
