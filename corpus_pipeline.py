@@ -5,8 +5,17 @@ and read again as the next stage's documents. The first three keep or drop
 documents, the fourth rewrites texts, the last encodes and decodes them.
 
 Toxicity and near duplicates come from trained models and signatures, and
-surrogates from keyed hashes, which SQL can't express, so there is no SQL; the
-stages are tested against brute-force versions.
+surrogates from keyed hashes, which SQL can't express, so there is no SQL. Near
+duplicates, decontamination and tokens are tested against brute-force versions;
+toxicity by its labels, and personal data by what must and must not change.
+
+Defined cases, for every stage: null and empty texts are clean, are nobody's
+near duplicate, contain no benchmark item and no personal data, and have no
+tokens, so they stay. Rows with a null doc_id stay, too. Rows that share a
+doc_id stay or go together as near duplicates, and one by one elsewhere. Of
+copies the one with the smallest doc_id stays; repeated rows of it all stay. An
+empty table gives an empty one. Other columns, whatever their names, are kept up
+to the last stage.
 """
 
 from __future__ import annotations
