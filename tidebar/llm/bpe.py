@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
 from .shared import table
-from .words import U64, Words, cut_bytes, slices, utf8
+from .words import U64, Words, cut_bytes, frugal, slices, utf8
 
 #: Chunks end where the rolling hash has this many zero bits at its end, within these lengths in bytes.
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 12, 1 << 10, 1 << 15
@@ -406,7 +406,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, digests_only: bo
     """doc_id, n_tokens, ids, decoded; or the digests of the last two."""
     ship(docs.sparkSession)
     kinds = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(_coded(path or tokenizer_path(), digests_only), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, {kinds}")
+    return docs.select("doc_id", "text").mapInArrow(frugal(_coded(path or tokenizer_path(), digests_only)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, {kinds}")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ from .. import ship
 from .graph import connected_components
 from .shared import release_shuffles, table, written
 from .substring import pack_sorted, unpack_sorted
-from .words import U64, cut, mix64, shingles, slices
+from .words import U64, cut, frugal, mix64, shingles, slices
 
 BANDS, ROWS = 32, 5
 _ROWS_AT_ONCE = 1024
@@ -357,7 +357,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             own = batch.column("doc_id").to_numpy()
             yield from _members(size)(slices(batch.filter(pa.array(wanted[mix64(own.view(np.uint64)) >> U64(64 - _BITMAP)]))))
 
-    out = written(docs.mapInArrow(run, "node long, members binary"), "sets")
+    out = written(docs.mapInArrow(frugal(run), "node long, members binary"), "sets")
     asked.destroy()
     return out
 
@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = written(docs.mapInArrow(_features(size, bands, rows), _FEATURES), "features")
+    features = written(docs.mapInArrow(frugal(_features(size, bands, rows)), _FEATURES), "features")
     groups = written(features.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("set_key", "first"), "groups")
     own = F.coalesce("first", "doc_id")
     chief = lambda c: F.when(F.col("doc_id") == own, F.col(c)).alias(c)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from .bpe import encoder, tokenizer_path
 from .shared import new_path, table
-from .words import slices
+from .words import frugal, slices
 
 #: (ids in a word, bits of each), for selectors 0 to 14; selector 15 is the escape. 120 ids of 0 bits are zeros.
 SELECTORS = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -187,7 +187,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_blocks(tokenizer or tokenizer_path(), end_id), _FILE_DDL).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(frugal(_blocks(tokenizer or tokenizer_path(), end_id)), _FILE_DDL).write.option("compression", "zstd").parquet(path)
 
 
 def _decoded(digests: bool):
@@ -217,7 +217,7 @@ def read_ids(spark: SparkSession, path: str, digests_only: bool = False) -> Data
     # one row a shard, so as few as there were write tasks
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return blocks.join(shards, "shard").mapInArrow(_decoded(digests_only), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests_only else "ids array<long>"))
+    return blocks.join(shards, "shard").mapInArrow(frugal(_decoded(digests_only)), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests_only else "ids array<long>"))
 
 
 def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from .shared import new_path, release_shuffles, remove, table
-from .words import U64, cut_bytes, mix64, shingles, slices, utf8
+from .words import U64, cut_bytes, frugal, shingles, slices, utf8
 
 WINDOW = 13
 #: Bytes of text in a block, and distinct fingerprints in a bucket, about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_SIZE = 1 << 20
 _JOINED_WORDS = 1 << 16
 _LAST = np.iinfo(np.int64).max
@@ -291,7 +291,7 @@ class FingerprintIndex:
         """
         if len(self.runs) >= self.fan_in:
             self.compact()
-        slices_ = blocks.mapInArrow(_slices_of_blocks(self.bits, self.window), _SLICE + ", docs binary")
+        slices_ = blocks.mapInArrow(frugal(_slices_of_blocks(self.bits, self.window)), _SLICE + ", docs binary")
         for path in self.runs:
             slices_ = slices_.unionByName(self._run_rows(path).select("bucket", "block", "keys", "checks"), allowMissingColumns=True)
         path = f"{self.path}/run-{uuid.uuid4().hex}"
@@ -376,12 +376,12 @@ def dedup_batch(docs: DataFrame, index: FingerprintIndex, keep_run: bool = True,
     spark = docs.sparkSession
     ship(spark)
     path, results = new_path(spark, "blocks"), new_path(spark, "deduplicated")
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_to_blocks, _BLOCK).write.parquet(path)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(_to_blocks), _BLOCK).write.parquet(path)
     blocks = spark.read.schema(_BLOCK).parquet(path)
     answers = index.add(blocks, keep_run)
     release_shuffles(spark)
     joined = blocks.join(answers, "block", "left").withColumn("bits", F.lit(index.bits))
-    joined.mapInArrow(_results(index.window, digests_only), _result_schema(digests_only)).write.parquet(results)
+    joined.mapInArrow(frugal(_results(index.window, digests_only)), _result_schema(digests_only)).write.parquet(results)
     remove(spark, path)
     release_shuffles(spark)
     return spark.read.schema(_result_schema(digests_only)).parquet(results)

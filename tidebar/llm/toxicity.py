@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from .shared import table, written
-from .words import ALNUM, U64, Words, cut, mix64, slices
+from .words import ALNUM, U64, Words, cut, frugal, mix64, slices
 
 #: Toxic documents with one of these words are the earlier categories of the chain, in this order.
 CATEGORIES = {
@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, categories
         return None
     base = hits / n
     least = 4 if n > 2000 else 2
-    counts = sample.mapInArrow(_count_features, "feature long, n long, hits long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= least)
+    counts = sample.mapInArrow(frugal(_count_features), "feature long, n long, hits long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") >= least)
     apart = F.abs(F.col("hits") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base) + 1e-9))
     best = counts.withColumn("apart", apart).orderBy(F.col("apart").desc(), "feature").limit(N_FEATURES).select("feature", "apart").toPandas()
     # what chance alone may set apart is left out, but for some where labels are scarce
@@ -261,7 +261,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: dict[str, list[str]]
                 p = probabilities(part.column("text"), chain, gate)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, p.T), pa.array(p[:, -1] >= limit)], names=["doc_id", *[f"p_{x}" for x in names], "toxic"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"p_{x} double" for x in names) + ", toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, " + ", ".join(f"p_{x} double" for x in names) + ", toxic boolean")
 
 
 def reject_toxic(docs: DataFrame, chain: Chain | None, threshold: float | None = None) -> DataFrame:
@@ -279,7 +279,7 @@ def reject_toxic(docs: DataFrame, chain: Chain | None, threshold: float | None =
             for part in slices(batch):
                 yield part.filter(pa.array(probabilities(part.column("text"), chain, gate)[:, -1] < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
