@@ -8,12 +8,12 @@ between bounds that follow from the cells alone.
 
 Queries go in rounds of at most ``ROUND``, which are sent to all tasks; a larger
 query set takes more rounds over the approximation file, and vectors never
-travel to queries. A round first scans cells only: each block gives for every
-query its k greatest lower bounds and the vectors whose upper bound reaches
-them. The k-th greatest lower bound over all blocks is then known for each
-query, and what doesn't reach it falls out. Exact vectors are read for the rest
-alone, block by block, in the order of their upper bounds until the k-th best
-score beats all that are left. The k best of each block are merged.
+travel to queries. A round scans cells twice: first each block gives every
+query's k greatest lower bounds, of which the k-th over all blocks is kept; then
+it gives the vectors whose upper bound reaches that, which are few. Exact
+vectors are read for these alone, block by block, in the order of their upper
+bounds until the k-th best score beats all that are left. The k best of each
+block are merged.
 
 Defined cases: a vector that is null, empty, or holds a null or non-finite
 component takes no part, nor does a row without vec_id. Vectors of another
@@ -40,9 +40,9 @@ from .shared import table, written
 
 SCALE, K, EVERY = 256, 5, 50
 CELLS = 16
-VECTOR_BLOCK = 4096
+VECTOR_BLOCK = 2048
 #: Queries of a round.
-ROUND = 16_384
+ROUND = 8_192
 _FAR = 1 << 62
 _BLOCK = "block string, dims int, ids binary, vectors binary"
 _CELLS = "block string, dims int, ids binary, low binary, width binary, cells binary"
@@ -132,23 +132,28 @@ def _cells_of(row: dict) -> Approximation:
     return Approximation(_longs(row["low"]), _longs(row["width"]), flat.reshape(-1, row["dims"]))
 
 
-def scan(own: Approximation, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """From a block's cells: (query, least bound) for each query's k best ones, and (query, vector, upper bound) of all that reach the k-th of them."""
-    found: list[list] = [[], [], [], [], []]
+def least_bounds(own: Approximation, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, lower bound) of each query's k greatest lower bounds in a block's cells."""
+    places, bounds = [], []
     for first in range(0, len(queries), 256):
-        low, high = own.bounds(queries[first : first + 256])
-        for j, (lo, hi) in enumerate(zip(low, high, strict=True)):
-            other = np.flatnonzero(ids != query_ids[first + j])
-            if not len(other):
-                continue
-            lo, hi = lo[other], hi[other]
-            n = min(k, len(other))
-            best = np.partition(lo, len(lo) - n)[len(lo) - n :]
-            reach = np.flatnonzero(hi >= best.min()) if len(other) >= k else np.arange(len(other))
-            for out, x in zip(found, (np.full(n, first + j), best, np.full(len(reach), first + j), other[reach], hi[reach]), strict=True):
-                out.append(x)
-    kinds = (np.int32, np.float64, np.int32, np.int32, np.float64)
-    return tuple(np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip(found, kinds, strict=True))
+        low, _ = own.bounds(queries[first : first + 256])
+        for j, lo in enumerate(low):
+            lo = lo[ids != query_ids[first + j]]
+            n = min(k, len(lo))
+            if n:
+                places.append(np.full(n, first + j, np.int32))
+                bounds.append(np.partition(lo, len(lo) - n)[len(lo) - n :])
+    return (np.concatenate(places), np.concatenate(bounds)) if places else (np.zeros(0, np.int32), np.zeros(0))
+
+
+def reaching(own: Approximation, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, place, upper bound) of a block's vectors whose upper bound reaches the query's least one, for some queries at a time."""
+    for first in range(0, len(queries), 256):
+        part = slice(first, first + 256)
+        _, high = own.bounds(queries[part])
+        query, place = np.nonzero((high >= least[part, None]) & (ids[None, :] != query_ids[part, None]))
+        if len(query):
+            yield (query + first).astype(np.int32), place.astype(np.int32), high[query, place]
 
 
 def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -178,35 +183,29 @@ def _round(blocks: DataFrame, cells: DataFrame, asked: dict[int, tuple[np.ndarra
     spark = blocks.sparkSession
     sent = spark.sparkContext.broadcast(asked)
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 if row["dims"] in sent.value:
-                    parts = scan(_cells_of(row), _longs(row["ids"]), *sent.value[row["dims"]], k)
-                    names = ("best", "least", "query", "place", "high")
-                    yield pa.RecordBatch.from_pydict({"block": [row["block"]], "dims": [row["dims"]], "best": [parts[0]], "least": [parts[1]]} | {n: [x.tobytes()] for n, x in zip(names[2:], parts[2:], strict=True)}, schema=pa.schema([("block", pa.string()), ("dims", pa.int32()), ("best", pa.list_(pa.int32())), ("least", pa.list_(pa.float64())), *((n, pa.binary()) for n in names[2:])]))
-
-    found = written(cells.mapInArrow(scanned, "block string, dims int, best array<int>, least array<double>, query binary, place binary, high binary"), "scanned")
-    # the k-th greatest lower bound of each query of the round
-    lows = found.select("dims", F.explode(F.arrays_zip("best", "least")).alias("x")).select("dims", F.col("x.best").alias("query"), F.col("x.least").alias("least"))
-    kth = lows.withColumn("rank", F.row_number().over(Window.partitionBy("dims", "query").orderBy(F.desc("least")))).where(F.col("rank") == k).collect()
-    reach = {dims: np.full(len(ids), -np.inf) for dims, (ids, _) in asked.items()}
-    for r in kth:
-        reach[r["dims"]][r["query"]] = r["least"]
-    needed = spark.sparkContext.broadcast(reach)
-
-    def left(row: dict) -> tuple[np.ndarray, ...]:
-        query, place, high = np.frombuffer(row["query"], "<i4"), np.frombuffer(row["place"], "<i4"), np.frombuffer(row["high"], "<f8")
-        keep = high >= needed.value[row["dims"]][query]
-        return query[keep], place[keep], high[keep]
-
-    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    query, least = least_bounds(_cells_of(row), _longs(row["ids"]), *sent.value[row["dims"]], k)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["dims"]] * len(query), pa.int32()), pa.array(query), pa.array(least)], names=["dims", "query", "least"])
+
+    # the k-th greatest lower bound of each query of the round, over all blocks
+    order = Window.partitionBy("dims", "query").orderBy(F.desc("least"))
+    lows = cells.mapInArrow(lowest, "dims int, query int, least double").withColumn("rank", F.row_number().over(order))
+    least = {dims: np.full(len(ids), -np.inf) for dims, (ids, _) in asked.items()}
+    for r in lows.where(F.col("rank") == k).collect():
+        least[r["dims"]][r["query"]] = r["least"]
+    needed = spark.sparkContext.broadcast(least)
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                parts = left(row)
-                if len(parts[0]):
-                    yield pa.RecordBatch.from_pydict({"block": [row["block"]]} | {n: [x.tobytes()] for n, x in zip(("query", "place", "high"), parts, strict=True)}, schema=pa.schema([("block", pa.string()), *((n, pa.binary()) for n in ("query", "place", "high"))]))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["dims"] in sent.value:
+                    for parts in reaching(_cells_of(row), _longs(row["ids"]), *sent.value[row["dims"]], needed.value[row["dims"]]):
+                        yield pa.RecordBatch.from_pydict({"block": [row["block"]]} | {n: [x.tobytes()] for n, x in zip(("query", "place", "high"), parts, strict=True)}, schema=pa.schema([("block", pa.string()), *((n, pa.binary()) for n in ("query", "place", "high"))]))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +220,7 @@ def _round(blocks: DataFrame, cells: DataFrame, asked: dict[int, tuple[np.ndarra
                 columns = [np.repeat([e[0] for e in each], n), np.concatenate([e[1] for e in each]), np.concatenate([e[2] for e in each]), np.repeat([e[3] for e in each], n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "vec_id", "score", "n_read"])
 
-    rest = found.select("block", "dims", "query", "place", "high").mapInArrow(pruned, "block string, query binary, place binary, high binary")
+    rest = written(cells.mapInArrow(reached, "block string, query binary, place binary, high binary"), "reached")
     return written(rest.join(blocks, "block").mapInArrow(exact, "query_id long, vec_id long, score long, n_read long"), "found")
 
 
