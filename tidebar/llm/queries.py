@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, containment, licenses, minhash, pii, quality, simple8b, substring, toxicity, vafile
+from . import bpe, containment, htmltext, licenses, minhash, pii, pqcodes, quality, simple8b, substring, toxicity, vafile, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_va_top_k": vafile.op8_va_top_k,
     "op9_pii_surrogates": pii.op9_pii_surrogates,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_vector_codes": pqcodes.op11_vector_codes,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_html_text": htmltext.op13_html_text,
 }
 
 SQL = {
@@ -22,4 +25,5 @@ SQL = {
     "op2_decontamination": containment.OP2_SQL,
     "op3_minhash_near_dedup": minhash.OP3_SQL,
     "op8_va_top_k": vafile.OP8_SQL,
+    "op11_vector_codes": pqcodes.OP11_SQL,
 }
