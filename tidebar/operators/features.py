@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.na import div
-from . import folds as K
 from . import rolling as R
+from . import scans as L
 
 
 def chart(bars: DataFrame) -> DataFrame:
@@ -56,11 +56,11 @@ def with_pandas_values(bars: DataFrame) -> DataFrame:
     b = b.withColumns({"_half": R.wma("close", 4), "_whole": R.wma("close", 9)}).withColumn("_hull", 2 * F.col("_half") - F.col("_whole"))
     hidden = {f"ema_{n}": (2 / (n + 1), n, "close") for n in (10, 20, 30, 50, 100, 200)} | {"_fast": (2 / 13, 26, "close"), "_slow": (2 / 27, 26, "close"), "_ema_13": (2 / 14, 13, "close")}
     hidden |= {f"_w{x}": (1 / 14, 14, x) for x in ("_gain", "_loss", "_true", "_plus", "_minus")}
-    b = K.fold(b, [([name], lambda a=a, n=n: K.Ewm(a, n), [x]) for name, (a, n, x) in hidden.items()])
+    b = L.evaluate(b, [L.ewm(name, a, n, x) for name, (a, n, x) in hidden.items()])
     b = b.withColumns({"macd": F.col("_fast") - F.col("_slow"), "_pdi": div(100 * F.col("_w_plus"), F.col("_w_true")), "_mdi": div(100 * F.col("_w_minus"), F.col("_w_true")), "atr_14": F.col("_w_true")})
     gain, loss = F.col("_w_gain"), F.col("_w_loss")
     b = b.withColumns({"_dx": 100 * div(F.abs(F.col("_pdi") - F.col("_mdi")), F.col("_pdi") + F.col("_mdi")), "rsi_14": F.when(loss == 0, F.when(gain > 0, 100.0)).otherwise(100 - 100 / (1 + div(gain, loss)))})
-    b = K.fold(b, [(["signal"], lambda: K.Ewm(2 / 10, 9), ["macd"]), (["adx_14"], lambda: K.Ewm(1 / 14, 14), ["_dx"])])
+    b = L.evaluate(b, [L.ewm("signal", 2 / 10, 9, "macd"), L.ewm("adx_14", 1 / 14, 14, "_dx")])
     share = lambda n: div(R.sum_strict("_bp", n), R.sum_strict("_true", n))
     b = b.withColumns({
         **{f"sma_{n}": R.sma("close", n) for n in (10, 20, 30, 50, 100, 200)}, "ichimoku_base": (R.highest("high", 26) + R.lowest("low", 26)) / 2, "vwma_20": R.vwma("close", 20, "_v"), "hull_9": R.wma("_hull", 3),

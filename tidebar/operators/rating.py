@@ -2,7 +2,7 @@
 
 A vote is 1 (buy), 0 (neutral) or -1 (sell), and NULL while its inputs warm up.
 Comparisons are those of the scripts (``functions/na.py``); crossings are exact.
-One fold makes the recurrences; the rest are windows over bars of a symbol.
+A scan over blocks makes the recurrences; the rest are windows over bars of a symbol.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.na import div, gt, lt, nz
-from . import folds as K
 from . import rolling as R
+from . import scans as L
 from .ranking import rating, rating_band
 
 MEANS = (10, 20, 30, 50, 100, 200)
@@ -31,9 +31,7 @@ def _known(*xs: Column) -> Column:
 def with_inputs(bars: DataFrame) -> DataFrame:
     """Adds everything that the votes look at."""
     c, h, lo = F.col("close"), F.col("high"), F.col("low")
-    kernels = [([f"ema_{n}"], lambda n=n: K.Ema(n), ["close"]) for n in (*MEANS, 13)]
-    kernels += [(["rsi"], lambda: K.Rsi(14), ["close"]), (["di_plus", "di_minus", "adx"], lambda: K.Dmi(14, 14), ["high", "low", "close"]), (["macd", "macd_signal", "_hist"], lambda: K.Macd(12, 26, 9), ["close"])]
-    b = K.fold(bars, kernels).drop("_hist")
+    b = L.evaluate(bars, [*(L.ema(f"ema_{n}", n) for n in (*MEANS, 13)), L.rsi("rsi", 14), L.dmi("di_plus", "di_minus", "adx", 14), L.macd("macd", "macd_signal", "_hist")]).drop("_hist")
     c1 = nz(R.ago("close"), c)
     b = b.withColumns({"_mid": (h + lo) / 2, "_hlc3": (h + lo + c) / 3, "_bp": c - F.least(lo, c1), "_tr": F.greatest(h, c1) - F.least(lo, c1)})
     middle = lambda n: (R.highest("high", n) + R.lowest("low", n)) / 2

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bars as B
 from ..operators import folds as K
-from .common import BARS_SQL, hourly, shown, sql_shown
+from ..operators import scans as L
+from .common import BARS_SQL, hourly, shown, sql_shown, table
 
 KEYS = ["symbol", "t"]
 _HLC = ("high", "low", "close")
@@ -16,28 +18,20 @@ def _shown(df: DataFrame, names: list[str]) -> DataFrame:
     return shown(df, KEYS, {n: n for n in names})
 
 
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.numbered(B.from_ticks(B.event_ticks(table(spark, sf_dir, "events")), "60"))
+
+
 def ta_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ema macd tsi kc kcw."""
-    kernels = [
-        (["ema"], lambda: K.Ema(10), ["close"]),
-        (["macd", "macd_signal", "macd_hist"], lambda: K.Macd(12, 26, 9), ["close"]),
-        (["tsi"], lambda: K.Tsi(13, 25), ["close"]),
-        (["kc_basis", "kc_upper", "kc_lower", "kcw"], lambda: K.Keltner(20, 2.0), ["close", *_HLC]),
-    ]
-    out = K.fold(hourly(spark, sf_dir), kernels, keep=KEYS)
-    return _shown(out, [n for names, _, _ in kernels for n in names])
+    names = ["ema", "macd", "macd_signal", "macd_hist", "tsi", "kc_basis", "kc_upper", "kc_lower", "kcw"]
+    return _shown(L.evaluate(_bars(spark, sf_dir), [L.ema(names[0], 10), L.macd(*names[1:4], 12, 26, 9), L.tsi(names[4], 13, 25), L.keltner(*names[5:], 20, 2.0)]), names)
 
 
 def ta_wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rma rsi atr dmi."""
-    kernels = [
-        (["rma"], lambda: K.Rma(10), ["close"]),
-        (["rsi"], lambda: K.Rsi(14), ["close"]),
-        (["atr"], lambda: K.Atr(14), list(_HLC)),
-        (["plus_di", "minus_di", "adx"], lambda: K.Dmi(14, 10), list(_HLC)),
-    ]
-    out = K.fold(hourly(spark, sf_dir), kernels, keep=KEYS)
-    return _shown(out, [n for names, _, _ in kernels for n in names])
+    names = ["rma", "rsi", "atr", "plus_di", "minus_di", "adx"]
+    return _shown(L.evaluate(_bars(spark, sf_dir), [L.rma(names[0], 10), L.rsi(names[1], 14), L.atr(names[2], 14), L.dmi(*names[3:], 14, 10)]), names)
 
 
 def ta_state_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +55,8 @@ def ta_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chart_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chart's exponential average, which starts with a mean, and pandas-like exponential means."""
-    kernels = [
-        (["chart_ema"], lambda: K.SeededEma(10), ["close"]),
-        (["ewm_span"], lambda: K.Ewm(2 / 21, 20), ["close"]),
-        (["ewm_wilder"], lambda: K.Ewm(1 / 14, 14), ["close"]),
-    ]
-    return _shown(K.fold(hourly(spark, sf_dir), kernels, keep=KEYS), ["chart_ema", "ewm_span", "ewm_wilder"])
+    names = ["chart_ema", "ewm_span", "ewm_wilder"]
+    return _shown(L.evaluate(_bars(spark, sf_dir), [L.seeded_ema(names[0], 10), L.ewm(names[1], 2 / 21, 20), L.ewm(names[2], 1 / 14, 14)]), names)
 
 
 def _walk(source: str, first: dict[str, str], step: dict[str, str]) -> str:
