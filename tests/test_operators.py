@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidebar.functions import numeric, text
-from tidebar.operators import align, bars, broker, flow, folds, guard, rolling
+from tidebar.operators import accepted, align, bars, broker, flow, folds, guard, rolling
 from tidebar.sources import files
 
 
@@ -184,18 +185,78 @@ def test_reversals_equal_a_plain_walk(spark):
     for s in "ab":
         own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], r[2]))
         net = {r[2]: sum(x[3] * x[4] for x in own if r[1] - 3600 <= x[1] <= r[1] and x[3] >= 20) for r in own}
-        since, alerted = 0, None
+        since, alerted = {1: 0, -1: 0}, None
         for n, (_, t, seq, _, _) in enumerate(own):
             if alerted is not None and t - alerted < 300:
                 continue
-            seen = [net[r[2]] for r in own[since : n + 1] if r[1] >= t - 1800]
+            seen = {k: [net[r[2]] for r in own[: n + 1] if r[1] >= max(t - 1800, at)] for k, at in since.items()}
             near = [r for r in own if t - 60 <= r[1] <= t and r[3] >= 70]
-            peak, trough, now = max(seen), min(seen), net[seq]
+            peak, trough, now = max(seen[1]), min(seen[-1]), net[seq]
             alert = 0
             if peak >= 200 and peak - now >= max(100, 0.3 * peak) and any(r[4] < 0 for r in near):
                 alert = 1
             elif trough <= -200 and now - trough >= max(100, -0.3 * trough) and any(r[4] > 0 for r in near):
                 alert = -1
             if alert:
-                want[s, seq], alerted, since = alert, t, n
+                want[s, seq], alerted, since[alert] = alert, t, t
     assert got == want and {1, -1} <= set(want.values())
+
+
+def test_an_alert_of_one_side_keeps_the_extreme_of_the_other():
+    kernel = folds.Reversal(100.0)
+    steps = [(0, -300.0, 0, 0), (100, 250.0, 0, 1), (110, 100.0, 0, 1), (500, 60.0, 1, 0), (510, -300.0, 1, 1)]
+    assert [kernel.step(*s)[0] for s in steps] == [0.0, 0.0, 1.0, -1.0, 0.0]
+
+
+def test_zigzag_confirms_a_retracement_that_came_before_its_depth():
+    kernel = folds.ZigZag(5.0, 10)
+    bars = [(100.0, 99.0), (101.0, 100.0), (110.0, 108.0), (106.0, 103.0)] + [(109.5, 108.5)] * 12
+    out = [kernel.step(*b) for b in bars]
+    assert out[2] == (99.0, -1.0) and out[11] == (99.0, -1.0) and out[12] == (110.0, 1.0)
+    assert kernel.low == (103.0, 3)  # the leg begins at the low that was tracked
+    kernel = folds.ZigZag(5.0, 2)
+    for b in [(100.0, 99.0), (110.0, 109.0), (110.0, 100.0), (109.0, 101.0)]:
+        last = kernel.step(*b)
+    assert last == (110.0, 1.0)  # an equal high doesn't move the extreme
+
+
+def test_sane_ticks_are_measured_against_the_last_good_one(spark):
+    rows = [("x", i, i, p) for i, p in enumerate([100.0, 500.0, 101.0, 102.0, 0.0, -1.0, None, 103.0])] + [("y", 0, 0, 500.0)]
+    ticks = spark.createDataFrame(rows, "symbol string, t long, seq long, price double")
+    for block in (2, 4096):
+        assert sorted((r.symbol, r.seq) for r in flow.sane(ticks, 0.05, block).collect()) == [("x", 0), ("x", 2), ("x", 3), ("x", 7), ("y", 0)]
+
+
+def test_last_accepted_in_blocks_equals_a_walk():
+    """Every block's summary and rows, from any state, for walks, jumps and ties."""
+    rnd = np.random.default_rng(2)
+    for share in (0.02, 0.3, 0.5, 2.0):
+        for x in (np.exp(rnd.normal(size=300)), 100 + rnd.normal(size=300).cumsum(), rnd.choice([5.0, 10.0, 20.0], size=300), np.exp(rnd.normal(size=300).cumsum())):
+            rule, state, want = accepted.within(share), math.nan, []
+            for v in x:
+                ok = math.isnan(state) or abs(v - state) / state <= share
+                want.append(ok)
+                state = v if ok else state
+            state, got = math.nan, []
+            for i in range(0, 300, 40):
+                got += accepted.kept(x[i : i + 40], rule, state).tolist()
+                state = accepted.after(state, **accepted.table(x[i : i + 40], rule))
+            assert got == want
+    t = np.sort(rnd.integers(0, 2000, size=300)).astype(float)
+    state, got, want, last = math.nan, [], [], -math.inf
+    for v in t:
+        want.append(v - last >= 30)
+        last = v if want[-1] else last
+    for i in range(0, 300, 25):
+        found = accepted.table(t[i : i + 25], accepted.apart(30))
+        assert len(found["out"]) <= 25
+        got += accepted.kept(t[i : i + 25], accepted.apart(30), state).tolist()
+        state = accepted.after(state, **found)
+    assert got == want
+
+
+def test_lines_cross_at_their_price_and_rest_after_it(spark):
+    lines = spark.createDataFrame([("a", "x", 10.0, None, None, None), ("b", "x", 0.0, 0, 10.0, 100), ("c", "x", 1.0, 5, 2.0, 5)], "line string, symbol string, level double, time long, level2 double, time2 long")
+    quotes = spark.createDataFrame([("x", t, t, b, m) for t, b, m in [(10, 9.0, 10.0), (20, 10.0, 9.0), (50, 9.0, 10.0), (60, 5.0, 7.0)]], "symbol string, t long, seq long, before double, mid double")
+    got = sorted((r.line, r.t, r.crossed) for r in flow.crossings(quotes, lines, 30).collect())
+    assert got == [("a", 10, 1), ("a", 50, 1), ("b", 60, 1)]

@@ -91,8 +91,8 @@ def large_bars(bars: DataFrame, factor: float = 2.0, n: int = 30) -> DataFrame:
 
 
 def event_report(events: DataFrame, n: int = 20) -> DataFrame:
-    """The n codes with most events: how many, buys, sells, net amount, mean forward return."""
-    one = events.groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(F.col("dir") > 0, 1)).alias("buys"), F.count(F.when(F.col("dir") < 0, 1)).alias("sells"), F.sum(F.col("amount") * F.col("dir")).alias("net"), F.avg("ret").alias("ret"))
+    """The n codes with most events: how many, buys, sells, net amount, mean forward return. What doesn't go up is a sale."""
+    one = events.groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(F.col("dir") > 0, 1)).alias("buys"), F.count(F.when(F.col("dir") > 0, None).otherwise(1)).alias("sells"), F.sum(F.when(F.col("dir") > 0, F.col("amount")).otherwise(-F.col("amount"))).alias("net"), F.avg("ret").alias("ret"))
     return one.orderBy(F.col("n").desc(), "symbol").limit(n)
 
 

@@ -10,7 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .accepted import apart, last_accepted, within
 from .folds import Reversal, fold
+from .scans import BLOCK
 
 #: Bands of a print's amount, largest first: name and least amount.
 BANDS = [("xl", 400.0), ("large", 200.0), ("mid", 100.0), ("small", 40.0), ("retail", 0.0)]
@@ -37,10 +39,27 @@ def true_volume(ticks: DataFrame, total: str = "total_volume", auction: str = "v
     return F.when(step.isNull(), F.col(auction)).when(step > 0, step).otherwise(F.greatest(F.coalesce(own, F.lit(0)), F.lit(0)))
 
 
-def sane(ticks: DataFrame, most: float = 0.05) -> DataFrame:
-    """Ticks whose price is positive and no more than a share away from the last tick's."""
-    before = F.lag("price").over(in_order())
-    return ticks.withColumn("_before", before).where((F.col("price") > 0) & (F.col("_before").isNull() | (F.abs(F.col("price") / F.col("_before") - 1) <= most))).drop("_before")
+def sane(ticks: DataFrame, most: float = 0.05, block: int = BLOCK) -> DataFrame:
+    """Ticks whose price is positive and no more than a share away from that of the last tick that was let through."""
+    return last_accepted(ticks.where((F.col("price") > 0) & (F.col("price") < float("inf"))), "price", within(most), block=block)
+
+
+def line_price(t: Column) -> Column:
+    """Price of a line (level, or from (time, level) to (time2, level2)) at a time; NULL for a trend line without length."""
+    slope = F.try_divide(F.col("level2") - F.col("level"), (F.col("time2") - F.col("time")).cast("double"))
+    return F.when(F.col("time").isNull(), F.col("level")).otherwise(F.col("level") + slope * (t - F.col("time")))
+
+
+def crossings(quotes: DataFrame, lines: DataFrame, cooldown: float = 30, block: int = BLOCK) -> DataFrame:
+    """Quotes (symbol, t, seq, before, mid) that cross a line of the table (line, symbol, level, time, level2, time2): crossed is 1 up, -1 down. A line that fired is quiet for the cooldown.
+
+    A level itself counts as above. Lines are few; Spark sends them to all tasks
+    while they are small, and joins by symbol otherwise.
+    """
+    both = quotes.join(lines, "symbol").withColumn("at", line_price(F.col("t")))
+    up, down = (F.col("before") < F.col("at")) & (F.col("mid") >= F.col("at")), (F.col("before") >= F.col("at")) & (F.col("mid") < F.col("at"))
+    crossed = both.withColumn("crossed", F.when(up, 1).when(down, -1)).where("crossed is not null").withColumn("_fired", F.col("t"))
+    return last_accepted(crossed, "_fired", apart(cooldown), "line", block=block).drop("_fired")
 
 
 def band(amount: Column) -> Column:
@@ -117,7 +136,7 @@ def net_flow(ticks: DataFrame, least: float, seconds: int = 3600) -> DataFrame:
     return ticks.withColumn("net", F.coalesce(F.sum(F.when(F.col("amount") >= least, F.col("amount") * F.col("dir"))).over(recent), F.lit(0.0)))
 
 
-def reversals(ticks: DataFrame, least: float, print_level: float, opposite: int = 60) -> DataFrame:
+def reversals(ticks: DataFrame, least: float, print_level: float, opposite: int = 60, span: int = 1800, quiet: int = 300) -> DataFrame:
     """Alerts over ticks with net, dir and amount: 1 where buying is exhausted, -1 where selling relents.
 
     An alert needs a print of ``print_level`` against the flow within the last ``opposite`` seconds.
@@ -125,7 +144,7 @@ def reversals(ticks: DataFrame, least: float, print_level: float, opposite: int
     recent = Window.partitionBy("symbol").orderBy("t").rangeBetween(-opposite, 0)
     large = lambda way: F.coalesce(F.max(F.when((F.col("amount") >= print_level) & (F.col("dir") == way), 1)).over(recent), F.lit(0))
     ticks = ticks.withColumns({"_bought": large(1), "_sold": large(-1)})
-    return fold(ticks, [(["alert"], lambda: Reversal(least), ["t", "net", "_bought", "_sold"])], order=("t", "seq")).where("alert != 0").drop("_bought", "_sold")
+    return fold(ticks, [(["alert"], lambda: Reversal(least, span=span, quiet=quiet), ["t", "net", "_bought", "_sold"])], order=("t", "seq")).where("alert != 0").drop("_bought", "_sold")
 
 
 #: Price tiers, fixed values: (least price, L1, L1-lite, L2, least reversal); an L1-lite of 0 is none.

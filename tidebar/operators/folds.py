@@ -296,68 +296,117 @@ class SeededEma:
 
 
 class ZigZag:
-    """Price and direction of the last confirmed pivot: a retracement of ``deviation`` percent at least ``depth`` bars after the extreme."""
+    """Price and direction of the last confirmed pivot: a retracement of ``deviation`` percent from an extreme that is at least ``depth`` bars old.
+
+    The retracement is that of the lowest low since the high (the highest high
+    since the low), and the new leg starts there. ``low_since`` and ``high_since``
+    begin with the extreme's own bar; an equal extreme doesn't move it.
+    """
 
     outputs = 2
 
     def __init__(self, deviation: float = 5.0, depth: int = 10):
-        self.deviation, self.depth, self.bar, self.direction = deviation / 100, depth, -1, 0
-        self.high = self.low = self.pivot = None  # (price, bar)
+        self.deviation, self.depth, self.bar, self.direction = deviation, depth, -1, 0
+        self.high = self.low = self.low_since = self.high_since = self.pivot = None  # (price, bar)
+
+    def _falls(self, high: float, low: float) -> bool:
+        return high > 0 and (high - low) / high * 100 >= self.deviation
+
+    def _rises(self, low: float, high: float) -> bool:
+        return low > 0 and (high - low) / low * 100 >= self.deviation
 
     def step(self, h, lo):
         self.bar += 1
-        if h is None or lo is None:
-            return self.pivot or (None, None)
-        if self.high is None:
-            self.high, self.low = (h, self.bar), (lo, self.bar)
-            return None, None
-        if self.direction == 0:
-            if h > self.high[0]:
-                self.high = h, self.bar
-            if lo < self.low[0]:
-                self.low = lo, self.bar
-            if self.low[0] and self.high[0] >= self.low[0] * (1 + self.deviation) and self.high[1] != self.low[1]:
-                up = self.high[1] > self.low[1]
-                self.direction = 1 if up else -1
-                self.pivot = (self.low[0], -1.0) if up else (self.high[0], 1.0)
-        elif self.direction == 1:
-            if h >= self.high[0]:
-                self.high = h, self.bar
-            elif lo <= self.high[0] * (1 - self.deviation) and self.bar - self.high[1] >= self.depth:
-                self.pivot, self.direction, self.low = (self.high[0], 1.0), -1, (lo, self.bar)
-        elif lo <= self.low[0]:
-            self.low = lo, self.bar
-        elif h >= self.low[0] * (1 + self.deviation) and self.bar - self.low[1] >= self.depth:
-            self.pivot, self.direction, self.high = (self.low[0], -1.0), 1, (h, self.bar)
+        if h is not None and lo is not None:
+            h, lo = (h, self.bar), (lo, self.bar)
+            if self.direction == 0:
+                self._begin(h, lo)
+            elif self.direction == 1:
+                self._up(h, lo)
+            else:
+                self._down(h, lo)
         return self.pivot or (None, None)
 
+    def _begin(self, h, lo):
+        if self.high is None:
+            self.high, self.low, self.low_since, self.high_since = h, lo, lo, h
+        else:
+            if h[0] > self.high[0]:
+                self.high, self.low_since = h, lo
+            elif lo[0] < self.low_since[0]:
+                self.low_since = lo
+            if lo[0] < self.low[0]:
+                self.low, self.high_since = lo, h
+            elif h[0] > self.high_since[0]:
+                self.high_since = h
+        if self.high[1] != self.low[1] and self._rises(self.low[0], self.high[0]):
+            self.direction = 1 if self.low[1] < self.high[1] else -1
+            self.pivot = (self.low[0], -1.0) if self.direction == 1 else (self.high[0], 1.0)
+
+    def _up(self, h, lo):
+        if h[0] > self.high[0]:
+            self.high, self.low_since = h, lo
+            return
+        if lo[0] < self.low_since[0]:
+            self.low_since = lo
+        if self._falls(self.high[0], self.low_since[0]) and self.bar - self.high[1] >= self.depth:
+            self.pivot, self.direction, self.low, self.high_since = (self.high[0], 1.0), -1, self.low_since, h
+
+    def _down(self, h, lo):
+        if lo[0] < self.low[0]:
+            self.low, self.high_since = lo, h
+            return
+        if h[0] > self.high_since[0]:
+            self.high_since = h
+        if self._rises(self.low[0], self.high_since[0]) and self.bar - self.low[1] >= self.depth:
+            self.pivot, self.direction, self.high, self.low_since = (self.low[0], -1.0), 1, self.high_since, lo
+
+
+class _Extreme:
+    """The greatest value of the last ``span`` seconds and since the anchor, in constant time for each value (amortised): a queue of falling values."""
+
+    def __init__(self, span: float):
+        self.span, self.queue = span, deque()
+
+    def add(self, t: float, v: float) -> float:
+        while self.queue and self.queue[-1][1] <= v:
+            self.queue.pop()
+        self.queue.append((t, v))
+        self.drop_before(t - self.span)
+        return self.queue[0][1]
+
+    def drop_before(self, t: float) -> None:
+        while self.queue[0][0] < t:
+            self.queue.popleft()
+
 
 class Reversal:
-    """Alerts when net flow falls back from its 30-minute peak (1) or trough (-1) while a large print goes against it; an alert sets the extremes anew and holds for a while."""
+    """Alerts when net flow falls back from its 30-minute peak (1) or rises from its trough (-1) while a large print goes against it.
+
+    An alert sets the extreme of its own side anew, at its time; the other side's
+    goes on. After an alert of either side there is none for a while.
+    """
 
     outputs = 1
 
     def __init__(self, least: float, share: float = 0.3, span: int = 1800, quiet: int = 300):
-        self.least, self.share, self.span, self.quiet = least, share, span, quiet
-        self.recent: deque = deque()
-        self.last = None
+        self.least, self.share, self.quiet = least, share, quiet
+        self.peaks, self.troughs, self.last = _Extreme(span), _Extreme(span), None
 
     def step(self, t, net, bought, sold):
-        self.recent.append((t, net))
-        while self.recent[0][0] < t - self.span:
-            self.recent.popleft()
+        peak, trough = self.peaks.add(t, net), -self.troughs.add(t, -net)
         if self.last is not None and t - self.last < self.quiet:
             return (0.0,)
-        peak, trough = max(v for _, v in self.recent), min(v for _, v in self.recent)
-        out = 0.0
-        if sold and peak >= 2 * self.least and peak - net >= max(self.least, self.share * peak):
-            out = 1.0
-        elif bought and trough <= -2 * self.least and net - trough >= max(self.least, -self.share * trough):
-            out = -1.0
-        if out:
+        fall, rise = peak - net, net - trough
+        if sold and peak >= 2 * self.least and fall >= self.least and fall / peak >= self.share:
+            self.last = t
+            self.peaks.drop_before(t)
+            return (1.0,)
+        if bought and trough <= -2 * self.least and rise >= self.least and rise / abs(trough) >= self.share:
             self.last = t
-            self.recent = deque([(t, net)])
-        return (out,)
+            self.troughs.drop_before(t)
+            return (-1.0,)
+        return (0.0,)
 
 
 def fold(bars: DataFrame, kernels: list[tuple], key: str = "symbol", order: tuple[str, ...] = ("t",), keep: list[str] | None = None) -> DataFrame:

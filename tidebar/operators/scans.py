@@ -141,13 +141,13 @@ def values(steps, start: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(start), s, a * start + b)
 
 
-def numbered(bars: DataFrame, span: int = BLOCK * 3600, key: str = "symbol", order: str = "t", place: str = "i") -> DataFrame:
-    """Adds each bar's place in its symbol: bars are counted by spans of time, the counts are summed up, and bars are numbered within their span."""
-    bars = bars.withColumn("_span", F.floor(F.col(order) / span))
+def numbered(bars: DataFrame, span: int = BLOCK * 3600, key: str = "symbol", order: tuple[str, ...] = ("t",), place: str = "i") -> DataFrame:
+    """Adds each row's place in its symbol: rows are counted by spans of time, the counts are summed up, and rows are numbered within their span."""
+    bars = bars.withColumn("_span", F.floor(F.col(order[0]) / span))
     earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     counts = bars.groupBy(F.col(key).alias("_key"), F.col("_span").alias("_of")).count().withColumn("_from", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
     both = bars.join(counts.drop("count"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_of")))
-    inside = F.row_number().over(Window.partitionBy(key, "_span").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy(key, "_span").orderBy(*order)) - 1
     return both.withColumn(place, F.col("_from") + inside).drop("_span", "_key", "_of", "_from")
 
 
@@ -170,59 +170,80 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _steps(block: pa.Table, recurrences: list[Recurrence], place: str, size: int):
-    """The block's steps, bars x recurrences, and how many bars before the block its rows begin with."""
-    places = block.column(place).to_numpy()
-    own = int((places < block.column("_block")[0].as_py() * size).sum())
-    x = {c: block.column(f"_in_{c}").to_numpy() for r in recurrences for c in r.columns}
-    with np.errstate(all="ignore"):
-        parts = [r.steps(r.source(*[x[c] for c in r.columns]), places) for r in recurrences]
-    return tuple(np.stack([np.asarray(p[k], float)[own:] for p in parts], axis=1) for k in range(3)), own
+def in_blocks(bars: DataFrame, inputs: list[str], summary: Callable, summary_schema: str, begin: Callable, start_type: str, finish: Callable, schema: str, reach: int = 0, key: str = "symbol", place: str = "i", block: int = BLOCK) -> DataFrame:
+    """Blocks of a symbol's rows in three steps: ``summary(rows, own)`` of a block, ``begin(summaries)`` of a symbol in order gives what each block starts with, ``finish(rows, own, start)`` gives its rows.
 
-
-def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", place: str = "i", block: int = BLOCK) -> DataFrame:
-    """Adds the recurrences' values to bars that are numbered by ``place`` from 0 on."""
-    reach = max(r.reach for r in recurrences)
+    ``rows`` are those of the block, as an Arrow table, after the last ``reach``
+    of the block before; the block's own begin at row ``own``. Inputs are doubles
+    with the prefix _in_. Only the summaries of a symbol come together in one task.
+    """
     if reach > block:
-        raise ValueError(f"a recurrence looks at {reach} bars, a block has {block}")
+        raise ValueError(f"{reach} rows before a row are looked at, a block has {block}")
     ship(bars.sparkSession)
-    inputs = sorted({c for r in recurrences for c in r.columns})
     at = F.floor(F.col(place) / block).cast("long")
     dealt = F.when(F.col(place) % block >= block - reach, F.array(at, at + 1)).otherwise(F.array(at))
     rows = bars.select(*bars.columns, *[F.col(c).cast("double").alias(f"_in_{c}") for c in inputs], F.explode(dealt).alias("_block"))
     rows = rows.withColumn("_group", F.xxhash64(key, "_block")).repartition(key, "_block")
-    order = (key, "_block", place)
-    kinds = {f.name: f.dataType.simpleString() for f in bars.schema}
-    names = [r.name for r in recurrences]
+    order, kind = (key, "_block", place), dict(bars.dtypes)[key]
+
+    def first_own(rows: pa.Table) -> int:
+        return int((rows.column(place).to_numpy() < rows.column("_block")[0].as_py() * block).sum())
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            (a, b, s), own = _steps(rows, recurrences, place, block)
-            if len(a):
-                last = [pa.array([x[-1]], pa.list_(pa.float64())) for x in prefixes(a, b, s)]
-                yield pa.RecordBatch.from_arrays([rows.column(key).slice(0, 1).combine_chunks(), pa.array([rows.column("_block")[0].as_py()], pa.int64()), *last], names=["_key", "_at", "a", "b", "s"])
+            own = first_own(rows)
+            if own < len(rows):
+                found = summary(rows, own)
+                yield pa.RecordBatch.from_arrays([rows.column(key).slice(0, 1).combine_chunks(), pa.array([rows.column("_block")[0].as_py()], pa.int64()), *(pa.array([v]) for v in found.values())], names=["_key", "_at", *found])
 
-    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
-        a, b, s = prefixes(*(np.array(pdf[c].tolist(), float) for c in "abs"))
-        start = np.concatenate([np.full((1, a.shape[1]), np.nan), s[:-1]])
-        return pd.DataFrame({"_key": pdf["_key"], "_at": pdf["_at"], "_start": list(start)})
+        return pd.DataFrame({"_key": pdf["_key"], "_at": pdf["_at"], "_start": begin(pdf)})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            steps, own = _steps(rows, recurrences, place, block)
-            if len(steps[0]):
-                start = np.array(rows.column("_start")[0].as_py(), float)
-                out = values(prefixes(*steps), start)
-                table = rows.slice(own).select(list(kinds))
-                for i, name in enumerate(names):
-                    table = table.append_column(name, pa.array(out[:, i], from_pandas=True))
-                yield from table.combine_chunks().to_batches()
-
-    totals = rows.select(key, place, "_block", "_group", *[f"_in_{c}" for c in inputs]).sortWithinPartitions(*order).mapInArrow(total, f"_key {kinds[key]}, _at long, a array<double>, b array<double>, s array<double>")
-    starts = totals.groupBy("_key").applyInPandas(begin, f"_key {kinds[key]}, _at long, _start array<double>")
-    begun = rows.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")), "left").drop("_key", "_at")
-    return begun.sortWithinPartitions(*order).mapInArrow(apply, ", ".join([f"`{n}` {k}" for n, k in kinds.items()] + [f"`{n}` double" for n in names]))
+            own = first_own(rows)
+            if own < len(rows):
+                yield from finish(rows, own, rows.column("_start")[0].as_py()).combine_chunks().to_batches()
+
+    totals = rows.select(key, place, "_block", "_group", *[f"_in_{c}" for c in inputs]).sortWithinPartitions(*order).mapInArrow(total, f"_key {kind}, _at long, {summary_schema}")
+    begun = totals.groupBy("_key").applyInPandas(starts, f"_key {kind}, _at long, _start {start_type}")
+    begun = rows.join(begun, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")), "left").drop("_key", "_at")
+    return begun.sortWithinPartitions(*order).mapInArrow(apply, schema)
+
+
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", place: str = "i", block: int = BLOCK) -> DataFrame:
+    """Adds the recurrences' values to bars that are numbered by ``place`` from 0 on."""
+    names, columns = [r.name for r in recurrences], bars.columns
+
+    def steps(rows: pa.Table, own: int):
+        """(a, b, s), bars x recurrences."""
+        x = {c: rows.column(f"_in_{c}").to_numpy() for r in recurrences for c in r.columns}
+        places = rows.column(place).to_numpy()
+        with np.errstate(all="ignore"):
+            parts = [r.steps(r.source(*[x[c] for c in r.columns]), places) for r in recurrences]
+        return tuple(np.stack([np.asarray(p[k], float)[own:] for p in parts], axis=1) for k in range(3))
+
+    def summary(rows: pa.Table, own: int) -> dict:
+        return {n: x[-1] for n, x in zip("abs", prefixes(*steps(rows, own)), strict=True)}
+
+    def begin(totals: pd.DataFrame) -> list:
+        _, _, s = prefixes(*(np.array(totals[c].tolist(), float) for c in "abs"))
+        return list(np.concatenate([np.full((1, s.shape[1]), np.nan), s[:-1]]))
+
+    def finish(rows: pa.Table, own: int, start: list) -> pa.Table:
+        out = values(prefixes(*steps(rows, own)), np.array(start, float))
+        table = rows.slice(own).select(columns)
+        for i, name in enumerate(names):
+            table = table.append_column(name, pa.array(out[:, i], from_pandas=True))
+        return table
+
+    schema = f"{schema_of(bars)}, " + ", ".join(f"`{n}` double" for n in names)
+    return in_blocks(bars, sorted({c for r in recurrences for c in r.columns}), summary, "a array<double>, b array<double>, s array<double>", begin, "array<double>", finish, schema, max(r.reach for r in recurrences), key, place, block)
 
 
 @dataclass

@@ -84,8 +84,8 @@ def flow_forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reversal alerts of hourly net flow."""
-    return shown(W.reversals(W.net_flow(_ticks(spark, sf_dir), 60.0, 36_000), 100.0, 60.0, 7_200), ["symbol", "t", "seq"], {"net": "net", "alert": "alert"})
+    """Reversal alerts of the net flow of ten hours."""
+    return shown(W.reversals(W.net_flow(_ticks(spark, sf_dir), 60.0, 36_000), 100.0, 60.0, 7_200, 36_000, 7_200), ["symbol", "t", "seq"], {"net": "net", "alert": "alert"})
 
 
 def tick_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,5 +116,13 @@ SQL = {
     "flow_rolling": f"{_WITH} SELECT symbol, t, {sql_shown(_ROLL)} FROM b",
     "flow_large_prints": f"WITH {_TICKS}, l AS (SELECT *, amount >= 60 AS big, sum((amount < 60)::INT) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run, count(CASE WHEN amount >= 60 THEN 1 END) {_NEAR} AS n, min(CASE WHEN amount >= 60 THEN dir END) {_NEAR} AS lo, max(CASE WHEN amount >= 60 THEN dir END) {_NEAR} AS hi FROM k), o AS (SELECT symbol, t, seq, CASE WHEN amount >= 150 THEN 'L1' WHEN big AND n >= 3 AND lo = hi AND lo <> 0 THEN 'L2' END AS print, CAST(sum(big::INT) OVER (PARTITION BY symbol, run ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM l) SELECT * FROM o WHERE print IS NOT NULL OR streak > 1",
     "flow_forward_returns": f"WITH {_TICKS}, p AS (SELECT symbol, t, min(price) AS price FROM k GROUP BY 1, 2), " + ", ".join(f"x{m} AS (SELECT p.symbol, p.t, 100 * (q.price - p.price) / nullif(p.price, 0) AS ret FROM p ASOF LEFT JOIN p q ON p.symbol = q.symbol AND p.t + {m * 60} <= q.t)" for m in (60, 240, 1440)) + " SELECT p.symbol, p.t, " + sql_shown({f"ret_{m}": f"x{m}.ret" for m in (60, 240, 1440)}) + " FROM p JOIN x60 USING (symbol, t) JOIN x240 USING (symbol, t) JOIN x1440 USING (symbol, t)",
+    "flow_reversals": f"WITH RECURSIVE {_TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t, seq) AS i, coalesce(sum(CASE WHEN amount >= 60 THEN amount * dir END) {_NEAR.replace('20000', '36000')}, 0) AS net, "
+    f"coalesce(max(CASE WHEN amount >= 60 AND dir = 1 THEN 1 END) {_NEAR.replace('20000', '7200')}, 0) AS bought, coalesce(max(CASE WHEN amount >= 60 AND dir = -1 THEN 1 END) {_NEAR.replace('20000', '7200')}, 0) AS sold FROM k), "
+    # each tick's own window of net flows, of which an anchor leaves the later ones
+    f"w AS MATERIALIZED (SELECT a.*, l.seen FROM n a JOIN (SELECT x.symbol, x.i, list({{'t': y.t, 'net': y.net}}) AS seen FROM n x JOIN n y ON y.symbol = x.symbol AND y.i <= x.i AND y.t >= x.t - 36000 GROUP BY 1, 2) l USING (symbol, i)), "
+    "r(symbol, t, seq, i, net, peak_from, trough_from, fired, alert) AS (SELECT symbol, t, seq, i, net, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0 FROM w WHERE i = 1 UNION ALL SELECT symbol, t, seq, i, net, CASE WHEN alert = 1 THEN t ELSE peak_from END, CASE WHEN alert = -1 THEN t ELSE trough_from END, CASE WHEN alert <> 0 THEN t ELSE fired END, alert FROM ("
+    "SELECT *, CASE WHEN t - fired < 7200 THEN 0 WHEN sold = 1 AND peak >= 200 AND peak - net >= 100 AND (peak - net) / peak >= 0.3 THEN 1 WHEN bought = 1 AND trough <= -200 AND net - trough >= 100 AND (net - trough) / abs(trough) >= 0.3 THEN -1 ELSE 0 END AS alert FROM ("
+    "SELECT w.symbol, w.t, w.seq, w.i, w.net, w.bought, w.sold, p.peak_from, p.trough_from, p.fired, list_max(list_transform(list_filter(w.seen, lambda z: z.t >= p.peak_from), lambda z: z.net)) AS peak, list_min(list_transform(list_filter(w.seen, lambda z: z.t >= p.trough_from), lambda z: z.net)) AS trough FROM r p JOIN w ON w.symbol = p.symbol AND w.i = p.i + 1))) "
+    f"SELECT symbol, t, seq, {sql_shown({'net': 'net', 'alert': 'alert'})} FROM r WHERE alert <> 0",
     "tick_dedup": "WITH k AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS t, event_id AS seq, CAST(floor(value / 10) AS BIGINT) AS price FROM events) SELECT symbol, t, min(seq) AS seq, price FROM k GROUP BY symbol, t, price",
 }

@@ -14,7 +14,6 @@ from ..operators import flow as W
 from ..operators import ranking as K
 from ..operators import reports as R
 from ..operators import state as S
-from ..streaming.bars import crossings
 from .alignment import _TICKS, _ticks
 from .common import BARS_SQL, hourly, shown, sql6, sql_shown, table
 
@@ -67,7 +66,7 @@ def flow_true_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_sane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks within a share of the tick before."""
+    """Ticks within a share of the last tick that was let through."""
     return W.sane(_ticks(spark, sf_dir), 0.5).select("symbol", "t", "seq")
 
 
@@ -79,11 +78,13 @@ def flow_tiered_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks that cross a line of their symbol."""
+    """Ticks that cross a level or a trend line of their symbol, each line at most once in two hours."""
     t = _ticks(spark, sf_dir)
     quotes = t.select("symbol", "t", "seq", F.lag("price").over(W.in_order()).alias("before"), F.col("price").alias("mid"))
-    lines = t.select("symbol").distinct().select("symbol", F.explode(F.array(F.lit(10.0), F.lit(50.0))).alias("level"))
-    return crossings(quotes, lines).select("symbol", "t", "seq", "level", F.col("crossed").cast("int").alias("crossed"))
+    none = F.lit(None)
+    drawn = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("level"), at.cast("long").alias("time"), b.cast("double").alias("level2"), to.cast("long").alias("time2")) for n, a, at, b, to in (("low", 10.0, none, none, none), ("high", 50.0, none, none, none), ("trend", 20.0, F.lit(1704067200), F.lit(80.0), F.lit(1706659200)))])
+    lines = t.select("symbol").distinct().select("symbol", F.explode(drawn).alias("d")).select("symbol", F.concat_ws("-", "symbol", "d.n").alias("line"), "d.level", "d.time", "d.level2", "d.time2")
+    return W.crossings(quotes, lines, 7_200).select("symbol", "line", "t", "seq", F.col("crossed").cast("int").alias("crossed"))
 
 
 def rank_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,10 +155,13 @@ SQL = {
     f"{_IN} AS ismarket, {_IN} AND NOT {_BEFORE} AS isfirstbar, {_IN} AND NOT {_AFTER} AS islastbar, {_IN} AND NOT {_BEFORE} AS isfirstbar_regular, {_IN} AND NOT {_AFTER} AS islastbar_regular, false AS ispremarket, false AS ispostmarket, CAST(CAST(l + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS day, true AS past, 14400 AS seconds, '240' AS timeframe FROM x",
     "fn_casts": "SELECT p_partkey, p_partkey + 0.5::DOUBLE AS float, CAST(NULL AS DOUBLE) AS float_of_text, p_partkey % 3 <> 0 AS bool, true AS bool_of_text, 3 AS size, CAST(3 * (p_partkey % 5) AS DOUBLE) AS sum, 0 AS cleared, CAST([0, -2, 1, -4, 3, -5][p_partkey % 6 + 1] AS INT) AS leftmost, 0 AS map_cleared, p_partkey AS copied FROM part",
     "flow_true_volume": f"WITH {_TICKS}, r AS (SELECT symbol, t, seq, CAST(sum(floor(price)) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM k), v AS (SELECT *, run // 100 * 100 AS total, run // 7 AS own FROM r), s AS (SELECT *, total - lag(total) OVER {_ORDER} AS step, own - lag(own) OVER {_ORDER} AS mine FROM v) SELECT symbol, t, seq, CASE WHEN step IS NULL THEN own WHEN step > 0 THEN step ELSE greatest(coalesce(mine, 0), 0) END AS volume FROM s",
-    "flow_sane": f"WITH {_TICKS}, p AS (SELECT *, lag(price) OVER {_ORDER} AS was FROM k) SELECT symbol, t, seq FROM p WHERE price > 0 AND (was IS NULL OR abs(price / was - 1) <= 0.5)",
+    "flow_sane": f"WITH RECURSIVE {_TICKS}, n AS MATERIALIZED (SELECT symbol, t, seq, price, row_number() OVER {_ORDER} AS i FROM k), r(symbol, t, seq, i, kept, ref) AS (SELECT symbol, t, seq, i, price > 0, CASE WHEN price > 0 THEN price END FROM n WHERE i = 1 UNION ALL SELECT symbol, t, seq, i, ok, CASE WHEN ok THEN price ELSE ref END FROM ("
+    "SELECT n.*, p.ref, n.price > 0 AND (p.ref IS NULL OR abs(n.price - p.ref) / p.ref <= 0.5) AS ok FROM r p JOIN n ON n.symbol = p.symbol AND n.i = p.i + 1)) SELECT symbol, t, seq FROM r WHERE kept",
     "flow_tiered_prints": f"WITH {_TICKS}, q AS (SELECT *, first_value(price) OVER {_ORDER} AS p0, t * 1000000 + row_number() OVER (PARTITION BY symbol, t ORDER BY seq) AS pt FROM k), x AS (SELECT *, CASE WHEN amount >= {_L2} THEN dir END AS way FROM q), y AS (SELECT *, count(way) OVER {_RECENT} AS n, min(way) OVER {_RECENT} AS lo, max(way) OVER {_RECENT} AS hi FROM x) "
     f"SELECT symbol, t, seq, amount >= {_L1} AS is_l1, {_LITE} > 0 AND amount >= {_LITE} AND amount < {_L1} AS is_l1_lite, amount >= {_L2} AS is_l2, amount >= {_L2} AND n >= 3 AND (lo >= 0 OR hi <= 0) AS l2_cluster FROM y",
-    "flow_crossings": f"WITH {_TICKS}, p AS (SELECT symbol, t, seq, price, lag(price) OVER {_ORDER} AS was, unnest([10.0::DOUBLE, 50.0::DOUBLE]) AS level FROM k), c AS (SELECT *, CASE WHEN was < level AND price >= level THEN 1 WHEN was > level AND price <= level THEN -1 END AS crossed FROM (SELECT symbol, t, seq, price, was, level FROM p)) SELECT symbol, t, seq, level, CAST(crossed AS INT) AS crossed FROM c WHERE crossed IS NOT NULL",
+    "flow_crossings": f"WITH RECURSIVE {_TICKS}, q AS (SELECT symbol, t, seq, price, lag(price) OVER {_ORDER} AS was FROM k), p AS (SELECT *, unnest([{{'n': 'low', 'at': 10.0::DOUBLE}}, {{'n': 'high', 'at': 50.0::DOUBLE}}, {{'n': 'trend', 'at': 20.0 + (80.0 - 20.0) / 2592000.0::DOUBLE * (t - 1704067200)}}]) AS l FROM q), "
+    "c AS MATERIALIZED (SELECT symbol, symbol || '-' || l.n AS line, t, seq, CASE WHEN was < l.at THEN 1 ELSE -1 END AS crossed, row_number() OVER (PARTITION BY symbol, l.n ORDER BY t, seq) AS i FROM p WHERE (was < l.at) <> (price < l.at)), "
+    "r(symbol, line, t, seq, i, crossed, kept, fired) AS (SELECT symbol, line, t, seq, i, crossed, true, t FROM c WHERE i = 1 UNION ALL SELECT c.symbol, c.line, c.t, c.seq, c.i, c.crossed, c.t - p.fired >= 7200, CASE WHEN c.t - p.fired >= 7200 THEN c.t ELSE p.fired END FROM r p JOIN c ON c.line = p.line AND c.i = p.i + 1) SELECT symbol, line, t, seq, crossed FROM r WHERE kept",
     "rank_newest": "SELECT o_custkey, o_orderkey, CAST(rank AS INT) AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rank FROM orders) WHERE rank <= 3",
     "account_live_profit": f"WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) * 100 AS d FROM lineitem) SELECT l_orderkey, l_linenumber, {sql6('CASE WHEN l_linenumber = 1 OR floor(d / 2) = 0 THEN d ELSE d / floor(d / 2) * CASE WHEN l_returnflag = $$R$$ THEN 3 ELSE 2 END END')} AS profit FROM p",
     "report_readiness": f"WITH s AS (SELECT l_orderkey AS k, sum(CAST(l_quantity AS DOUBLE) - 25) AS pnl FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey % 3 AS verdict, pnl FROM orders JOIN s ON o_orderkey = k), r AS (SELECT count(*) FILTER (verdict = 0) AS approved, count(*) FILTER (verdict <> 0) AS flagged, avg((pnl < 0)::INT) FILTER (verdict = 0) AS al, avg((pnl < 0)::INT) FILTER (verdict <> 0) AS fl FROM d) SELECT approved, flagged, approved >= 20 AND flagged >= 10 AND fl > al AS ready, {sql_shown({'approved_loss': 'al', 'flagged_loss': 'fl'})} FROM r",

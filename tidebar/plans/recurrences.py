@@ -126,10 +126,23 @@ _SM_OUT = {"supertrend": "CASE WHEN atr IS NOT NULL THEN CASE WHEN dir = -1 THEN
 _CH_FIRST = {"seeded": "NULL", "e1": "close", "e2": "close"}
 _CH_STEP = {"seeded": f"CASE WHEN x.i < 9 THEN NULL WHEN x.i = 9 THEN x.m10 ELSE x.close * {2 / 11!r} + p.seeded * {1 - 2 / 11!r} END", "e1": f"{2 / 21!r} * x.close + {1 - 2 / 21!r} * p.e1", "e2": f"{1 / 14!r} * x.close + {1 - 1 / 14!r} * p.e2"}
 
+# The running high and the lowest low since it (ls), the running low and the highest high since it (hs), each with its bar.
+_ZF = {"dir": "0", "hi": "high", "hib": "0", "lo": "low", "lob": "0", "ls": "low", "lsb": "0", "hs": "high", "hsb": "0", "pv": "NULL", "pd": "NULL"}
+_ZZ = """z1 AS (SELECT x.symbol, x.t, x.i, x.high, x.low, p.* EXCLUDE (symbol, t, i), p.dir >= 0 AND x.high > p.hi AS newhi, p.dir <= 0 AND x.low < p.lo AS newlo FROM r p JOIN b x ON x.symbol = p.symbol AND x.i = p.i + 1),
+z2 AS (SELECT *, CASE WHEN newhi THEN high ELSE hi END AS hi2, CASE WHEN newhi THEN i ELSE hib END AS hib2, CASE WHEN newlo THEN low ELSE lo END AS lo2, CASE WHEN newlo THEN i ELSE lob END AS lob2,
+  newhi OR (dir >= 0 AND low < ls) AS setls, newlo OR (dir <= 0 AND high > hs) AS seths FROM z1),
+z3 AS (SELECT *, CASE WHEN setls THEN low ELSE ls END AS ls2, CASE WHEN setls THEN i ELSE lsb END AS lsb2, CASE WHEN seths THEN high ELSE hs END AS hs2, CASE WHEN seths THEN i ELSE hsb END AS hsb2 FROM z2),
+z4 AS (SELECT *, CASE WHEN dir = 0 AND hib2 <> lob2 AND lo2 > 0 AND (hi2 - lo2) / lo2 * 100 >= 20 THEN CASE WHEN lob2 < hib2 THEN 'start up' ELSE 'start down' END
+  WHEN dir = 1 AND NOT newhi AND hi2 > 0 AND (hi2 - ls2) / hi2 * 100 >= 20 AND i - hib2 >= 3 THEN 'down' WHEN dir = -1 AND NOT newlo AND lo2 > 0 AND (hs2 - lo2) / lo2 * 100 >= 20 AND i - lob2 >= 3 THEN 'up' ELSE '' END AS turn FROM z3)
+SELECT symbol, t, i, CASE WHEN turn IN ('start up', 'up') THEN 1.0 WHEN turn IN ('start down', 'down') THEN -1.0 ELSE dir END, CASE turn WHEN 'up' THEN hs2 ELSE hi2 END, CASE turn WHEN 'up' THEN hsb2 ELSE hib2 END, CASE turn WHEN 'down' THEN ls2 ELSE lo2 END, CASE turn WHEN 'down' THEN lsb2 ELSE lob2 END,
+  CASE turn WHEN 'up' THEN low ELSE ls2 END, CASE turn WHEN 'up' THEN i ELSE lsb2 END, CASE turn WHEN 'down' THEN high ELSE hs2 END, CASE turn WHEN 'down' THEN i ELSE hsb2 END, CASE WHEN turn IN ('start up', 'up') THEN lo2 WHEN turn IN ('start down', 'down') THEN hi2 ELSE pv END, CASE WHEN turn IN ('start up', 'up') THEN -1.0 WHEN turn IN ('start down', 'down') THEN 1.0 ELSE pd END FROM z4"""
+_ZR = f"r(symbol, t, i, {', '.join(_ZF)}) AS (SELECT symbol, t, i, {', '.join(f'CAST({e} AS DOUBLE)' for e in _ZF.values())} FROM b x WHERE i = 0 UNION ALL (WITH {_ZZ}))"
+
 QUERIES = {f.__name__: f for f in (ta_exponential, ta_wilder, ta_state_machines, ta_zigzag, chart_indicators)}
 SQL = {
     "ta_exponential": f"{_WITH}, {_walk('sm', _EXP_FIRST, _EXP_STEP)} SELECT symbol, t, {sql_shown(_EXP_OUT)} FROM r",
     "ta_wilder": f"{_WITH}, {_walk('sm', _W_FIRST, _W_STEP)}, {_DX}, {_ADX} SELECT symbol, t, {sql_shown(_W_OUT)} FROM a",
     "ta_state_machines": f"{_WITH}, {_ST1}, {_SMA}, {_walk('sa', _SM_FIRST, _SM_STEP)} SELECT r.symbol, r.t, {sql_shown(_SM_OUT)} FROM r JOIN (SELECT symbol, t, atr, has9 FROM sa) USING (symbol, t)",
+    "ta_zigzag": f"WITH RECURSIVE {BARS_SQL}, {_ZR} SELECT symbol, t, {sql_shown({chr(34) + 'pivot' + chr(34): 'pv', 'pivot_direction': 'pd'})} FROM r",
     "chart_indicators": f"{_WITH}, {_walk('sm', _CH_FIRST, _CH_STEP)} SELECT symbol, t, {sql_shown({'chart_ema': 'seeded', 'ewm_span': 'CASE WHEN i >= 19 THEN e1 END', 'ewm_wilder': 'CASE WHEN i >= 13 THEN e2 END'})} FROM r",
 }

@@ -64,10 +64,3 @@ def averages(bars: DataFrame, n: int = 10) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(
         step, "symbol string, ts timestamp, close double, ema double, rma double", "ema double, rma double, bar bigint, last array<double>, ts bigint", "append", GroupStateTimeout.NoTimeout
     )
-
-
-def crossings(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Quotes (symbol, ts, before, mid) that cross a level of the table of lines (symbol, level): up 1, down -1."""
-    both = quotes.join(lines, "symbol")
-    up, down = (F.col("before") < F.col("level")) & (F.col("mid") >= F.col("level")), (F.col("before") > F.col("level")) & (F.col("mid") <= F.col("level"))
-    return both.withColumn("crossed", F.when(up, 1).when(down, -1)).where("crossed is not null")
