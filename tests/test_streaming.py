@@ -38,3 +38,83 @@ def test_averages_go_on_between_batches(spark, tmp_path):
     order = [r.close for r in got]
     assert len(got) >= 10
     assert [(r.ema, r.rma) for r in got] == [(ema.step(x)[0], rma.step(x)[0]) for x in order]
+
+
+class Fed:
+    """Streams whose input is written round by round; each round runs a query of its own on the same checkpoint until all input is read."""
+
+    def __init__(self, spark, at):
+        self.spark, self.at = spark, at
+
+    def stream(self, name, schema):
+        self.spark.createDataFrame([], schema).write.parquet(str(self.at / name))
+        return self.spark.readStream.schema(schema).parquet(str(self.at / name))
+
+    def feed(self, name, schema, rows):
+        if rows:
+            self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(self.at / name))
+
+    def run(self, df, mode):
+        seen: list = []
+        q = df.writeStream.foreachBatch(lambda b, i: seen.extend(b.collect())).outputMode(mode).option("checkpointLocation", str(self.at / "checkpoint")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return seen
+
+
+PRICES = "symbol string, t long, seq long, price double, volume double"
+
+
+def test_forming_bars_equal_the_batch_fold_after_every_batch(spark, tmp_path):
+    from tidebar.operators import bars as B
+    from tidebar.streaming import state as T
+
+    kernels = [(["ema"], lambda: folds.Ema(3), ["close"]), (["zz", "way"], lambda: folds.ZigZag(10.0, 1), ["high", "low"])]
+    data = [("x", 25 * i, i, 100.0 + (i * 37) % 31, 1.0) for i in range(24)] + [("y", 200, 1, 5.0, 1.0)]
+    files = [[r for r in data if 200 * k <= r[1] < 200 * k + 200] for k in range(3)]
+    fed = Fed(spark, tmp_path)
+    stream = T.forming_bars(fed.stream("prices", PRICES), kernels, 60)
+    newest = {}
+    for k in range(3):
+        fed.feed("prices", PRICES, files[k])
+        newest |= {(r.symbol, r.t): r for r in fed.run(stream, "update")}
+        whole = B.from_ticks(spark.createDataFrame([r for f in files[: k + 1] for r in f], PRICES), "1")
+        want = {(r.symbol, r.t): r for r in folds.fold(whole, kernels).collect()}
+        assert set(newest) == set(want)
+        for key, r in want.items():
+            assert all(newest[key][c] == r[c] for c in ("open", "high", "low", "close", "volume", "ema", "zz", "way")), (k, key)
+
+
+def test_pending_deadlines_expire_by_the_watermark(spark, tmp_path):
+    from tidebar.streaming import state as T
+
+    at = 1_000_000
+    fed = Fed(spark, tmp_path)
+    stream = T.forward_returns(fed.stream("prices", PRICES).selectExpr("*", "timestamp_seconds(t) as ts"), (1,), 600)
+
+    def after(*ticks):
+        fed.feed("prices", PRICES, [(s, at + t, n, p, 1.0) for n, (s, t, p) in enumerate(ticks)])
+        return sorted((r.symbol, r.t - at, r.ret) for r in fed.run(stream, "append"))
+
+    assert after(("x", 0, 10.0), ("x", 70, 11.0)) == [("x", 0, 10.0)]
+    assert after(("z", 500, 1.0)) == []
+    assert after(("x", 600, 22.0), ("z", 600, 2.0)) == [("x", 70, 100.0), ("z", 500, 100.0)]
+    assert after(("w", 9000, 1.0)) == [("x", 600, None), ("z", 600, None)]
+    assert after(("x", 9100, 1.0), ("w", 9100, 3.0)) == [("w", 9000, 200.0)]  # x and z are forgotten
+
+
+def test_longer_bars_ahead_and_behind(spark, tmp_path):
+    from tidebar.streaming import state as T
+
+    hours, days = [("x", t) for t in range(0, 100, 10)], [("x", 25, 1.0), ("x", 50, None), ("x", 75, 3.0)]
+    chart, longer = "symbol string, t long", "symbol string, at long, v double"
+    for name, cuts in (("ahead", [(10, 0), (10, 2), (10, 3)]), ("behind", [(0, 2), (0, 3), (10, 3)]), ("even", [(3, 1), (6, 2), (10, 3)])):
+        (tmp_path / name).mkdir()
+        fed = Fed(spark, tmp_path / name)
+        stream = T.refreshed(fed.stream("hours", chart), fed.stream("days", longer), ["v"])
+        newest, a, b = {}, 0, 0
+        for n, m in cuts:
+            fed.feed("hours", chart, hours[a:n])
+            fed.feed("days", longer, days[b:m])
+            a, b = n, m
+            newest |= {r.t: r.v for r in fed.run(stream, "update")}
+        assert newest == {t: None if t < 25 or 50 <= t < 75 else 1.0 if t < 50 else 3.0 for _, t in hours}, name
