@@ -260,3 +260,19 @@ def test_lines_cross_at_their_price_and_rest_after_it(spark):
     quotes = spark.createDataFrame([("x", t, t, b, m) for t, b, m in [(10, 9.0, 10.0), (20, 10.0, 9.0), (50, 9.0, 10.0), (60, 5.0, 7.0)]], "symbol string, t long, seq long, before double, mid double")
     got = sorted((r.line, r.t, r.crossed) for r in flow.crossings(quotes, lines, 30).collect())
     assert got == [("a", 10, 1), ("a", 50, 1), ("b", 60, 1)]
+
+
+def test_zip_archives_are_read_where_they_lie(spark, tmp_path):
+    """Two archives, two members, odd lines, another product and another month."""
+    import zipfile
+
+    heading = "成交日期,商品代號,到期月份,成交時間,成交價格,成交數量"
+    for n, members in enumerate([{"a.csv": ["20240102,MTX    ,202401  ,84500,17000,4", "20240102,MTX,202401,084559,17010,2", "20240102,MTX,202402,84500,1,2", "short,line", "20240102,TX,202401,84500,1,2"]}, {"b.csv": ["20240102,MTX,202401,084559,16990,6", "20240102,MTX,202401,84600,x,2"], "c.csv": ["20240103,MTX,202401,10,17100,2"]}]):
+        with zipfile.ZipFile(tmp_path / f"Daily_{n}.zip", "w") as z:
+            for name, lines in members.items():
+                z.writestr(name, "\r\n".join([heading, *lines]).encode("cp950"))
+    (tmp_path / "notes.txt").write_text("no archive")
+    contracts = spark.createDataFrame([("MXFA4",)], "symbol string")
+    got = files.archive_bars(files.archives(spark, str(tmp_path)), contracts).orderBy("t").collect()
+    assert [tuple(r) for r in got] == [("MXFA4", 1704156300, 17000.0, 17010.0, 16990.0, 16990.0, 6.0), ("MXFA4", 1704211200, 17100.0, 17100.0, 17100.0, 17100.0, 1.0)]
+    assert files.zipped_lines(files.archives(spark, str(tmp_path))).where("place = 0 and line = '" + heading + "'").count() == 3

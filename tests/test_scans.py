@@ -90,3 +90,21 @@ def test_a_block_shorter_than_a_reach_is_refused(spark):
 
 def test_empty(spark):
     assert L.evaluate(spark.createDataFrame([], SCHEMA), [L.ema("e", 3), L.macd("m", "s", "h")]).count() == 0
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_corrections_equal_a_full_run_and_touch_only_what_changed(spark, block):
+    data = [r for r in rows(0.05) if r[0] is not None]
+    recurrences = [r for x in (L.ema("ema", 5), L.rma("rma", 6), L.rsi("rsi", 4)) for r in x.first]
+    names, columns = [r.name for r in recurrences], ["high", "low", "close"]
+    old = [r for n, r in enumerate(data) if n != 30]  # a late bar of a
+    old = [(*r[:4], 70.0) if n == 50 else r for n, r in enumerate(old)] + [("b", 5000, 1.0, 1.0, 1.0)]  # a rewritten one, and one of b that is gone
+    stored = L.scan(L.numbered(spark.createDataFrame(old, SCHEMA), 700), recurrences, block=block).drop("i").cache()
+    bars = spark.createDataFrame(data + [("d", 1, 2.0, 1.0, 1.5)], SCHEMA)
+    got = {(r.symbol, r.t): r for r in L.corrected(stored, bars, recurrences, columns, block=block).collect()}
+    want = {(r.symbol, r.t): r for r in L.scan(L.numbered(bars, 700), recurrences, block=block).collect()}
+    assert set(got) == set(want)
+    for key, r in want.items():
+        for n in names:
+            assert (got[key][n] is None) == (r[n] is None) and (r[n] is None or math.isclose(got[key][n], r[n], rel_tol=1e-9, abs_tol=1e-9)), (key, n)
+    assert {k for k, r in got.items() if r.recomputed} == {(s, t) for s, t, *_ in data if s == "a" and t >= data[30][1]} | {("d", 1)}

@@ -181,7 +181,7 @@ def in_blocks(bars: DataFrame, inputs: list[str], summary: Callable, summary_sch
         raise ValueError(f"{reach} rows before a row are looked at, a block has {block}")
     ship(bars.sparkSession)
     at = F.floor(F.col(place) / block).cast("long")
-    dealt = F.when(F.col(place) % block >= block - reach, F.array(at, at + 1)).otherwise(F.array(at))
+    dealt = F.when(F.pmod(F.col(place), F.lit(block)) >= block - reach, F.array(at, at + 1)).otherwise(F.array(at))
     rows = bars.select(*bars.columns, *[F.col(c).cast("double").alias(f"_in_{c}") for c in inputs], F.explode(dealt).alias("_block"))
     rows = rows.withColumn("_group", F.xxhash64(key, "_block")).repartition(key, "_block")
     order, kind = (key, "_block", place), dict(bars.dtypes)[key]
@@ -216,9 +216,15 @@ def schema_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", place: str = "i", block: int = BLOCK) -> DataFrame:
-    """Adds the recurrences' values to bars that are numbered by ``place`` from 0 on."""
+def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", place: str = "i", block: int = BLOCK, stored: list[str] | None = None) -> DataFrame:
+    """Adds the recurrences' values to bars that are numbered by ``place`` from 0 on.
+
+    With ``stored``, columns with the recurrences' known values, bars of negative
+    places are known already: the last of them is what the others start from, and
+    none of them comes back.
+    """
     names, columns = [r.name for r in recurrences], bars.columns
+    stored = stored or []
 
     def steps(rows: pa.Table, own: int):
         """(a, b, s), bars x recurrences."""
@@ -229,6 +235,9 @@ def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", pl
         return tuple(np.stack([np.asarray(p[k], float)[own:] for p in parts], axis=1) for k in range(3))
 
     def summary(rows: pa.Table, own: int) -> dict:
+        if rows.column("_block")[0].as_py() < 0:
+            known = np.array([rows.column(f"_in_{c}").to_numpy()[-1] for c in stored])
+            return {"a": np.zeros(len(names)), "b": known, "s": known}
         return {n: x[-1] for n, x in zip("abs", prefixes(*steps(rows, own)), strict=True)}
 
     def begin(totals: pd.DataFrame) -> list:
@@ -236,6 +245,8 @@ def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", pl
         return list(np.concatenate([np.full((1, s.shape[1]), np.nan), s[:-1]]))
 
     def finish(rows: pa.Table, own: int, start: list) -> pa.Table:
+        if rows.column("_block")[0].as_py() < 0:
+            own = len(rows)
         out = values(prefixes(*steps(rows, own)), np.array(start, float))
         table = rows.slice(own).select(columns)
         for i, name in enumerate(names):
@@ -243,7 +254,35 @@ def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", pl
         return table
 
     schema = f"{schema_of(bars)}, " + ", ".join(f"`{n}` double" for n in names)
-    return in_blocks(bars, sorted({c for r in recurrences for c in r.columns}), summary, "a array<double>, b array<double>, s array<double>", begin, "array<double>", finish, schema, max(r.reach for r in recurrences), key, place, block)
+    return in_blocks(bars, sorted({c for r in recurrences for c in r.columns} | set(stored)), summary, "a array<double>, b array<double>, s array<double>", begin, "array<double>", finish, schema, max(r.reach for r in recurrences), key, place, block)
+
+
+def first_changes(old: DataFrame, new: DataFrame, columns: list[str], key: str = "symbol", order: str = "t") -> DataFrame:
+    """(key, first): where a new version of a series first differs from an old one, by hashes of its rows; only keys that do. A row that is gone counts at its own place."""
+    versions = [df.select(key, order, F.xxhash64(*columns).alias(name)) for df, name in ((old, "_old"), (new, "_new"))]
+    both = versions[0].unionByName(versions[1], allowMissingColumns=True).groupBy(key, order).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).groupBy(key).agg(F.min(order).alias("first"))
+
+
+def corrected(stored: DataFrame, bars: DataFrame, recurrences: list[Recurrence], columns: list[str], key: str = "symbol", order: str = "t", block: int = BLOCK) -> DataFrame:
+    """A new version of bars with the recurrences' values, from ``stored``, an old version with its values; ``recomputed`` tells which were worked out anew.
+
+    Only symbols with a change are, and only from their first changed bar on: that
+    is where a scan begins, with the values stored for the bar before, and looks at
+    no more than ``reach`` bars before it. All other values are taken over.
+    """
+    names, reach = [r.name for r in recurrences], max(1, *(r.reach for r in recurrences))
+    known = stored.select(key, order, *[F.col(n).alias(f"_was_{n}") for n in names])
+    since = first_changes(stored, bars, columns, key, order)
+    rows = bars.join(since, key, "left").join(known, [key, order], "left")
+    changed, same = F.col(order) >= F.col("first"), [F.col(f"_was_{n}").alias(n) for n in names]
+    kept = rows.where(~F.coalesce(changed, F.lit(False))).select(*bars.columns, *same, F.lit(False).alias("recomputed"))
+    # places count from the first changed bar; of those before it only the nearest come along
+    later = numbered(rows.where(changed), order=(order,), key=key, place="_place")
+    near = Window.partitionBy(key).orderBy(F.desc(order))
+    earlier = rows.where(F.col(order) < F.col("first")).withColumn("_place", -F.row_number().over(near)).where(F.col("_place") >= -reach)
+    anew = scan(later.unionByName(earlier), recurrences, key, "_place", block, [f"_was_{n}" for n in names])
+    return kept.unionByName(anew.select(*bars.columns, *names, F.lit(True).alias("recomputed")))
 
 
 @dataclass

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import bars as B
 from ..operators import folds as K
 from ..operators import scans as L
-from .common import BARS_SQL, hourly, shown, sql_shown, table
+from .common import BARS_SQL, hourly, new_path, shown, sql_shown, table
 
 KEYS = ["symbol", "t"]
+_SINCE = 1705276800
 _HLC = ("high", "low", "close")
 
 
@@ -59,6 +60,22 @@ def chart_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(L.evaluate(_bars(spark, sf_dir), [L.seeded_ema(names[0], 10), L.ewm(names[1], 2 / 21, 20), L.ewm(names[2], 1 / 14, 14)]), names)
 
 
+def ta_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages stored for an earlier version of the bars, mended where late and rewritten ticks have changed them; recomputed tells which bars were worked out anew."""
+    ticks = B.event_ticks(table(spark, sf_dir, "events"))
+    recurrences = [r for x in (L.ema("ema", 10), L.rma("rma", 10)) for r in x.first]
+    # of one symbol some ticks had not come yet, of another one some prices were others
+    late = (F.col("symbol") == "click") & (F.col("t") > _SINCE) & (F.col("seq") % 97 == 0)
+    wrong = (F.col("symbol") == "view") & (F.col("t") > _SINCE + 86_400) & (F.col("seq") % 89 == 0)
+    before = B.from_ticks(ticks.where(~late).withColumn("price", F.when(wrong, F.col("price") + 1000).otherwise(F.col("price"))), "60")
+    path = new_path(spark, "stored-averages")
+    old = L.scan(L.numbered(before), recurrences).drop("i")
+    old.write.parquet(path)
+    stored = spark.read.schema(old.schema).parquet(path)
+    out = L.corrected(stored, B.from_ticks(ticks, "60"), recurrences, ["open", "high", "low", "close", "volume"])
+    return shown(out, [*KEYS, "recomputed"], {"ema": "ema", "rma": "rma"})
+
+
 def _walk(source: str, first: dict[str, str], step: dict[str, str]) -> str:
     """A recursive query r over ``source`` x with place i: columns start as ``first`` and go on as ``step`` of the row before, p."""
     names = ", ".join(first)
@@ -138,7 +155,7 @@ SELECT symbol, t, i, CASE WHEN turn IN ('start up', 'up') THEN 1.0 WHEN turn IN
   CASE turn WHEN 'up' THEN low ELSE ls2 END, CASE turn WHEN 'up' THEN i ELSE lsb2 END, CASE turn WHEN 'down' THEN high ELSE hs2 END, CASE turn WHEN 'down' THEN i ELSE hsb2 END, CASE WHEN turn IN ('start up', 'up') THEN lo2 WHEN turn IN ('start down', 'down') THEN hi2 ELSE pv END, CASE WHEN turn IN ('start up', 'up') THEN -1.0 WHEN turn IN ('start down', 'down') THEN 1.0 ELSE pd END FROM z4"""
 _ZR = f"r(symbol, t, i, {', '.join(_ZF)}) AS (SELECT symbol, t, i, {', '.join(f'CAST({e} AS DOUBLE)' for e in _ZF.values())} FROM b x WHERE i = 0 UNION ALL (WITH {_ZZ}))"
 
-QUERIES = {f.__name__: f for f in (ta_exponential, ta_wilder, ta_state_machines, ta_zigzag, chart_indicators)}
+QUERIES = {f.__name__: f for f in (ta_exponential, ta_wilder, ta_state_machines, ta_zigzag, ta_corrected, chart_indicators)}
 SQL = {
     "ta_exponential": f"{_WITH}, {_walk('sm', _EXP_FIRST, _EXP_STEP)} SELECT symbol, t, {sql_shown(_EXP_OUT)} FROM r",
     "ta_wilder": f"{_WITH}, {_walk('sm', _W_FIRST, _W_STEP)}, {_DX}, {_ADX} SELECT symbol, t, {sql_shown(_W_OUT)} FROM a",
@@ -146,3 +163,5 @@ SQL = {
     "ta_zigzag": f"WITH RECURSIVE {BARS_SQL}, {_ZR} SELECT symbol, t, {sql_shown({chr(34) + 'pivot' + chr(34): 'pv', 'pivot_direction': 'pd'})} FROM r",
     "chart_indicators": f"{_WITH}, {_walk('sm', _CH_FIRST, _CH_STEP)} SELECT symbol, t, {sql_shown({'chart_ema': 'seeded', 'ewm_span': 'CASE WHEN i >= 19 THEN e1 END', 'ewm_wilder': 'CASE WHEN i >= 13 THEN e2 END'})} FROM r",
 }
+SQL["ta_corrected"] = f"""WITH c AS (SELECT event_type AS symbol, min(date_trunc('hour', ts)) AS since FROM events WHERE (event_type = 'click' AND epoch(ts) >= {_SINCE} + 1 AND event_id % 97 = 0) OR (event_type = 'view' AND epoch(ts) >= {_SINCE} + 86401 AND event_id % 89 = 0) GROUP BY 1)
+SELECT e.symbol, e.t, coalesce(e.t >= epoch(c.since), false) AS recomputed, e.ema, w.rma FROM ({SQL["ta_exponential"]}) e JOIN ({SQL["ta_wilder"]}) w USING (symbol, t) LEFT JOIN c ON c.symbol = e.symbol"""

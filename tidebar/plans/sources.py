@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import times as T
@@ -14,17 +18,14 @@ OHLCV = ("open", "high", "low", "close", "volume")
 
 
 def src_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars from JSON arrays of candles, one file for each symbol, from the second day on."""
+    """Bars from JSON arrays of candles, a folder for each symbol and a file for each of its weeks, from the second day on."""
     bars = hourly(spark, sf_dir)
     path = new_path(spark, "candles")
     candle = F.struct(F.col("t").alias("time"), *OHLCV)
-    bars.groupBy("symbol").agg(F.to_json(F.array_sort(F.collect_list(candle))).alias("value")).write.partitionBy("symbol").text(path)
+    week = F.floor(F.col("t") / (7 * B.DAY)).alias("week")
+    bars.groupBy("symbol", week).agg(F.to_json(F.array_sort(F.collect_list(candle))).alias("value")).write.partitionBy("symbol", "week").text(path)
     begin = (bars.agg(F.min("t")).first()[0] or 0) + B.DAY
-    out = None
-    for r in sorted(bars.select("symbol").distinct().collect()):  # as many files as symbols
-        own = S.candles(spark, f"{path}/symbol={r[0]}", r[0], begin)
-        out = own if out is None else out.unionAll(own)
-    return shown(out, ["symbol", "t"], {c: c for c in OHLCV})
+    return shown(S.candles(spark, path, begin=begin), ["symbol", "t"], {c: c for c in OHLCV})
 
 
 def src_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,48 @@ def src_tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(result(S.tick_stream(spark, path), "stream-log", "append"), ["ts", "code", "vol"], {"price": "price"})
 
 
+#: Contracts that the symbols stand for.
+CONTRACTS = {"click": "MXFA4", "view": "MXFB4", "purchase": "TXFA4", "signup": "TXFL3", "error": "TMFC4"}
+
+
+def _zipped(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A day's archive."""
+    day, lines = pdf["day"].iloc[0], pdf.sort_values("place")["line"]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(f"Daily_{day}.csv", "\r\n".join(["成交日期,商品代號,到期月份,成交時間,成交價格,成交數量", *lines]).encode("cp950"))
+    return pd.DataFrame([(f"Daily_{day}.zip", out.getvalue())], columns=["path", "content"])
+
+
+def src_zip_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars of contracts from a venue's daily ZIP archives of trades in cp950."""
+    ticks = B.event_ticks(table(spark, sf_dir, "events"))
+    codes = F.create_map(*[F.lit(x) for pair in CONTRACTS.items() for x in pair])
+    product, month = S.contract(codes[F.col("symbol")])
+    at = F.timestamp_seconds(F.col("t") + 8 * 3600)
+    line = F.concat_ws(",", F.date_format(at, "yyyyMMdd"), F.rpad(product, 10, " "), F.rpad(month, 8, " "), F.date_format(at, "Hmmss"), F.col("price").cast("string"), (2 * F.col("volume")).cast("int").cast("string"))
+    lines = ticks.select(F.date_format(at, "yyyy_MM_dd").alias("day"), F.struct("t", "seq").alias("o"), line.alias("line"))
+    lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy("o"))).drop("o")
+    path = new_path(spark, "archives")
+    lines.groupBy("day").applyInPandas(_zipped, "path string, content binary").write.parquet(path)
+    contracts = spark.createDataFrame([(c,) for c in CONTRACTS.values()], "symbol string")
+    return shown(S.archive_bars(spark.read.schema("path string, content binary").parquet(path), contracts), ["symbol", "t"], {c: c for c in OHLCV})
+
+
+def src_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly closes replayed as quotes in a cycle, one and a half times the longest series."""
+    from .streams import result
+
+    bars = hourly(spark, sf_dir)
+    prices = bars.select("symbol", F.col("i").cast("long").alias("place"), F.col("close").alias("price"))
+    path = new_path(spark, "replayed")
+    prices.write.parquet(path)
+    prices = spark.read.schema(prices.schema).parquet(path)
+    ticks = prices.select("symbol").distinct().withColumn("tick", F.when(F.col("symbol") == "click", 0.5).otherwise(0.001))
+    steps = (prices.agg(F.max("place")).first()[0] or 0) * 3 // 2 + 1
+    return shown(result(S.replay(prices, ticks, steps), "stream-replay", "append"), ["symbol", "step"], {"bid": "bid", "ask": "ask"})
+
+
 def src_archive_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of a venue's CSV, whose volume counts both sides."""
     ticks = B.event_ticks(table(spark, sf_dir, "events"))
@@ -109,13 +152,15 @@ _WITH = f"WITH {BARS_SQL}"
 _V = {c: c for c in OHLCV}
 _T = "SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id AS seq, value AS price FROM events"
 
-QUERIES = {f.__name__: f for f in (src_candles, src_klines, src_tick_log, src_tick_stream, src_archive_trades, src_shifted, src_watchlist, src_backfill, src_verify_dedup, src_open_days)}
+QUERIES = {f.__name__: f for f in (src_candles, src_klines, src_tick_log, src_tick_stream, src_archive_trades, src_zip_bars, src_replay, src_shifted, src_watchlist, src_backfill, src_verify_dedup, src_open_days)}
 SQL = {
     "src_candles": f"{_WITH} SELECT symbol, t, {sql_shown(_V)} FROM bars WHERE t >= (SELECT min(t) FROM bars) + 86400",
     "src_klines": f"{_WITH}, k AS (SELECT symbol, t, CASE WHEN symbol <> 'click' AND (t + 28800) % 86400 = 48600 THEN t ELSE t - 60 END AS opened, open, high, low, close, CASE WHEN close > open THEN volume ELSE 0 END AS volume FROM bars WHERE close <> open) SELECT symbol, t, opened, {sql_shown(_V)} FROM k",
     "src_tick_log": f"WITH k AS ({_T}) SELECT t AS ts, symbol AS code, seq AS vol, {sql_shown({'price': 'price', 'amount': 'price * 2'})} FROM k",
     "src_tick_stream": f"WITH k AS ({_T}) SELECT t AS ts, symbol AS code, seq AS vol, {sql_shown({'price': 'price'})} FROM k",
     "src_archive_trades": f"WITH k AS ({_T}) SELECT symbol, t, {sql_shown({'price': 'price', 'volume': 'seq'})} FROM k",
+    "src_zip_bars": f"SELECT CASE event_type {' '.join(f'WHEN $${a}$$ THEN $${b}$$' for a, b in CONTRACTS.items())} END AS symbol, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS t, {sql_shown({'open': 'first(value ORDER BY floor(epoch(ts)), event_id)', 'high': 'max(value)', 'low': 'min(value)', 'close': 'last(value ORDER BY floor(epoch(ts)), event_id)', 'volume': 'count(*)'})} FROM events WHERE value IS NOT NULL GROUP BY 1, 2",
+    "src_replay": f"{_WITH}, n AS (SELECT symbol, count(*) AS n, last(close ORDER BY t) AS last FROM bars GROUP BY 1), s AS (SELECT symbol, n, greatest(CASE WHEN symbol = 'click' THEN 0.5 ELSE 0.001 END, last * 0.0001) / 2 AS half, unnest(range(0, (SELECT (max(i) * 3) // 2 + 1 FROM b))) AS step FROM n) SELECT s.symbol, s.step, {sql_shown({'bid': 'close - half', 'ask': 'close + half'})} FROM s JOIN b ON b.symbol = s.symbol AND b.i = s.step % s.n",
     "src_shifted": f"{_WITH} SELECT symbol, t + 1800000000 - max(t) OVER (PARTITION BY symbol) AS t, i FROM b",
     "src_watchlist": "SELECT CAST(l_partkey AS VARCHAR) AS code, CAST(sum(l_quantity) AS DOUBLE) AS amount FROM lineitem WHERE l_partkey BETWEEN 1000 AND 9999 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
     "src_backfill": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')",
