@@ -10,6 +10,7 @@ from ..operators import bars as B
 from ..operators import folds as K
 from ..operators import rolling as R
 from ..streaming import bars as S
+from ..streaming import recorder as N
 from ..streaming import state as T
 from .alignment import SQL as _ALIGNMENT
 from .common import BARS_SQL, hourly, new_path, shown, sql_shown, table
@@ -140,11 +141,22 @@ def stream_security(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(out, ["symbol", "t"], {c: c for c in ("off", "off_mean")})
 
 
+def stream_recorded_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars that a recorder stores while ticks arrive up to 14 hours late, some of them twice."""
+    ticks = B.event_ticks(table(spark, sf_dir, "events"))
+    arrives = F.explode(F.array(F.col("t") + (F.col("seq") % 3) * 25_200, F.when(F.col("seq") % 4 == 0, F.col("t") + 3_600))).alias("arrived")
+    feed = ticks.select("symbol", "t", "seq", "price", "volume", F.timestamp_seconds("t").alias("ts"), arrives).where("arrived is not null")
+    path = new_path(spark, "recorded")
+    stream = S.dedup(N.valid(in_slices(feed, "stream-feed", "arrived")), ["symbol", "seq"], "2 days")
+    N.record(stream, path).option("checkpointLocation", new_path(spark, "recorder-state")).trigger(availableNow=True).start().awaitTermination()
+    return shown(N.recorded(spark, path), ["symbol", "t"], {c: c for c in ("open", "high", "low", "close", "volume")})
+
+
 def _inner(name: str) -> str:
     return _RECURRENCES[name]
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly_bars, stream_sliding_volume, stream_dedup, stream_averages, stream_forming_bars, stream_seeded_bars, stream_forward_returns, stream_security)}
+QUERIES = {f.__name__: f for f in (stream_hourly_bars, stream_sliding_volume, stream_dedup, stream_averages, stream_forming_bars, stream_seeded_bars, stream_forward_returns, stream_security, stream_recorded_bars)}
 SQL = {
     "stream_hourly_bars": f"WITH {BARS_SQL} SELECT symbol, t, {sql_shown({c: c for c in ('open', 'high', 'low', 'close', 'volume')})} FROM bars",
     "stream_sliding_volume": f"WITH k AS (SELECT event_type AS symbol, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 3600 * unnest([0, 1, 2]) AS t FROM events) SELECT symbol, t, {sql_shown({'volume': 'count(*)'})} FROM k GROUP BY 1, 2",
@@ -152,6 +164,7 @@ SQL = {
     "stream_averages": f"SELECT e.symbol, e.t, e.ema, w.rma FROM ({_inner('ta_exponential')}) e JOIN ({_inner('ta_wilder')}) w USING (symbol, t)",
     "stream_forming_bars": f"SELECT b.*, e.ema, w.rma, w.rsi, w.atr FROM (WITH {BARS_SQL} SELECT symbol, t, {sql_shown({c: c for c in ('open', 'high', 'low', 'close', 'volume')})} FROM bars) b JOIN ({_inner('ta_exponential')}) e USING (symbol, t) JOIN ({_inner('ta_wilder')}) w USING (symbol, t)",
     "stream_forward_returns": _ALIGNMENT["flow_forward_returns"],
+    "stream_recorded_bars": f"SELECT event_type AS symbol, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS t, {sql_shown({'open': 'first(value ORDER BY floor(epoch(ts)), event_id)', 'high': 'max(value)', 'low': 'min(value)', 'close': 'last(value ORDER BY floor(epoch(ts)), event_id)', 'volume': 'count(*)'})} FROM events WHERE value > 0 GROUP BY 1, 2",
     "stream_security": f"SELECT symbol, t, off, off_mean FROM ({_ALIGNMENT['mtf_security']})",
 }
 SQL["stream_seeded_bars"] = SQL["stream_forming_bars"]

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import ship
-from ..operators.folds import Ema, Rma
+from ..operators.scans import ema_steps, prefixes, rma_steps, values
 
 
 def minute_bars(ticks: DataFrame, size: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -47,20 +48,21 @@ def averages(bars: DataFrame, n: int = 10) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ema, rma, last = Ema(n), Rma(n), None
-        if state.exists:
-            ema.p, rma.p, rma.bar, window, last = state.get
-            rma.last.extend(window)
+        ema, rma, tail, last = state.get if state.exists else (None, None, [], None)
         rows = pd.concat(list(frames)).sort_values("ts")
         if last is not None:
             rows = rows[rows["ts"] > pd.Timestamp(last, unit="us", tz=rows["ts"].dt.tz)]
-        out = [(key[0], ts, x, ema.step(x)[0], rma.step(x)[0]) for ts, x in zip(rows["ts"], rows["close"].tolist(), strict=True)]
-        if out:
-            last = int(out[-1][1].value // 1000)
-        state.update((ema.p, rma.p, rma.bar, [float(v) for v in rma.last], last))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema", "rma"])
+        if len(rows):
+            x = np.concatenate([np.array(tail, float), rows["close"].to_numpy(float)])
+            own = slice(len(tail), None)
+            starts = (np.nan if v is None else v for v in (ema, rma))
+            out = [values(prefixes(*(np.asarray(p)[own] for p in steps(x, None))), start) for steps, start in zip((ema_steps(n), rma_steps(n)), starts, strict=True)]
+            ema, rma = (None if np.isnan(v[-1]) else float(v[-1]) for v in out)
+            tail, last = [None if np.isnan(v) else float(v) for v in x[-n:]][1 - n :] if n > 1 else [], int(rows["ts"].iloc[-1].value // 1000)
+            yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"], "close": rows["close"], "ema": out[0], "rma": out[1]})
+        state.update((ema, rma, tail, last))
 
     ship(bars.sparkSession)
     return bars.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, ts timestamp, close double, ema double, rma double", "ema double, rma double, bar bigint, last array<double>, ts bigint", "append", GroupStateTimeout.NoTimeout
+        step, "symbol string, ts timestamp, close double, ema double, rma double", "ema double, rma double, tail array<double>, ts bigint", "append", GroupStateTimeout.NoTimeout
     )
