@@ -276,3 +276,20 @@ def test_zip_archives_are_read_where_they_lie(spark, tmp_path):
     got = files.archive_bars(files.archives(spark, str(tmp_path)), contracts).orderBy("t").collect()
     assert [tuple(r) for r in got] == [("MXFA4", 1704156300, 17000.0, 17010.0, 16990.0, 16990.0, 6.0), ("MXFA4", 1704211200, 17100.0, 17100.0, 17100.0, 17100.0, 1.0)]
     assert files.zipped_lines(files.archives(spark, str(tmp_path))).where("place = 0 and line = '" + heading + "'").count() == 3
+
+
+def test_a_session_gates_by_what_its_trades_made():
+    """Loss streak, half lots, stop, protection of profit and the cap of each part."""
+    from tidebar.operators.risk import RULES, Session
+
+    def walk(rows, **kw):
+        s = Session(**kw)
+        return [(RULES[int(r[0])][0], r[1], r[2]) for r in (s.step(*x) for x in rows)]
+
+    sure = lambda close, way, part=0: (close, way, 0.9, 0, part)
+    got = walk([sure(100.0, 1.0), sure(90.0, 1.0), sure(80.0, 1.0), sure(70.0, 1.0), sure(60.0, 1.0)])
+    assert got == [("full", 1.0, None), ("full", 1.0, -10.0), ("reduce", 0.5, -10.0), ("consec_loss_stop", 0.0, -10.0), ("consec_loss_stop", 0.0, None)]
+    got = walk([sure(100.0, 1.0), sure(150.0, None), (150.0, -1.0, 0.9, 1, 0), sure(150.0, 0.0)], protect=50.0)
+    assert got == [("full", 1.0, None), ("full", 1.0, 50.0), ("profit_protect", 0.0, None), ("flat", 0.0, None)]
+    got = walk([(1.0, 1.0, 0.7, 0, 0), (1.0, 1.0, None, 1, 0), sure(1.0, -1.0, 0), sure(1.0, -1.0, 1)], cap=2)
+    assert got == [("reduce", 0.5, None), ("volatile", 0.5, 0.0), ("max_follow_day", 0.0, 0.0), ("full", 1.0, None)]

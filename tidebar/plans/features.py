@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import times as T
 from ..operators import features as X
+from ..operators import risk as K
 from ..operators import rolling as R
 from .alignment import _TICKS, _ticks
 from .common import BARS_SQL, frame, hourly, shown, sql_full, sql_lag, sql_shown, table
@@ -87,7 +89,28 @@ _LV = {
 _BEFORE = "list_sort(array_agg(volume) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
 _LARGE = f"a AS (SELECT *, {_BEFORE} AS w FROM b), l AS (SELECT *, coalesce(volume > 2 * w[len(w) // 2 + 1], false) AS large FROM a), m AS (SELECT *, CASE WHEN large THEN CAST(sign(close - open) AS INT) END AS way, sum((NOT large)::INT) OVER {_UP} AS br FROM l)"
 
-QUERIES = {f.__name__: f for f in (feature_chart, feature_last_values, feature_pandas_values, feature_large_bars, report_events, account_equity, account_closed, report_guard)}
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = hourly(spark, sf_dir)
+    i, way = F.col("i"), F.signum(F.col("close") - F.col("open"))
+    day = T.in_session(F.col("t"), "0845-1346")
+    return b.select("symbol", "t", "close", F.when(i % 11 != 0, way).alias("choice"), (0.5 + (i % 10) * 0.05).alias("confidence"), (F.col("high") - F.col("low") > 60).alias("volatile"), F.when(day, "day").otherwise("night").alias("part"))
+
+
+def report_risk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on hourly decisions, each hanging on what the ones before made in their trading day."""
+    d = _decisions(spark, sf_dir)
+    out = K.gate(d, T.trading_day(F.col("t")), F.col("part") == "day", 5, 120.0)
+    return shown(out, ["symbol", "t", "verdict", "reason", "rule"], {"lots": "lots", "outcome": "outcome"})
+
+
+def report_risk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes when counters that ran by the date are worked out anew by trading day: by field, and by session."""
+    d = _decisions(spark, sf_dir)
+    old, new = (K.gate(d, key, F.col("part") == "day", 5, 120.0) for key in (F.to_date(T.local(F.col("t"))), T.trading_day(F.col("t"))))
+    return K.differences(old, new, ["symbol", "t"], "part")
+
+
+QUERIES = {f.__name__: f for f in (feature_chart, feature_last_values, feature_pandas_values, feature_large_bars, report_events, account_equity, account_closed, report_guard, report_risk_gate, report_risk_changes)}
 SQL = {
     "feature_chart": f"{_WITH}, m AS (SELECT *, CASE WHEN {sql_lag('close')} IS NULL THEN high - low ELSE {_TR} END AS tr FROM b) SELECT symbol, t, {sql_shown(_CHART)} FROM m",
     "feature_last_values": f"{_WITH}, m AS (SELECT *, close - least(low, {sql_lag('close')}) AS bp0, greatest(high, {sql_lag('close')}) - least(low, {sql_lag('close')}) AS sp0 FROM b), n AS (SELECT *, CASE WHEN i > 0 THEN bp0 END AS bp, CASE WHEN i > 0 THEN sp0 END AS sp FROM m), z AS (SELECT symbol, t, {', '.join(f'{e} AS {k}' for k, e in _LV.items())} FROM n) SELECT symbol, {sql_shown({k: k for k in _LV})} FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC) = 1",
@@ -97,3 +120,33 @@ SQL = {
     "account_closed": "WITH c AS (SELECT c_nationkey AS account, o_totalprice % 1000 - 450 AS p, o_totalprice / 1000 AS f FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1994 AND 1996) SELECT account, count(*) AS trades, round(sum(p), 4) AS pnl, round(sum(f), 4) AS commission, round(avg(CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END), 4) AS win_rate, round(sum(CASE WHEN p > 0 THEN p END) / -sum(CASE WHEN p < 0 THEN p END), 4) AS profit_factor FROM c GROUP BY account",
     "report_guard": f"WITH d AS (SELECT o_orderkey AS k, o_orderkey % 3 AS verdict FROM orders), s AS (SELECT l_orderkey AS k, sum(l_quantity - 25) AS pnl FROM lineitem GROUP BY 1) SELECT CAST(verdict AS INT) AS verdict, count(*) AS n, count(s.pnl) AS known, {sql_shown({'pnl': 'sum(s.pnl)', 'loss_rate': 'avg(CASE WHEN s.pnl < 0 THEN 1.0 WHEN s.pnl >= 0 THEN 0.0 END)'})} FROM d LEFT JOIN s ON d.k = s.k AND d.verdict < 2 GROUP BY 1",
 }
+
+
+def _gates(name: str, key: str) -> str:
+    """A recursive query ``name`` over decisions; counters begin anew where the key changes."""
+    names = "part_day, part_night, realized, losses, protected, way, entry, size"
+    fresh = {"part_day": "0", "part_night": "0", "realized": "0::DOUBLE", "losses": "0", "protected": "false", "way": "NULL", "entry": "NULL", "size": "NULL"}
+    carry = ", ".join(f"CASE WHEN p.k = x.k THEN p.{n} ELSE {v} END AS {n}" for n, v in fresh.items())
+    walk = lambda source: f"""(SELECT symbol, t, i, k, part, close, choice, CASE WHEN follow AND part = 'day' THEN part_day + 1 ELSE part_day END AS part_day, CASE WHEN follow AND part = 'night' THEN part_night + 1 ELSE part_night END AS part_night, realized, losses, protected,
+  CASE WHEN follow THEN choice END AS way, CASE WHEN follow THEN close END AS entry, CASE WHEN follow THEN lots END AS size, rule, lots, points FROM (
+  SELECT *, CASE WHEN rule < 4 THEN 0 WHEN rule < 7 THEN 0.5 ELSE 1 END::DOUBLE AS lots, rule >= 4 AND choice IS NOT NULL AS follow FROM (
+  SELECT *, CASE WHEN choice = 0 THEN 0 WHEN CASE part WHEN 'day' THEN part_day ELSE part_night END >= 5 THEN 1 WHEN protected AND choice IS NOT NULL THEN 2 WHEN losses >= 3 THEN 3 WHEN volatile THEN 4 WHEN confidence < 0.85 THEN 5 WHEN losses = 2 THEN 6 ELSE 7 END AS rule FROM (
+  SELECT * EXCLUDE (realized, losses, protected), realized + coalesce(points * size, 0) AS realized, CASE WHEN points IS NULL THEN losses WHEN points >= 0 THEN 0 ELSE losses + 1 END AS losses, protected OR (points IS NOT NULL AND realized + points * size >= 120) AS protected FROM (
+  SELECT *, CASE WHEN way IS NOT NULL THEN way * (close - entry) END AS points FROM ({source}))))))"""
+    first = ", ".join(f"CAST({v} AS {t}) AS {n}" for (n, v), t in zip(fresh.items(), ("INT", "INT", "DOUBLE", "INT", "BOOLEAN", "DOUBLE", "DOUBLE", "DOUBLE"), strict=True))
+    columns = f"symbol, t, i, k, part, close, choice, {names}, rule, lots, points"
+    return f"""{name}d AS MATERIALIZED (SELECT *, {key} AS k FROM d), {name}({columns}) AS (SELECT {columns} FROM {walk(f"SELECT *, {first} FROM {name}d WHERE i = 0")} UNION ALL SELECT {columns} FROM {walk(f"SELECT x.*, {carry} FROM {name} p JOIN {name}d x ON x.symbol = p.symbol AND x.i = p.i + 1")})"""
+
+
+_LOCAL = "make_timestamp((t + 28800) * 1000000)"
+_DECIDED = f"d0 AS (SELECT *, {_LOCAL} AS l FROM b), d AS MATERIALIZED (SELECT symbol, t, i, l, close, CASE WHEN i % 11 <> 0 THEN CAST(sign(close - open) AS DOUBLE) END AS choice, 0.5 + (i % 10) * 0.05::DOUBLE AS confidence, high - low > 60 AS volatile, CASE WHEN hour(l) * 60 + minute(l) BETWEEN 525 AND 825 THEN 'day' ELSE 'night' END AS part FROM d0)"
+_BY_DAY, _BY_DATE = "CAST(l + INTERVAL 9 HOUR AS DATE)", "CAST(l AS DATE)"
+_RULE = {n: "[" + ", ".join(f"'{r[k]}'" for r in K.RULES) + "][rule + 1]" for n, k in (("rule", 0), ("verdict", 1), ("reason", 2))}
+_NAMED = lambda r: f"SELECT symbol, t, part, {', '.join(f'{e} AS {n}' for n, e in _RULE.items())}, lots, points AS outcome FROM {r}"
+_PAIR = ", ".join(f"o.{f} IS DISTINCT FROM n.{f} AS {f}" for f in K.FIELDS)
+SQL |= {
+    "report_risk_gate": f"WITH RECURSIVE {BARS_SQL}, {_DECIDED}, {_gates('g', _BY_DAY)} SELECT symbol, t, verdict, reason, rule, {sql_shown({'lots': 'lots', 'outcome': 'outcome'})} FROM ({_NAMED('g')})",
+    "report_risk_changes": f"WITH RECURSIVE {BARS_SQL}, {_DECIDED}, {_gates('o', _BY_DATE)}, {_gates('n', _BY_DAY)}, c AS (SELECT n.part, {_PAIR} FROM ({_NAMED('o')}) o JOIN ({_NAMED('n')}) n USING (symbol, t)) "
+    + " UNION ALL ".join(f"SELECT 'field' AS kind, '{f}' AS name, count(*) FILTER ({f}) AS changed, count(*) AS rows FROM c" for f in K.FIELDS)
+    + f" UNION ALL SELECT 'group', part, count(*) FILTER ({' OR '.join(K.FIELDS)}), count(*) FROM c GROUP BY part",
+}
