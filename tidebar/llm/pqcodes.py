@@ -44,7 +44,7 @@ from .shared import table, written
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Entries under which a node isn't split further.
-LEAF = 16
+LEAF = 32
 #: Vectors that walk a tree together.
 BATCH = 4096
 _MOST = 1 << 24
