@@ -43,7 +43,7 @@ def rows(gaps: float) -> list[tuple]:
 def test_scans_equal_a_walk(spark, block, gaps):
     data = rows(gaps)
     bars = spark.createDataFrame(data, SCHEMA).repartition(5)
-    got = L.evaluate(L.numbered(bars, 700), [k[0] for k in kernels()], block=block).collect()
+    got = L.evaluate(L.scan(bars, [L.Recurrence("p", ("close",), L.ema_steps(2))], span=700, block=block, place="i"), [k[0] for k in kernels()], 700, block).collect()
     assert len(got) == len(data)
     for symbol in ("a", "b", "c", None):
         mine = sorted((x for x in got if x.symbol == symbol), key=lambda x: x.t)
@@ -59,13 +59,13 @@ def test_scans_equal_a_walk(spark, block, gaps):
 
 def test_one_symbol_is_several_tasks(spark):
     bars = spark.createDataFrame([("a", i, 2.0, 1.0, float(i % 5)) for i in range(64)], SCHEMA)
-    out = L.scan(L.numbered(bars, 16), [L.Recurrence("p", ("close",), L.ema_steps(5))], block=8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the blocks of a test are small enough for one task
     try:
-        parts = out.selectExpr("spark_partition_id() AS p", "i").distinct().collect()
+        out = L.scan(bars, [L.Recurrence("p", ("close",), L.ema_steps(5))], span=8, place="i")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len({r.p for r in parts}) > 1 and len({r.i // 8 for r in parts}) == 8
+    assert len(out.inputFiles()) > 1  # a file for each task that worked on blocks
+    assert [r.i for r in out.orderBy("t").collect()] == list(range(64))
 
 
 def test_composition_is_associative_with_seeds_and_nulls():
@@ -83,9 +83,13 @@ def test_composition_is_associative_with_seeds_and_nulls():
         assert np.allclose(got, want, equal_nan=True, rtol=1e-6)
 
 
-def test_a_block_shorter_than_a_reach_is_refused(spark):
-    with pytest.raises(ValueError):
-        L.evaluate(spark.createDataFrame([("a", 1, 1.0, 1.0, 1.0, 0)], SCHEMA + ", i long"), [L.rma("r", 9)], block=4)
+def test_a_reach_over_many_pieces(spark):
+    bars = spark.createDataFrame([("a", i, 2.0, 1.0, None if i == 33 else float(i % 5)) for i in range(64)], SCHEMA)
+    kernel = K.Rma(19)
+    want = [kernel.step(r.close)[0] for r in bars.orderBy("t").collect()]
+    for span, block in ((10, 2), (1000, 7), (3, 4096)):
+        got = [r.r for r in L.evaluate(bars, [L.rma("r", 19)], span, block).orderBy("t").collect()]
+        assert [v is None for v in got] == [v is None for v in want] and all(v is None or math.isclose(v, w) for v, w in zip(got, want, strict=True))
 
 
 def test_empty(spark):
@@ -99,10 +103,10 @@ def test_corrections_equal_a_full_run_and_touch_only_what_changed(spark, block):
     names, columns = [r.name for r in recurrences], ["high", "low", "close"]
     old = [r for n, r in enumerate(data) if n != 30]  # a late bar of a
     old = [(*r[:4], 70.0) if n == 50 else r for n, r in enumerate(old)] + [("b", 5000, 1.0, 1.0, 1.0)]  # a rewritten one, and one of b that is gone
-    stored = L.scan(L.numbered(spark.createDataFrame(old, SCHEMA), 700), recurrences, block=block).drop("i").cache()
+    stored = L.scan(spark.createDataFrame(old, SCHEMA), recurrences, span=700, block=block).cache()
     bars = spark.createDataFrame(data + [("d", 1, 2.0, 1.0, 1.5)], SCHEMA)
-    got = {(r.symbol, r.t): r for r in L.corrected(stored, bars, recurrences, columns, block=block).collect()}
-    want = {(r.symbol, r.t): r for r in L.scan(L.numbered(bars, 700), recurrences, block=block).collect()}
+    got = {(r.symbol, r.t): r for r in L.corrected(stored, bars, recurrences, columns, span=700, block=block).collect()}
+    want = {(r.symbol, r.t): r for r in L.scan(bars, recurrences, span=700, block=block).collect()}
     assert set(got) == set(want)
     for key, r in want.items():
         for n in names:

@@ -138,9 +138,9 @@ def after(state: float, low, high, out, fresh: float) -> float:
 
 def last_accepted(rows: DataFrame, value: str, rule: Rule, key: str = "symbol", order: tuple[str, ...] = ("t", "seq"), span: int = 86_400, block: int = scans.BLOCK) -> DataFrame:
     """The rows that a rule accepts, in order, for each key; rows with a null value are left out."""
-    rows = scans.numbered(rows.where(rows[value].isNotNull()), span, key, order, "_place")
-    columns = [c for c in rows.columns if c != "_place"]
-    x = lambda block: block.column(f"_in_{value}").to_numpy()
+    rows = rows.where(rows[value].isNotNull())
+    columns = rows.columns
+    x = lambda piece: piece.column(f"_in_{value}").to_numpy()
 
     def begin(tables: pd.DataFrame) -> list[float]:
         state, out = np.nan, []
@@ -149,8 +149,7 @@ def last_accepted(rows: DataFrame, value: str, rule: Rule, key: str = "symbol",
             state = after(state, t.low, t.high, t.out, t.fresh)
         return out
 
-    def finish(block: pa.Table, own: int, start: float | None) -> pa.Table:
-        return block.filter(pa.array(kept(x(block), rule, np.nan if start is None else start))).select(columns)
+    def finish(piece: pa.Table, start: float | None, own: int) -> pa.Table:
+        return piece.filter(pa.array(kept(x(piece), rule, np.nan if start is None else start))).select(columns)
 
-    schema = scans.schema_of(rows.select(*columns))
-    return scans.in_blocks(rows, [value], lambda block, own: table(x(block), rule), "low array<double>, high array<double>, out array<double>, fresh double", begin, "double", finish, schema, 0, key, "_place", block)
+    return scans.in_blocks(rows, [value], lambda piece, own: table(x(piece), rule), "low array<double>, high array<double>, out array<double>, fresh double", begin, "double", finish, scans.schema_of(rows), key, order, span, block)

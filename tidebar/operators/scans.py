@@ -4,17 +4,17 @@ A bar's step takes the value before to a * value + b, or to s if there is none
 yet; a result of NaN is "none" again. Such steps compose to steps of the same
 form, which is what lets seeds and missing inputs go through a scan:
 
-1. Bars get their place in the symbol from counts of time spans, and every
-   ``BLOCK`` places are a block. A block's task also gets the few bars before it
-   that its steps look at (``reach``), as copies of the block before's last ones.
-2. Each block composes its steps to one, in numpy by doubling.
-3. The steps of a symbol's blocks, a row each, are composed in order; that gives
-   the value with which each block begins.
-4. Each block works out its values from that, in the pass that also puts them to
-   the bars.
-
-An indicator may need two rounds, as the second recurrence reads the first
-(``evaluate``). Nulls are NaN inside; null results are NULL again outside.
+1. Bars are dealt by symbol and span of time, sorted, and cut into pieces of at
+   most ``BLOCK`` bars. Each piece is written with a summary: its first and its
+   last few inputs, as many as a step looks back at (``reach``), and the steps in
+   between composed to one, in numpy by doubling.
+2. A symbol's summaries are walked in order. That gives each piece the value, the
+   number of bars and the inputs that lie before it.
+3. Each piece works out its values from these.
+
+Bars are shuffled and worked on once; an indicator may need two rounds, as the
+second recurrence reads the first (``evaluate``). Nulls are NaN inside; null
+results are NULL again outside.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..functions.na import div
+from ..store import written
 
 BLOCK = 4096
 
@@ -141,120 +142,143 @@ def values(steps, start: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(start), s, a * start + b)
 
 
-def numbered(bars: DataFrame, span: int = BLOCK * 3600, key: str = "symbol", order: tuple[str, ...] = ("t",), place: str = "i") -> DataFrame:
-    """Adds each row's place in its symbol: rows are counted by spans of time, the counts are summed up, and rows are numbered within their span."""
-    bars = bars.withColumn("_span", F.floor(F.col(order[0]) / span))
-    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    counts = bars.groupBy(F.col(key).alias("_key"), F.col("_span").alias("_of")).count().withColumn("_from", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-    both = bars.join(counts.drop("count"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_of")))
-    inside = F.row_number().over(Window.partitionBy(key, "_span").orderBy(*order)) - 1
-    return both.withColumn(place, F.col("_from") + inside).drop("_span", "_key", "_of", "_from")
+#: The span of rows whose values are known; it lies before all others.
+KNOWN = -(1 << 62)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one block at a time."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, int]]:
+    """Rows of one group in pieces of at most ``most``, and the piece's number in its group."""
     held: list[pa.RecordBatch] = []
-    last = None
+    rows, number, last = 0, 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
         group = batch.column("_group").to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
         for first, end in zip(edges[:-1], edges[1:], strict=True):
-            if held and group[first] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(first, end - first))
-            last = group[first]
+            while first < end:
+                if held and (group[first] != last or rows == most):
+                    yield pa.Table.from_batches(held), number
+                    held, rows, number = [], 0, number + 1 if group[first] == last else 0
+                elif group[first] != last:
+                    number = 0
+                take = min(end - first, most - rows)
+                held.append(batch.slice(first, take))
+                rows, first, last = rows + take, first + take, group[first]
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), number
 
 
-def in_blocks(bars: DataFrame, inputs: list[str], summary: Callable, summary_schema: str, begin: Callable, start_type: str, finish: Callable, schema: str, reach: int = 0, key: str = "symbol", place: str = "i", block: int = BLOCK) -> DataFrame:
-    """Blocks of a symbol's rows in three steps: ``summary(rows, own)`` of a block, ``begin(summaries)`` of a symbol in order gives what each block starts with, ``finish(rows, own, start)`` gives its rows.
+def _packed(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
 
-    ``rows`` are those of the block, as an Arrow table, after the last ``reach``
-    of the block before; the block's own begin at row ``own``. Inputs are doubles
-    with the prefix _in_. Only the summaries of a symbol come together in one task.
+
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def in_blocks(bars: DataFrame, inputs: list[str], summary: Callable, summary_schema: str, begin: Callable, start_type: str, finish: Callable, schema: str, key: str = "symbol", order: tuple[str, ...] = ("t",), span: int = BLOCK * 3600, block: int = BLOCK, known=None) -> DataFrame:
+    """A symbol's rows in pieces: ``summary(rows, span)`` of a piece, ``begin(summaries)`` of a symbol in order gives what each piece starts with, ``finish(rows, start, span)`` gives its rows.
+
+    ``rows`` are an Arrow table in order. Inputs are doubles with the prefix _in_.
+    Only the summaries of a symbol come together in one task. Rows for which
+    ``known`` holds are pieces of the span ``KNOWN``.
     """
-    if reach > block:
-        raise ValueError(f"{reach} rows before a row are looked at, a block has {block}")
     ship(bars.sparkSession)
-    at = F.floor(F.col(place) / block).cast("long")
-    dealt = F.when(F.pmod(F.col(place), F.lit(block)) >= block - reach, F.array(at, at + 1)).otherwise(F.array(at))
-    rows = bars.select(*bars.columns, *[F.col(c).cast("double").alias(f"_in_{c}") for c in inputs], F.explode(dealt).alias("_block"))
-    rows = rows.withColumn("_group", F.xxhash64(key, "_block")).repartition(key, "_block")
-    order, kind = (key, "_block", place), dict(bars.dtypes)[key]
-
-    def first_own(rows: pa.Table) -> int:
-        return int((rows.column(place).to_numpy() < rows.column("_block")[0].as_py() * block).sum())
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            own = first_own(rows)
-            if own < len(rows):
-                found = summary(rows, own)
-                yield pa.RecordBatch.from_arrays([rows.column(key).slice(0, 1).combine_chunks(), pa.array([rows.column("_block")[0].as_py()], pa.int64()), *(pa.array([v]) for v in found.values())], names=["_key", "_at", *found])
+    at = F.floor(F.col(order[0]) / span).cast("long")
+    at = F.when(known, KNOWN).otherwise(at) if known is not None else at
+    rows = bars.select(*bars.columns, *[F.col(c).cast("double").alias(f"_in_{c}") for c in inputs], at.alias("_span"))
+    rows = rows.withColumn("_group", F.xxhash64(key, "_span")).repartition(key, "_span").sortWithinPartitions(key, "_span", *order)
+    kind = dict(bars.dtypes)[key]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, number in _pieces(batches, block):
+            own = piece.column("_span")[0].as_py()
+            found = summary(piece, own)
+            columns = [piece.column(key).slice(0, 1).combine_chunks(), pa.array([own], pa.int64()), pa.array([number], pa.int64()), *(pa.array([v]) for v in found.values()), pa.array([_packed(piece.drop_columns(["_span", "_group"]))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_key", "_at", "_piece", *found, "_rows"])
 
     def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        return pd.DataFrame({"_key": pdf["_key"], "_at": pdf["_at"], "_start": begin(pdf)})
+        pdf = pdf.sort_values(["_at", "_piece"])
+        return pd.DataFrame({"_key": pdf["_key"], "_at": pdf["_at"], "_piece": pdf["_piece"], "_start": begin(pdf)})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            own = first_own(rows)
-            if own < len(rows):
-                yield from finish(rows, own, rows.column("_start")[0].as_py()).combine_chunks().to_batches()
+        for batch in batches:
+            for own, start, data in zip(batch.column("_at").to_pylist(), batch.column("_start").to_pylist(), batch.column("_rows"), strict=True):
+                yield from finish(pa.ipc.open_stream(data.as_buffer()).read_all(), start, own).combine_chunks().to_batches()
 
-    totals = rows.select(key, place, "_block", "_group", *[f"_in_{c}" for c in inputs]).sortWithinPartitions(*order).mapInArrow(total, f"_key {kind}, _at long, {summary_schema}")
-    begun = totals.groupBy("_key").applyInPandas(starts, f"_key {kind}, _at long, _start {start_type}")
-    begun = rows.join(begun, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")), "left").drop("_key", "_at")
-    return begun.sortWithinPartitions(*order).mapInArrow(apply, schema)
+    blocks = written(rows.mapInArrow(pack, f"_key {kind}, _at long, _piece long, {summary_schema}, _rows binary"), "blocks")
+    begun = blocks.drop("_rows").groupBy("_key").applyInPandas(starts, f"_key {kind}, _at long, _piece long, _start {start_type}")
+    begun = begun.select(F.col("_key").alias("_of"), F.col("_at").alias("_of_at"), F.col("_piece").alias("_of_piece"), "_start")
+    same = F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_at") == F.col("_of_at")) & (F.col("_piece") == F.col("_of_piece"))
+    return blocks.select("_key", "_at", "_piece", "_rows").join(begun, same).select("_at", "_start", "_rows").mapInArrow(apply, schema)
 
 
-def schema_of(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
+def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", order: str = "t", span: int = BLOCK * 3600, block: int = BLOCK, place: str | None = None, stored: list[str] | None = None, known=None) -> DataFrame:
+    """Adds the recurrences' values to bars, and each bar's place in its symbol if ``place`` names a column for it.
 
-def scan(bars: DataFrame, recurrences: list[Recurrence], key: str = "symbol", place: str = "i", block: int = BLOCK, stored: list[str] | None = None) -> DataFrame:
-    """Adds the recurrences' values to bars that are numbered by ``place`` from 0 on.
-
-    With ``stored``, columns with the recurrences' known values, bars of negative
-    places are known already: the last of them is what the others start from, and
-    none of them comes back.
+    Bars for which ``known`` holds lie before all others of their symbol and don't
+    come back; their last values, in the columns ``stored``, are what others start from.
     """
-    names, columns = [r.name for r in recurrences], bars.columns
-    stored = stored or []
+    names, columns, stored = [r.name for r in recurrences], bars.columns, stored or []
+    inputs = sorted({c for r in recurrences for c in r.columns})
+    reach, k, far = max(r.reach for r in recurrences), len(names), 1 << 40
 
-    def steps(rows: pa.Table, own: int):
-        """(a, b, s), bars x recurrences."""
-        x = {c: rows.column(f"_in_{c}").to_numpy() for r in recurrences for c in r.columns}
-        places = rows.column(place).to_numpy()
+    def steps(x: np.ndarray, first: int):
+        """(a, b, s) of rows whose inputs are columns of x, rows x recurrences; ``first`` is the place of the first."""
+        places = first + np.arange(len(x))
         with np.errstate(all="ignore"):
-            parts = [r.steps(r.source(*[x[c] for c in r.columns]), places) for r in recurrences]
-        return tuple(np.stack([np.asarray(p[k], float)[own:] for p in parts], axis=1) for k in range(3))
+            parts = [r.steps(r.source(*[x[:, inputs.index(c)] for c in r.columns]), places) for r in recurrences]
+        return tuple(np.stack([np.asarray(p[j], float) for p in parts], axis=1) for j in range(3))
+
+    def taken(rows: pa.Table) -> np.ndarray:
+        return np.stack([rows.column(f"_in_{c}").to_numpy() for c in inputs], axis=1)
 
     def summary(rows: pa.Table, own: int) -> dict:
-        if rows.column("_block")[0].as_py() < 0:
-            known = np.array([rows.column(f"_in_{c}").to_numpy()[-1] for c in stored])
-            return {"a": np.zeros(len(names)), "b": known, "s": known}
-        return {n: x[-1] for n, x in zip("abs", prefixes(*steps(rows, own)), strict=True)}
-
-    def begin(totals: pd.DataFrame) -> list:
-        _, _, s = prefixes(*(np.array(totals[c].tolist(), float) for c in "abs"))
-        return list(np.concatenate([np.full((1, s.shape[1]), np.nan), s[:-1]]))
-
-    def finish(rows: pa.Table, own: int, start: list) -> pa.Table:
-        if rows.column("_block")[0].as_py() < 0:
-            own = len(rows)
-        out = values(prefixes(*steps(rows, own)), np.array(start, float))
-        table = rows.slice(own).select(columns)
+        x, n = taken(rows), len(rows)
+        if own == KNOWN:
+            total = (np.zeros(k), *[np.array([rows.column(f"_in_stored_{c}").to_numpy(zero_copy_only=False)[-1] for c in stored], float)] * 2)
+        elif n > reach:  # what comes after the head looks back at the piece alone
+            total = tuple(v[-1] for v in prefixes(*(v[reach:] for v in steps(x, far))))
+        else:
+            total = (np.ones(k), np.zeros(k), np.full(k, np.nan))
+        return {"n": n, "a": total[0], "b": total[1], "s": total[2], "head": x[:reach].ravel(), "tail": x[max(0, n - reach) :].ravel()}
+
+    def begin(pieces: pd.DataFrame) -> list:
+        tail, value, place, out = np.empty((0, len(inputs))), np.full(k, np.nan), 0, []
+        for p in pieces.itertuples():
+            out.append(np.concatenate([[place], value, tail.ravel()]))
+            head = np.array(p.head, float).reshape(-1, len(inputs))
+            if p._2 == KNOWN:
+                value, place = np.array(p.s, float), far
+            else:
+                if len(head):
+                    own = steps(np.concatenate([tail, head]), place - len(tail))
+                    value = values(tuple(v[-1] for v in prefixes(*(v[len(tail) :] for v in own))), value)
+                value = values(tuple(np.array(v, float) for v in (p.a, p.b, p.s)), value)
+                place += p.n
+            joined = np.concatenate([tail, np.array(p.tail, float).reshape(-1, len(inputs))])
+            tail = joined[max(0, len(joined) - reach) :]
+        return out
+
+    def finish(rows: pa.Table, start: list, own: int) -> pa.Table:
+        first, value, tail = int(start[0]), np.array(start[1 : k + 1], float), np.array(start[k + 1 :], float).reshape(-1, len(inputs))
+        found = steps(np.concatenate([tail, taken(rows)]), first - len(tail))
+        out = values(prefixes(*(v[len(tail) :] for v in found)), value)
+        table = rows.select(columns)
         for i, name in enumerate(names):
             table = table.append_column(name, pa.array(out[:, i], from_pandas=True))
-        return table
+        if place:
+            table = table.append_column(place, pa.array(first + np.arange(len(rows))))
+        return table.slice(0, 0 if own == KNOWN else None)
 
-    schema = f"{schema_of(bars)}, " + ", ".join(f"`{n}` double" for n in names)
-    return in_blocks(bars, sorted({c for r in recurrences for c in r.columns} | set(stored)), summary, "a array<double>, b array<double>, s array<double>", begin, "array<double>", finish, schema, max(r.reach for r in recurrences), key, place, block)
+    wide = bars.withColumns({f"stored_{c}": F.col(c) for c in stored}) if stored else bars
+    schema = f"{schema_of(bars)}, " + ", ".join(f"`{n}` double" for n in names) + (f", `{place}` long" if place else "")
+    lists = ", ".join(f"{n} array<double>" for n in ("a", "b", "s", "head", "tail"))
+    return in_blocks(wide, [*inputs, *(f"stored_{c}" for c in stored)], summary, f"n long, {lists}", begin, "array<double>", finish, schema, key, (order,), span, block, known)
 
 
 def first_changes(old: DataFrame, new: DataFrame, columns: list[str], key: str = "symbol", order: str = "t") -> DataFrame:
@@ -264,7 +288,7 @@ def first_changes(old: DataFrame, new: DataFrame, columns: list[str], key: str =
     return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).groupBy(key).agg(F.min(order).alias("first"))
 
 
-def corrected(stored: DataFrame, bars: DataFrame, recurrences: list[Recurrence], columns: list[str], key: str = "symbol", order: str = "t", block: int = BLOCK) -> DataFrame:
+def corrected(stored: DataFrame, bars: DataFrame, recurrences: list[Recurrence], columns: list[str], key: str = "symbol", order: str = "t", span: int = BLOCK * 3600, block: int = BLOCK) -> DataFrame:
     """A new version of bars with the recurrences' values, from ``stored``, an old version with its values; ``recomputed`` tells which were worked out anew.
 
     Only symbols with a change are, and only from their first changed bar on: that
@@ -275,13 +299,12 @@ def corrected(stored: DataFrame, bars: DataFrame, recurrences: list[Recurrence],
     known = stored.select(key, order, *[F.col(n).alias(f"_was_{n}") for n in names])
     since = first_changes(stored, bars, columns, key, order)
     rows = bars.join(since, key, "left").join(known, [key, order], "left")
-    changed, same = F.col(order) >= F.col("first"), [F.col(f"_was_{n}").alias(n) for n in names]
-    kept = rows.where(~F.coalesce(changed, F.lit(False))).select(*bars.columns, *same, F.lit(False).alias("recomputed"))
-    # places count from the first changed bar; of those before it only the nearest come along
-    later = numbered(rows.where(changed), order=(order,), key=key, place="_place")
-    near = Window.partitionBy(key).orderBy(F.desc(order))
-    earlier = rows.where(F.col(order) < F.col("first")).withColumn("_place", -F.row_number().over(near)).where(F.col("_place") >= -reach)
-    anew = scan(later.unionByName(earlier), recurrences, key, "_place", block, [f"_was_{n}" for n in names])
+    changed, same = F.coalesce(F.col(order) >= F.col("first"), F.lit(False)), [F.col(f"_was_{n}").alias(n) for n in names]
+    kept = rows.where(~changed).select(*bars.columns, *same, F.lit(False).alias("recomputed"))
+    # of the bars before a change only the nearest come along
+    near = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    earlier = rows.where(F.col(order) < F.col("first")).withColumn("_near", near).where(F.col("_near") <= reach).drop("_near").withColumn("_known", F.lit(True))
+    anew = scan(rows.where(changed).withColumn("_known", F.lit(False)).unionByName(earlier), recurrences, key, order, span, block, None, [f"_was_{n}" for n in names], F.col("_known"))
     return kept.unionByName(anew.select(*bars.columns, *names, F.lit(True).alias("recomputed")))
 
 
@@ -354,12 +377,11 @@ def seeded_ema(name: str, n: int, x: str = "close") -> Indicator:
     return Indicator({name: F.col(name)}, [Recurrence(name, (x,), seeded_ema_steps(n), n - 1)])
 
 
-def evaluate(bars: DataFrame, indicators: list[Indicator], block: int = BLOCK) -> DataFrame:
-    """Adds the indicators. Bars without a column i are numbered first."""
-    b = bars if "i" in bars.columns else numbered(bars)
-    b = scan(b, [r for x in indicators for r in x.first], block=block)
+def evaluate(bars: DataFrame, indicators: list[Indicator], span: int = BLOCK * 3600, block: int = BLOCK) -> DataFrame:
+    """Adds the indicators."""
+    b = scan(bars, [r for x in indicators for r in x.first], span=span, block=block)
     between = {k: c for x in indicators for k, c in x.between.items()}
     b = b.withColumns(between) if between else b
     second = [r for x in indicators for r in x.second]
-    b = scan(b, second, block=block) if second else b
+    b = scan(b, second, span=span, block=block) if second else b
     return b.withColumns({k: c for x in indicators for k, c in x.shown.items()}).select(*bars.columns, *[k for x in indicators for k in x.shown])

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
 from ..operators import bars as B
+from ..store import new_path as new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,14 +58,3 @@ def sql_lag(x: str, k: int = 1) -> str:
 
 def sql_weighted(x: str, weights: list[float]) -> str:
     return "(" + " + ".join(f"{sql_lag(x, k)} * {w!r}" for k, w in enumerate(weights)) + ")"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that all executors share; only a local session without one gets a temporary folder."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='tidebar-')}"
-        spark.sparkContext.setCheckpointDir(at)
-    return f"{at}/tables/{name}-{uuid.uuid4().hex}"

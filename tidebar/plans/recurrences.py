@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import bars as B
 from ..operators import folds as K
 from ..operators import scans as L
-from .common import BARS_SQL, hourly, new_path, shown, sql_shown, table
+from ..store import written
+from .common import BARS_SQL, hourly, shown, sql_shown, table
 
 KEYS = ["symbol", "t"]
 _SINCE = 1705276800
@@ -20,7 +21,7 @@ def _shown(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.numbered(B.from_ticks(B.event_ticks(table(spark, sf_dir, "events")), "60"))
+    return B.from_ticks(B.event_ticks(table(spark, sf_dir, "events")), "60")
 
 
 def ta_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +69,7 @@ def ta_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = (F.col("symbol") == "click") & (F.col("t") > _SINCE) & (F.col("seq") % 97 == 0)
     wrong = (F.col("symbol") == "view") & (F.col("t") > _SINCE + 86_400) & (F.col("seq") % 89 == 0)
     before = B.from_ticks(ticks.where(~late).withColumn("price", F.when(wrong, F.col("price") + 1000).otherwise(F.col("price"))), "60")
-    path = new_path(spark, "stored-averages")
-    old = L.scan(L.numbered(before), recurrences).drop("i")
-    old.write.parquet(path)
-    stored = spark.read.schema(old.schema).parquet(path)
+    stored = written(L.scan(before, recurrences), "stored-averages")
     out = L.corrected(stored, B.from_ticks(ticks, "60"), recurrences, ["open", "high", "low", "close", "volume"])
     return shown(out, [*KEYS, "recomputed"], {"ema": "ema", "rma": "rma"})
 
