@@ -5,32 +5,44 @@ cards, bank accounts, social-security and telephone numbers, keys and passwords
 after their names, and titled person names in Latin or Cyrillic letters. An
 entity is reduced to what identifies it (a telephone number to its last ten
 digits without a leading 0, a mail address to lower case, an IPv6 address to its
-eight groups, a person name to its words), so all its spellings get one
-surrogate, poured back into the spelling at hand. A word without a title that is
-part of a titled name in the same document gets that name's surrogate. Not
-found: names never titled in their document, telephone numbers of bare digits
-without a plus, and words of all titles other than those below.
+eight groups, a person name to its words in lower case), so all its spellings get
+one surrogate, poured back into the spelling at hand. A word without a title that
+is part of a titled name in the same text gets that name's surrogate. Not found:
+names never titled in their text, telephone numbers of bare digits with neither a
+plus nor a word such as "call" before them, and words of all titles other than
+those below.
+
+A person is known by the name's words: titles only choose the gender, over all
+tables. Where a name has titles of one gender, its given names are of that gender
+under every title; where it has both or none, they fit either.
 
 A surrogate is drawn from a keyed hash of the entity: digits for digits,
 letters for letters of the same case, a valid check digit for a card that had
-one, octets of the same length, names of the same gender and script. Collision
-checks make them distinct: where two entities of a kind draw the same
-surrogate, or one draws something that is a real entity of the tables, all but
-the first draw again with the next number, until none is left.
-
-The distinct spellings and entities are small tables of their own; only each
-document's own spellings are joined back to it.
+one, octets of the same length. A name's word becomes one word of the same gender and
+script: one of a list, or, where that is taken, syllables with an ending, one
+syllable more with every draw. Parts of a hyphenated word keep their hyphen, words
+in capitals stay so. An initial becomes the letter a keyed number of places on.
+Collision checks make surrogates distinct: where two entities of a kind (or two
+name words of any kind) draw the same one, or one draws something that is a real
+entity of the tables, all but the first draw again with the next number, until
+none is left. Initials are too few for that: theirs differ from one another, but
+may be real elsewhere, and initials outside the two alphabets may share one.
+
+The distinct spellings and entities are tables of their own. A text's entities are
+joined to them by place and come back as an array in that order; what belongs to a
+text is known by its doc_id and a digest of it, so rows that share a doc_id, or
+have none, have nothing of one another's.
 
 Defined cases: a null text stays null, with no entities; an empty text stays
-empty. Rows that share a doc_id, or have none, are each rewritten. Repeated
-rows stay. An empty table gives an empty result. All other columns are kept.
+empty. Repeated rows stay and become equal texts. An empty table gives an empty
+result. All other columns are kept.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import table, written
@@ -39,7 +51,7 @@ KEY = "tidebar"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
-_VALUE = r"(?=[A-Za-z_/+.-]*\d)[A-Za-z0-9_/+.-]{8,}"
+_LONG = "[A-Za-z0-9_/+.-]{8,}"
 _MALE = r"(?:Mr|Mister|Sir|Herrn?|Señor|Sr|Monsieur|Signore?)\.?"
 _FEMALE = r"(?:Mrs|Ms|Miss|Frau|Fräulein|Señorita|Señora|Srta|Sra|Madame|Mademoiselle|Mme|Mlle|Signora)\.?"
 _EITHER = r"(?:Dr|Doctor|Professor|Prof|Mx)\.?"
@@ -65,7 +77,9 @@ KINDS = {
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![.+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+(?=(?:[ .()-]{0,2}\d){8,15}(?!\d))[1-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,12}){1,5}"
     r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|0\d{2,4}[ /-]\d{6,8}|\(0\d{1,4}\) ?\d{3,4}[ .-]?\d{3,4})(?!\d)",
-    "secret": rf"(?i:token|password|passwd|secret|api_?key)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_VALUE}",
+    "call": r"(?i:call|cell|fax|mobile|phone|tel|telephone)(?:[.:]|:? )? ?\d{10,11}(?!\d)",
+    # passwords may be letters alone; what follows the other words needs a digit
+    "secret": rf"(?i:(?:token|secret|api_?key)\s{{0,2}}[=:]\s{{0,2}}[\"']?(?=[A-Za-z_/+.-]*\d)|passw(?:or)?d\s{{0,2}}[=:]\s{{0,2}}[\"']?){_LONG}",
     "access": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name_m": _name(_MALE, "IsLatin"),
@@ -76,10 +90,10 @@ KINDS = {
     "name_nc": rf"(?<!\S){_name(_EITHER_C, 'IsCyrillic')}",
 }
 #: The kinds by the characters with which they may start, so that most places are left after one look.
-_STARTS = {"[0-9A-Fa-f]": ("ip6",), "[0-9+(]": ("ip", "card", "ssn", "phone"), "[A-Z]": ("access", "iban", "name_m", "name_f", "name_n"), "[AaPpSsTt]": ("secret",), "[гдп]": ("name_mc", "name_fc", "name_nc"), r"[\p{L}\p{N}_.%+-]": ("email",)}
+_STARTS = {"[0-9A-Fa-f]": ("ip6",), "[0-9+(]": ("ip", "card", "ssn", "phone"), "[A-Z]": ("access", "iban", "name_m", "name_f", "name_n"), "[CcFfMmPpTt]": ("call",), "[AaPpSsTt]": ("secret",), "[гдп]": ("name_mc", "name_fc", "name_nc"), r"[\p{L}\p{N}_.%+-]": ("email",)}
 #: A text with an entity has one of these.
 _TITLES = ("Mr", "Mis", "Herr", "Señor", "Sr", "Sir", "Signor", "Monsieur", "Ms", "Mx", "Frau", "Fräulein", "Mad", "Mme", "Mlle", "Dr", "Doctor", "Prof", "г-н", "г-жа", "госп", "д-р", "доктор", "проф")
-#: Names for surrogates, by the kind of word.
+#: Names for surrogates that are drawn first, by the kind of word.
 NAMES = {
     "given_m": "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul Rafael Simon Thomas Victor",
     "given_f": "Alice Bertha Clara Diana Emma Flora Greta Helena Irene Julia Katharina Laura Maria Nora Olivia Paula Rosa Sofia Teresa Vera",
@@ -90,6 +104,22 @@ NAMES = {
     "given_nc": "Валя Женя Лёша Паша Саша Слава Шура Тоня Стася Мика",
     "family_c": "Белый Волк Громов Дубов Ежов Жуков Зимин Ильин Котов Лесной Мороз Носов Орлов Попов Рыбак Седов",
 }
+#: Syllables of the names drawn after those, by script, and their endings by the kind of word.
+SYLLABLES = {
+    "": "ba be bo da de do fa fe ga go ha he ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se so ta te to va ve vi vo",
+    "c": "ба ве ви га го да де за ка ке ко ла ли ло ма ме ми мо на не ни но па по ра ре ри ро са се си со та те ти то",
+}
+ENDINGS = {
+    "given_m": "ld n nd r rd rt x",
+    "given_f": "lia lla na nna ria ssa tta",
+    "given_n": "ff l m sh y",
+    "family": "berg dal ford ker ler lund mann ner rson ston well",
+    "given_mc": "л м н р с т х",
+    "given_fc": "ля лия на нна ра рия та",
+    "given_nc": "ня ша ся",
+    "family_c": "вич дзе ев ко лев нов ренко цын швили",
+}
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ")
 _FOUND = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?={start})(?:{'|'.join(KINDS[k] for k in kinds)})" for start, kinds in _STARTS.items()) + ")"
 
 
@@ -99,7 +129,7 @@ def found_in(text: Column) -> Column:
 
 
 def _worth_searching(text: Column) -> Column:
-    out = text.rlike("[0-9@]")
+    out = text.rlike("[0-9@]|(?i:passw)")
     for title in _TITLES:
         out = out | F.contains(text, F.lit(title))
     return out
@@ -132,19 +162,24 @@ def _groups(spelling: Column) -> Column:
     return F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
 
 
-def _parts(kind: Column, spelling: Column) -> Column:
-    """What identifies the entity: an array of (kind, value)."""
+def _parts(kind: Column, spelling: Column, gender: Column) -> Column:
+    """What identifies the entity: an array of (kind, value, whether it stands in capitals)."""
 
-    def one(name: Column | str, value: Column) -> Column:
-        return F.struct((F.lit(name) if isinstance(name, str) else name).alias("kind"), value.alias("value"))
+    def one(name: Column | str, value: Column, capitals: Column | None = None) -> Column:
+        return F.struct((F.lit(name) if isinstance(name, str) else name).alias("kind"), value.alias("value"), (F.lit(False) if capitals is None else capitals).alias("capitals"))
 
     words = F.filter(_name_words(spelling), lambda w: ~_is_small(w))
-    script = F.when(kind.isin("name_mc", "name_fc", "name_nc"), "c").otherwise("")
-    gender = F.substring(kind, 6, 1)
-    names = F.transform(words, lambda w, i: one(F.when(i == F.size(words) - 1, F.when(script == "c", "family_c").otherwise("family")).otherwise(F.concat(F.lit("given_"), gender, script)), w))
+    given = F.concat(F.lit("given_"), gender, F.when(kind.endswith("c"), "c").otherwise(""))
+    family = F.when(kind.endswith("c"), "family_c").otherwise("family")
+
+    def parts_of(w: Column, i: Column) -> Column:
+        of = F.when(i == F.size(words) - 1, family).otherwise(given)
+        return F.transform(F.split(w, "-"), lambda c: one(F.when(c.endswith("."), F.lit("initial")).otherwise(of), F.lower(c), F.when((F.length(c) > 1) & (c == F.upper(c)), True).otherwise(False)))
+
+    names = F.flatten(F.transform(words, parts_of))
     return (
         F.when(kind == "email", F.array(one("email", F.lower(spelling))))
-        .when(kind == "phone", F.array(one("phone", F.regexp_replace(F.right(_digits(spelling), F.lit(10)), r"^0+(?=\d{6})", ""))))
+        .when(kind.isin("phone", "call"), F.array(one("phone", F.regexp_replace(F.right(_digits(spelling), F.lit(10)), r"^0+(?=\d{6})", ""))))
         .when(kind == "ip6", F.array(one("ip6", F.array_join(F.transform(_groups(spelling), lambda g: F.lpad(g, 4, "0")), ":"))))
         .when(kind.isin("card", "ssn"), F.array(one(kind, _digits(spelling))))
         .when(kind == "iban", F.array(one(kind, F.replace(spelling, F.lit(" "), F.lit("")))))
@@ -204,17 +239,48 @@ def _surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
         .when(kind == "iban", F.concat(F.left(value, F.lit(2)), F.substring(like, F.lit(3), F.length(like))))
         .otherwise(like)
     )
-    for name, pool in NAMES.items():  # one more name for every two attempts, so that a pool never runs out
-        names = F.array(*[F.lit(x) for x in pool.split()])
-        out = F.when(kind == name, F.concat_ws("-", *[names[_number(h, F.lit(j)) % len(pool.split())] for j in range(1 + attempt // 2 + attempt % 2)])).otherwise(out)
+    for name, pool in NAMES.items():
+        first, last = pool.split(), ENDINGS[name].split()
+        if attempt:  # one more syllable with every draw, so that names never run out
+            syllables = SYLLABLES["c" if name.endswith("c") else ""].split()
+            drawn = F.initcap(F.concat(*[_one_of(syllables, _number(h, F.lit(j))) for j in range(1 + attempt)], _one_of(last, _number(h, F.lit(30)))))
+        else:
+            drawn = _one_of(first, _number(h, F.lit(0)))
+        out = F.when(kind == name, drawn).otherwise(out)
     return out
 
 
+def _one_of(words: list[str], n: Column) -> Column:
+    return F.array(*[F.lit(w) for w in words])[n % len(words)]
+
+
+def _initial(value: Column, key: str) -> Column:
+    """For an initial with its point, the letter a keyed number of places on in its alphabet."""
+    letter, h = F.upper(F.left(value, F.lit(1))), F.sha2(F.lit(f"{key}|initial"), 256)
+    out = F.substring(F.lit(ALPHABETS[0]), _number(F.sha2(F.concat(F.lit(f"{key}|"), letter), 256), F.lit(0)) % 26 + 1, F.lit(1))
+    for alphabet in ALPHABETS:
+        at, on = F.instr(F.lit(alphabet), letter), 1 + _number(h, F.lit(0)) % (len(alphabet) - 1)
+        out = F.when(at > 0, F.substring(F.lit(alphabet), (at - 1 + on) % len(alphabet) + 1, F.lit(1))).otherwise(out)
+    return F.concat(out, F.lit("."))
+
+
+def _put_names(spelling: Column, surrogates: Column) -> Column:
+    """The words of a name after its titles, each with the surrogates of its parts; small words stay."""
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("seen"))
+
+    def step(a: Column, w: Column) -> Column:
+        n = F.when(_is_small(w), 0).otherwise(F.size(F.split(w, "-")))
+        word = F.when(n == 0, w).otherwise(F.array_join(F.slice(surrogates, a["seen"] + 1, n), "-"))
+        return F.struct(F.concat(a["out"], F.array(word)).alias("out"), (a["seen"] + n).alias("seen"))
+
+    return F.aggregate(_name_words(spelling), state, step)["out"]
+
+
 def _poured(spelling: Column, kind: Column, first: Column, names: Column) -> Column:
-    """The surrogate in the spelling of the entity: its separators, its prefix, its case."""
+    """The surrogate in the spelling of the entity: its separators, its prefix, its case. ``names`` are a person's words."""
     digits, slots = _letters(first), F.length(_digits(spelling))
     # the digits of a telephone number's end take the place of its last digits; what comes before is the country's
-    ahead = F.when(kind == "phone", F.greatest(slots - F.length(first), F.lit(0))).otherwise(F.lit(0))
+    ahead = F.when(kind.isin("phone", "call"), F.greatest(slots - F.length(first), F.lit(0))).otherwise(F.lit(0))
     state = F.struct(F.lit("").alias("text"), F.lit(0).alias("seen"))
 
     def step(a: Column, c: Column) -> Column:
@@ -229,53 +295,64 @@ def _poured(spelling: Column, kind: Column, first: Column, names: Column) -> Col
     tokens = F.split(spelling, ":", -1)
     gap = F.array_position(tokens, "")
     six = F.array_join(F.transform(tokens, lambda g, i: F.when(g.rlike("^0*$"), g).otherwise(F.get(F.split(first, ":"), F.when((gap == 0) | (i < gap - 1), i).otherwise(8 - F.size(tokens) + i)))), ":")
-    words = _name_words(spelling)
-    ahead_of = F.left(spelling, F.length(spelling) - F.length(F.array_join(words, " ")))
-    put_names = F.aggregate(
-        words, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("seen")),
-        lambda a, w: F.struct(F.concat(a["out"], F.array(F.when(_is_small(w), w).otherwise(F.get(names, a["seen"])))).alias("out"), (a["seen"] + F.when(_is_small(w), 0).otherwise(1)).alias("seen")),
-    )["out"]
+    ahead_of = F.left(spelling, F.length(spelling) - F.length(F.array_join(_name_words(spelling), " ")))
     return (
-        F.when(kind.isin("phone", "card", "ssn"), numbers)
+        F.when(kind.isin("phone", "call", "card", "ssn"), numbers)
         .when(kind == "ip6", six)
         .when(kind == "email", cased)
         .when(kind == "iban", grouped)
         .when(kind == "secret", F.concat(F.left(spelling, F.length(spelling) - F.length(value)), first))
-        .when(kind.startswith("name_"), F.concat(ahead_of, F.array_join(put_names, " ")))
+        .when(kind.startswith("name_"), F.concat(ahead_of, F.array_join(names, " ")))
         .otherwise(first)
     )
 
 
 def _settled(entities: DataFrame, key: str) -> DataFrame:
-    """kind, value, surrogate for all entities: distinct within a kind, and none a real value."""
-    real = written(entities.select("kind", F.col("value").alias("surrogate")), "real")
+    """kind, value, surrogate for all entities: distinct within a kind (words of names: among all), and none a real value."""
+    # name words of all kinds are one class; they are compared in lower case
+    is_name = F.col("kind").startswith("given_") | F.col("kind").startswith("family")
+    entities = entities.withColumn("class", F.when(is_name, "name").otherwise(F.col("kind")))
+    real = written(entities.select("class", F.col("value").alias("as_real")).distinct(), "real")
     settled, pending = None, entities
     for attempt in count():
         drawn = pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), key, attempt))
+        drawn = drawn.withColumn("as_real", F.when(is_name, F.lower("surrogate")).otherwise(F.col("surrogate")))
         # the smallest value that draws a surrogate keeps it: a minimum combines before it moves, however many draw the same
-        kept = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).join(real, ["kind", "surrogate"], "left_anti")
+        kept = drawn.groupBy("class", "as_real", "surrogate").agg(F.min(F.struct("kind", "value")).alias("by")).join(real, ["class", "as_real"], "left_anti")
         if settled is not None:
-            kept = kept.join(settled, ["kind", "surrogate"], "left_anti")
-        kept = written(kept.select("kind", "value", "surrogate"), "surrogates")
+            kept = kept.join(settled, ["class", "as_real"], "left_anti")
+        kept = written(kept.select("class", "as_real", "by.kind", "by.value", "surrogate"), "surrogates")
         settled = kept if settled is None else settled.unionAll(kept)
         pending = written(pending.join(kept, ["kind", "value"], "left_anti"), "pending")
         if pending.isEmpty():
-            return settled
+            return settled.select("kind", "value", "surrogate")
 
 
 def replacements(found: DataFrame, key: str = KEY) -> DataFrame:
     """spelling, replacement for every distinct spelling in a table of them; and for names their words, each with its surrogate, family names first."""
     spellings = found.select("spelling").distinct()
     spellings = spellings.withColumn("kind", _kind(F.col("spelling"))).where("kind is not null")
-    spellings = written(spellings.withColumn("parts", _parts(F.col("kind"), F.col("spelling"))), "spellings")
-    parts = spellings.select("spelling", F.col("kind").alias("of"), F.posexplode("parts").alias("place", "part")).select("spelling", "of", "place", "part.kind", "part.value")
-    surrogates = _settled(parts.select("kind", "value").distinct(), key)
-    one = F.struct("place", "surrogate", "value", F.col("kind").startswith("given").alias("given"))
-    both = parts.join(surrogates, ["kind", "value"]).groupBy("spelling", "of").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    names = F.filter("all", lambda x: F.col("of").startswith("name_") & ~x["value"].endswith("."))
-    words = F.array_sort(F.transform(names, lambda x: F.struct(x["given"].alias("given"), x["value"].alias("word"), x["surrogate"].alias("surrogate"))))
-    replacement = _poured(F.col("spelling"), F.col("of"), F.col("all")[0]["surrogate"], F.col("all")["surrogate"])
-    return written(both.select("spelling", replacement.alias("replacement"), words.alias("words")), "replacements")
+    is_name, words = F.col("kind").startswith("name_"), _name_words(F.col("spelling"))
+    # one gender for a person's given names under all titles; n where they have titles of both or of none
+    person = F.when(is_name, F.lower(F.array_join(words, " "))).otherwise(F.col("spelling"))
+    titled = F.when(F.substring("kind", 6, 1).isin("m", "f"), F.substring("kind", 6, 1))
+    same = Window.partitionBy("person")
+    spellings = spellings.select("spelling", "kind", person.alias("person"), F.when(is_name, titled).alias("titled"))
+    gender = F.when(F.min("titled").over(same) == F.max("titled").over(same), F.min("titled").over(same)).otherwise("n")
+    spellings = spellings.withColumn("gender", gender)
+    spellings = written(spellings.select("spelling", "kind", _parts(F.col("kind"), F.col("spelling"), F.col("gender")).alias("parts")), "spellings")
+    parts = spellings.select("spelling", F.col("kind").alias("of"), F.posexplode("parts").alias("place", "part")).select("spelling", "of", "place", "part.*")
+    surrogates = _settled(parts.where("kind <> 'initial'").select("kind", "value").distinct(), key)
+    drawn = F.when(F.col("kind") == "initial", _initial(F.col("value"), key)).when(F.col("capitals"), F.upper("surrogate")).otherwise(F.col("surrogate"))
+    both = parts.join(surrogates, ["kind", "value"], "left").groupBy("spelling", "of").agg(F.array_sort(F.collect_list(F.struct("place", drawn.alias("surrogate")))).alias("all"))
+    of_name = F.col("of").startswith("name_")
+    both = both.withColumn("put", F.when(of_name, _put_names(F.col("spelling"), F.col("all")["surrogate"])))
+    last = F.size(words) - 1
+    named = F.zip_with(F.transform(words, lambda w, i: F.struct(w.alias("word"), (i < last).alias("given"))), F.col("put"), lambda w, x: F.struct(w["given"].alias("given"), w["word"].alias("word"), x.alias("surrogate")))
+    named = F.array_sort(F.filter(named, lambda x: ~_is_small(x["word"]) & ~x["word"].endswith(".")))
+    replacement = _poured(F.col("spelling"), F.col("of"), F.col("all")[0]["surrogate"], F.col("put"))
+    nothing = F.array().cast("array<struct<given:boolean,word:string,surrogate:string>>")
+    return written(both.select("spelling", replacement.alias("replacement"), F.when(of_name, named).otherwise(nothing).alias("words")), "replacements")
 
 
 def _woven(between: Column, put: Column) -> Column:
@@ -284,28 +361,31 @@ def _woven(between: Column, put: Column) -> Column:
 
 def replace_pii(docs: DataFrame, key: str = KEY, count_as: str | None = None) -> DataFrame:
     """``docs`` with surrogates in its texts; ``count_as`` names a column for the number of entities replaced."""
-    spelling = F.explode(F.when(_worth_searching(docs["text"]), found_in(docs["text"]))).alias("spelling")
-    found = written(docs.select(docs["doc_id"].alias("_doc"), spelling).distinct(), "entities")
-    own = found.join(replacements(found, key), "spelling")
-    own = own.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("spelling", "replacement"))).alias("_map"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("_words"))
+    digest = F.md5(docs["text"])
+    spelling = F.posexplode(F.when(_worth_searching(docs["text"]), found_in(docs["text"]))).alias("place", "spelling")
+    found = written(docs.select(docs["doc_id"].alias("_doc"), digest.alias("_digest"), spelling), "entities")
+    own = found.join(replacements(found, key), "spelling", "left")
+    # repeated rows give the same places: a set has them once
+    placed = F.array_sort(F.collect_set(F.struct("place", F.coalesce("replacement", "spelling").alias("put"))))
+    words = F.array_sort(F.array_distinct(F.flatten(F.collect_set("words"))))
+    own = own.groupBy("_doc", "_digest").agg(placed.alias("_placed"), words.alias("_words"))
     # the longest first, so that no word hides one that it begins
     longest = F.transform(F.array_sort(F.transform(F.array_distinct(F.col("_words")["word"]), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word")))), lambda x: x["word"])
-    own = own.withColumn("_again", F.when(F.size("_words") > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}_])"))))
-    both = docs.join(own, docs["doc_id"].eqNullSafe(own["_doc"]), "left")
-    known, text = own["_map"], docs["text"]
-    # what the expression finds and what lies between, in turn
-    entities = found_in(text)
+    again = F.when(F.size("_words") > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}_])")))
+    own = own.select("_doc", "_digest", F.col("_placed")["put"].alias("_put"), F.col("_words")["word"].alias("_named"), F.col("_words")["surrogate"].alias("_names"), again.alias("_again"))
+    both = docs.join(own, docs["doc_id"].eqNullSafe(own["_doc"]) & (digest == own["_digest"]), "left")
+    put, text = own["_put"], docs["text"]
+    # what lies between the entities
     between = F.split(text, _FOUND, -1)
-    put = F.transform(entities, lambda e: F.coalesce(F.try_element_at(known, e), e))
-    # words without a title that are part of a name in the same document
-    again, words = own["_again"], own["_words"]
-    named = lambda w: F.get(F.filter(words, lambda x: x["word"] == w), F.lit(0))["surrogate"]
+    # words without a title that are part of a name in the same text
+    again = own["_again"]
+    named = lambda w: F.get(own["_names"], F.array_position(own["_named"], w).cast("int") - 1)
     others = F.transform(between, lambda x: _woven(F.split(x, again, -1), F.transform(F.regexp_extract_all(x, again, F.lit(0)), named)))
     new = F.when(again.isNull(), _woven(between, put)).otherwise(_woven(others, put))
-    n = F.size(entities) + F.when(again.isNull(), 0).otherwise(F.aggregate(between, F.lit(0), lambda a, x: a + F.size(F.regexp_extract_all(x, again, F.lit(0)))))
-    columns = [F.when(known.isNull() | text.isNull(), text).otherwise(new).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    n = F.size(put) + F.when(again.isNull(), 0).otherwise(F.aggregate(between, F.lit(0), lambda a, x: a + F.size(F.regexp_extract_all(x, again, F.lit(0)))))
+    columns = [F.when(put.isNull() | text.isNull(), text).otherwise(new).alias("text") if c == "text" else docs[c] for c in docs.columns]
     if count_as:
-        columns.append(F.when(known.isNull() | text.isNull(), F.lit(0)).otherwise(n).cast("long").alias(count_as))
+        columns.append(F.when(put.isNull() | text.isNull(), F.lit(0)).otherwise(n).cast("long").alias(count_as))
     return both.select(*columns)
 
 
