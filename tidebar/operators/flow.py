@@ -100,6 +100,39 @@ def rolling_statistics(bars: DataFrame, windows: tuple[int, ...] = (5, 15, 30, 6
     return bars.withColumns(columns)
 
 
+def with_large(bars: DataFrame, ticks: DataFrame, least: float, unit: int = 60) -> DataFrame:
+    """Adds ``large`` to bars: whether a tick of at least that amount lies in them."""
+    start = (F.floor(F.col("t") / unit) * unit).cast("long").alias("t")
+    marked = ticks.where(F.col("amount") >= least).select("symbol", start).distinct().withColumn("large", F.lit(True))
+    return bars.join(marked, ["symbol", "t"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
+
+
+def rolling_at(ticks: DataFrame, bars: DataFrame, windows: tuple[int, ...] = (5, 15, 30, 60), unit: int = 60, lot: float = 1000.0) -> DataFrame:
+    """Adds to ticks for each window of units: volume, bought and sold volume and amount, large bars up and not up, change in percent.
+
+    They are over the complete bars that opened at most the window's length before the tick. A large bar that didn't rise
+    counts as sold. The change is from the opening of the newest of these bars to the tick's price, 0 without a bar.
+    Bars need large. Ticks and bars go in one order, so each row moves once.
+    """
+    start = (F.floor(F.col("t") / unit) * unit).cast("long")
+    nothing = F.lit(None).cast(bars.schema["open"].dataType)
+    ours = ticks.select("symbol", start.alias("_k"), F.struct(*ticks.columns).alias("_tick"), *[nothing.alias(f"_{c}") for c in ("open", "close", "volume")], F.lit(None).cast("boolean").alias("_large"))
+    theirs = bars.select("symbol", F.col("t").alias("_k"), F.lit(None).cast(ours.schema["_tick"].dataType).alias("_tick"), *[F.col(c).cast(nothing_type).alias(f"_{c}") for c, nothing_type in ((c, bars.schema["open"].dataType) for c in ("open", "close", "volume"))], F.col("large").alias("_large"))
+    both = ours.unionByName(theirs)
+    up, down, amount = F.col("_close") > F.col("_open"), F.col("_close") < F.col("_open"), F.col("_volume") * F.col("_close") * lot
+    order, inside = Window.partitionBy("symbol").orderBy("_k"), F.col("_tick.t") % unit != 0
+    sums = {"volume": F.col("_volume"), "buy": F.when(up, F.col("_volume")), "sell": F.when(down, F.col("_volume")), "buy_amount": F.when(up, amount), "sell_amount": F.when(down, amount), "large_buy": F.when(F.col("_large") & up, 1), "large_sell": F.when(F.col("_large") & (F.col("_close") <= F.col("_open")), 1)}
+    columns = {}
+    for w in windows:
+        # a tick within a unit reaches one bar less far back than one at its start
+        short, whole = order.rangeBetween((1 - w) * unit, -1), order.rangeBetween(-w * unit, -1)
+        at = lambda f, short=short, whole=whole: F.when(inside, f(short)).otherwise(f(whole))
+        columns |= {f"{n}_{w}": F.coalesce(at(lambda span, x=x: F.sum(x).over(span)), F.lit(0)) for n, x in sums.items()}
+        opened = at(lambda span: F.last("_open", ignorenulls=True).over(span))
+        columns[f"change_{w}"] = F.coalesce(100 * F.try_divide(F.col("_tick.price") - opened, opened), F.lit(0.0))
+    return both.withColumns(columns).where("_tick is not null").select("_tick.*", *columns)
+
+
 def large_prints(ticks: DataFrame, first: float, second: float, cluster: int = 3, span: int = 300) -> DataFrame:
     """Ticks at or over a level: L1, or L2 where at least ``cluster`` second-level prints of one direction stand within ``span`` seconds. Adds the streak of large prints."""
     ticks = ticks.withColumn("large", F.col("amount") >= second)

@@ -69,3 +69,15 @@ def summary(decisions: DataFrame) -> DataFrame:
     """Per rule: decisions it touched, share of losers among them, and their profit."""
     one = decisions.select(F.explode(F.when(F.size("hits") > 0, F.col("hits")).otherwise(F.array(F.lit("none")))).alias("rule"), "pnl")
     return one.groupBy("rule").agg(F.count("*").alias("n"), F.avg((F.col("pnl") < 0).cast("double")).alias("loss_rate"), F.sum("pnl").alias("pnl"))
+
+
+def summary_by_group(decisions: DataFrame) -> DataFrame:
+    """Per group of decisions (verdict, hits, pnl) whose profit is known: how many, their loss rate, their profit.
+
+    A decision is in the group of approved (verdict 0) or flagged ones, and in one for each of its hits; a rule that hit
+    twice counts twice. Null hits are none.
+    """
+    verdict = F.when(F.col("verdict") == 0, "approve").otherwise("flagged")
+    rules = F.transform(F.filter(F.coalesce("hits", F.array().cast("array<string>")), lambda h: h.isNotNull() & (h != "")), lambda h: F.concat(F.lit("rule:"), h))
+    one = decisions.where("pnl is not null and verdict is not null").select(F.explode(F.concat(F.array(verdict), rules)).alias("group"), "pnl")
+    return one.groupBy("group").agg(F.count("*").alias("n"), F.avg((F.col("pnl") < 0).cast("double")).alias("loss_rate"), F.sum("pnl").alias("pnl"))

@@ -14,6 +14,17 @@ def movers(bars: DataFrame, by: str, n: int) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(key, "symbol"))).where(F.col("rank") <= n)
 
 
+def latest_movers(bars: DataFrame, asked: DataFrame, by: str, n: int, most_back: int = 7) -> DataFrame:
+    """The n first of the latest day with bars for each asked day: the day itself, or one at most ``most_back`` days earlier.
+
+    ``asked`` has a column asked, and bars one t, both in days. A day that finds none has no rows. Each day with bars
+    answers the days after it, so there is no order over all days.
+    """
+    answers = bars.select("t").distinct().select("t", F.explode(F.sequence(F.col("t"), F.col("t") + most_back)).alias("asked"))
+    latest = answers.groupBy("asked").agg(F.max("t").alias("t")).join(asked.select("asked").distinct(), "asked")
+    return latest.join(movers(bars, by, n), "t")
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The n first rows of each group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= n)

@@ -398,6 +398,33 @@ def pivot_point_levels(bars: DataFrame, kind: str, tf: str) -> DataFrame:
     return periods.select("symbol", F.col("t").alias("period"), levels(kind, o, h, lo, c, F.col("open")).alias("levels"))
 
 
+def pivot_levels_by_anchor(bars: DataFrame, kind: str, anchor: Column, developing: bool = False) -> DataFrame:
+    """Adds levels to each bar: those of the period that ended at the last bar whose anchor is true, or with ``developing`` those of the period so far.
+
+    The first bar opens a period without an anchor, too. A bar that lacks a price neither opens nor extends one; it
+    shows what the bar before it shows. Before the first period has ended there are no levels.
+    """
+    if developing and kind == "Woodie":
+        raise ValueError("Woodie's levels need the next period's opening: they do not develop")
+    prices = ("open", "high", "low", "close")
+    whole = reduce(lambda a, c: a & F.col(c).isNotNull(), prices, F.lit(True))
+    upto = by().rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.when(whole, F.coalesce(anchor, F.lit(False))).otherwise(F.lit(False))
+    own = bars.withColumn("_opens", opens).withColumn("_period", F.sum(F.col("_opens").cast("int")).over(upto))
+    # bars of a period that lack a price don't count
+    inside = Window.partitionBy("symbol", "_period").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    only = lambda c: F.when(whole, F.col(c))
+    sofar = F.struct(F.first(only("open"), ignorenulls=True).over(inside).alias("open"), F.max(only("high")).over(inside).alias("high"), F.min(only("low")).over(inside).alias("low"), F.last(only("close"), ignorenulls=True).over(inside).alias("close"))
+    own = own.withColumn("_sofar", F.when(whole, sofar))
+    if developing:
+        x = F.last("_sofar", ignorenulls=True).over(upto)
+        return own.withColumn("_x", x).withColumn("levels", levels(kind, *[F.col(f"_x.{c}") for c in prices], F.col("_x.open"))).drop("_x", "_opens", "_period", "_sofar")
+    ended = F.last("_sofar", ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("_ended", F.when(F.col("_opens"), F.struct(ended.alias("period"), F.col("open").alias("new")))).withColumn("_ended", F.when(F.col("_ended.period").isNotNull(), F.col("_ended")))
+    own = own.withColumn("_ended", F.last("_ended", ignorenulls=True).over(upto))
+    return own.withColumn("levels", levels(kind, *[F.col(f"_ended.period.{c}") for c in prices], F.col("_ended.new"))).drop("_ended", "_opens", "_period", "_sofar")
+
+
 def levels(kind: str, o: Column, h: Column, lo: Column, c: Column, new_open: Column) -> Column:
     """P, R1, S1 to R5, S5 of a closed period."""
     span, p = h - lo, (h + lo + c) / 3

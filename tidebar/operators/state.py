@@ -55,3 +55,14 @@ def foreign(chart: DataFrame, other: DataFrame, symbol: str, columns: list[str],
     share = F.pmod(F.xxhash64("symbol"), F.lit(SHARES)).cast("int")
     series = other.where(F.col("symbol") == symbol).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     return asof(chart.withColumn("_share", share), series, F.col("t"), next_of(F.col("t"), tf), F.struct("t", *columns), "foreign", ["_share"]).drop("_share")
+
+
+def foreign_by(chart: DataFrame, other: DataFrame, symbol: Column, columns: list[str], tf: str) -> DataFrame:
+    """As :func:`foreign`, but each chart bar names the symbol it asks for; a null or unknown one gets null.
+
+    The bars that ask for one symbol are dealt to ``SHARES`` shares, of which each has the series of every symbol.
+    """
+    share = F.pmod(F.xxhash64("symbol", "t"), F.lit(SHARES)).cast("int")
+    ours = chart.withColumns({"_asked": symbol, "_share": share})
+    series = other.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).withColumn("_asked", F.col("symbol")).where("_asked is not null")
+    return asof(ours, series, F.col("t"), next_of(F.col("t"), tf), F.struct("t", *columns), "foreign", ["_asked", "_share"]).drop("_asked", "_share")
