@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times as T
+from ..operators import align as A
 from ..operators import bars as B
 from ..operators import broker as K
 from ..operators import guard as G
+from ..operators import lots as L
 from ..operators import ranking as N
 from ..operators import rating as V
 from ..operators import rolling as R
@@ -48,6 +50,36 @@ def strategy_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(s, ["symbol"], {c: c for c in s.columns if c != "symbol"})
 
 
+def _ladder(b: DataFrame) -> DataFrame:
+    """Orders of a strategy that is long by up to three contracts above its mean, short by as many below it, flat near it, and goes there in steps."""
+    mean, span = R.sma("close", 8), R.highest("high", 8) - R.lowest("low", 8)
+    step = F.floor(6 * F.try_divide(F.col("close") - mean, span) + 0.3178912)
+    return L.to_targets(b, F.when(step.isNotNull(), F.greatest(F.lit(-3), F.least(F.lit(3), step))), commission=0.2)
+
+
+def strategy_ladder_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All its trades with what they reached on their way; an exit_bar of -1 where nothing is closed yet."""
+    b = hourly(spark, sf_dir)
+    t = L.trades(_ladder(b))
+    last = b.groupBy("symbol").agg(F.max("i").alias("_end"))
+    way = t.join(last, "symbol").select("symbol", F.col("n").alias("trade"), F.col("entry_bar").alias("entry"), F.when(F.col("open"), F.col("_end")).otherwise(F.col("exit_bar")).alias("exit"), "dir", F.col("entry_price").alias("price"))
+    reached = A.excursions(way, b).select("symbol", F.col("trade").alias("n"), "runup", "drawdown")
+    t = t.join(reached, ["symbol", "n"], "left").withColumns({"max_runup": F.col("runup") * F.col("qty"), "max_drawdown": F.col("drawdown") * F.col("qty"), "profit_percent": 100 * F.try_divide("profit", F.col("entry_price") * F.col("qty")), "exit_bar": F.coalesce("exit_bar", F.lit(-1))})
+    return shown(t, ["symbol", "n", "dir", "entry_bar", "exit_bar", "open"], {c: c for c in ("qty", "closed_qty", "entry_price", "exit_price", "profit", "profit_percent", "commission", "max_runup", "max_drawdown")})
+
+
+def strategy_ladder_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its account at each bar: position, mean price, profits, counts of trades, greatest drawdown, runup and holdings."""
+    b = hourly(spark, sf_dir)
+    return shown(L.account(b, _ladder(b)), ["symbol", "i"], {c: c for c in L.ACCOUNT})
+
+
+def strategy_ladder_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and means of its closed trades."""
+    s = H.statistics(L.trades(_ladder(hourly(spark, sf_dir))).where("not open"))
+    return shown(s, ["symbol"], {c: c for c in s.columns if c != "symbol"})
+
+
 def strategy_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same entries in half the equity, left by a target or a stop of one group."""
     b = hourly(spark, sf_dir)
@@ -139,11 +171,32 @@ _MOVERS = " UNION ALL ".join(f"SELECT '{by}' AS list, t, rank, symbol, {sql6('ch
 _VOTES = [f"sign(close - {sql_full(n, f'avg(close) OVER {frame(n)}')})" for n in (3, 5, 8, 13, 21)]
 _OSC = {"st": sql_full(14, f"100 * (close - min(low) OVER {frame(14)}) / nullif(max(high) OVER {frame(14)} - min(low) OVER {frame(14)}, 0)")}
 
-QUERIES = {f.__name__: f for f in (strategy_reversal_trades, strategy_reversal_equity, strategy_statistics, strategy_brackets, guard_entries, rank_movers, rank_top_per_group, rank_missing_members, technical_rating, technical_rating_full, time_fields)}
+# Contracts one by one: the k-th opened of a symbol is the k-th closed.
+_LADDER = f"""w AS (SELECT *, {sql_full(8, f"6 * (close - avg(close) OVER {frame(8)}) / nullif(max(high) OVER {frame(8)} - min(low) OVER {frame(8)}, 0)")} AS x, lead(open) OVER (PARTITION BY symbol ORDER BY i) AS next_open FROM b),
+g AS (SELECT symbol, i + 1 AS i, next_open AS price, CAST(greatest(-3, least(3, floor(x + 0.3178912))) AS INT) AS after FROM w WHERE x IS NOT NULL AND next_open IS NOT NULL),
+o AS (SELECT * FROM (SELECT *, coalesce(lag(after) OVER (PARTITION BY symbol ORDER BY i), 0) AS before FROM g) WHERE after <> before),
+f AS (SELECT *, CASE WHEN after * before < 0 THEN abs(after) ELSE greatest(abs(after) - abs(before), 0) END AS opening, CASE WHEN after * before < 0 THEN abs(before) ELSE greatest(abs(before) - abs(after), 0) END AS closing, abs(after - before) * price * 0.002 AS comm FROM o),
+bought AS (SELECT symbol, i, price, sign(after) AS dir, opening, CASE WHEN closing > 0 THEN 0 ELSE comm END AS comm, row_number() OVER (PARTITION BY symbol ORDER BY i, k) AS unit FROM (SELECT *, unnest(range(opening)) AS k FROM f)),
+sold AS (SELECT symbol, i, price, comm / closing AS comm, row_number() OVER (PARTITION BY symbol ORDER BY i, k) AS unit FROM (SELECT *, unnest(range(closing)) AS k FROM f)),
+u AS (SELECT a.symbol, a.i AS entry_bar, a.price AS entry_price, CAST(a.dir AS INT) AS dir, a.opening, a.comm AS paid_in, z.i AS exit_bar, z.price AS exit_price, z.comm AS paid_out, (z.price - a.price) * a.dir AS gross FROM bought a LEFT JOIN sold z ON a.symbol = z.symbol AND a.unit = z.unit),
+l AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY entry_bar) - 1 AS n, dir, entry_bar, max(exit_bar) AS exit_bar, count(*) > count(exit_bar) AS open, count(*) AS qty, count(exit_bar) AS closed_qty, entry_price, avg(exit_price) AS exit_price, sum(gross) - paid_in - coalesce(sum(paid_out), 0) AS profit, paid_in + coalesce(sum(paid_out), 0) AS commission FROM u GROUP BY symbol, dir, entry_bar, entry_price, paid_in)"""
+_HELD = """q AS (SELECT b.symbol, b.i, b.close, coalesce((SELECT sum(dir) FROM u WHERE u.symbol = b.symbol AND entry_bar <= b.i AND coalesce(exit_bar > b.i, true)), 0) AS position, coalesce((SELECT sum(dir * entry_price) FROM u WHERE u.symbol = b.symbol AND entry_bar <= b.i AND coalesce(exit_bar > b.i, true)), 0) AS cost, coalesce((SELECT sum(gross) FROM u WHERE u.symbol = b.symbol AND exit_bar <= b.i), 0) - coalesce((SELECT sum(comm) FROM f WHERE f.symbol = b.symbol AND f.i <= b.i), 0) AS realized,
+ (SELECT count(*) FROM l WHERE l.symbol = b.symbol AND entry_bar <= b.i AND (l.open OR exit_bar > b.i)) AS opentrades FROM b),
+d AS (SELECT b.symbol, b.i, count(l.n) AS closedtrades, count(CASE WHEN profit > 0 THEN 1 END) AS wintrades, count(CASE WHEN profit < 0 THEN 1 END) AS losstrades, count(CASE WHEN profit = 0 THEN 1 END) AS eventrades, coalesce(sum(CASE WHEN profit > 0 THEN profit END), 0) AS won, coalesce(-sum(CASE WHEN profit < 0 THEN profit END), 0) AS lost FROM b LEFT JOIN l ON l.symbol = b.symbol AND NOT l.open AND exit_bar <= b.i GROUP BY 1, 2),
+e AS (SELECT q.*, d.* EXCLUDE (symbol, i), CASE WHEN position <> 0 THEN close * position - cost ELSE 0 END AS gain, 100000 + realized + CASE WHEN position <> 0 THEN close * position - cost ELSE 0 END AS equity FROM q JOIN d USING (symbol, i)),
+y AS (SELECT *, max(equity) OVER z AS peak, min(equity) OVER z AS trough FROM e WINDOW z AS (PARTITION BY symbol ORDER BY i))"""
+_OVER = "OVER (PARTITION BY symbol ORDER BY i)"
+_ACCOUNT = {"equity": "equity", "position": "position", "avg_price": "CASE WHEN position <> 0 THEN cost / position END", "open_profit": "gain", "open_profit_percent": "100 * gain / (100000 + realized)", "opentrades": "opentrades", "closedtrades": "closedtrades", "wintrades": "wintrades", "losstrades": "losstrades", "eventrades": "eventrades", "grossprofit": "won", "grossloss": "lost", "netprofit": "won - lost", "grossprofit_percent": "won / 1000", "grossloss_percent": "lost / 1000", "netprofit_percent": "(won - lost) / 1000", "max_drawdown": f"max(peak - equity) {_OVER}", "max_runup": f"max(equity - trough) {_OVER}", "max_drawdown_percent": f"max(peak - equity) {_OVER} / 1000", "max_runup_percent": f"max(equity - trough) {_OVER} / 1000", "max_held": f"max(abs(position)) {_OVER}", "max_held_long": f"greatest(max(position) {_OVER}, 0)", "max_held_short": f"greatest(-min(position) {_OVER}, 0)"}
+_TRADE = {"qty": "qty", "closed_qty": "closed_qty", "entry_price": "entry_price", "exit_price": "exit_price", "profit": "profit", "profit_percent": "100 * profit / (entry_price * qty)", "commission": "commission", "max_runup": "qty * greatest(0, up)", "max_drawdown": "qty * greatest(0, down)"}
+
+QUERIES = {f.__name__: f for f in (strategy_reversal_trades, strategy_reversal_equity, strategy_statistics, strategy_ladder_trades, strategy_ladder_account, strategy_ladder_statistics, strategy_brackets, guard_entries, rank_movers, rank_top_per_group, rank_missing_members, technical_rating, technical_rating_full, time_fields)}
 SQL = {
     "strategy_reversal_trades": f"{_WITH}, {_SIG} SELECT symbol, entry_bar, exit_bar, CAST(dir AS INT) AS dir, {sql_shown({'qty': '1', 'entry_price': 'entry_price', 'exit_price': 'exit_price', 'profit': '(exit_price - entry_price) * dir - CASE WHEN n = 1 THEN 0.1 ELSE 0 END - 0.2', 'commission': 'CASE WHEN n = 1 THEN 0.3 ELSE 0.2 END'})} FROM s WHERE exit_bar IS NOT NULL",
     "strategy_reversal_equity": f"{_WITH}, {_ACC} SELECT symbol, i, {sql_shown({'equity': 'equity', 'position': 'position', 'avg_price': 'avg_price', 'open_profit': 'open_profit', 'max_drawdown': 'max(peak - equity) OVER (PARTITION BY symbol ORDER BY i)', 'max_runup': 'max(equity - trough) OVER (PARTITION BY symbol ORDER BY i)', 'max_held': 'max(abs(position)) OVER (PARTITION BY symbol ORDER BY i)'})} FROM q",
     "strategy_statistics": f"{_WITH}, {_SIG}, c AS (SELECT symbol, entry_price, (exit_price - entry_price) * dir AS p FROM s WHERE exit_bar IS NOT NULL) SELECT symbol, {sql_shown(_STAT)} FROM c GROUP BY symbol",
+    "strategy_ladder_trades": f"{_WITH}, {_LADDER}, m AS (SELECT symbol, max(i) AS m FROM b GROUP BY 1), r AS (SELECT l.symbol, l.n, max(CASE WHEN dir > 0 THEN high - entry_price ELSE entry_price - low END) AS up, max(CASE WHEN dir > 0 THEN entry_price - low ELSE high - entry_price END) AS down FROM l JOIN m USING (symbol) JOIN b ON b.symbol = l.symbol AND b.i BETWEEN entry_bar AND CASE WHEN l.open THEN m.m ELSE exit_bar END GROUP BY 1, 2) SELECT symbol, CAST(n AS INT) AS n, dir, entry_bar, coalesce(exit_bar, -1) AS exit_bar, open, {sql_shown(_TRADE)} FROM l JOIN r USING (symbol, n)",
+    "strategy_ladder_account": f"{_WITH}, {_LADDER}, {_HELD} SELECT symbol, i, {sql_shown(_ACCOUNT)} FROM y",
+    "strategy_ladder_statistics": f"{_WITH}, {_LADDER}, c AS (SELECT symbol, entry_price * qty AS entry_price, profit AS p FROM l WHERE NOT open) SELECT symbol, {sql_shown(_STAT)} FROM c GROUP BY symbol",
     "guard_entries": f"WITH {_INTENTS} SELECT k AS intent, array_to_string(hs, ',') AS hits, CAST(verdict AS INT) AS verdict, CASE WHEN verdict <> 1 THEN q WHEN k % 5 <> 0 THEN greatest(1.0, floor(q / 2)) ELSE q / 2 END AS allowed FROM w",
     "rank_movers": f"{_WITH}, d AS (SELECT symbol, t - t % 86400 AS t, last(close ORDER BY t) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2), m AS (SELECT *, coalesce(CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY t) > 0 THEN 100 * (close - lag(close) OVER (PARTITION BY symbol ORDER BY t)) / lag(close) OVER (PARTITION BY symbol ORDER BY t) END, 0) AS change, close * volume AS amount FROM d) {_MOVERS}",
     "rank_top_per_group": "SELECT p_brand, rank, p_partkey, p_retailprice FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part) WHERE rank <= 3",
