@@ -77,27 +77,27 @@ _TEXT = {
 
 
 def fn_array_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sum avg max min range median mode variance stdev percentrank standardize covariance correlation percentiles abs every some."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.round(x.cast("double") * 10)).alias("x"), F.transform(F.slice("embedding", 21, 10), lambda x: x.cast("double")).alias("y"))
+    """sum avg max min range median mode variance stdev percentrank standardize covariance correlation percentiles abs every some, of whole vectors (y) and of their rounded tenfold (x)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 10)).alias("x"), F.transform("embedding", lambda x: x.cast("double")).alias("y"))
     x, y = F.col("x"), F.col("y")
     at = lambda a, i: F.get(a, F.lit(i))
     return shown(e, ["vec_id"], {
-        "sum": A.sum_(y), "avg": A.avg(y), "max": A.max_(y), "min": A.min_(y), "range": A.range_(y), "median": A.median(y), "median_12": A.median(x), "mode": A.mode(x), "variance": A.variance(y), "variance_sample": A.variance(y, False), "stdev": A.stdev(y), "percentrank": A.percentrank(x, F.lit(0.0)),
+        "sum": A.sum_(y), "avg": A.avg(y), "max": A.max_(y), "min": A.min_(y), "range": A.range_(y), "median": A.median(y), "median_rounded": A.median(x), "mode": A.mode(x), "variance": A.variance(y), "variance_sample": A.variance(y, False), "stdev": A.stdev(y), "percentrank": A.percentrank(x, F.lit(0.0)),
         "standardized": at(A.standardize(y), 3), "covariance": A.covariance(x, y), "correlation": A.correlation(x, y), "linear": A.percentile_linear_interpolation(y, 30), "nearest": A.percentile_nearest_rank(y, 30), "abs": A.sum_(A.abs_(y)), "every": A.every(x).cast("int"), "some": A.some(x).cast("int"),
     })
 
 
-_EMB = "e0 AS (SELECT vec_id, list_transform(embedding[1:12], lambda v: round(CAST(v AS DOUBLE) * 10)) AS x, list_transform(embedding[21:30], lambda v: CAST(v AS DOUBLE)) AS y FROM embeddings), e AS (SELECT *, x[1:10] AS x10, list_sort(y) AS s, list_sort(x) AS sx, list_avg(y) AS my, sqrt(list_avg(list_transform(y, lambda v: v * v)) - list_avg(y) * list_avg(y)) AS sy FROM e0), f AS (SELECT *, list_avg(x10) AS mx, list_avg(list_transform(range(1, 11), lambda k: x10[k] * y[k])) - list_avg(x10) * my AS cov, sqrt(list_avg(list_transform(x10, lambda v: v * v)) - list_avg(x10) * list_avg(x10)) AS sdx FROM e)"
+_EMB = "e0 AS (SELECT vec_id, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE) * 10)) AS x, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS y FROM embeddings), e AS (SELECT *, len(y) AS n, list_sort(y) AS s, list_avg(x) AS mx, list_avg(y) AS my FROM e0), f AS (SELECT *, sqrt(list_avg(list_transform(y, lambda v: (v - my) * (v - my)))) AS sy, sqrt(list_avg(list_transform(x, lambda v: (v - mx) * (v - mx)))) AS sdx, list_avg(list_transform(range(1, n + 1), lambda k: (x[k] - mx) * (y[k] - my))) AS cov, 0.3::DOUBLE * (n - 1) AS pos FROM e)"
 _ARR = {
-    "sum": "list_sum(y)", "avg": "my", "max": "list_max(y)", "min": "list_min(y)", "range": "list_max(y) - list_min(y)", "median": "(s[5] + s[6]) / 2", "median_12": "(sx[6] + sx[7]) / 2", "mode": "list_reduce(list_transform(x, lambda v: {'n': len(list_filter(x, lambda w: w = v)), 'v': v}), lambda a, b: CASE WHEN b.n > a.n THEN b ELSE a END).v",
-    "variance": "sy * sy", "variance_sample": "sy * sy * 10 / 9", "stdev": "sy", "percentrank": "100.0 * len(list_filter(x, lambda v: v <= 0)) / 12", "standardized": "(y[4] - my) / sy", "covariance": "cov", "correlation": "cov / nullif(sdx * sy, 0)", "linear": "s[3] + (s[4] - s[3]) * 0.7", "nearest": "s[3]",
+    "sum": "list_sum(y)", "avg": "my", "max": "list_max(y)", "min": "list_min(y)", "range": "list_max(y) - list_min(y)", "median": "list_aggregate(y, 'median')", "median_rounded": "list_aggregate(x, 'median')", "mode": "list_reduce(list_transform(x, lambda v: {'n': len(list_filter(x, lambda w: w = v)), 'v': v}), lambda a, b: CASE WHEN b.n > a.n THEN b ELSE a END).v",
+    "variance": "sy * sy", "variance_sample": "sy * sy * n / (n - 1)", "stdev": "sy", "percentrank": "100.0 * len(list_filter(x, lambda v: v <= 0)) / n", "standardized": "(y[4] - my) / sy", "covariance": "cov", "correlation": "cov / nullif(sdx * sy, 0)", "linear": "s[floor(pos)::INT + 1] + (s[floor(pos)::INT + 2] - s[floor(pos)::INT + 1]) * (pos - floor(pos))", "nearest": "s[ceil(0.3 * n)::INT]",
     "abs": "list_sum(list_transform(y, lambda v: abs(v)))", "every": "(len(list_filter(x, lambda v: v = 0)) = 0)::INT", "some": "(len(list_filter(x, lambda v: v <> 0)) > 0)::INT",
 }
 
 
 def fn_array_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """get first last push unshift pop shift set insert remove fill slice concat includes indexof lastindexof reverse sort sort_indices binary_search join."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 6), lambda x: F.floor(x * 10).cast("int")).alias("x"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 10).cast("int")).alias("x"))
     x, i = F.col("x"), F.lit
     show = lambda a: A.join(a, ",")
     return e.select(
@@ -108,9 +108,9 @@ def fn_array_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ACC = {
-    "get": "x[3]", "first": "x[1]", "last": "x[6]", "push": "list_append(x, 7)", "unshift": "list_prepend(7, x)", "pop": "x[1:5]", "shift": "x[2:6]", "set": "[x[1], 9] || x[3:6]", "insert": "x[1:2] || [9] || x[3:6]", "remove": "x[1:2] || x[4:6]", "fill": "[x[1], 0, 0] || x[4:6]", "slice": "x[2:5]", "concat": "x || x",
-    "includes": "list_contains(x, 1)", "indexof": "CAST(coalesce(list_position(x, 1), 0) - 1 AS INT)", "lastindexof": "CAST(CASE WHEN list_contains(x, 1) THEN 6 - list_position(list_reverse(x), 1) ELSE -1 END AS INT)", "reverse": "list_reverse(x)", "sort": "list_sort(x)", "sort_down": "list_reverse_sort(x)",
-    "sort_indices": "list_transform(list_sort(list_transform(range(1, 7), lambda k: {'x': x[k], 'k': k - 1})), lambda s: s.k)", "search": "CAST(CASE WHEN list_contains(x, 1) THEN len(list_filter(x, lambda v: v < 1)) ELSE -len(list_filter(x, lambda v: v < 1)) - 1 END AS INT)",
+    "get": "x[3]", "first": "x[1]", "last": "x[n]", "push": "list_append(x, 7)", "unshift": "list_prepend(7, x)", "pop": "x[1:n - 1]", "shift": "x[2:n]", "set": "[x[1], 9] || x[3:n]", "insert": "x[1:2] || [9] || x[3:n]", "remove": "x[1:2] || x[4:n]", "fill": "[x[1], 0, 0] || x[4:n]", "slice": "x[2:n - 1]", "concat": "x || x",
+    "includes": "list_contains(x, 1)", "indexof": "CAST(coalesce(list_position(x, 1), 0) - 1 AS INT)", "lastindexof": "CAST(CASE WHEN list_contains(x, 1) THEN n - list_position(list_reverse(x), 1) ELSE -1 END AS INT)", "reverse": "list_reverse(x)", "sort": "list_sort(x)", "sort_down": "list_reverse_sort(x)",
+    "sort_indices": "list_transform(list_sort(list_transform(range(1, n + 1), lambda k: {'x': x[k], 'k': k - 1})), lambda s: s.k)", "search": "CAST(CASE WHEN list_contains(x, 1) THEN len(list_filter(x, lambda v: v < 1)) ELSE -len(list_filter(x, lambda v: v < 1)) - 1 END AS INT)",
     "search_right": "CAST(CASE WHEN list_contains(x, 1) THEN len(list_filter(x, lambda v: v <= 1)) - 1 ELSE -len(list_filter(x, lambda v: v < 1)) - 1 END AS INT)",
 }
 _LISTS = {"push", "unshift", "pop", "shift", "set", "insert", "remove", "fill", "slice", "concat", "reverse", "sort", "sort_down", "sort_indices"}
@@ -147,7 +147,7 @@ SQL = {
     "fn_math": f"WITH {_NUM}, {_RND} SELECT p_partkey, {sql_shown(_MATH)} FROM x3",
     "fn_text": f"SELECT p_partkey, {', '.join(f'{e} AS {k}' for k, e in _TEXT.items())} FROM (SELECT *, p_partkey * 12345.67::DOUBLE AS v FROM part)",
     "fn_array_statistics": f"WITH {_EMB} SELECT vec_id, {', '.join(f'{sql6(e)} AS {k}' for k, e in _ARR.items())} FROM f",
-    "fn_array_access": "WITH e AS (SELECT vec_id, list_transform(embedding[1:6], lambda v: CAST(floor(CAST(v * 10 AS FLOAT)) AS INT)) AS x FROM embeddings) SELECT vec_id, " + ", ".join(f"array_to_string({e}, ',') AS {k}" if k in _LISTS else f"{e} AS {k}" for k, e in _ACC.items()) + " FROM e",
+    "fn_array_access": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v * 10 AS FLOAT)) AS INT)) AS x, len(embedding) AS n FROM embeddings) SELECT vec_id, " + ", ".join(f"array_to_string({e}, ',') AS {k}" if k in _LISTS else f"{e} AS {k}" for k, e in _ACC.items()) + " FROM e",
     "fn_maps_and_matrices": "SELECT c_custkey, k + 1 AS a, true AS has, 3 AS size, 'a,b,c' AS keys, CAST(k + 16 AS INT) AS total, 2 AS \"left\", 8 AS removed, 3 AS rows, 3 AS columns, k AS cell, k || ',' || (k + 1) || ',' || (k + 2) AS row, 2 AS rows_left FROM (SELECT c_custkey, c_nationkey AS k FROM customer)",
     "fn_colors": f"SELECT p_partkey, '#' || {_HEX} || 'FF' AS rgb, '#' || {_HEX} || '99' AS new, CAST(k % 256 AS INT) AS r, CAST((k * 7) % 256 AS INT) AS g, CAST((k * 13) % 256 AS INT) AS b, 40 AS t, CAST(round(255 * (k % 100) / 99.0) AS INT) AS mid FROM (SELECT p_partkey, p_partkey AS k FROM part)",
 }
