@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, extras, features, indicators, paper, recurrences, requests, scalars, sources, streams, trading
+from . import alignment, decisions, extras, features, indicators, paper, recurrences, requests, scalars, sources, streams, trading
 
-_MODULES = (indicators, recurrences, alignment, trading, scalars, features, paper, streams, sources, extras, requests)
+_MODULES = (indicators, recurrences, alignment, trading, decisions, scalars, features, paper, streams, sources, extras, requests)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
