@@ -12,6 +12,11 @@ def rgb(r: Column, g: Column, b: Column, transparency: Column | None = None) ->
     return F.format_string("#%02X%02X%02X%02X", channel(r), channel(g), channel(b), alpha)
 
 
+def cast(x: Column) -> Column:
+    """A colour as it is, a text or number as the text of a colour; NULL stays."""
+    return x.cast("string")
+
+
 def _channel(c: Column, i: int) -> Column:
     return F.conv(F.substring(c, 2 + 2 * i, 2), 16, 10).cast("int")
 

@@ -88,3 +88,8 @@ def switch(subject: Column, arms: list[tuple[Column, Column]], default: Column |
     for value, then in reversed(arms):
         out = F.when(subject.eqNullSafe(value), then).otherwise(out)
     return out
+
+
+def check(condition: Column, value: Column, message: str) -> Column:
+    """The value, or an error that ends the run where the condition doesn't hold or is NULL."""
+    return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.bars import floor_to, next_of, timeframe
+from ..operators.bars import floor_to, next_of, seconds, timeframe
 
 VENUE = "Asia/Taipei"
 
@@ -57,12 +57,42 @@ def in_session(t: Column, session: str, zone: str = VENUE) -> Column:
     return inside & f["dayofweek"].isin(*[int(d) for d in days]) if days else inside
 
 
-def time(tf: str, session: str | None = None, zone: str = VENUE) -> Column:
-    """The bar's opening on bars that open a period (and stand in the session), in milliseconds."""
-    ok = changed(tf, zone=zone)
+def _at_wall(day: Column, minutes: int, zone: str) -> Column:
+    """Epoch milliseconds of a minute of a local day."""
+    return timestamp(F.year(day), F.month(day), F.dayofmonth(day), F.lit(minutes // 60), F.lit(minutes % 60), F.lit(0), zone)
+
+
+def weekdays_before(day: Column, n: int) -> Column:
+    """The n-th Monday to Friday before a date; for 0 the date itself."""
+    if n == 0:
+        return day
+    w = F.weekday(day)
+    friday, left = F.greatest(w - 4, F.lit(0)), n - (w > 4).cast("int")
+    over = F.when(left % 5 > w - friday, 2).otherwise(0)
+    return F.date_sub(day, (friday + F.floor(left / 5) * 7 + left % 5 + over).cast("int"))
+
+
+def time(tf: str, session: str | None = None, zone: str = VENUE, bars_back: int = 0) -> Column:
+    """Milliseconds of an opening, NULL where there is none.
+
+    With a session (hhmm-hhmm within a day) and inside it: the session's opening
+    where the timeframe is of days or more, or else the bar's own; ``bars_back``
+    goes back that many openings of the session, Monday to Friday. Without: the
+    bar's own opening where it opens a period, less so many periods; those of
+    months end on the first of a month.
+    """
+    t = F.col("t")
+    n, unit = timeframe(tf)
     if session:
-        ok = ok & in_session(F.col("t"), session, zone)
-    return F.when(ok, F.col("t") * 1000)
+        begin, end = (int(x[:2]) * 60 + int(x[2:]) for x in session.split("-"))
+        day = F.to_date(local(t, zone))
+        own = t * 1000 if unit not in ("D", "W", "M") and not bars_back else _at_wall(weekdays_before(day, bars_back), begin, zone)
+        return F.when((t * 1000 >= _at_wall(day, begin, zone)) & (t * 1000 < _at_wall(day, end, zone)), own)
+    if unit == "M" and bars_back:
+        first = F.add_months(F.trunc(F.to_date(local(t, "UTC")), "MM"), -n * bars_back)
+        return F.when(changed(tf, zone=zone), F.unix_date(first).cast("long") * 86_400_000)
+    step = n * {"D": 1, "W": 7}.get(unit, 0) * 86_400 if unit in ("D", "W") else seconds(tf)
+    return F.when(changed(tf, zone=zone), (t - bars_back * step if bars_back else t) * 1000)
 
 
 def time_close(tf: str) -> Column:

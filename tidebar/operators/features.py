@@ -114,6 +114,25 @@ def closed_summary(closed: DataFrame, begin=None, end=None) -> DataFrame:
     return closed.groupBy("account").agg(F.sum("pnl").alias("pnl"), F.sum("commission").alias("commission"), F.count("*").alias("trades"), F.avg((p > 0).cast("double")).alias("win_rate"), div(won, lost).alias("profit_factor"))
 
 
+def account_statistics(closed: DataFrame) -> DataFrame:
+    """By account, over closed trades (account, closed, id, pnl): their number, win_rate, avg_win and avg_loss (without sign), profit_factor, best and worst, sharpe (mean over sample deviation of a trade, not annualised), max_drawdown and expectancy.
+
+    The drawdown is the greatest fall of the sum of profits, which starts at 0, in the
+    order of closed and id. A trade of 0 is neither won nor lost. What divides by
+    nothing is NULL; so are means of no trades. Trades without a profit are left out.
+    """
+    p, order = F.col("pnl"), Window.partitionBy("account").orderBy("closed", "id").rowsBetween(Window.unboundedPreceding, 0)
+    run = closed.where("pnl is not null").withColumn("_sum", F.sum("pnl").over(order))
+    run = run.withColumn("_fall", F.greatest(F.lit(0.0), F.max("_sum").over(order)) - F.col("_sum"))
+    won, lost = F.when(p > 0, p), F.when(p < 0, -p)
+    out = run.groupBy("account").agg(
+        F.count("*").alias("trades"), F.avg((p > 0).cast("double")).alias("win_rate"), F.avg(won).alias("avg_win"), F.avg(lost).alias("avg_loss"), div(F.sum(won), F.sum(lost)).alias("profit_factor"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"),
+        div(F.avg("pnl"), F.stddev_samp("pnl")).alias("sharpe"), F.max("_fall").alias("max_drawdown"), F.avg((p < 0).cast("double")).alias("_lost"),
+    )
+    expected = F.col("win_rate") * F.coalesce("avg_win", F.lit(0.0)) - F.col("_lost") * F.coalesce("avg_loss", F.lit(0.0))
+    return out.withColumn("expectancy", expected).drop("_lost")
+
+
 def decisions_with_outcomes(decisions: DataFrame, fills: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Guard decisions with the profit of what they opened: outcomes are summed by (symbol, opened); a decision knows its opening, or its order's fill does."""
     total = outcomes.groupBy("symbol", "opened").agg(F.sum("pnl").alias("pnl"))

@@ -118,8 +118,8 @@ def report_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_measurement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share, confidence and outcome by choice: order priorities, with what the order's first line took off."""
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_discount").cast("double").alias("off"))
+    """Share, confidence and outcome by choice: order states, with what each line of an order took off; a line that may still come back has no outcome."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") != "N", F.col("l_discount").cast("double")).alias("off"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price")).join(line, "o_orderkey", "left")
     return shown(R.measurement(rows, "o_orderstatus", "price", "off"), ["choice", "n", "covered"], {c: c for c in ("share", "confidence", "outcome", "total")})
 
@@ -166,7 +166,7 @@ SQL = {
     "account_live_profit": f"WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) * 100 AS d FROM lineitem) SELECT l_orderkey, l_linenumber, {sql6('CASE WHEN l_linenumber = 1 OR floor(d / 2) = 0 THEN d ELSE d / floor(d / 2) * CASE WHEN l_returnflag = $$R$$ THEN 3 ELSE 2 END END')} AS profit FROM p",
     "report_readiness": f"WITH s AS (SELECT l_orderkey AS k, sum(CAST(l_quantity AS DOUBLE) - 25) AS pnl FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey % 3 AS verdict, pnl FROM orders JOIN s ON o_orderkey = k), r AS (SELECT count(*) FILTER (verdict = 0) AS approved, count(*) FILTER (verdict <> 0) AS flagged, avg((pnl < 0)::INT) FILTER (verdict = 0) AS al, avg((pnl < 0)::INT) FILTER (verdict <> 0) AS fl FROM d) SELECT approved, flagged, approved >= 20 AND flagged >= 10 AND fl > al AS ready, {sql_shown({'approved_loss': 'al', 'flagged_loss': 'fl'})} FROM r",
     "report_sessions": f"{_WITH}, x AS (SELECT close - open AS points, CASE WHEN volume > 2 THEN 0.5 ELSE 1.0 END AS lots, high - low > 60 AS wide, hour(make_timestamp((t + 28800) * 1000000)) AS h FROM bars) SELECT CASE WHEN h >= 15 OR h < 5 THEN 'night' ELSE 'day' END AS session, CASE WHEN wide THEN 'volatile' ELSE 'normal' END AS \"group\", count(*) AS n, {sql_shown({'win_rate': 'avg((points > 0)::INT)', 'avg_points': 'avg(points)', 'sized_points': 'sum(points * lots)'})} FROM x GROUP BY 1, 2",
-    "report_measurement": f"WITH r AS (SELECT o_orderstatus AS choice, CAST(o_totalprice AS DOUBLE) AS price, CAST(l_discount AS DOUBLE) AS off FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'N') ON o_orderkey = l_orderkey) SELECT choice, count(*) AS n, count(off) AS covered, {sql_shown({'share': 'count(*) / sum(count(*)) OVER ()', 'confidence': 'avg(price)', 'outcome': 'avg(off)', 'total': 'sum(off)'})} FROM r GROUP BY choice",
+    "report_measurement": f"WITH r AS (SELECT o_orderstatus AS choice, CAST(o_totalprice AS DOUBLE) AS price, CASE WHEN l_returnflag <> 'N' THEN CAST(l_discount AS DOUBLE) END AS off FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey) SELECT choice, count(*) AS n, count(off) AS covered, {sql_shown({'share': 'count(*) / sum(count(*)) OVER ()', 'confidence': 'avg(price)', 'outcome': 'avg(off)', 'total': 'sum(off)'})} FROM r GROUP BY choice",
     "report_changed_fields": "SELECT 'balance' AS field, count(*) FILTER (floor(CAST(c_acctbal AS DOUBLE)) <> CAST(c_acctbal AS DOUBLE)) AS changed, count(*) AS rows FROM customer UNION ALL SELECT 'nation', 0, count(*) FROM customer UNION ALL SELECT 'flag', count(*) FILTER (c_acctbal > 0 AND c_acctbal <= 1000), count(*) FROM customer",
     "report_page": "SELECT c_custkey, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40",
 }

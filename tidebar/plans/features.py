@@ -63,6 +63,14 @@ def account_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("account", "trades", *[F.round(c, 4).alias(c) for c in ("pnl", "commission", "win_rate", "profit_factor")])
 
 
+def account_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of each customer's closed trades, made of orders."""
+    o = table(spark, sf_dir, "orders")
+    closed = o.select(F.col("o_custkey").alias("account"), F.col("o_orderdate").alias("closed"), F.col("o_orderkey").alias("id"), (F.floor(F.col("o_totalprice").cast("double")) % 1000 - 450).cast("double").alias("pnl"))
+    s = X.account_statistics(closed)
+    return shown(s, ["account", "trades"], {c: c for c in s.columns if c not in ("account", "trades")})
+
+
 def report_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions with what came of them, by verdict."""
     o = table(spark, sf_dir, "orders")
@@ -110,13 +118,14 @@ def report_risk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.differences(old, new, ["symbol", "t"], "part")
 
 
-QUERIES = {f.__name__: f for f in (feature_chart, feature_last_values, feature_pandas_values, feature_large_bars, report_events, account_equity, account_closed, report_guard, report_risk_gate, report_risk_changes)}
+QUERIES = {f.__name__: f for f in (feature_chart, feature_last_values, feature_pandas_values, feature_large_bars, report_events, account_equity, account_closed, account_statistics, report_guard, report_risk_gate, report_risk_changes)}
 SQL = {
     "feature_chart": f"{_WITH}, m AS (SELECT *, CASE WHEN {sql_lag('close')} IS NULL THEN high - low ELSE {_TR} END AS tr FROM b) SELECT symbol, t, {sql_shown(_CHART)} FROM m",
     "feature_last_values": f"{_WITH}, m AS (SELECT *, close - least(low, {sql_lag('close')}) AS bp0, greatest(high, {sql_lag('close')}) - least(low, {sql_lag('close')}) AS sp0 FROM b), n AS (SELECT *, CASE WHEN i > 0 THEN bp0 END AS bp, CASE WHEN i > 0 THEN sp0 END AS sp FROM m), z AS (SELECT symbol, t, {', '.join(f'{e} AS {k}' for k, e in _LV.items())} FROM n) SELECT symbol, {sql_shown({k: k for k in _LV})} FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC) = 1",
     "feature_large_bars": f"{_WITH}, {_LARGE} SELECT symbol, t, large, CAST(sum(large::INT) OVER {frame(30)} AS BIGINT) AS n_large, count(CASE WHEN way > 0 THEN 1 END) OVER {frame(30)} AS n_up, count(CASE WHEN way < 0 THEN 1 END) OVER {frame(30)} AS n_down, CAST(sum(large::INT) OVER (PARTITION BY symbol, br ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak, coalesce(last_value(way IGNORE NULLS) OVER {_UP}, 9) AS last_way FROM m",
     "report_events": f"WITH {_TICKS}, r AS (SELECT *, lead(price) OVER (PARTITION BY symbol ORDER BY t, seq) - price AS ret FROM k) SELECT symbol, count(*) AS n, count(CASE WHEN dir > 0 THEN 1 END) AS buys, count(*) - count(CASE WHEN dir > 0 THEN 1 END) AS sells, {sql_shown({'net': 'sum(CASE WHEN dir > 0 THEN amount ELSE -amount END)', 'ret': 'avg(ret)'})} FROM r WHERE amount >= 100 GROUP BY symbol ORDER BY n DESC, symbol LIMIT 20",
     "account_equity": "SELECT l_suppkey % 50 AS account, round(sum((CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * (p_retailprice - l_extendedprice / l_quantity) * l_quantity), 2) AS unrealized, round(sum(p_retailprice * l_quantity / 100), 2) AS margin, round(sum(p_retailprice * l_quantity), 2) AS notional FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
+    "account_statistics": f"WITH c AS (SELECT o_custkey AS account, o_orderdate AS d, o_orderkey AS id, CAST(CAST(floor(CAST(o_totalprice AS DOUBLE)) AS BIGINT) % 1000 - 450 AS DOUBLE) AS p FROM orders), r AS (SELECT *, sum(p) OVER w AS run FROM c WINDOW w AS (PARTITION BY account ORDER BY d, id)), f AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY account ORDER BY d, id)) - run AS fall FROM r) SELECT account, count(*) AS trades, {sql_shown({'win_rate': 'avg((p > 0)::INT)', 'avg_win': 'avg(p) FILTER (p > 0)', 'avg_loss': '-avg(p) FILTER (p < 0)', 'profit_factor': 'sum(p) FILTER (p > 0) / -sum(p) FILTER (p < 0)', 'best': 'max(p)', 'worst': 'min(p)', 'sharpe': 'avg(p) / nullif(stddev_samp(p), 0)', 'max_drawdown': 'max(fall)', 'expectancy': 'avg(p)'})} FROM f GROUP BY account",
     "account_closed": "WITH c AS (SELECT c_nationkey AS account, o_totalprice % 1000 - 450 AS p, o_totalprice / 1000 AS f FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1994 AND 1996) SELECT account, count(*) AS trades, round(sum(p), 4) AS pnl, round(sum(f), 4) AS commission, round(avg(CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END), 4) AS win_rate, round(sum(CASE WHEN p > 0 THEN p END) / -sum(CASE WHEN p < 0 THEN p END), 4) AS profit_factor FROM c GROUP BY account",
     "report_guard": f"WITH d AS (SELECT o_orderkey AS k, o_orderkey % 3 AS verdict FROM orders), s AS (SELECT l_orderkey AS k, sum(l_quantity - 25) AS pnl FROM lineitem GROUP BY 1) SELECT CAST(verdict AS INT) AS verdict, count(*) AS n, count(s.pnl) AS known, {sql_shown({'pnl': 'sum(s.pnl)', 'loss_rate': 'avg(CASE WHEN s.pnl < 0 THEN 1.0 WHEN s.pnl >= 0 THEN 0.0 END)'})} FROM d LEFT JOIN s ON d.k = s.k AND d.verdict < 2 GROUP BY 1",
 }

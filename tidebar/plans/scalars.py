@@ -139,9 +139,16 @@ def fn_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", c.alias("rgb"), faded.alias("new"), C.red(faded).alias("r"), C.green(faded).alias("g"), C.blue(faded).alias("b"), C.transparency(faded).alias("t"), C.red(mid).alias("mid"))
 
 
+def fn_color_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of texts and of numbers; a part without a positive price ends the run."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice").cast("double")
+    c = C.cast(F.concat(F.lit("#"), F.lpad(F.hex(k), 6, "0"), F.lit("FF")))
+    return table(spark, sf_dir, "part").select("p_partkey", c.alias("of_text"), C.cast(k).alias("of_number"), C.blue(c).alias("blue"), N.check(price > 0, price, "a part has no price").alias("price"))
+
+
 _HEX = "printf('%02X%02X%02X', k % 256, (k * 7) % 256, (k * 13) % 256)"
 
-QUERIES = {f.__name__: f for f in (fn_na_semantics, fn_math, fn_text, fn_array_statistics, fn_array_access, fn_maps_and_matrices, fn_colors)}
+QUERIES = {f.__name__: f for f in (fn_na_semantics, fn_math, fn_text, fn_array_statistics, fn_array_access, fn_maps_and_matrices, fn_colors, fn_color_casts)}
 SQL = {
     "fn_na_semantics": f"WITH {_NUM} SELECT p_partkey, {sql_shown(_NA)} FROM n",
     "fn_math": f"WITH {_NUM}, {_RND} SELECT p_partkey, {sql_shown(_MATH)} FROM x3",
@@ -149,5 +156,6 @@ SQL = {
     "fn_array_statistics": f"WITH {_EMB} SELECT vec_id, {', '.join(f'{sql6(e)} AS {k}' for k, e in _ARR.items())} FROM f",
     "fn_array_access": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v * 10 AS FLOAT)) AS INT)) AS x, len(embedding) AS n FROM embeddings) SELECT vec_id, " + ", ".join(f"array_to_string({e}, ',') AS {k}" if k in _LISTS else f"{e} AS {k}" for k, e in _ACC.items()) + " FROM e",
     "fn_maps_and_matrices": "SELECT c_custkey, k + 1 AS a, true AS has, 3 AS size, 'a,b,c' AS keys, CAST(k + 16 AS INT) AS total, 2 AS \"left\", 8 AS removed, 3 AS rows, 3 AS columns, k AS cell, k || ',' || (k + 1) || ',' || (k + 2) AS row, 2 AS rows_left FROM (SELECT c_custkey, c_nationkey AS k FROM customer)",
+    "fn_color_casts": "SELECT p_partkey, '#' || printf('%06X', p_partkey) || 'FF' AS of_text, CAST(p_partkey AS VARCHAR) AS of_number, CAST(p_partkey % 256 AS INT) AS blue, CAST(p_retailprice AS DOUBLE) AS price FROM part",
     "fn_colors": f"SELECT p_partkey, '#' || {_HEX} || 'FF' AS rgb, '#' || {_HEX} || '99' AS new, CAST(k % 256 AS INT) AS r, CAST((k * 7) % 256 AS INT) AS g, CAST((k * 13) % 256 AS INT) AS b, 40 AS t, CAST(round(255 * (k % 100) / 99.0) AS INT) AS mid FROM (SELECT p_partkey, p_partkey AS k FROM part)",
 }

@@ -158,6 +158,12 @@ def time_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("symbol", "t", *f.values(), T.in_session(t, "0845-1345").alias("in_day"), T.in_session(t, "1500-0500").alias("in_night"), T.changed("D").alias("new_day"), T.changed("W").alias("new_week"), T.changed("M").alias("new_month"), F.coalesce(T.time("240"), F.lit(-1)).alias("opens_4h"), T.time_close("D").alias("closes_day"))
 
 
+def time_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings of sessions and periods, and of those some bars back; -1 where there is none."""
+    at = {"session": T.time("D", "0845-1345"), "session_1": T.time("D", "0845-1345", bars_back=1), "session_8": T.time("W", "0845-1345", bars_back=8), "bar_in_session": T.time("60", "0845-1345"), "day_3": T.time("D", bars_back=3), "week_2": T.time("W", bars_back=2), "month_1": T.time("M", bars_back=1), "hours_2": T.time("240", bars_back=2)}
+    return hourly(spark, sf_dir).select("symbol", "t", *[F.coalesce(v, F.lit(-1)).alias(k) for k, v in at.items()])
+
+
 def _floor_change(e: str) -> str:
     return f"coalesce({e} <> lag({e}) OVER (PARTITION BY symbol ORDER BY t), true)"
 
@@ -189,7 +195,14 @@ _OVER = "OVER (PARTITION BY symbol ORDER BY i)"
 _ACCOUNT = {"equity": "equity", "position": "position", "avg_price": "CASE WHEN position <> 0 THEN cost / position END", "open_profit": "gain", "open_profit_percent": "100 * gain / (100000 + realized)", "opentrades": "opentrades", "closedtrades": "closedtrades", "wintrades": "wintrades", "losstrades": "losstrades", "eventrades": "eventrades", "grossprofit": "won", "grossloss": "lost", "netprofit": "won - lost", "grossprofit_percent": "won / 1000", "grossloss_percent": "lost / 1000", "netprofit_percent": "(won - lost) / 1000", "max_drawdown": f"max(peak - equity) {_OVER}", "max_runup": f"max(equity - trough) {_OVER}", "max_drawdown_percent": f"max(peak - equity) {_OVER} / 1000", "max_runup_percent": f"max(equity - trough) {_OVER} / 1000", "max_held": f"max(abs(position)) {_OVER}", "max_held_long": f"greatest(max(position) {_OVER}, 0)", "max_held_short": f"greatest(-min(position) {_OVER}, 0)"}
 _TRADE = {"qty": "qty", "closed_qty": "closed_qty", "entry_price": "entry_price", "exit_price": "exit_price", "profit": "profit", "profit_percent": "100 * profit / (entry_price * qty)", "commission": "commission", "max_runup": "qty * greatest(0, up)", "max_drawdown": "qty * greatest(0, down)"}
 
-QUERIES = {f.__name__: f for f in (strategy_reversal_trades, strategy_reversal_equity, strategy_statistics, strategy_ladder_trades, strategy_ladder_account, strategy_ladder_statistics, strategy_brackets, guard_entries, rank_movers, rank_top_per_group, rank_missing_members, technical_rating, technical_rating_full, time_fields)}
+_DAY_SESSION = "hm >= 525 AND hm < 825"
+
+
+def _opening(day: str, name: str) -> str:
+    return f"CASE WHEN {_DAY_SESSION} THEN CAST(epoch(CAST({day} AS TIMESTAMP)) AS BIGINT) * 1000 + (525 - 480) * 60000 ELSE -1 END AS {name}"
+
+
+QUERIES = {f.__name__: f for f in (strategy_reversal_trades, strategy_reversal_equity, strategy_statistics, strategy_ladder_trades, strategy_ladder_account, strategy_ladder_statistics, strategy_brackets, guard_entries, rank_movers, rank_top_per_group, rank_missing_members, technical_rating, technical_rating_full, time_fields, time_back)}
 SQL = {
     "strategy_reversal_trades": f"{_WITH}, {_SIG} SELECT symbol, entry_bar, exit_bar, CAST(dir AS INT) AS dir, {sql_shown({'qty': '1', 'entry_price': 'entry_price', 'exit_price': 'exit_price', 'profit': '(exit_price - entry_price) * dir - CASE WHEN n = 1 THEN 0.1 ELSE 0 END - 0.2', 'commission': 'CASE WHEN n = 1 THEN 0.3 ELSE 0.2 END'})} FROM s WHERE exit_bar IS NOT NULL",
     "strategy_reversal_equity": f"{_WITH}, {_ACC} SELECT symbol, i, {sql_shown({'equity': 'equity', 'position': 'position', 'avg_price': 'avg_price', 'open_profit': 'open_profit', 'max_drawdown': 'max(peak - equity) OVER (PARTITION BY symbol ORDER BY i)', 'max_runup': 'max(equity - trough) OVER (PARTITION BY symbol ORDER BY i)', 'max_held': 'max(abs(position)) OVER (PARTITION BY symbol ORDER BY i)'})} FROM q",
@@ -202,5 +215,6 @@ SQL = {
     "rank_top_per_group": "SELECT p_brand, rank, p_partkey, p_retailprice FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part) WHERE rank <= 3",
     "rank_missing_members": "SELECT c_mktsegment, count(*) AS n FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey GROUP BY 1",
     "technical_rating": f"{_WITH}, w AS (SELECT *, [{', '.join(_VOTES)}] AS vs, {_OSC['st']} AS st FROM b), x AS (SELECT *, list_avg(list_filter(vs, lambda v: v IS NOT NULL)) AS ma, CASE WHEN st IS NOT NULL THEN (CASE WHEN st < 20 THEN 1 WHEN st > 80 THEN -1 ELSE 0 END + CASE WHEN st - 100 < -80 THEN 1 WHEN st - 100 > -20 THEN -1 ELSE 0 END) / 2 END AS osc FROM w) SELECT symbol, t, CASE WHEN (ma + osc) / 2 > 0.5 THEN 'strong buy' WHEN (ma + osc) / 2 > 0.1 THEN 'buy' WHEN (ma + osc) / 2 >= -0.1 THEN 'neutral' WHEN (ma + osc) / 2 >= -0.5 THEN 'sell' WHEN ma + osc IS NOT NULL THEN 'strong sell' END AS band, {sql_shown({'ma': 'ma', 'osc': 'osc'})} FROM x",
+    "time_back": f"{_WITH}, l AS (SELECT *, {_LOCAL} AS w FROM b), m AS (SELECT *, CAST(w AS DATE) AS d, hour(w) * 60 + minute(w) AS hm, list_filter(list_transform(range(1, 30), lambda k: CAST(CAST(w AS DATE) - CAST(k AS INT) AS DATE)), lambda x: isodow(x) < 6) AS days FROM l) SELECT symbol, t, {_opening('d', 'session')}, {_opening('days[1]', 'session_1')}, {_opening('days[8]', 'session_8')}, CASE WHEN {_DAY_SESSION} THEN t * 1000 ELSE -1 END AS bar_in_session, CASE WHEN {_floor_change('d')} THEN (t - 259200) * 1000 ELSE -1 END AS day_3, CASE WHEN {_floor_change("date_trunc('week', w)")} THEN (t - 1209600) * 1000 ELSE -1 END AS week_2, CASE WHEN {_floor_change('month(w)')} THEN CAST(epoch_ms(CAST(date_trunc('month', to_timestamp(t) AT TIME ZONE 'UTC') - INTERVAL 1 MONTH AS TIMESTAMP)) AS BIGINT) ELSE -1 END AS month_1, CASE WHEN {_floor_change('t // 14400')} THEN (t - 28800) * 1000 ELSE -1 END AS hours_2 FROM m",
     "time_fields": f"{_WITH}, l AS (SELECT *, {_LOCAL} AS w FROM b), m AS (SELECT *, hour(w) * 60 + minute(w) AS hm FROM l) SELECT symbol, t, CAST(year(w) AS INT) AS year, CAST(month(w) AS INT) AS month, CAST(day(w) AS INT) AS dayofmonth, CAST(hour(w) AS INT) AS hour, CAST(minute(w) AS INT) AS minute, CAST(second(w) AS INT) AS second, CAST(dayofweek(w) + 1 AS INT) AS dayofweek, CAST(weekofyear(w) AS INT) AS weekofyear, hm >= 525 AND hm < 825 AS in_day, hm >= 900 OR hm < 300 AS in_night, {_floor_change('CAST(w AS DATE)')} AS new_day, {_floor_change(chr(40) + 'date_trunc(' + chr(39) + 'week' + chr(39) + ', w))')} AS new_week, {_floor_change('month(w)')} AS new_month, CASE WHEN {_floor_change('t // 14400')} THEN t * 1000 ELSE -1 END AS opens_4h, (t // 86400 + 1) * 86400000 AS closes_day FROM m",
 }
