@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidebar.functions import numeric, text
-from tidebar.operators import accepted, align, bars, broker, flow, folds, guard, rolling
+from tidebar.operators import accepted, align, bars, broker, flow, folds, guard, rolling, spans
 from tidebar.sources import files
 
 
@@ -293,3 +293,46 @@ def test_a_session_gates_by_what_its_trades_made():
     assert got == [("full", 1.0, None), ("full", 1.0, 50.0), ("profit_protect", 0.0, None), ("flat", 0.0, None)]
     got = walk([(1.0, 1.0, 0.7, 0, 0), (1.0, 1.0, None, 1, 0), sure(1.0, -1.0, 0), sure(1.0, -1.0, 1)], cap=2)
     assert got == [("reduce", 0.5, None), ("volatile", 0.5, 0.0), ("max_follow_day", 0.0, 0.0), ("full", 1.0, None)]
+
+
+def moving_ticks(spark, n=1500, seconds=9000):
+    """Ticks of three symbols, one of them NULL: many in a second, some far apart, some without a time or an amount; and their rows in order."""
+    rnd, rows = random.Random(11), []
+    for k in range(n):
+        t = rnd.choice([rnd.randrange(-200, 200), rnd.randrange(seconds), 10 * rnd.randrange(seconds), None if k % 97 == 0 else 50])
+        rows.append((rnd.choice(["a", "b", None]), t, k, float(rnd.choice([5, 5, 20, 70, 130])), None if k % 41 == 0 else float(rnd.choice([5, 20, 70, 130]))))
+    rows.sort(key=lambda r: (r[0] or "", -(1 << 40) if r[1] is None else r[1], r[2]))
+    return spark.createDataFrame(rows, "symbol string, t long, seq long, price double, amount double").repartition(7), rows
+
+
+def test_direction_goes_on_over_spans(spark):
+    ticks, rows = moving_ticks(spark)
+    got = {r.seq: r.dir for r in flow.with_direction(ticks, width=100).collect()}
+    want = {}
+    for s in ("a", "b", None):
+        way, last = 0, None
+        for r in rows:
+            if r[0] == s:
+                way = way if last is None or r[3] == last else 1 if r[3] > last else -1
+                want[r[2]], last = way, r[3]
+    assert got == want
+
+
+def test_recent_equals_a_walk(spark):
+    ticks, rows = moving_ticks(spark, 800)
+    got = {r.seq: (r.n, r.total, r.low, r.high) for r in spans.recent(ticks, {"n": (F.count, F.col("amount")), "total": (F.sum, F.col("amount")), "low": (F.min, F.col("amount")), "high": (F.max, F.col("amount"))}, 60).collect()}
+    for s, t, seq, _, _ in rows:
+        near = [r[4] for r in rows if r[0] == s and r[4] is not None and (r[1] is None if t is None else r[1] is not None and t - 60 <= r[1] <= t)]
+        assert got[seq] == (len(near), sum(near) if near else None, min(near, default=None), max(near, default=None))
+    assert len(got) == len(rows)
+
+
+def frames_of(df):
+    """Window frames of a plan that slide by a range, which Spark works out anew for each row."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in plan.splitlines() if "RangeFrame, -" in x]
+
+
+def test_reversals_have_no_frame_that_is_read_again_for_each_tick(spark):
+    ticks = flow.with_direction(moving_ticks(spark, 10)[0])
+    assert not frames_of(flow.reversals(flow.net_flow(ticks, 20.0, 3600), 100.0, 70.0, 60))

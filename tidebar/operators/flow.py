@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .accepted import apart, last_accepted, within
 from .folds import Reversal, fold
 from .scans import BLOCK
+from .spans import SPAN, dealt, recent, spans_before, with_carried
 
 #: Bands of a print's amount, largest first: name and least amount.
 BANDS = [("xl", 400.0), ("large", 200.0), ("mid", 100.0), ("small", 40.0), ("retail", 0.0)]
@@ -23,13 +24,25 @@ def in_order():
     return Window.partitionBy("symbol").orderBy("t", "seq")
 
 
-def with_direction(ticks: DataFrame, side: str | None = None) -> DataFrame:
-    """Adds dir: 1 up, -1 down, as before if the price stays; a side column (1 buy, 2 sell) overrules."""
-    move = F.signum(F.col("price") - F.lag("price").over(in_order()))
-    sign = F.when(move != 0, move)
+def with_direction(ticks: DataFrame, side: str | None = None, width: int = SPAN) -> DataFrame:
+    """Adds dir: 1 up, -1 down, as before if the price stays; a side column (1 buy, 2 sell) overrules.
+
+    Ticks are dealt by spans of time; a row for each span tells the next ones its last price and direction.
+    """
+    rows, inside = dealt(ticks, ["symbol"], F.col("t"), width), Window.partitionBy("_key", "_span").orderBy("t", "seq")
+    sign = lambda move: F.when(move != 0, move)
+    own = sign(F.signum(F.col("price") - F.lag("price").over(inside)))
     if side:
-        sign = F.when(F.col(side) == 1, 1.0).when(F.col(side) == 2, -1.0).otherwise(sign)
-    return ticks.withColumn("_s", sign).withColumn("dir", F.coalesce(F.last("_s", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).cast("int")).drop("_s")
+        own = F.when(F.col(side) == 1, 1.0).when(F.col(side) == 2, -1.0).otherwise(own)
+    rows = rows.withColumn("_s", own)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_dir", F.last("_s", ignorenulls=True).over(upto))
+    marked = rows.withColumns({"_first": F.first("price").over(upto), "_more": F.lead(F.lit(1)).over(inside)})
+    ends, spans = marked.where("_more is null"), Window.partitionBy("_key").orderBy("_span")
+    ends = ends.withColumn("_turn", sign(F.signum(F.col("_first") - F.lag("price").over(spans))))
+    ends = ends.withColumn("_was", F.last(F.coalesce("_dir", "_turn"), ignorenulls=True).over(spans_before()))
+    out = with_carried(rows, ends, {"_came": F.coalesce("_turn", "_was")})
+    return out.select(*ticks.columns, F.coalesce("_dir", "_came", F.lit(0.0)).cast("int").alias("dir"))
 
 
 def true_volume(ticks: DataFrame, total: str = "total_volume", auction: str = "volume") -> Column:
@@ -165,8 +178,8 @@ def forward_returns(events: DataFrame, ticks: DataFrame, minutes: tuple[int, ...
 
 def net_flow(ticks: DataFrame, least: float, seconds: int = 3600) -> DataFrame:
     """Adds net: the signed amount of large prints of the last hour."""
-    recent = Window.partitionBy("symbol").orderBy("t").rangeBetween(-seconds, 0)
-    return ticks.withColumn("net", F.coalesce(F.sum(F.when(F.col("amount") >= least, F.col("amount") * F.col("dir"))).over(recent), F.lit(0.0)))
+    signed = F.when(F.col("amount") >= least, F.col("amount") * F.col("dir"))
+    return recent(ticks, {"net": (F.sum, signed)}, seconds).withColumn("net", F.coalesce("net", F.lit(0.0)))
 
 
 def reversals(ticks: DataFrame, least: float, print_level: float, opposite: int = 60, span: int = 1800, quiet: int = 300) -> DataFrame:
@@ -174,10 +187,13 @@ def reversals(ticks: DataFrame, least: float, print_level: float, opposite: int
 
     An alert needs a print of ``print_level`` against the flow within the last ``opposite`` seconds.
     """
-    recent = Window.partitionBy("symbol").orderBy("t").rangeBetween(-opposite, 0)
-    large = lambda way: F.coalesce(F.max(F.when((F.col("amount") >= print_level) & (F.col("dir") == way), 1)).over(recent), F.lit(0))
-    ticks = ticks.withColumns({"_bought": large(1), "_sold": large(-1)})
-    return fold(ticks, [(["alert"], lambda: Reversal(least, span=span, quiet=quiet), ["t", "net", "_bought", "_sold"])], order=("t", "seq")).where("alert != 0").drop("_bought", "_sold")
+    large = lambda way: F.when((F.col("amount") >= print_level) & (F.col("dir") == way), 1)
+    rows = recent(ticks, {"_bought": (F.max, large(1)), "_sold": (F.max, large(-1))}, opposite).fillna(0, ["_bought", "_sold"])
+    if quiet > 0:
+        # a tick of the same second and net as the one before it finds what that one found, or the quiet after its alert
+        inside = Window.partitionBy("symbol", "t").orderBy("seq")
+        rows = rows.withColumn("_same", F.lag(F.struct("net")).over(inside).eqNullSafe(F.struct("net"))).where("not _same").drop("_same")
+    return fold(rows, [(["alert"], lambda: Reversal(least, span=span, quiet=quiet), ["t", "net", "_bought", "_sold"])], order=("t", "seq")).where("alert != 0").drop("_bought", "_sold")
 
 
 #: Price tiers, fixed values: (least price, L1, L1-lite, L2, least reversal); an L1-lite of 0 is none.
