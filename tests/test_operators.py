@@ -336,3 +336,22 @@ def frames_of(df):
 def test_reversals_have_no_frame_that_is_read_again_for_each_tick(spark):
     ticks = flow.with_direction(moving_ticks(spark, 10)[0])
     assert not frames_of(flow.reversals(flow.net_flow(ticks, 20.0, 3600), 100.0, 70.0, 60))
+
+
+def test_tiered_prints_equal_a_walk(spark):
+    """Tiers by the first price, and clusters over ticks of one second in their order."""
+    rnd = random.Random(3)
+    rows = [(s, rnd.randrange(40) if k % 3 else 7 * rnd.randrange(400), k, float(rnd.choice([5, 20, 70])), float(rnd.choice([5, 20, 70, 130])), rnd.choice([-1, 0, 1, 1, 1])) for s in ("a", None) for k in range(300)]
+    rows.sort(key=lambda r: (r[0] or "", r[1], r[2]))
+    ticks = spark.createDataFrame(rows, "symbol string, t long, seq long, price double, amount double, dir int").repartition(5)
+    out = flow.tiered_prints(ticks, [(50.0, 100.0, 0.0, 60.0, 0.0), (0.0, 120.0, 60.0, 20.0, 0.0)], 3, 10)
+    assert not frames_of(out)
+    got = {(r.symbol, r.seq): (r.is_l1, r.is_l1_lite, r.is_l2, r.l2_cluster) for r in out.collect()}
+    for s in ("a", None):
+        own = [r for r in rows if r[0] == s]
+        l1, lite, l2 = (100, 0, 60) if own[0][3] >= 50 else (120, 60, 20)
+        at = [1_000_000 * r[1] + sum(x[1] == r[1] for x in own[: n + 1]) for n, r in enumerate(own)]
+        for n, r in enumerate(own):
+            ways = [x[5] for x, p in zip(own, at, strict=True) if x[4] >= l2 and at[n] - 10_999_999 <= p <= at[n]]
+            assert got[s, r[2]] == (r[4] >= l1, 0 < lite <= r[4] < l1, r[4] >= l2, r[4] >= l2 and len(ways) >= 3 and (min(ways) >= 0 or max(ways) <= 0))
+    assert len(got) == len(rows) and any(v[3] for v in got.values())

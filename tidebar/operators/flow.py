@@ -213,13 +213,14 @@ def tier(price: Column, tiers: list[tuple] = TIERS) -> dict[str, Column]:
 
 def tiered_prints(ticks: DataFrame, tiers: list[tuple] = TIERS, cluster: int = 3, span: int = 300) -> DataFrame:
     """Adds for each tick, by the tier of its symbol's first price: is_l1, is_l1_lite, is_l2, and l2_cluster where at least ``cluster`` L2 ticks stand within ``span`` seconds up to it and none of them is against another."""
-    first = F.first("price").over(in_order().rowsBetween(Window.unboundedPreceding, 0))
-    levels, amount = tier(first, tiers), F.col("amount")
-    ticks = ticks.withColumns({"is_l1": amount >= levels["l1"], "is_l1_lite": (levels["l1_lite"] > 0) & (amount >= levels["l1_lite"]) & (amount < levels["l1"]), "is_l2": amount >= levels["l2"]})
+    # a row for each symbol: where its ticks begin
+    begun = ticks.groupBy(F.col("symbol").alias("_of")).agg(F.min_by(F.struct(F.col("price").alias("at")), F.struct("t", "seq")).alias("_begun"))
+    columns, levels, amount = ticks.columns, tier(F.col("_begun.at"), tiers), F.col("amount")
+    ticks = ticks.join(F.broadcast(begun), F.col("symbol").eqNullSafe(F.col("_of")), "left")
+    ticks = ticks.select(*columns, (amount >= levels["l1"]).alias("is_l1"), ((levels["l1_lite"] > 0) & (amount >= levels["l1_lite"]) & (amount < levels["l1"])).alias("is_l1_lite"), (amount >= levels["l2"]).alias("is_l2"))
     # ticks of one second count in the order in which they came
     at = (F.col("t") * 1_000_000 + F.row_number().over(Window.partitionBy("symbol", "t").orderBy("seq"))).cast("long")
-    recent = Window.partitionBy("symbol").orderBy("_at").rangeBetween(-span * 1_000_000 - 999_999, 0)
-    ticks = ticks.withColumn("_at", at)
     way = F.when(F.col("is_l2"), F.col("dir"))
-    alike = (F.min(way).over(recent) >= 0) | (F.max(way).over(recent) <= 0)
-    return ticks.withColumn("l2_cluster", F.col("is_l2") & (F.count(way).over(recent) >= cluster) & alike).drop("_at")
+    ticks = recent(ticks.withColumn("_at", at), {"_n": (F.count, way), "_low": (F.min, way), "_high": (F.max, way)}, span * 1_000_000 + 999_999, at="_at")
+    alike = (F.col("_low") >= 0) | (F.col("_high") <= 0)
+    return ticks.withColumn("l2_cluster", F.col("is_l2") & (F.col("_n") >= cluster) & alike).drop("_at", "_n", "_low", "_high")
