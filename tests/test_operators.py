@@ -355,3 +355,22 @@ def test_tiered_prints_equal_a_walk(spark):
             ways = [x[5] for x, p in zip(own, at, strict=True) if x[4] >= l2 and at[n] - 10_999_999 <= p <= at[n]]
             assert got[s, r[2]] == (r[4] >= l1, 0 < lite <= r[4] < l1, r[4] >= l2, r[4] >= l2 and len(ways) >= 3 and (min(ways) >= 0 or max(ways) <= 0))
     assert len(got) == len(rows) and any(v[3] for v in got.values())
+
+
+def test_large_prints_equal_a_walk(spark):
+    """Streaks that go on over spans of time, and clusters of one direction."""
+    ticks, rows = moving_ticks(spark, 900)
+    ticks = flow.with_direction(ticks.withColumn("amount", F.when(F.col("seq") % 5 > 0, 70.0).otherwise(F.col("amount"))))
+    rows = [(*r[:4], 70.0 if r[2] % 5 else r[4]) for r in rows]
+    way = {r.seq: r.dir for r in ticks.collect()}
+    out = flow.large_prints(ticks, 100.0, 60.0, 3, 60, width=30)
+    assert not frames_of(out)
+    got = {r.seq: (r.streak, r.print) for r in out.collect()}
+    for s in ("a", "b", None):
+        streak, own = 0, [r for r in rows if r[0] == s]
+        for _, t, seq, _, amount in own:
+            big = amount is not None and amount >= 60
+            streak = streak + 1 if big else 0
+            near = [way[r[2]] for r in own if r[4] is not None and r[4] >= 60 and (r[1] is None if t is None else r[1] is not None and t - 60 <= r[1] <= t)]
+            assert got[seq] == (streak, "L1" if amount is not None and amount >= 100 else "L2" if big and len(near) >= 3 and set(near) in ({1}, {-1}) else None)
+    assert len(got) == len(rows) and {p for _, p in got.values()} == {"L1", "L2", None} and max(n for n, _ in got.values()) > 10

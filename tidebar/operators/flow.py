@@ -146,16 +146,24 @@ def rolling_at(ticks: DataFrame, bars: DataFrame, windows: tuple[int, ...] = (5,
     return both.withColumns(columns).where("_tick is not null").select("_tick.*", *columns)
 
 
-def large_prints(ticks: DataFrame, first: float, second: float, cluster: int = 3, span: int = 300) -> DataFrame:
+def large_prints(ticks: DataFrame, first: float, second: float, cluster: int = 3, span: int = 300, width: int = SPAN) -> DataFrame:
     """Ticks at or over a level: L1, or L2 where at least ``cluster`` second-level prints of one direction stand within ``span`` seconds. Adds the streak of large prints."""
-    ticks = ticks.withColumn("large", F.col("amount") >= second)
-    recent = Window.partitionBy("symbol").orderBy("t").rangeBetween(-span, 0)
-    n, low, high = F.count(F.when(F.col("large"), 1)).over(recent), F.min(F.when(F.col("large"), F.col("dir"))).over(recent), F.max(F.when(F.col("large"), F.col("dir"))).over(recent)
-    broken = F.sum(F.when(F.col("large"), 0).otherwise(1)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
-    ticks = ticks.withColumns({"clustered": F.col("large") & (n >= cluster) & (low == high) & (low != 0), "_run": broken})
-    streak = F.sum(F.when(F.col("large"), 1).otherwise(0)).over(Window.partitionBy("symbol", "_run").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    kind = F.when(F.col("amount") >= first, "L1").when(F.col("clustered"), "L2")
-    return ticks.withColumns({"streak": streak, "print": kind}).drop("_run", "clustered", "large")
+    large = F.col("amount") >= second
+    rows = dealt(ticks, ["symbol"], F.col("t"), width)
+    upto = Window.partitionBy("_key", "_span").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    # a streak is what was counted since the last tick that wasn't large, which may lie in an earlier span
+    rows = rows.withColumn("_counted", F.count(F.when(large, 1)).over(upto))
+    rows = rows.withColumn("_broken", F.max(F.when(~F.coalesce(large, F.lit(False)), F.col("_counted"))).over(upto))
+    ends = rows.groupBy("_key", "_span").agg(F.max("_counted").alias("_all"), F.max("_broken").alias("_last"))
+    before = spans_before()
+    total = F.coalesce(F.sum("_all").over(before), F.lit(0))
+    ends = ends.withColumn("_total", total).withColumn("_came", F.col("_total") - F.coalesce(F.max(F.col("_total") + F.col("_last")).over(before), F.lit(0)))
+    rows = with_carried(rows, ends, {"_came": F.col("_came")})
+    rows = rows.select(*ticks.columns, (F.col("_counted") - F.coalesce("_broken", -F.col("_came"))).alias("streak"))
+    way = F.when(large, F.col("dir"))
+    rows = recent(rows, {"_n": (F.count, F.when(large, 1)), "_low": (F.min, way), "_high": (F.max, way)}, span)
+    clustered = large & (F.col("_n") >= cluster) & (F.col("_low") == F.col("_high")) & (F.col("_low") != 0)
+    return rows.withColumn("print", F.when(F.col("amount") >= first, "L1").when(clustered, "L2")).drop("_n", "_low", "_high")
 
 
 def forward_returns(events: DataFrame, ticks: DataFrame, minutes: tuple[int, ...] = (5, 15, 30, 60)) -> DataFrame:
