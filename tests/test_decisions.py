@@ -49,3 +49,12 @@ def test_forward_by_choice_equals_a_walk(spark):
     for x in got:
         w = want[x.choice]
         assert x.n == len(w) and abs(x.total - sum(w)) < 1e-6 and abs(x.won - sum(p > 0 for p in w) / len(w)) < 1e-9
+
+
+def test_lines_of_one_time_are_sought_once(spark):
+    """However many lines a symbol has at a time, what came later is looked up for the time, and dealt by spans."""
+    rows = spark.range(40_000).selectExpr("'a' as symbol", "(id % 4) * 43200 as t", "id", "double(1 + id % 4) as price", "'buy' as choice")
+    out = D.forward_by_choice(rows)
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition" in x]
+    assert windows and not [x for x in windows if "_span" not in x or "choice" in x]
+    assert [(r.n, r.won) for r in out.collect()] == [(20_000, 1.0)]

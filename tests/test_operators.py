@@ -374,3 +374,21 @@ def test_large_prints_equal_a_walk(spark):
             near = [way[r[2]] for r in own if r[4] is not None and r[4] >= 60 and (r[1] is None if t is None else r[1] is not None and t - 60 <= r[1] <= t)]
             assert got[seq] == (streak, "L1" if amount is not None and amount >= 100 else "L2" if big and len(near) >= 3 and set(near) in ({1}, {-1}) else None)
     assert len(got) == len(rows) and {p for _, p in got.values()} == {"L1", "L2", None} and max(n for n, _ in got.values()) > 10
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_dealt_by_time_equals_a_walk(spark, forward):
+    """Spans without rows of one side, NULL groups and NULL values; a struct's NULL is found."""
+    rnd = random.Random(8)
+    left = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.randrange(-300, 300), rnd.randrange(30_000)]), k) for k in range(400)]
+    right = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.randrange(-300, 0), 9_000 + rnd.randrange(9_000)]), rnd.choice([None, 1.0, 2.0, 3.0])) for _ in range(150)]
+    right = list({(s, t): (s, t, v) for s, t, v in right}.values())
+    ours, theirs = spark.createDataFrame(left, "symbol string, t long, n long").repartition(5), spark.createDataFrame(right, "symbol string, t long, v double").repartition(5)
+    for value, nulls in ((F.struct("v"), True), (F.col("v"), False)):
+        out = align.asof(ours, theirs, F.col("t"), F.col("t"), value, "x", ["symbol"], forward, (F.col("t"), F.col("t")), 100)
+        got = {r.n: r.x for r in out.collect()}
+        assert len(got) == len(left)
+        for s, t, n in left:
+            near = sorted(((u, v) for z, u, v in right if z == s and (u >= t if forward else u <= t) and (nulls or v is not None)), key=lambda r: r[0])
+            want = (near[0] if forward else near[-1])[1] if near else None
+            assert (got[n].v if nulls and got[n] else got[n]) == want and (not nulls or (got[n] is None) == (not near))

@@ -11,18 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bars as B
+from .spans import SPAN, span_of, with_carried
 
 
-def asof(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, value: Column, name: str, by: list[str], forward: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, value: Column, name: str, by: list[str], forward: bool = False, times: tuple[Column, Column] | None = None, width: int = SPAN) -> DataFrame:
     """Adds to left the value of the last right row whose key is no later (``forward``: the first whose key is no earlier).
 
     Keys must be of one type. Rows of right with one key: any of them. NULL values
-    inside ``value`` are kept if it is a struct.
+    inside ``value`` are kept if it is a struct. With ``times``, whole numbers of
+    left and right rows that rise with their keys, a group is dealt by spans of
+    time, and a row for each span tells the next ones its last value.
     """
-    ours = left.select(*by, left_key.alias("_k"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
-    theirs = right.select(*by, right_key.alias("_k"), F.lit(0).alias("_side"), F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"), value.alias("_v"))
-    order = Window.partitionBy(*by).orderBy(F.col("_k").desc() if forward else F.col("_k"), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return ours.unionByName(theirs).withColumn(name, F.last("_v", ignorenulls=True).over(order)).where("_side = 1").select("_row.*", name)
+    at = times or (F.lit(0), F.lit(0))
+    ours = left.select(*by, left_key.alias("_k"), span_of(at[0], width).alias("_span"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
+    theirs = right.select(*by, right_key.alias("_k"), span_of(at[1], width).alias("_span"), F.lit(0).alias("_side"), F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"), value.alias("_v"))
+    down = lambda c: F.desc(c) if forward else F.asc(c)
+    both = ours.unionByName(theirs).select(F.struct(*by).alias("_key"), "_span", "_k", "_side", "_row", F.when(F.col("_v").isNotNull(), F.struct("_v")).alias("_v"))
+    order = Window.partitionBy("_key", "_span").orderBy(down("_k"), "_side")
+    both = both.withColumn("_seen", F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if times:
+        ends = both.withColumn("_more", F.lead(F.lit(1)).over(order)).where("_more is null")
+        before = Window.partitionBy("_key").orderBy(down("_span")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_was", F.last("_seen", ignorenulls=True).over(before))
+        both = with_carried(both.where("_side = 1"), ends, {"_was": F.col("_was")}).withColumn("_seen", F.coalesce("_seen", "_was"))
+    return both.where("_side = 1").select("_row.*", F.col("_seen._v").alias(name))
 
 
 def with_end(bars: DataFrame, tf: str) -> DataFrame:

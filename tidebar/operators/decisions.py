@@ -52,9 +52,13 @@ def forward_by_choice(rows: DataFrame, seconds: int = 86_400) -> DataFrame:
     Lines are (symbol, t, id, price, choice); of lines at one time the one with the
     smallest id counts, and of several with that id the lowest price. Lines without a choice, a price or a later line are left out.
     """
-    key = lambda t, i, price: F.struct(t.cast("long").alias("t"), i.cast("long").alias("id"), price.cast("double").alias("price"))
-    begin, line = key(F.col("t") + seconds, F.lit(-(2**63)), F.lit(float("-inf"))), key(F.col("t"), F.col("id"), F.col("price"))
-    later = asof(rows.where("choice is not null"), rows.where("price is not null"), begin, line, F.col("price"), "_later", ["symbol"], forward=True)
+    # a row for each time: the line that can be found there, and what is found from there
+    line = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("price").cast("double").alias("price"))
+    times = rows.groupBy("symbol", F.col("t").cast("long").alias("t")).agg(F.min(F.when(F.col("price").isNotNull(), line)).alias("first"))
+    begin = F.col("t") + seconds
+    later = asof(times.select("symbol", "t"), times.where("first is not null"), begin, F.col("t"), F.col("first.price"), "_later", ["symbol"], forward=True, times=(begin, F.col("t")))
+    later = later.select(F.struct("symbol", "t").alias("_of"), "_later")
+    later = rows.where("choice is not null").join(later, F.struct("symbol", F.col("t").cast("long").alias("t")) == F.col("_of"))
     way = F.when(F.col("choice") == "buy", 1).when(F.col("choice") == "sell", -1).otherwise(0)
     out = later.withColumn("_p", way * 100 * F.try_divide(F.col("_later") - F.col("price"), F.col("price"))).where("_p is not null")
     return out.groupBy("choice").agg(F.count("*").alias("n"), F.avg("_p").alias("mean"), F.sum("_p").alias("total"), F.avg((F.col("_p") > 0).cast("double")).alias("won"))
