@@ -392,3 +392,20 @@ def test_asof_dealt_by_time_equals_a_walk(spark, forward):
             near = sorted(((u, v) for z, u, v in right if z == s and (u >= t if forward else u <= t) and (nulls or v is not None)), key=lambda r: r[0])
             want = (near[0] if forward else near[-1])[1] if near else None
             assert (got[n].v if nulls and got[n] else got[n]) == want and (not nulls or (got[n] is None) == (not near))
+
+
+def test_forward_returns_equal_a_walk(spark):
+    """Deadlines far beyond the last tick before them, equal events, and windows that are all dealt by time."""
+    rnd = random.Random(5)
+    ticks = sorted({(s, t): (s, t, float(rnd.choice([0, 5, 20, 70]))) for s in ("a", "b") for t in [rnd.choice([rnd.randrange(9_000), 200_000 + rnd.randrange(90_000)]) for _ in range(150)]}.values())
+    events = ticks + ticks[:3]
+    out = flow.forward_returns(spark.createDataFrame(events, "symbol string, t long, price double").repartition(3), spark.createDataFrame(ticks, "symbol string, t long, price double").repartition(3), (1, 1440))
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition" in x]
+    assert windows and all("_span" in x for x in windows)
+
+    def change(s, t, price, m):
+        later = [p for z, u, p in ticks if z == s and u >= t + 60 * m]
+        return 100 * (later[0] - price) / price if later and price else None
+
+    want = sorted(((s, t, p, change(s, t, p, 1), change(s, t, p, 1440)) for s, t, p in events), key=str)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == want

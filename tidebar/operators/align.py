@@ -22,11 +22,11 @@ def asof(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
     left and right rows that rise with their keys, a group is dealt by spans of
     time, and a row for each span tells the next ones its last value.
     """
-    at = times or (F.lit(0), F.lit(0))
-    ours = left.select(*by, left_key.alias("_k"), span_of(at[0], width).alias("_span"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
+    at, kept = times or (F.lit(0), F.lit(0)), [c for c in left.columns if c not in by]
+    ours = left.select(*by, left_key.alias("_k"), span_of(at[0], width).alias("_span"), F.lit(1).alias("_side"), F.struct(*kept).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
     theirs = right.select(*by, right_key.alias("_k"), span_of(at[1], width).alias("_span"), F.lit(0).alias("_side"), F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"), value.alias("_v"))
     down = lambda c: F.desc(c) if forward else F.asc(c)
-    both = ours.unionByName(theirs).select(F.struct(*by).alias("_key"), "_span", "_k", "_side", "_row", F.when(F.col("_v").isNotNull(), F.struct("_v")).alias("_v"))
+    both = ours.unionByName(theirs).select(F.struct(*by).alias("_key"), "_span", "_k", "_side", "_row", "_v")
     order = Window.partitionBy("_key", "_span").orderBy(down("_k"), "_side")
     both = both.withColumn("_seen", F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     if times:
@@ -34,7 +34,7 @@ def asof(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
         before = Window.partitionBy("_key").orderBy(down("_span")).rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.withColumn("_was", F.last("_seen", ignorenulls=True).over(before))
         both = with_carried(both.where("_side = 1"), ends, {"_was": F.col("_was")}).withColumn("_seen", F.coalesce("_seen", "_was"))
-    return both.where("_side = 1").select("_row.*", F.col("_seen._v").alias(name))
+    return both.where("_side = 1").select(*[F.col(f"_row.{c}" if c in kept else f"_key.{c}") for c in left.columns], F.col("_seen").alias(name))
 
 
 def with_end(bars: DataFrame, tf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .accepted import apart, last_accepted, within
+from .align import asof
 from .folds import Reversal, fold
 from .scans import BLOCK
 from .spans import SPAN, dealt, recent, spans_before, with_carried
@@ -169,19 +170,21 @@ def large_prints(ticks: DataFrame, first: float, second: float, cluster: int = 3
 def forward_returns(events: DataFrame, ticks: DataFrame, minutes: tuple[int, ...] = (5, 15, 30, 60)) -> DataFrame:
     """Adds ret_m: the change of price up to the first tick at least m minutes later, in percent; NULL if there is none.
 
-    All deadlines of all events stand in one order with the ticks, so everything
-    is shuffled and sorted once; an event's deadlines come together in place.
+    All deadlines of all events stand in one order with the ticks, dealt by spans of
+    time; an event's deadlines come together in place.
     """
-    deadline = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), (F.col("t") + 60 * m).alias("at")) for m in minutes])).alias("_d")
-    ours = events.select(*events.columns, deadline).select("symbol", F.col("_d.at").alias("_k"), F.lit(1).alias("_side"), F.col("_d.m").alias("_m"), F.struct(*events.columns).alias("_row"))
-    ours = ours.withColumn("_v", F.lit(None).cast("struct<price:double>"))
-    theirs = ticks.select("symbol", F.col("t").alias("_k"), F.lit(0).alias("_side"), F.lit(None).cast("int").alias("_m"), F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"), F.struct(F.col("price").cast("double").alias("price")).alias("_v"))
-    order = Window.partitionBy("symbol").orderBy(F.col("_k").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    later = ours.unionByName(theirs).withColumn("_later", F.last("_v", ignorenulls=True).over(order)["price"]).where("_side = 1")
-    by_event = later.groupBy("symbol", "_row").agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("_m") == m, F.col("_later"))).alias(f"_{m}") for m in minutes])
+    # rows are many, so they carry nothing twice
+    own = [c for c in events.columns if c != "symbol"]
+    ours = events.select("symbol", F.struct(*own).alias("_event"), F.explode(F.array(*[F.lit(m) for m in minutes])).alias("_m"))
+    theirs = ticks.select("symbol", F.col("t").cast("long").alias("t"), F.struct(F.col("price").cast("double").alias("price")).alias("_v"))
+    at = (F.col("_event.t") + 60 * F.col("_m")).cast("long")
+    later = asof(ours, theirs, at, F.col("t"), F.col("_v"), "_later", ["symbol"], forward=True, times=(at, F.col("t")))
+    by_event = later.groupBy("symbol", "_event").agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("_m") == m, F.col("_later.price"))).alias(f"_{m}") for m in minutes])
     # equal events come out as many times as they went in
     times = F.explode(F.sequence(F.lit(1), (F.col("_n") / len(minutes)).cast("int")))
-    return by_event.withColumn("_time", times).select("_row.*", *[(100 * F.try_divide(F.col(f"_{m}") - F.col("_row.price"), F.col("_row.price"))).alias(f"ret_{m}") for m in minutes])
+    price = F.col("_event.price")
+    returns = [(100 * F.try_divide(F.col(f"_{m}") - price, price)).alias(f"ret_{m}") for m in minutes]
+    return by_event.withColumn("_time", times).select(*[F.col(f"_event.{c}" if c in own else c) for c in events.columns], *returns)
 
 
 def net_flow(ticks: DataFrame, least: float, seconds: int = 3600) -> DataFrame:

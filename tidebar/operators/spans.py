@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds of a span.
-SPAN = 14_400
+SPAN = 3_600
 _BEFORE_ALL = -(1 << 62)
 
 
